@@ -10,9 +10,9 @@ Steps, all exact:
 4. Each class's set is sorted rarest first (those of one class alone, then by count, then hash). Two sets that link share a shingle in their
    prefixes of n - ceil(t n) + 1. Prefix shingles are join keys (buckets), with length and positional filters and a suffix bound from the
    repeated shingles that are left.
-5. In every bucket all members meet its pivot, the member with the fewest unique shingles; these pairs are verified once. Buckets whose
-   members are all in one component then are done. Of the others, only pairs in different components remain; they are verified in blocks
-   inside tasks that return links, never pairs.
+5. In every bucket all members meet its pivot, the member with the fewest unique shingles; these pairs are verified once. Of the other pairs
+   only those in different components matter. They meet in blocks, where a bound from what either shares with the pivot is added to the
+   filters; what is left is verified once.
 6. Components of the links by large-star and small-star steps.
 """
 
@@ -62,10 +62,10 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
 
 def _deal(ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, h: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
     """Hashes by their range, each with the place of its document in ids; ids and sizes go with every range."""
-    order = np.argsort(h)
-    h, owner = h[order], owner[order].astype(np.uint16)
-    cut = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    bounds = np.concatenate(([0], cut, [len(h)]))
+    ranges = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+    order = np.argsort(ranges, kind="stable")  # documents stay in order, so that their places compress
+    h, owner = h[order], owner[order]
+    bounds = np.searchsorted(ranges[order], np.arange((1 << bits) + 1))
     for part in range(1 << bits):
         a, b = bounds[part], bounds[part + 1]
         if b > a:
@@ -228,48 +228,45 @@ def _may_link(percent: int, a: str, b: str):
     return ((after + before) * (100 + percent) >= need) & (F.least("c_" + a, "c_" + b) * (100 + percent) >= need)
 
 
-def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the distinct pairs (a, b), those whose sets link: the intersection counted once for each pair."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) with shared, the size of their sets' intersection, and whether they link."""
     own = sets.select("doc_id", "n", "hashes")
     joined = pairs.join(own.toDF("a", "n_a", "h_a"), "a").join(own.toDF("b", "n_b", "h_b"), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [batch.column(k).to_pylist() for k in ("n_a", "n_b", "h_a", "h_b")]
-            inter = np.array([len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), True)) for p, q in zip(x[2], x[3], strict=True)], np.int64)
-            links = inter * (100 + percent) >= percent * (np.array(x[0], np.int64) + np.array(x[1], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(links))
+            x = [batch.column(k) for k in ("n_a", "n_b", "h_a", "h_b")]
+            inter = np.array([len(np.intersect1d(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), True)) for p, q in zip(x[2], x[3], strict=True)], np.int64)
+            linked = inter * (100 + percent) >= percent * (x[0].to_numpy() + x[1].to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(inter), pa.array(linked)], ["a", "b", "shared", "linked"])
 
-    return joined.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(work, "a long, b long")
+    return joined.select("a", "b", "n_a", "n_b", "h_a", "h_b").mapInArrow(work, "a long, b long, shared long, linked boolean")
 
 
 def _rest(cells: DataFrame, percent: int) -> DataFrame:
-    """cells: (h, x, y, side, main, doc_id, n, c, pos, comp, hashes): a block of a bucket's members outside the pivot's component (side 0)
-    and a block of any members (side 1). Returns the links between different components."""
+    """cells: (h, x, y, side, main, doc_id, n, c, pos, comp, shared): a block of a bucket's members outside the pivot's component (side 0) and a
+    block of any members but the pivot (side 1). Returns the pairs of different components that the filters let through.
+
+    shared is a member's intersection with the bucket's pivot. What two members share lies in the pivot, where it is at most the smaller of
+    the two values, or outside of it, where it is at most what either has there.
+    """
 
     def work(table: pa.Table) -> pa.Table:
-        t = table.to_pydict()
-        h = [np.frombuffer(x, np.uint64) for x in t["hashes"]]
-        n, c, pos, comp, doc = (np.array(t[k], np.int64) for k in ("n", "c", "pos", "comp", "doc_id"))
-        side, main = np.array(t["side"], np.int64), np.array(t["main"], bool)
+        n, c, pos, comp, doc, shared = (table.column(k).to_numpy() for k in ("n", "c", "pos", "comp", "doc_id", "shared"))
+        side, main = table.column("side").to_numpy(), table.column("main").to_numpy(zero_copy_only=False)
         right = np.flatnonzero(side == 1)
         a, b = [], []
         for i in np.flatnonzero(side == 0):
             other = right[(comp[right] != comp[i]) & (main[right] | (doc[right] > doc[i]))]
-            need = percent * (n[i] + n[other])
             most = np.minimum(n[i] - pos[i], n[other] - pos[other]) + np.minimum(pos[i] - n[i] + c[i], pos[other] - n[other] + c[other])
-            other = other[(most * (100 + percent) >= need) & (np.minimum(c[i], c[other]) * (100 + percent) >= need)]
-            if len(other):
-                mine = np.sort(h[i])
-                lengths = np.array([len(h[j]) for j in other])
-                theirs = np.concatenate([h[j] for j in other])
-                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                hits = np.concatenate((np.zeros(1, np.int64), np.cumsum(mine[at] == theirs)))
-                ends = np.cumsum(lengths)
-                inter = hits[ends] - hits[ends - lengths]
-                linked = other[inter * (100 + percent) >= percent * (n[i] + n[other])]
-                a += [int(doc[i])] * len(linked)
-                b += [int(x) for x in doc[linked]]
+            most = np.minimum(most, np.minimum(c[i], c[other]))
+            known = (shared[other] >= 0) & (shared[i] >= 0)
+            by_pivot = np.minimum(shared[i], shared[other]) + np.minimum(c[i] - shared[i], c[other] - shared[other])
+            most = np.where(known, np.minimum(most, by_pivot), most)
+            other = other[most * (100 + percent) >= percent * (n[i] + n[other])]
+            a.append(np.minimum(doc[i], doc[other]))
+            b.append(np.maximum(doc[i], doc[other]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return cells.groupBy("h", "x", "y").applyInArrow(work, "a long, b long")
@@ -281,24 +278,28 @@ def _bucket_links(sets: DataFrame, percent: int) -> DataFrame:
     pivots = entries.groupBy("h").agg(F.min_by(F.struct("doc_id", "n", "c", "pos"), F.struct(F.col("n") - F.col("c"), "doc_id")).alias("p"), F.count(F.lit(1)).alias("members"))
     pivots = pivots.where("members > 1").select(F.col("h").alias("h_p"), *[F.col(f"p.{x}").alias(f"{x}_p") for x in ("doc_id", "n", "c", "pos")])
     met = entries.toDF("h", *[f"{x}_m" for x in ("doc_id", "n", "c", "pos")]).join(pivots, F.col("h") == F.col("h_p")).where("doc_id_m <> doc_id_p")
-    pairs = met.where(_may_link(percent, "m", "p")).select(F.least("doc_id_m", "doc_id_p").alias("a"), F.greatest("doc_id_m", "doc_id_p").alias("b")).distinct()
-    links = materialise(_linked_pairs(pairs, sets, percent), "pivot_links")
-    comps = materialise(components(links), "pivot_components")
-    known = entries.join(comps, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
-    known = materialise(known, "bucket_components")
-    # a bucket where some component is not the pivot's has pairs that have not met
-    main = known.join(pivots.select("h_p", "doc_id_p"), (F.col("h") == F.col("h_p")) & (F.col("doc_id") == F.col("doc_id_p"))).select("h_p", F.col("comp").alias("comp_p"))
-    marked = known.join(main, F.col("h") == F.col("h_p")).withColumn("main", F.col("comp") == F.col("comp_p")).drop("h_p", "comp_p")
-    marked = materialise(marked, "bucket_marks")
+    low, high = F.least("doc_id_m", "doc_id_p"), F.greatest("doc_id_m", "doc_id_p")
+    met = materialise(met.withColumn("may", _may_link(percent, "m", "p")).withColumns({"a": low, "b": high}), "pivot_pairs")
+    verified = materialise(_verified(met.where("may").select("a", "b").distinct(), sets, percent), "pivot_verified")
+    links = verified.where("linked").select("a", "b")
+    comps = materialise(components(links), "pivot_components").withColumnRenamed("component", "comp")
+    # all but the pivots themselves: members that are not in the pivot's component have not met the others
+    pivot_comp = comps.toDF("node_p", "comp_p")
+    rows = met.join(comps, F.col("doc_id_m") == F.col("node"), "left").join(pivot_comp, F.col("doc_id_p") == F.col("node_p"), "left")
+    rows = rows.withColumn("comp", F.coalesce("comp", "doc_id_m")).withColumn("main", F.col("comp") == F.coalesce("comp_p", "doc_id_p"))
+    had = verified.select(F.col("a").alias("a_v"), F.col("b").alias("b_v"), "shared")
+    rows = rows.join(had, (F.col("a") == F.col("a_v")) & (F.col("b") == F.col("b_v")), "left").withColumn("shared", F.coalesce("shared", F.lit(-1)))
+    rows = materialise(rows.select("h", *[F.col(f"{x}_m").alias(x) for x in ("doc_id", "n", "c", "pos")], "comp", "main", "shared"), "bucket_members")
     blocks = lambda x: F.ceil(x / BLOCK).cast("int")
-    open_ = marked.groupBy(F.col("h").alias("h_o")).agg(blocks(F.count_if(~F.col("main"))).alias("xs"), blocks(F.count(F.lit(1))).alias("ys")).where("xs > 0")
-    rows = marked.join(open_, F.col("h") == F.col("h_o")).drop("h_o")
+    open_ = rows.groupBy(F.col("h").alias("h_o")).agg(blocks(F.count_if(~F.col("main"))).alias("xs"), blocks(F.count(F.lit(1))).alias("ys"), F.count(F.lit(1)).alias("size")).where("xs > 0 and size > 1").drop("size")
+    rows = rows.join(open_, F.col("h") == F.col("h_o")).drop("h_o")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("not main").select("h", own("xs").alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), "main", "doc_id", "n", "c", "pos", "comp")
-    right = rows.select("h", every("xs").alias("x"), own("ys").alias("y"), F.lit(1).alias("side"), "main", "doc_id", "n", "c", "pos", "comp")
-    cells = left.union(right).join(sets.select("doc_id", "hashes"), "doc_id")
-    return links.union(_rest(cells, percent).distinct())
+    member = ("main", "doc_id", "n", "c", "pos", "comp", "shared")
+    left = rows.where("not main").select("h", own("xs").alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), *member)
+    right = rows.select("h", every("xs").alias("x"), own("ys").alias("y"), F.lit(1).alias("side"), *member)
+    met_now = materialise(_rest(left.union(right), percent).distinct(), "rest_pairs")
+    return links.union(_verified(met_now, sets, percent).where("linked").select("a", "b"))
 
 
 def set_sizes(docs: DataFrame, k: int) -> DataFrame:
