@@ -19,6 +19,10 @@ LENGTH, SHARD_ROWS = 2048, 8192
 #: Ends each document; fills the last sequence of each input partition.
 END_ID, PAD_ID = 50256, 50256
 ROUNDS = 6
+#: Sequences that are compressed together on their way to one shard.
+TOGETHER = 64
+#: Input partitions whose counts are broadcast (16 bytes each); more are joined.
+MOST_PARTS = 1_000_000
 
 
 def _round(x: np.ndarray, key: int) -> np.ndarray:
@@ -108,24 +112,33 @@ def write_training_order(docs: DataFrame, path: str, out: str, key: int = 1, len
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("part").alias("p"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
     total = made.count()
+    if counts.count() <= MOST_PARTS:
+        counts = F.broadcast(counts)
     rows = made.join(counts, F.col("part") == F.col("p")).select((F.col("base") + F.col("at")).alias("number"), "n", "doc_ids", "ids")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             slots = feistel(batch.column("number").to_numpy(), total, key)
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(slots // shard_rows), pa.array(slots), pa.array([pack(x) for x in ids], pa.binary())], ["shard", "slot", "ids"])
+            order, ids = np.argsort(slots), batch.column("ids")
+            shard = slots[order] // shard_rows
+            out: list[tuple] = []
+            for a in np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(order) else ():
+                own = order[a : a + np.searchsorted(shard[a:], shard[a], "right")]
+                for some in (own[i : i + TOGETHER] for i in range(0, len(own), TOGETHER)):
+                    out.append((int(shard[a]), slots[some].tolist(), compress(b"".join(ids[int(i)].as_py() for i in some))))
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.binary())], ["shard", "slots", "ids"])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                yield pa.RecordBatch.from_arrays([part.column("shard"), pa.array([unpack(x) for x in part.column("ids").to_pylist()], pa.binary())], ["shard", "record"])
+            for shard, slots, ids in zip(batch.column("shard").to_pylist(), batch.column("slots").to_pylist(), batch.column("ids"), strict=True):
+                raw = expand(ids.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(slots), pa.int64()), pa.array(slots, pa.int64()), pa.array([raw[i * 2 * length : (i + 1) * 2 * length] for i in range(len(slots))], pa.binary())], ["shard", "slot", "record"])
 
-    shards = rows.select("number", "ids").mapInArrow(place, "shard long, slot long, ids binary").repartition("shard").sortWithinPartitions("shard", "slot")
-    records = shards.mapInArrow(plain, "shard long, record binary")
+    placed = rows.select("number", "ids").mapInArrow(place, "shard long, slots array<long>, ids binary").repartition("shard")
+    records = placed.mapInArrow(plain, "shard long, slot long, record binary").sortWithinPartitions("shard", "slot")
     records.select(F.col("record").cast("string").alias("record"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(out)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
