@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apisight.functions.paths import is_id_like
@@ -13,6 +13,10 @@ from apisight.session import cut_lineage
 LEVELS = 6
 
 
+def _with_placeholder(depth: int) -> Column:
+    return F.transform("segs", lambda s, i: F.when(i == depth, F.lit(ID_PLACEHOLDER)).otherwise(s))
+
+
 def collapse_ids(paths: DataFrame) -> DataFrame:
     """paths with segs rewritten: the identifier-like segment at a depth is {id} where its already rewritten prefix has three such values or more.
 
@@ -32,6 +36,6 @@ def collapse_ids(paths: DataFrame) -> DataFrame:
         paths = paths.withColumn("_prefix", F.when(F.col("_id"), F.array_join(F.slice("segs", 1, d), "/")))
         varying = paths.where("_id").groupBy(F.col("_prefix").alias("_varies")).agg(F.count_distinct(here).alias("n")).where(F.col("n") >= MIN_DISTINCT_VALUES_FOR_VARIABLE)
         paths = paths.join(varying.select("_varies"), F.col("_prefix") == F.col("_varies"), "left")
-        rewritten = F.transform("segs", lambda s, j, d=d: F.when(j == d, F.lit(ID_PLACEHOLDER)).otherwise(s))
+        rewritten = _with_placeholder(d)
         paths = paths.withColumn("segs", F.when(F.col("_varies").isNotNull(), rewritten).otherwise(F.col("segs"))).drop("_id", "_prefix", "_varies")
     return paths
