@@ -42,7 +42,8 @@ def dedup_lines(docs: DataFrame, removed: str = "removed_lines") -> DataFrame:
     first = first.select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first")
     later = windows.join(first, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).where(place > F.col("first"))
     covered = later.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set("pos")).alias("_later"))
-    joined = docs.drop(removed).join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
+    # few documents have later windows: hashing them spares sorting whole texts
+    joined = docs.drop(removed).join(covered.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
     lines = F.split("text", "\n", -1)
     # between two later windows, what neither covers stays: runs from the end of one to the start of the next
     starts = F.concat(F.array(F.lit(0)), F.transform("_later", lambda p: p + SPAN))
