@@ -258,8 +258,8 @@ def _rest(cells: DataFrame, percent: int) -> DataFrame:
         a, b = [], []
         for i in np.flatnonzero(side == 0):
             other = right[(comp[right] != comp[i]) & (main[right] | (doc[right] > doc[i]))]
-            most = np.minimum(n[i] - pos[i], n[other] - pos[other]) + np.minimum(pos[i] - n[i] + c[i], pos[other] - n[other] + c[other])
-            most = np.minimum(most, np.minimum(c[i], c[other]))
+            # a linked pair passes this in the bucket of its first common shingle, and there it meets
+            most = np.minimum(np.minimum(n[i] - pos[i], n[other] - pos[other]), np.minimum(c[i], c[other]))
             known = (shared[other] >= 0) & (shared[i] >= 0)
             by_pivot = np.minimum(shared[i], shared[other]) + np.minimum(c[i] - shared[i], c[other] - shared[other])
             most = np.where(known, np.minimum(most, by_pivot), most)
@@ -323,7 +323,7 @@ def linked_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     rows = docs.count()
     bits = max(LEAST_RANGES, rows // DOCS_PER_RANGE).bit_length() - 1
     found = materialise(_eligible(_repeated(_shingle_blobs(docs, k, bits), bits), percent).drop("counts"), "sets")
-    classes = found.groupBy("n", "c", "digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(found.groupBy("n", "c", "digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "class_heads")
     members = found.select("doc_id", "n", "c", "digest").join(classes.withColumnRenamed("doc_id", "class_id"), ["n", "c", "digest"])
     members = materialise(members.select("doc_id", "class_id", "copies", (100 * F.col("c") >= percent * (2 * F.col("n") - F.col("c"))).alias("inner")), "classes")
     heads = found.join(members.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
