@@ -183,4 +183,12 @@ ORACLES = {
         SELECT segment, count(*) AS times FROM w WHERE segment <> '' AND NOT regexp_full_match(segment, '[0-9]+') AND segment NOT IN (SELECT x FROM s) GROUP BY 1""",
     "stratified_sample": f"""WITH {_EVENTS}, r AS (SELECT DISTINCT method AS classification, path AS path_pattern FROM ev),
         n AS (SELECT *, row_number() OVER (PARTITION BY classification ORDER BY md5('20260830:observed:' || path_pattern))::INT AS nth FROM r) SELECT * FROM n WHERE nth <= 6""",
+    "match_pairs": f"{_MATCHED} SELECT path_pattern, declared_path, match FROM kinds WHERE match IS NOT NULL",
+    "format_guard": f"WITH {_EVENTS} SELECT count(*) AS lines, count(*) FILTER (reason IS NULL) AS fit FROM rs WHERE reason IS DISTINCT FROM 'blank-line'",
+    "run_counts": f"""{_FOUND} SELECT 'lines ' || coalesce(reason, 'parsed') AS what, count(*) AS number FROM rs GROUP BY 1 UNION ALL SELECT 'findings ' || classification, count(*) FROM fi GROUP BY 1
+        UNION ALL SELECT 'endpoints', count(*) FROM obx""",
+    "labels": f"{_HISTORY} SELECT auth_observed AS auth, coalesce(last_classification, 'no verdict') AS class, count(*) AS endpoints FROM up GROUP BY 1, 2",
+    "history_inventory": f"{_HISTORY} SELECT path_pattern, endpoint_id, observation_count, auth_observed AS auth, alerted AND NOT acknowledged AS pending FROM up",
+    "history_targets": f"{_RUNS} SELECT target, count(*) AS runs, max(id) AS last_run FROM runs GROUP BY 1",
 }
+ORACLES["stream_inventory"] = ORACLES["observed_inventory"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from apisight.operators import match as M
 from apisight.operators import silence as A
 from apisight.operators import summaries as S
 from apisight.plans import derived as D
+from apisight.session import cut_lineage, shared_dir
 from apisight.sources import access_log as L
+from apisight.streaming.tail import Watch
 
 TARGET = "shop"
 
@@ -24,11 +28,12 @@ def _csv(column: str):
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.observed_inventory(D.derived_requests(spark, sf_dir))
+    # endpoint-sized, and read several times by what follows
+    return cut_lineage(I.observed_inventory(D.derived_requests(spark, sf_dir)))
 
 
 def _three_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.observed_inventory(D.three_state_requests(spark, sf_dir))
+    return cut_lineage(I.observed_inventory(D.three_state_requests(spark, sf_dir)))
 
 
 def _inventory_rows(inventory: DataFrame) -> DataFrame:
@@ -36,7 +41,7 @@ def _inventory_rows(inventory: DataFrame) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.classify_with_spec(_observed(spark, sf_dir), D.declared(spark))
+    return cut_lineage(C.classify_with_spec(_observed(spark, sf_dir), D.declared(spark)))
 
 
 def _finding_rows(f: DataFrame) -> DataFrame:
@@ -318,6 +323,53 @@ def swallowed_words(spark, d):
     return S.swallowed_words(D.derived_requests(spark, d).select("raw_path"), _observed(spark, d).where("path_pattern not like '%/users/%'"))
 
 
+def match_pairs(spark, d):
+    """Every observed and declared pair that matches in some way, with the way."""
+    o, declared = _observed(spark, d), D.declared(spark)
+    kinds = [("exact", M.exact_matches), ("partial", M.partial_matches), ("spanning", M.spanning_matches)]
+    parts = [f(o, declared).select("path_pattern", "declared_path", F.lit(k).alias("match")) for k, f in kinds]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def format_guard(spark, d):
+    """The log is accepted: the lines that are not blank, and how many of them parse."""
+    parsed = L.parse_lines(D.derived_log(spark, d))
+    L.check_format(parsed)
+    shown = parsed.where(~F.coalesce(F.col("discard_reason") == "blank-line", F.lit(False)))
+    return shown.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("discard_reason").isNull()).alias("fit"))
+
+
+def run_counts(spark, d):
+    """The counts of a run's manifest."""
+    counts = L.ingest_counts(L.parse_lines(D.derived_log(spark, d)))
+    by = S.finding_counts(_findings(spark, d))
+    lines = counts.select(F.concat(F.lit("lines "), "outcome").alias("what"), F.col("lines").alias("number"))
+    return lines.union(by.select(F.concat(F.lit("findings "), "classification"), "findings")).union(_observed(spark, d).agg(F.lit("endpoints"), F.count(F.lit(1))))
+
+
+def labels(spark, d):
+    rows = _after(spark, d)
+    return rows.groupBy(S.auth_label(F.col("auth_observed")).alias("auth"), S.classification_label(F.col("last_classification")).alias("class")).agg(F.count(F.lit(1)).alias("endpoints"))
+
+
+def history_inventory(spark, d):
+    rows = _after(spark, d)
+    return rows.select("path_pattern", "endpoint_id", F.greatest("observation_count", F.lit(0)).alias("observation_count"), S.auth_label(F.col("auth_observed")).alias("auth"), (F.col("alerted") & ~F.col("acknowledged")).alias("pending"))
+
+
+def history_targets(spark, d):
+    return _runs(spark, d).groupBy("target").agg(F.count(F.lit(1)).alias("runs"), F.max("id").alias("last_run"))
+
+
+def stream_inventory(spark, d):
+    """The log in three micro-batches, one of them twice: the inventory is that of a single run."""
+    watch = Watch(spark, f"{shared_dir(spark)}/apisight-watch-{uuid.uuid4().hex}")
+    lines = D.derived_log(spark, d).withColumn("epoch", F.lit(0).cast("long"))
+    for i in (0, 1, 2, 1):
+        watch.update(lines.where(F.col("event_id") % 3 == i).drop("event_id"), i)
+    return _inventory_rows(watch.inventory())
+
+
 def stratified_sample(spark, d):
     rows = D.derived_fields(spark, d).select(F.col("method").alias("classification"), F.lit("observed").alias("subject_kind"), F.col("path").alias("path_pattern")).distinct()
     return S.stratified_sample(rows, ["classification"], 6).select("classification", "path_pattern", "nth")
@@ -330,6 +382,6 @@ QUERIES = {
         segment_types, normalize_paths, path_observations, auth_verdict, observed_inventory, declared_merge, obs_window, exact_match, partial_match, spanning_match, match_distance, divergence,
         nearest_declared, undeclared_methods, declared_unseen, classify_spec, classify_heuristic, auth_siblings, finding_counts, grouped_findings, allowlist_apply, broad_rules, redact_documents,
         redact_email, history_upsert, new_endpoints, pending_alerts, first_seen_in, clock_backwards, trend, class_summary, auth_summary, compliance_rows, noise_metrics, literal_children,
-        swallowed_words, stratified_sample,
+        swallowed_words, stratified_sample, match_pairs, format_guard, run_counts, labels, history_inventory, history_targets, stream_inventory,
     )
 }

@@ -11,15 +11,20 @@ def get_session(name: str = "apisight") -> SparkSession:
     return SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df in spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local session without one gets a temporary folder, a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of df in the shared folder."""
+    spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()

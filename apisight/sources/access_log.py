@@ -57,6 +57,11 @@ def parse_rfc3339(text: Column) -> Column:
     return F.when(text.rlike(RFC3339), F.try_to_timestamp(F.upper(text)))
 
 
+def _once(rows: DataFrame, name: str, *columns: Column) -> DataFrame:
+    """rows with a struct of the columns, computed once: a plain projection would be merged into those above it, at each use of a column."""
+    return rows.select("*", F.explode(F.array(F.struct(*columns))).alias(name))
+
+
 def parse_lines(lines: DataFrame, log_format: str = BUILT_IN, value: str = "value") -> DataFrame:
     """lines with method, raw_path, query_params, auth, status_code, ts and discard_reason (null for a parsed line; the others are null then).
 
@@ -68,8 +73,8 @@ def parse_lines(lines: DataFrame, log_format: str = BUILT_IN, value: str = "valu
     valid = F.is_valid_utf8(F.col(value))
     fits = F.when(valid, line.rlike(g.pattern)).otherwise(F.lit(False))
     fields = F.when(fits, F.array(*[F.regexp_extract(line, g.pattern, i) for i in g.fields.values()]))
-    lines = lines.withColumn("_fields", fields)
-    field = {name: F.col("_fields")[i] for i, name in enumerate(g.fields)}
+    lines = _once(lines, "_line", valid.alias("valid"), line.rlike(r"(?U)^\s*\z").alias("blank"), fields.alias("fields"))
+    field = {name: F.col("_line.fields")[i] for i, name in enumerate(g.fields)}
 
     if "request" in field:
         method, target = request_line(field["request"])
@@ -78,20 +83,22 @@ def parse_lines(lines: DataFrame, log_format: str = BUILT_IN, value: str = "valu
         ok = (method != "-") & (target != "-") & (target != "") & method.rlike(METHOD)
         method, target = F.when(ok, method), F.when(ok, target)
     ts = parse_local_time(field["time_local"]) if "time_local" in field else parse_rfc3339(field["time_iso8601"])
-    path, query = path_and_query(target)
     bad_bytes = ~field["body_bytes_sent"].rlike(r"^(?:[0-9]+|-)\z") if "body_bytes_sent" in field else F.lit(False)
     status = field["status"]
+    lines = _once(lines, "_read", method.alias("method"), target.alias("target"), ts.alias("ts"), bad_bytes.alias("bad_bytes"))
+    method, target, ts, bad_bytes = (F.col(f"_read.{x}") for x in ("method", "target", "ts", "bad_bytes"))
+    path, query = path_and_query(target)
     reason = (
         F.when(F.octet_length(value) > R.MAX_LINE_BYTES, R.LINE_TOO_LONG)
-        .when(~valid, R.INVALID_UTF8)
-        .when(line.rlike(r"(?U)^\s*\z"), R.BLANK_LINE)
-        .when(F.col("_fields").isNull() | (F.lit(not g.declared) & bad_bytes), R.MALFORMED_LINE)
+        .when(~F.col("_line.valid"), R.INVALID_UTF8)
+        .when(F.col("_line.blank"), R.BLANK_LINE)
+        .when(F.col("_line.fields").isNull() | (F.lit(not g.declared) & bad_bytes), R.MALFORMED_LINE)
         .when(~status.rlike(r"^[0-9]{3}\z"), R.INVALID_STATUS)
         .when(ts.isNull(), R.INVALID_TIMESTAMP)
         .when(method.isNull(), R.INVALID_REQUEST)
         .when(bad_bytes, R.MALFORMED_LINE)
     )
-    lines = lines.withColumn("discard_reason", reason)
+    lines = _once(lines, "_verdict", reason.alias("reason")).withColumn("discard_reason", F.col("_verdict.reason"))
     parsed = F.col("discard_reason").isNull()
     return lines.withColumns(
         {
@@ -102,7 +109,7 @@ def parse_lines(lines: DataFrame, log_format: str = BUILT_IN, value: str = "valu
             "status_code": F.when(parsed, F.try_to_number(status, F.lit("999")).cast("smallint")),
             "ts": F.when(parsed, ts),
         }
-    ).drop("_fields")
+    ).drop("_line", "_read", "_verdict")
 
 
 def ingest_counts(parsed: DataFrame) -> DataFrame:

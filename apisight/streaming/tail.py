@@ -13,6 +13,7 @@ from apisight.operators.classify import classify
 from apisight.operators.history import History
 from apisight.operators.inventory import inventory_from, path_observations
 from apisight.ruleset import DEFAULT_STALENESS_DAYS, RULESET_VERSION
+from apisight.session import cut_lineage
 from apisight.sources.access_log import parse_lines
 from apisight.sources.grammar import BUILT_IN
 
@@ -98,7 +99,8 @@ class Watch:
             self._record(batch_id)
 
     def _record(self, batch_id: int) -> None:
-        inventory, findings = self.inventory(), self.findings()
+        inventory = cut_lineage(self.inventory())
+        findings = cut_lineage(classify(inventory, self.declared, self.staleness_days))
         classes = findings.where("subject_kind = 'observed'").select(F.col("endpoint_id").alias("f_id"), "classification")
         seen = inventory.join(classes, F.col("id") == F.col("f_id"), "left").drop("f_id")
         if self.history.runs().where((F.col("target") == self.target) & (F.col("manifest_json") == f'{{"batch":{batch_id}}}')).limit(1).count() == 0:
@@ -114,7 +116,7 @@ class Watch:
         return inventory_from(self._state())
 
     def findings(self) -> DataFrame:
-        return classify(self.inventory(), self.declared, self.staleness_days)
+        return classify(cut_lineage(self.inventory()), self.declared, self.staleness_days)
 
     def start(self, lines: DataFrame, checkpoint: str, every: str | None = None):
         """Runs on a stream of (epoch, value): once over what is there, or every so often (such as `60 seconds`)."""
