@@ -52,12 +52,12 @@ _R = _values(RULES, "line_number, kind, value", "ru")
 _PAIRS = """
  typed AS (SELECT o.*, d.*, list_transform(string_split(o.path_pattern, '/')[2:], lambda x: CASE WHEN x = '{id}' THEN '*' ELSE x END) AS os,
    list_transform(string_split(d.declared_path, '/')[2:], lambda x: CASE WHEN x LIKE '{_%}' THEN '*' ELSE x END) AS dd FROM obx o, de d),
- cmp AS (SELECT *, len(os) AS ol, len(dd) AS dl, least(len(os), len(dd)) AS both FROM typed),
- dist AS (SELECT *, list_transform(range(1, both + 1), lambda i: os[i] <> dd[i]) AS diff,
-   len(list_filter(range(1, both + 1), lambda i: os[i] <> dd[i] AND os[i] <> '*' AND dd[i] <> '*')) AS conflicts,
-   len(list_filter(range(1, both), lambda i: os[i] <> dd[i] AND os[i] <> '*' AND dd[i] <> '*')) AS head_conflicts,
-   len(list_filter(range(1, both + 1), lambda i: os[i] <> '*' AND dd[i] = '*')) > 0 AS fixed,
-   len(list_filter(range(1, both + 1), lambda i: os[i] = '*' AND dd[i] <> '*')) > 0 AS variable FROM cmp),
+ cmp AS (SELECT *, len(os) AS ol, len(dd) AS dl, least(len(os), len(dd)) AS common FROM typed),
+ dist AS (SELECT *, list_transform(range(1, common + 1), lambda i: os[i] <> dd[i]) AS diff,
+   len(list_filter(range(1, common + 1), lambda i: os[i] <> dd[i] AND os[i] <> '*' AND dd[i] <> '*')) AS conflicts,
+   len(list_filter(range(1, common), lambda i: os[i] <> dd[i] AND os[i] <> '*' AND dd[i] <> '*')) AS head_conflicts,
+   len(list_filter(range(1, common + 1), lambda i: os[i] <> '*' AND dd[i] = '*')) > 0 AS fixed,
+   len(list_filter(range(1, common + 1), lambda i: os[i] = '*' AND dd[i] <> '*')) > 0 AS variable FROM cmp),
  kinds AS (SELECT *, CASE WHEN ol = dl AND os = dd THEN 'exact' WHEN ol = dl AND conflicts = 0 THEN 'partial' WHEN ol > dl AND dd[dl] = '*' AND head_conflicts = 0 THEN 'spanning' END AS match,
    len(list_filter(diff, lambda x: x)) + greatest(ol - dl, 0) AS mismatches, CASE WHEN list_position(diff, true) > 0 THEN ol - list_position(diff, true) + 1 ELSE 0 END AS tail,
    CASE WHEN fixed AND variable THEN 'both' WHEN fixed THEN 'observed_fixed' WHEN variable THEN 'observed_variable' ELSE 'no_line_up' END AS divergence FROM dist),

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -19,7 +20,7 @@ def db():
 
 
 def rows(frame):
-    plain = lambda v: None if v is None or v != v else int(v) if isinstance(v, (int, np.integer)) and not isinstance(v, bool) else v
+    plain = lambda v: None if v is None or v is pd.NA or v != v else int(v) if isinstance(v, (int, np.integer)) and not isinstance(v, bool) else v
     return sorted([tuple(map(plain, r)) for r in frame[sorted(frame.columns)].itertuples(index=False)], key=repr)
 
 
