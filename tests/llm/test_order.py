@@ -231,7 +231,7 @@ def test_top_k(spark, k, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 8)
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=6) * (1000 if i % 7 == 0 else 1)]) for i in range(300)] + [(300 + i, [0.5] * 6) for i in range(60)]
-    rows += [(400, None), (405, []), (410, [1.0, None, 0, 0, 0, 0]), (415, [float("nan")] * 6), (420, [float("inf")] * 6), (None, [1.0] * 6), (425, [1.0, 2.0]), (430, [2.0, 1.0]), (0, [0.1] * 6), (0, [0.1] * 6)]
+    rows += [(400, None), (405, []), (410, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (415, [float("nan")] * 6), (420, [float("inf")] * 6), (None, [1.0] * 6), (425, [1.0, 2.0]), (430, [2.0, 1.0]), (0, [0.1] * 6), (0, [0.1] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as part", "2 as lane").repartition(3)
     found = Counter(tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") % 5 == 0, k).collect())
     assert {x[:2] + x[3:] for x in found} == {x[:2] + x[3:] for x in brute_top_k(rows, k, 5)}

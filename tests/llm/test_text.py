@@ -17,7 +17,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def table(spark, texts, schema=SCHEMA):
-    return spark.createDataFrame([(i, t, "en" if i % 2 else None, "s", len(t or "")) for i, t in texts], schema)
+    return spark.createDataFrame([(i, t, "en" if i and i % 2 else None, "s", len(t or "")) for i, t in texts], schema)
 
 
 ODD = [(0, None), (1, ""), (2, " \n\t"), (3, "one"), (4, "ONE"), (5, "a b c d e f g"), (6, "A b c d e f g"), (6, "A b c d e f g"), (7, "x " * 30000), (8, "é 日 \U0001f600 # $"), (9, "l1\nl2\nl3\nl4"), (10, "l1\nl2\nl3\nl4"), (11, "z\nl2\nl3\nl4\nz")]
