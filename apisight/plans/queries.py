@@ -249,7 +249,7 @@ def redact_email(spark, d):
 
 
 def _old_endpoints(spark, d):
-    """A history after run 1: the users of the first half of the events, one of them acknowledged."""
+    """A history after run 1: the users of the events with even ids; those with even numbers are acknowledged."""
     e = spark.read.parquet(f"{d}/events.parquet")
     u = e.where("event_id % 2 = 0").groupBy(F.concat(F.lit("e"), "user_id").alias("endpoint_id")).agg(F.count(F.lit(1)).alias("observation_count"), F.min("user_id").alias("u"))
     return u.select(
