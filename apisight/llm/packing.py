@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encode
-from .ranks import block_of, running, seeded
+from .ranks import BLOCKS, block_of, running, seeded
 from .shared import materialise
 
 #: Tokens of a window.
 WINDOW = 2048
-#: A source that has less than 1 / SHARES of the tokens shares a queue with other such sources; so there are SHARES queues at most.
+#: A source that has less than 1 / SHARES of the tokens and no target shares a queue with other such sources; so there are SHARES queues at most
+#: besides those of targets.
 SHARES = 128
 #: Ends each document.
 END_ID = 1
@@ -116,9 +117,10 @@ def phases(totals: list[int], shares: list[Fraction]) -> list[Phase]:
 def pack(docs: DataFrame, path: str, window: int = WINDOW, targets: dict[str, float] | None = None, seed: int = 11, end_id: int = END_ID) -> DataFrame:
     """Packs all documents into windows of `window` tokens in which each source has its target share.
 
-    Every source is a queue of its documents in seeded order; small sources (under 1 / SHARES of all tokens) share one. targets: share of a
-    source (those not named get none until the named ones run dry); by default a source's share of all tokens, so that all queues end
-    together. Each window takes from each queue what is due to it by then (class Phase); documents are cut where a window's due ends. All
+    Every source is a queue of its documents in seeded order. Small sources (under 1 / SHARES of all tokens, and not in targets) share one,
+    ordered by the fraction of the source's tokens up to the middle of a document, so any stretch of it holds each of them in proportion, but
+    for a document's length. targets: share of a source (those not named get none until the named ones run dry); by default a source's share
+    of all tokens, so that all queues end together. Each window takes from each queue what is due to it by then (class Phase); documents are cut where a window's due ends. All
     windows are full but the last.
 
     Returns one row for each piece: doc_id, start (tokens of the document before it), length, ids_crc32 (of its little-endian unsigned
@@ -131,15 +133,15 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, targets: dict[str, fl
     ids = tokenise(docs, path, end_id)
     sums = ids.groupBy("source").agg(F.sum("n").alias("tokens"))
     all_tokens = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    large = [(r.source, r.tokens) for r in sums.where(F.col("tokens") * SHARES >= all_tokens).orderBy("source").collect()]
+    named = [s for s in targets or {} if s is not None]
+    alone = (F.col("tokens") * SHARES >= all_tokens) | F.coalesce(F.col("source").isin(named), F.lit(False))
+    if None in (targets or {}):
+        alone = alone | F.col("source").isNull()
+    large = [(r.source, r.tokens) for r in sums.where(alone).orderBy("source").collect()]
     rest = all_tokens - sum(t for _, t in large)
-    names, totals = [s for s, _ in large], [t for _, t in large]
-    if rest * SHARES >= all_tokens and rest or not names:
-        other = len(names)
+    names, totals, other = [s for s, _ in large], [t for _, t in large], len(large)
+    if rest:
         totals.append(rest)
-    else:  # too few for a queue: they join the smallest
-        other = min(range(len(totals)), key=lambda q: totals[q])
-        totals[other] += rest
     if targets is None:
         shares = [Fraction(t) for t in totals]
     else:
@@ -148,8 +150,14 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, targets: dict[str, fl
     queue = F.lit(other)
     for q, s in enumerate(names):
         queue = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(q)).otherwise(queue)
-    slim = ids.select("key", queue.alias("queue"), "n", seeded(seed, F.col("doc_id")).alias("h"))
-    placed = running(slim, ["queue"], block_of(F.col("h")), ["h", "key"], F.col("n"), "begin").select(F.col("key").alias("k"), "queue", "begin")
+    slim = ids.select("key", "source", queue.alias("queue"), "n", seeded(seed, F.col("doc_id")).alias("h"))
+    placed = running(slim, ["queue", "source"], block_of(F.col("h")), ["h", "key"], F.col("n"), "begin", "tokens").select(F.col("key").alias("k"), "queue", "source", "n", "begin", "tokens")
+    if rest:
+        placed = materialise(placed, "ranks")
+        shared = placed.where(F.col("queue") == other).withColumn("rank", (2 * F.col("begin") + F.col("n")) / (2 * F.col("tokens")))
+        shared = running(shared, ["queue"], F.floor(F.col("rank") * BLOCKS), ["rank", "source", "begin"], F.col("n"), "place")
+        placed = placed.where(F.col("queue") != other).select("k", "queue", "begin").union(shared.select("k", "queue", F.col("place").alias("begin")))
+    placed = placed.select("k", "queue", "begin")
     rows = ids.join(placed, F.col("key") == F.col("k")).select("key", "doc_id", "source", "n", "ids", "queue", "begin")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
