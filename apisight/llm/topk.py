@@ -56,10 +56,13 @@ def _blocks(vectors: DataFrame, scale: int, size: int) -> DataFrame:
                 x = np.floor(scale * flat[offsets[own][:, None] + np.arange(dim)])
                 if np.abs(x).max() >= 1 << 62:
                     raise ValueError("a component does not fit a 64-bit integer")
-                for a in range(0, len(own), size):
-                    had.setdefault(int(dim), []).append((at[own[a : a + size]], ids[own[a : a + size]].astype(np.int64), x[a : a + size].astype(np.int64)))
-                    if sum(len(y[0]) for y in had[int(dim)]) >= size:
+                a = 0
+                while a < len(own):  # a block takes no more than it has room for: _query_blocks() counts on it
+                    b = a + size - sum(len(y[0]) for y in had.get(int(dim), []))
+                    had.setdefault(int(dim), []).append((at[own[a:b]], ids[own[a:b]].astype(np.int64), x[a:b].astype(np.int64)))
+                    if b <= len(own):
                         yield flush(int(dim))
+                    a = b
         for dim in list(had):
             yield flush(dim)
 
