@@ -164,6 +164,8 @@ def read_shards(spark: SparkSession, out: str, length: int = LENGTH, shard_rows:
                     to = min(a + 512, raw.size // stride)
                     yield pa.RecordBatch.from_arrays([pa.array(range(shard * shard_rows + a, shard * shard_rows + to), pa.int64()), pa.array([raw.slice(i * stride, 2 * length).to_pybytes() for i in range(a, to)], pa.binary())], ["slot", "ids"])
 
-    files = spark.read.format("binaryFile").option("basePath", out).option("pathGlobFilter", "part-*").load(f"{out}/shard=*")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
+    if "shard" not in files.columns:  # nothing was written
+        return spark.createDataFrame([], "slot long, ids binary")
     files = files.select(F.col("shard").cast("long").alias("shard"), "content").where(F.col("shard") >= start // shard_rows)
     return files.mapInArrow(work, "slot long, ids binary")
