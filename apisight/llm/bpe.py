@@ -6,6 +6,7 @@ import base64
 import json
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
@@ -42,3 +43,8 @@ def encode(path: str, text: str | None) -> list[int]:
     if any(s in text for s in own.special_tokens_set):
         return own.encode(text, allowed_special="all")
     return own.encode_ordinary(text)
+
+
+def id_type(path: str) -> np.dtype:
+    """Little-endian unsigned integers that hold every id of the vocabulary: of 16 bits where they suffice, else of 32."""
+    return np.dtype("<u2" if encoder(path).max_token_value < 1 << 16 else "<u4")

@@ -12,21 +12,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encode
-from .ranks import BLOCKS, block_of, running, seeded
+from .bpe import encode, id_type
+from .ranks import block_bits, block_of, running, seeded
 from .shared import materialise
 
 #: Tokens of a window.
 WINDOW = 2048
-#: A source that has less than 1 / SHARES of the tokens and no target shares a queue with other such sources; so there are SHARES queues at most
-#: besides those of targets.
-SHARES = 128
+#: Sources whose paths are broadcast (a few hundred bytes each); those of more are joined.
+BROADCAST_SOURCES = 100_000
 #: Ends each document.
 END_ID = 1
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """key (unique), doc_id, source, n (tokens with end_id), ids (compressed 16-bit ids), written to the shared folder. Null texts are empty."""
+    """key (unique), doc_id, source, n (tokens with end_id), ids (compressed, of id_type(path)), written to the shared folder. Null texts are empty."""
+    width = id_type(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -35,11 +35,9 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 part = batch.slice(at, 1000)
                 n, ids = [], []
                 for text in part.column("text"):
-                    own = np.array([*encode(path, text.as_py()), end_id])
-                    if own.max() > 65535:
-                        raise ValueError("ids of over 16 bits")
+                    own = np.array([*encode(path, text.as_py()), end_id], width)
                     n.append(len(own))
-                    ids.append(pack(own.astype(np.uint16).tobytes()))
+                    ids.append(pack(own.tobytes()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -47,143 +45,172 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return materialise(rows.withColumn("key", F.monotonically_increasing_id()), "ids", "none")
 
 
-class Phase:
-    """A stretch of the packed tokens in which each queue gives totals[q] tokens, from its begins[q] on, starting at place `start` of all.
+def share(u: np.ndarray, part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """floor(u * part / whole), exact for values below 2 ** 50; 0 where whole is 0."""
+    some = np.maximum(whole, 1)
+    guess = np.floor(u.astype(np.longdouble) * part / some).astype(np.int64)  # off by one at most
+    return guess + (u * part - guess * some) // some  # the products wrap, their difference is small
 
-    Deficit round-robin in closed form. Of the first u tokens, queue 0 is given floor(u * share), the rest goes to the queues after it by the
-    same rule. Each queue's sum grows by 0 or 1 with u, stays within q + 1 of its share and reaches totals[q] at the end: what a window owes
-    a queue is carried to the next, and a window can be filled knowing only its number, in any task.
+
+class Queues:
+    """Queues that together fill `size` places of the packed tokens, from place `start` on; arrays with a row for each queue.
+
+    total: what queue q gives, from its token `begin` on. The queues are leaves of a binary tree; for each level from the root down, whole and
+    left are the tokens of the node above q and of that node's left child, right says that q lies under the right one.
+
+    Deficit round-robin in closed form. Of the first u tokens of a node, its left child is given floor(u * left / whole) and the right one
+    the rest. So each queue's sum grows by 0 or 1 with u, stays within the tree's depth of its share and reaches its total at the end: what a
+    window owes a queue is carried to the next, and a window can be filled knowing only its number, in any task.
     """
 
-    def __init__(self, start: int, totals: list[int], begins: list[int]):
-        self.start, self.totals, self.begins, self.size = start, totals, begins, sum(totals)
-        self.rest = [sum(totals[q:]) for q in range(len(totals) + 1)]
-        self.kind = np.int64 if self.size < 1 << 31 else object  # u * total must fit
-
-    def given(self, q: int, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the first u tokens: those of the queues from q on, and those of queue q."""
-        left = u.astype(self.kind)
-        for j in range(q):
-            if self.totals[j]:
-                left = left - left * self.totals[j] // self.rest[j]
-        own = left * self.totals[q] // self.rest[q] if self.totals[q] else left * 0
-        return left, own
-
-    def pieces(self, q: int, a: np.ndarray, b: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-        """Of documents at [a, b) of queue q: which document, where in the queue, length, window, place in the window."""
-        begin, total, size = self.begins[q], self.totals[q], self.size
+    def __init__(self, start: int, size: int, begin: np.ndarray, total: np.ndarray, whole: np.ndarray, left: np.ndarray, right: np.ndarray):
+        self.start, self.size, self.begin, self.total, self.whole, self.left, self.right = start, size, begin, total, whole, left, right
+
+    @classmethod
+    def of(cls, start: int, totals: list[int], begins: list[int]) -> Queues:
+        depth = max(1, (len(totals) - 1).bit_length())
+        nodes = [np.array([*totals, *[0] * ((1 << depth) - len(totals))], np.int64)]
+        for _ in range(depth):
+            nodes.insert(0, nodes[0].reshape(-1, 2).sum(axis=1))
+        q = np.arange(len(totals))
+        above = [q >> (depth - d) for d in range(depth)]
+        whole, left = (np.stack(x, axis=1) for x in ([nodes[d][i] for d, i in enumerate(above)], [nodes[d + 1][2 * i] for d, i in enumerate(above)]))
+        return cls(start, sum(totals), np.array(begins, np.int64), np.array(totals, np.int64), whole, left, np.stack([(q >> (depth - d - 1)) & 1 for d in range(depth)], axis=1).astype(bool))
+
+    def given(self, q: np.ndarray, u0: np.ndarray, u1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the queues q have been given by places u0 and u1 (from start), and how much of what lies between goes to queues before q."""
+        before = np.zeros(len(u0), np.int64)
+        for d in range(self.whole.shape[1]):
+            whole, left, right = self.whole[q, d], self.left[q, d], self.right[q, d]
+            l0, l1 = share(u0, left, whole), share(u1, left, whole)
+            before += np.where(right, l1 - l0, 0)
+            u0, u1 = np.where(right, u0 - l0, l0), np.where(right, u1 - l1, l1)
+        return u0, u1, before
+
+    def pieces(self, q: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+        """Of documents at tokens [a, b) of queues q: which document, where in the queue, length, window, place in the window."""
+        begin, total, size = self.begin[q], self.total[q], self.size
         a, b = np.clip(a - begin, 0, total), np.clip(b - begin, 0, total)
         mine = np.flatnonzero(b > a)
-        none = np.zeros(0, np.int64)
         if not len(mine):
-            return none, none, none, none, none
-        a, b = a[mine], b[mine]
-        slack = q + 2
-        first = self.start // window
-        last = (self.start + size - 1) // window
-        place = lambda x: np.array([self.start + int(y) * size // total for y in x], np.int64) // window
-        low = np.clip(place(np.maximum(a - slack, 0)) - 1, first, last)
-        high = np.clip(place(b + slack) + 1, first, last)
+            return (np.zeros(0, np.int64),) * 5
+        a, b, q, begin, total = a[mine], b[mine], q[mine], begin[mine], total[mine]
+        slack = self.whole.shape[1] + 1
+        place = lambda x: (self.start + share(np.full(len(x), size), np.clip(x, 0, total), total)) // window
+        first, last = self.start // window, (self.start + size - 1) // window
+        low, high = np.clip(place(a - slack) - 1, first, last), np.clip(place(b + slack) + 1, first, last)
         count = high - low + 1
         which = np.repeat(np.arange(len(mine)), count)
         w = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
         u0, u1 = np.clip(w * window - self.start, 0, size), np.clip((w + 1) * window - self.start, 0, size)
-        left0, own0 = self.given(q, u0)
-        left1, own1 = self.given(q, u1)
+        own0, own1, before = self.given(q[which], u0, u1)
         s, e = np.maximum(a[which], own0), np.minimum(b[which], own1)
-        keep = np.flatnonzero((e > s).astype(bool))
-        # in a window the queues follow each other; those before q have what the rest leaves
-        place_in = (self.start + u0) - w * window + (u1 - u0) - (left1 - left0) + (s - own0)
-        as_long = lambda x: x[keep].astype(np.int64)
-        return mine[which[keep]], as_long(s) + begin, as_long(e - s), as_long(w), as_long(place_in)
+        keep = np.flatnonzero(e > s)
+        at = self.start + u0 - w * window + before + s - own0
+        return mine[which[keep]], s[keep] + begin[which[keep]], (e - s)[keep], w[keep], at[keep]
 
 
-def phases(totals: list[int], shares: list[Fraction]) -> list[Phase]:
-    """Stretches with one set of queues that still have tokens; the first to run dry ends each. Shares of the queues left keep their ratios."""
+def stretches(totals: list[int], shares: list[Fraction]) -> list[Queues]:
+    """Stretches in which queues give tokens by their shares until one has run dry; those left keep the ratios of theirs. Shares are positive."""
     left, out, start = list(totals), [], 0
     while any(left):
         live = [q for q, x in enumerate(left) if x]
-        weight = {q: shares[q] for q in live if shares[q]} or {q: Fraction(left[q]) for q in live}
-        ends = min(weight, key=lambda q: (left[q] / weight[q], q))
-        part = left[ends] / weight[ends]
-        take = [min(left[q], int(weight[q] * part)) if q in weight else 0 for q in range(len(left))]
+        ends = min(live, key=lambda q: (left[q] / shares[q], q))
+        part = left[ends] / shares[ends]
+        take = [min(x, int(shares[q] * part)) if x else 0 for q, x in enumerate(left)]
         take[ends] = left[ends]
-        out.append(Phase(start, take, [t - x for t, x in zip(totals, left, strict=True)]))
+        out.append(Queues.of(start, take, [t - x for t, x in zip(totals, left, strict=True)]))
         left = [x - y for x, y in zip(left, take, strict=True)]
         start += sum(take)
     return out
 
 
+def source_paths(sums: DataFrame) -> tuple[DataFrame, int]:
+    """sums: source, tokens. Each source's path in the binary tree over all of them (see Queues): p_source, whole, left, right; and how many sources."""
+    sums = materialise(sums.withColumn("h", seeded(0, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))), "sources")
+    number = sums.count()
+    depth = max(1, (number - 1).bit_length())
+    leaves = materialise(running(sums, [], block_of(F.col("h"), block_bits(number)), ["h", "source"], F.lit(1).cast("long"), "i"), "leaves")
+    nodes = leaves.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"), "i", "tokens").groupBy("level", F.expr(f"shiftright(i, {depth} - level)").alias("node")).agg(F.sum("tokens").alias("sum"))
+    nodes = materialise(nodes, "nodes")
+    steps = leaves.select("source", "i", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("d")).withColumn("above", F.expr(f"shiftright(i, {depth} - d)"))
+    steps = steps.join(nodes.toDF("level", "node", "whole"), (F.col("d") == F.col("level")) & (F.col("above") == F.col("node"))).drop("level", "node")
+    steps = steps.join(nodes.toDF("level", "node", "left"), (F.col("d") + 1 == F.col("level")) & (2 * F.col("above") == F.col("node")))
+    step = F.struct("d", "whole", "left", F.expr(f"(shiftright(i, {depth} - d - 1) & 1) = 1").alias("right"))
+    paths = steps.groupBy(F.col("source").alias("p_source")).agg(F.array_sort(F.collect_list(step)).alias("path"))
+    return materialise(paths.select("p_source", "path.whole", "path.left", "path.right"), "paths"), number
+
+
 def pack(docs: DataFrame, path: str, window: int = WINDOW, targets: dict[str, float] | None = None, seed: int = 11, end_id: int = END_ID) -> DataFrame:
     """Packs all documents into windows of `window` tokens in which each source has its target share.
 
-    Every source is a queue of its documents in seeded order. Small sources (under 1 / SHARES of all tokens, and not in targets) share one,
-    ordered by the fraction of the source's tokens up to the middle of a document, so any stretch of it holds each of them in proportion, but
-    for a document's length. targets: share of a source (those not named get none until the named ones run dry); by default a source's share
-    of all tokens, so that all queues end together. Each window takes from each queue what is due to it by then (class Phase); documents are cut where a window's due ends. All
-    windows are full but the last.
+    Every source, however many there are, is a queue of its documents in seeded order. targets: share of a source, over 0; the others get
+    none until those named have run dry. By default, and among those others, a source's share is that of all their tokens, so that they end
+    together. Each window takes from each queue what is due to it by then (class Queues); documents are cut where a window's due ends. All
+    windows are full but the last. A target for a source that the table lacks is an error.
 
     Returns one row for each piece: doc_id, start (tokens of the document before it), length, ids_crc32 (of its little-endian unsigned
     32-bit ids), doc_tokens (with end_id), sequence_id, offset (gapless from 0), source, key (unique for each input row). Null and empty
-    texts are packed as end_id alone; a null source is a source of its own; rows repeated under one doc_id are packed each. An empty table
-    gives no rows.
+    texts are packed as end_id alone; a null source is a source of its own; rows repeated under one doc_id are packed each. Other columns are
+    ignored. An empty table gives no rows.
 
-    Texts are encoded once; the ids are written to the shared folder and shuffled once, to meet their places.
+    Texts are encoded once; the ids are written to the shared folder and shuffled once, to meet their places. Only the totals of the sources
+    that targets names come to the driver.
     """
     ids = tokenise(docs, path, end_id)
+    spark, rows_in, width = ids.sparkSession, ids.count(), id_type(path)
     sums = ids.groupBy("source").agg(F.sum("n").alias("tokens"))
-    all_tokens = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    named = [s for s in targets or {} if s is not None]
-    alone = (F.col("tokens") * SHARES >= all_tokens) | F.coalesce(F.col("source").isin(named), F.lit(False))
-    if None in (targets or {}):
-        alone = alone | F.col("source").isNull()
-    large = [(r.source, r.tokens) for r in sums.where(alone).orderBy("source").collect()]
-    rest = all_tokens - sum(t for _, t in large)
-    names, totals, other = [s for s, _ in large], [t for _, t in large], len(large)
-    if rest:
-        totals.append(rest)
-    if targets is None:
-        shares = [Fraction(t) for t in totals]
+    named = {s: Fraction(x) for s, x in (targets or {}).items()}
+    if any(x <= 0 for x in named.values()):
+        raise ValueError("a target is a share over 0")
+    mine = spark.createDataFrame([(s, q) for q, s in enumerate(named)], "t_source string, t_queue int")
+    totals = {r.t_queue: r.tokens for r in sums.join(F.broadcast(mine), F.col("source").eqNullSafe(F.col("t_source"))).select("t_queue", "tokens").collect()} if named else {}
+    if rows_in and (lacking := [s for q, s in enumerate(named) if q not in totals]):
+        raise ValueError(f"targets for sources that the table lacks: {lacking}")
+    plan = stretches([totals[q] for q in range(len(totals))], list(named.values()))
+    start = sum(totals.values())
+    rest = sums.join(F.broadcast(mine), F.col("source").eqNullSafe(F.col("t_source")), "left_anti")
+    size = rest.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    paths, number = source_paths(rest)
+    order = seeded(seed, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), "key")))
+    slim = ids.select("key", "source", "n", order.alias("h"))
+    placed = running(slim, ["source"], block_of(F.col("h"), block_bits(rows_in)), ["h", "key"], F.col("n"), "begin", "tokens").select(F.col("key").alias("k"), F.col("source").alias("k_source"), "begin", "tokens")
+    by = F.col("k_source").eqNullSafe(F.col("p_source"))
+    if number > BROADCAST_SOURCES:
+        rows = ids.join(placed.join(paths, by, "left"), F.col("key") == F.col("k"))
     else:
-        shares = [Fraction(targets.get(s, 0)) for s in names] + [Fraction(0)] * (len(totals) - len(names))
-    plan = phases(totals, shares)
-    queue = F.lit(other)
-    for q, s in enumerate(names):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(q)).otherwise(queue)
-    slim = ids.select("key", "source", queue.alias("queue"), "n", seeded(seed, F.col("doc_id")).alias("h"))
-    placed = running(slim, ["queue", "source"], block_of(F.col("h")), ["h", "key"], F.col("n"), "begin", "tokens").select(F.col("key").alias("k"), "queue", "source", "n", "begin", "tokens")
-    if rest:
-        placed = materialise(placed, "ranks")
-        shared = placed.where(F.col("queue") == other).withColumn("rank", (2 * F.col("begin") + F.col("n")) / (2 * F.col("tokens")))
-        shared = running(shared, ["queue"], F.floor(F.col("rank") * BLOCKS), ["rank", "source", "begin"], F.col("n"), "place")
-        placed = placed.where(F.col("queue") != other).select("k", "queue", "begin").union(shared.select("k", "queue", F.col("place").alias("begin")))
-    placed = placed.select("k", "queue", "begin")
-    rows = ids.join(placed, F.col("key") == F.col("k")).select("key", "doc_id", "source", "n", "ids", "queue", "begin")
+        rows = ids.join(placed, F.col("key") == F.col("k")).join(F.broadcast(paths), by, "left")
+    rows = rows.join(F.broadcast(mine), F.col("source").eqNullSafe(F.col("t_source")), "left").select("key", "doc_id", "source", "n", "ids", "begin", "tokens", "t_queue", "whole", "left", "right")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                n, begin, queue = (part.column(x).to_numpy() for x in ("n", "begin", "queue"))
+                n, begin, tokens = (part.column(x).to_numpy() for x in ("n", "begin", "tokens"))
+                queue = part.column("t_queue").fill_null(-1).to_numpy(zero_copy_only=False)
                 found = []
-                for q in np.unique(queue):
-                    own = np.flatnonzero(queue == q)
-                    for phase in plan:
-                        doc, where, *more = phase.pieces(int(q), begin[own], begin[own] + n[own], window)
+                if len(own := np.flatnonzero(queue >= 0)):
+                    for stretch in plan:
+                        doc, where, *more = stretch.pieces(queue[own], begin[own], begin[own] + n[own], window)
                         found.append((own[doc], where - begin[own][doc], *more))
-                doc, start, length, w, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
+                if len(own := np.flatnonzero(queue < 0)):
+                    tree = [np.stack([np.asarray(x) for x in part.column(c).take(pa.array(own)).to_pylist()]) for c in ("whole", "left", "right")]
+                    alone = Queues(start, size, np.zeros(len(own), np.int64), tokens[own], *tree)
+                    doc, where, *more = alone.pieces(np.arange(len(own)), begin[own], begin[own] + n[own], window)
+                    found.append((own[doc], where - begin[own][doc], *more))
+                doc, first, length, w, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
                 order = np.argsort(doc, kind="stable")
-                doc, start, length, w, place = doc[order], start[order], length[order], w[order], place[order]
+                doc, first, length, w, place = doc[order], first[order], length[order], w[order], place[order]
                 crc, had, raw = np.zeros(len(doc), np.int64), -1, memoryview(b"")
                 blobs = part.column("ids")
-                for i, (d, s, m) in enumerate(zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)):
+                for i, (d, s, m) in enumerate(zip(doc.tolist(), first.tolist(), length.tolist(), strict=True)):
                     if d != had:
-                        had, raw = d, memoryview(np.frombuffer(unpack(blobs[d].as_py()), np.uint16).astype("<u4").tobytes())
+                        had, raw = d, memoryview(np.frombuffer(unpack(blobs[d].as_py()), width).astype("<u4").tobytes())
                     crc[i] = zlib.crc32(raw[4 * s : 4 * (s + m)])
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(take), pa.array(start), pa.array(length), pa.array(crc), pa.array(n[doc]), pa.array(w), pa.array(place), part.column("source").take(take), part.column("key").take(take)],
+                    [part.column("doc_id").take(take), pa.array(first), pa.array(length), pa.array(crc), pa.array(n[doc]), pa.array(w), pa.array(place), part.column("source").take(take), part.column("key").take(take)],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "key"],
                 )
 

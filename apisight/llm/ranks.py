@@ -1,7 +1,7 @@
 """Exclusive running sums of any length without one task per key.
 
-A plain window over a hot key sorts all its rows in one task. Here a row's block (a monotone function of the order, with at most
-BLOCKS values) splits each key; sums by block are few and are accumulated first, then each block is summed by itself.
+A plain window over a hot key sorts all its rows in one task. Here a row's block (a monotone function of the order) splits each key; sums by
+block are few and are accumulated first, then each block is summed by itself.
 """
 
 from __future__ import annotations
@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks of a key; a key's block sums, at most so many rows, are the largest group that is sorted as a whole besides a block.
-BLOCKS = 1024
+#: Rows of a block, and the bits of a block's number: a key's block sums (2 ** 20 small rows at most) are sorted as a whole.
+BLOCK_ROWS, LEAST_BITS, MOST_BITS = 10_000, 10, 20
+
+
+def block_bits(rows: int) -> int:
+    """Bits of the blocks' numbers for a table of so many rows."""
+    return min(MOST_BITS, max(LEAST_BITS, (rows // BLOCK_ROWS).bit_length()))
 
 
 def seeded(seed: int | str, *cols: Column) -> Column:
@@ -18,9 +23,9 @@ def seeded(seed: int | str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])), 1, 15), 16, 10).cast("long")
 
 
-def block_of(bits: Column) -> Column:
+def block_of(value: Column, bits: int) -> Column:
     """Block of a seeded() value; the higher bits, so blocks are in its order."""
-    return F.shiftright(bits, 50).cast("int")
+    return F.shiftright(value, 60 - bits).cast("int")
 
 
 def running(rows: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, out: str, total: str | None = None) -> DataFrame:

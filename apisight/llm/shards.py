@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import BLOCKS, block_of, running, seeded
+from .ranks import block_bits, block_of, running, seeded
 from .shared import materialise
 
 
@@ -22,11 +22,12 @@ def stratified_shards(docs: DataFrame, n_shards: int = 24, seed: int = 7) -> Dat
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), seeded(seed, F.col("doc_id")).alias("h"))
     rows = materialise(rows, "shard_rows")
+    bits = block_bits(rows.count())
     order = ["h", "doc_id", "text_crc32", "size"]
-    ranked = running(rows, ["source"], block_of(F.col("h")), order, F.lit(1).cast("long"), "r", "n")
+    ranked = running(rows, ["source"], block_of(F.col("h"), bits), order, F.lit(1).cast("long"), "r", "n")
     ranked = materialise(ranked.withColumn("frac", (2 * F.col("r") + 1) / (2 * F.col("n"))), "shard_ranks")
     # the block is computed from the integers; it is monotone in frac, whose order is that of the exact quotient
-    block = F.expr(f"cast(((2 * r + 1) * {BLOCKS}) div (2 * n) as int)")
+    block = F.expr(f"cast(((2 * r + 1) * {1 << bits}) div (2 * n) as int)")
     placed = running(ranked, [], block, ["frac", "source", *order], F.lit(1).cast("long"), "g", "rows")
     shard = F.expr(f"cast((g * {n_shards}) div rows as int)")
     return (

@@ -72,7 +72,7 @@ def check_pieces(pieces, docs, window):
     assert set(places) == set(range(-(-total // window)))
 
 
-@pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.25}, {"none": 1.0}])
+@pytest.mark.parametrize("targets", [None, {"a": 0.5, "b": 0.25}, {"c": 1.0}])
 def test_packing_of_odd_rows(spark, targets):
     check_pieces(packing.pack(table(spark), JSON, 256, targets).collect(), ODD, 256)
 
@@ -92,26 +92,51 @@ def test_packing_of_documents(spark):
     assert packing.pack(table(spark, []), JSON).count() == 0
 
 
+def step_by_step(totals):
+    """Deficit round-robin, a token at a time: each node of the tree gives its left child floor(u * left / whole) of its first u tokens."""
+    depth = max(1, (len(totals) - 1).bit_length())
+    leaves = [*totals, *[0] * ((1 << depth) - len(totals))]
+    given, out = {}, []
+
+    def deal(low, high):
+        if high - low == 1:
+            return low
+        middle = (low + high) // 2
+        left, whole = sum(leaves[low:middle]), sum(leaves[low:high])
+        u = given[low, high] = given.get((low, high), 0) + 1
+        return deal(low, middle) if u * left // whole > (u - 1) * left // whole else deal(middle, high)
+
+    for _ in range(sum(totals)):
+        out.append(deal(0, 1 << depth))
+    return out
+
+
 def test_closed_form_against_stepping():
     rng = random.Random(1)
     for _ in range(30):
-        totals = [rng.choice([0, 1, rng.randint(1, 400)]) for _ in range(rng.randint(1, 6))]
+        totals = [rng.choice([0, 1, rng.randint(1, 400)]) for _ in range(rng.randint(1, 9))]
         if not any(totals):
             continue
-        shares = [Fraction(rng.randint(0, 5)) for _ in totals]
-        seen = 0
-        for phase in packing.phases(totals, shares):
-            u = np.arange(phase.size + 1)
-            given = np.array([phase.given(q, u)[1] for q in range(len(totals))])
-            assert (given.sum(axis=0) == u).all() and (np.diff(given, axis=1) >= 0).all() and (given[:, -1] == phase.totals).all()
-            seen += phase.size
-        assert seen == sum(totals)
-
-
-def test_large_totals_need_no_64_bits():
-    phase = packing.Phase(0, [10**13, 3 * 10**13], [0, 0])
-    a = np.array([10**13 - 5], object).astype(np.int64)
-    doc, start, length, window, place = phase.pieces(0, a, a + 5, 2048)
+        queues = packing.Queues.of(0, totals, [0] * len(totals))
+        dealt = step_by_step(totals)
+        u = np.arange(len(dealt) + 1)
+        for q in range(len(totals)):
+            own, _, _ = queues.given(np.full(len(u), q), u, u)
+            assert own.tolist() == [0, *np.cumsum(np.array(dealt) == q)]
+            assert (np.abs(own - u * totals[q] / len(dealt)) <= queues.whole.shape[1]).all()
+        shares = [Fraction(rng.randint(1, 5)) for _ in totals]
+        given = np.sum([s.total for s in packing.stretches(totals, shares)], axis=0)
+        assert given.tolist() == totals
+
+
+def test_large_totals():
+    rng = random.Random(3)
+    for _ in range(200):
+        whole = rng.randint(1, 1 << 48)
+        part, u = rng.randint(0, whole), rng.randint(0, whole)
+        assert packing.share(np.array([u]), np.array([part]), np.array([whole]))[0] == u * part // whole
+    queues = packing.Queues.of(0, [10**13, 3 * 10**13], [0, 0])
+    doc, start, length, window, place = queues.pieces(np.array([0]), np.array([10**13 - 5]), np.array([10**13]), 2048)
     assert length.sum() == 5 and window[-1] == (4 * 10**13 - 1) // 2048
 
 

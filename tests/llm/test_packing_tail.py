@@ -1,8 +1,9 @@
-"""Packing of a long tail of sources."""
+"""Packing of many sources, by their own shares or by targets, against deficit round-robin token by token."""
 
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pytest
 
 from apisight.llm import packing
 
@@ -16,13 +17,37 @@ def tokens_by_window(pieces):
     return per
 
 
-def test_small_sources_keep_their_proportion(spark):
-    rows = [(i, "one two three", f"s{i % 200}") for i in range(4000)]
+@pytest.mark.parametrize("sources", [3, 200, 1000])
+def test_every_source_has_its_share_of_every_window(spark, sources, monkeypatch):
+    if sources == 1000:
+        monkeypatch.setattr(packing, "BROADCAST_SOURCES", 10)
+    rows = [(i, "one two three", f"s{i % sources}") for i in range(4000)]
     pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), JSON, 2000).collect()
     per, n = tokens_by_window(pieces), max(p.doc_tokens for p in pieces)
-    assert sum(p.length for p in pieces) == 4000 * n and len(per) > 3
+    total, depth = 4000 * n, (sources - 1).bit_length()
+    assert sum(p.length for p in pieces) == total and len(per) == -(-total // 2000)
+    given = Counter()
     for w in range(max(per)):
-        assert all(abs(per[w][f"s{s}"] - 10) <= 2 * n for s in range(200))
+        given.update(per[w])
+        for s in range(sources):
+            # what it has been given by then, and so what a window owes it, stays within the depth of the tree
+            assert abs(given[f"s{s}"] - (w + 1) * 2000 / sources) <= depth
+
+
+def test_shares_unlike_the_data(spark):
+    rows = [(i, "word " * 50, "big") for i in range(2000)] + [(3000 + i, "word " * 50, f"tiny{i % 3}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = packing.pack(df, JSON, 40, {"tiny0": 1.0}).collect()
+    per, n = tokens_by_window(pieces), max(p.doc_tokens for p in pieces)
+    assert all(per[w] == {"tiny0": 40} for w in range(4 * n // 40))  # under 1/128 of all tokens, and first
+    pieces = packing.pack(df, JSON, 40, {"tiny0": 0.5, "tiny1": 0.25, "tiny2": 0.25}).collect()
+    per = tokens_by_window(pieces)
+    for w in range(8 * n // 40):
+        assert abs(per[w]["tiny0"] - 20) <= 2 and abs(per[w]["tiny1"] - 10) <= 2 and abs(per[w]["tiny2"] - 10) <= 2
+    with pytest.raises(ValueError, match="lacks"):
+        packing.pack(df, JSON, 40, {"none": 1.0})
+    with pytest.raises(ValueError, match="over 0"):
+        packing.pack(df, JSON, 40, {"big": 0.0})
 
 
 def test_a_target_of_a_small_source_holds(spark):
