@@ -37,24 +37,24 @@ def dedup_lines(docs: DataFrame, removed: str = "removed_lines") -> DataFrame:
     and text count as one document and get the same result. A text whose lines all go is empty.
     """
     windows = line_windows(docs)
+    columns = [c for c in docs.columns if c.lower() != removed.lower()]
+    windows = line_windows(docs)
     place = F.struct("doc_id", "th", "pos")
     first = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = first.select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first")
     later = windows.join(first, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).where(place > F.col("first"))
-    covered = later.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set("pos")).alias("_later"))
-    # few documents have later windows: hashing them spares sorting whole texts
-    joined = docs.drop(removed).join(covered.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
-    lines = F.split("text", "\n", -1)
+    covered = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("later"))
+    # the input's columns stay inside a struct, so none can clash with what is made here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("d"))
+    joined = rows.join(covered, F.col("d.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("d.text") == F.col("th")), "left").select("d", "later")
+    lines = F.split("d.text", "\n", -1)
     # between two later windows, what neither covers stays: runs from the end of one to the start of the next
-    starts = F.concat(F.array(F.lit(0)), F.transform("_later", lambda p: p + SPAN))
-    ends = F.concat(F.col("_later"), F.array(F.size(lines)))
+    starts = F.concat(F.array(F.lit(0)), F.transform("later", lambda p: p + SPAN))
+    ends = F.concat(F.col("later"), F.array(F.size(lines)))
     runs = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda r: r["e"] > r["s"])
-    joined = joined.withColumn("_lines", F.when(F.col("_later").isNotNull(), lines)).withColumn("_runs", F.when(F.col("_later").isNotNull(), runs))
-    kept = F.flatten(F.transform("_runs", lambda r: F.slice("_lines", r["s"] + 1, r["e"] - r["s"])))
-    joined = joined.withColumn("_kept", kept)
-    untouched = F.col("_later").isNull()
-    out = {
-        "text": F.when(untouched, F.col("text")).otherwise(F.array_join("_kept", "\n")),
-        removed: F.when(untouched, F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long"),
-    }
-    return joined.withColumns(out).drop("_id", "_th", "_later", "_lines", "_runs", "_kept")
+    touched = F.col("later").isNotNull()
+    joined = joined.select("d", F.when(touched, lines).alias("lines"), F.when(touched, runs).alias("runs"))
+    joined = joined.select("d", "lines", F.flatten(F.transform("runs", lambda r: F.slice("lines", r["s"] + 1, r["e"] - r["s"]))).alias("kept"))
+    text = F.when(F.col("lines").isNull(), F.col("d.text")).otherwise(F.array_join("kept", "\n"))
+    gone = F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("kept")).cast("long")
+    return joined.select(*[text.alias(c) if c.lower() == "text" else F.col(f"d.`{c}`").alias(c) for c in columns], gone.alias(removed))
