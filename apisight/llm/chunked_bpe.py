@@ -32,7 +32,7 @@ def boundaries(text: str, whole: bool) -> list[int]:
 
 
 def long_pieces(docs: DataFrame, stride: int = STRIDE, overlap: int = OVERLAP) -> DataFrame:
-    """The texts of docs (rid, doc_id, text; rid is unique) cut at pre-token boundaries: rid, doc_id, piece (from 0), body.
+    """The texts of docs (rid, doc_id, text, not empty; rid is unique) cut at pre-token boundaries: rid, doc_id, piece (from 0), body.
 
     Chunks of stride + overlap characters are pre-tokenised in parallel, each from its own start. Where a boundary in a chunk's overlap is also
     one of the next chunk, both go on alike from there: pre-tokens depend on nothing before their start. The first such place is the cut. A
@@ -40,8 +40,13 @@ def long_pieces(docs: DataFrame, stride: int = STRIDE, overlap: int = OVERLAP) -
     boundaries are right from the end of its first pre-token on at the latest: begun inside a run, that one ends where the whole one ends.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    chunks = docs.select("rid", "doc_id", F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / stride).cast("int"))).alias("k"), "text")
-    chunks = chunks.select("rid", "doc_id", "k", F.substring("text", F.col("k") * stride + 1, F.lit(stride + overlap)).alias("body"), (F.length("text") <= F.col("k") * stride + stride + overlap).alias("whole"), (F.length("text") <= (F.col("k") + 1) * stride).alias("last"))
+    # cut once, in one pass over the text; rows then hold their chunks alone
+    strides = docs.select("rid", "doc_id", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{stride}}}"), F.lit(0)).alias("s"))
+    later = lambda s: F.concat(F.slice(s, 2, F.size(s)), F.array(F.lit("")))
+    bodies = F.zip_with("s", later(F.col("s")), lambda x, y: F.struct(F.concat(x, F.substring(y, 1, overlap)).alias("body"), (F.length(y) <= overlap).alias("short")))
+    chunks = strides.select("rid", "doc_id", F.size("s").alias("n"), F.posexplode(bodies).alias("k", "c"))
+    whole = (F.col("k") >= F.col("n") - 2) & F.col("c.short")
+    chunks = chunks.select("rid", "doc_id", "k", "c.body", whole.alias("whole"), (F.col("k") == F.col("n") - 1).alias("last"))
     chunks = chunks.repartition("rid", "k")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
