@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import _IS_SPACE, Chunk, chunks, mix, runs
-from .shared import materialise
+from .shared import free_names, materialise
 
 #: Rules: name, and its value for a document; greater is worse.
 RULES: dict[str, Column | str] = {
@@ -112,8 +112,8 @@ def upper_bound(k: int, n: int, error: float) -> float:
 def certified_cutoffs(holdout: DataFrame, stratum: str, rules: dict | None = None, grid: tuple = GRID, alpha: float = ALPHA, delta: float = DELTA, gain: float = GAIN) -> DataFrame:
     """Cutoffs for each stratum that reject, with probability 1 - delta for all of them together, at most alpha of its good documents.
 
-    holdout: labelled documents with the stratum, the columns that the rules use, and quality (1: good, 0: bad). Alpha is shared out among the
-    rules. For every stratum, rule and cutoff of the grid the exact binomial bound on the share of good documents over the cutoff is taken at
+    holdout: labelled documents with the stratum, the columns that the rules use, and quality (1: good, 0: bad). The claim holds for the
+    population that holdout is an independent sample of; so copies of a text must be in it once. Alpha is shared out among the rules. For every stratum, rule and cutoff of the grid the exact binomial bound on the share of good documents over the cutoff is taken at
     delta / (strata * rules * cutoffs) (Bonferroni), so the choice among them is free. Of those within alpha, the one is chosen for which the
     rejected share of bad documents exceeds gain times the bound by most (the higher one in a tie); without such a one there is no cutoff.
 
@@ -157,19 +157,26 @@ def certified_cutoffs(holdout: DataFrame, stratum: str, rules: dict | None = Non
 def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
     """docs with METRICS, base_failed and kept: false for documents that fail the base rules or that a certified cutoff of their stratum rejects.
 
-    labels: doc_id, quality, one label for a document (of several the highest counts). Documents of a stratum without labels, or with too
-    few to certify a cutoff, are judged by the base rules alone. Null and empty texts fail the base rules. Null strata form one. Rows keep
-    their order of columns; rows repeated under one doc_id are judged one by one. Texts are not shuffled: the metrics are computed once for
-    the cutoffs and once more where they are applied.
+    labels: doc_id, quality, one label for a document (of several the highest counts). The holdout is the labelled documents that pass the base
+    rules, each distinct text of a stratum once: it is good if any of its rows is. What is certified, then, is the share of good ones among the
+    distinct texts that pass the base rules, as far as the labelled texts are a random sample of them; near copies count as texts of their own.
+    Documents that the base rules reject are no part of the claim.
+
+    Documents of a stratum without labels, or with too few to certify a cutoff, are judged by the base rules alone. Null and empty texts fail
+    the base rules. Null strata form one. Rows keep their order of columns; rows repeated under one doc_id are judged one by one. Texts are
+    not shuffled: the metrics are computed once for the cutoffs and once more where they are applied.
     """
     rules = options.get("rules") or RULES
-    slim = text_metrics(docs.select("doc_id", F.col(stratum).alias("_stratum"), "text")).drop("text")
+    slim = text_metrics(docs.select("doc_id", F.col(stratum).alias("_stratum"), F.md5("text").alias("_text"), "text")).drop("text")
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("quality").alias("quality"))
-    holdout = slim.join(marks, F.col("doc_id") == F.col("_doc")).where(~base_failed())
+    labelled = slim.join(marks, F.col("doc_id") == F.col("_doc")).where(~base_failed())
+    holdout = labelled.groupBy("_stratum", "_text").agg(F.max("quality").alias("quality"), *[F.first(m).alias(m) for m in METRICS])
     cutoffs = materialise(certified_cutoffs(holdout, "_stratum", **options), "cutoffs")
-    judged = text_metrics(docs.drop("base_failed", "kept")).join(cutoffs.select(F.col("stratum").alias("_stratum"), *[f"cut_{r}" for r in rules]), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    judged = text_metrics(docs.drop("base_failed", "kept"))
+    own, cut = free_names(judged.columns, "stratum_of_cutoffs", "cutoffs")
+    judged = judged.join(cutoffs.select(F.col("stratum").alias(own), F.struct(*[f"cut_{r}" for r in rules]).alias(cut)), F.col(stratum).eqNullSafe(F.col(own)), "left")
     over = F.lit(False)
     for name, value in rules.items():
-        over = over | F.coalesce(F.expr(value) > F.col(f"cut_{name}"), F.lit(False))
+        over = over | F.coalesce(F.expr(value) > F.col(f"{cut}.cut_{name}"), F.lit(False))
     judged = judged.withColumn("base_failed", base_failed())
-    return judged.withColumn("kept", ~(F.col("base_failed") | over)).drop("_stratum", *[f"cut_{r}" for r in rules])
+    return judged.withColumn("kept", ~(F.col("base_failed") | over)).drop(own, cut)
