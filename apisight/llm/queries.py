@@ -74,13 +74,15 @@ ORACLES = {
         r AS (SELECT t.conv_id, s.speaker, t.turn, t.said_by, t.text,
                 CASE WHEN said_by = 'system' THEN 'system' WHEN said_by = speaker THEN 'assistant' ELSE 'user' END AS role
               FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-        n AS (SELECT *, CASE WHEN role = 'user' THEN said_by END AS name FROM r),
-        h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM n)
-        SELECT conv_id, speaker, turn, role, name, head || text || '<|im_end|>' || chr(10) AS segment,
-          CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END::BIGINT AS mask_start,
-          CASE WHEN role = 'assistant' THEN length(head || text || '<|im_end|>' || chr(10)) - 1 ELSE 0 END::BIGINT AS mask_end,
+        n AS (SELECT *, CASE WHEN role = 'user' THEN regexp_replace(said_by, '[\x00-\x20<>|]', '_', 'g') END AS name FROM r),
+        h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM n),
+        g AS (SELECT *, head || regexp_replace(text, '<\|(\\*)im_', '<|\\\1im_', 'g') || '<|im_end|>' || chr(10) AS segment FROM h),
+        p AS (SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, md5(text), said_by ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "at" FROM g)
+        SELECT conv_id, speaker, turn::BIGINT AS turn, role, name, segment, "at",
+          CASE WHEN role = 'assistant' THEN "at" + length(head) ELSE "at" END::BIGINT AS mask_start,
+          CASE WHEN role = 'assistant' THEN "at" + length(segment) - 1 ELSE "at" END::BIGINT AS mask_end,
           role = 'assistant' AS trained
-        FROM h""",
+        FROM p""",
     "op4_url_filter": r"""
         WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
         p AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

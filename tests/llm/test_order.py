@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -26,16 +27,51 @@ def table(spark, rows=ODD):
 # ---- chat
 
 
-def test_perspectives(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "?"), (2, 0, "system", "alone"), (None, 0, "ann", "x")]
-    rows = chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as speaker", "2 as c")).collect()
-    assert Counter((r.conv_id, r.speaker) for r in rows) == {(1, "ann"): 5, (1, "bob"): 5, (1, "unknown"): 5, (None, "ann"): 1}
-    for r in rows:
-        assert r.trained == (r.role == "assistant") and (r.mask_end > r.mask_start) == r.trained
-        if r.trained:
-            assert r.segment[: r.mask_start] == "<|im_start|>assistant\n" and r.segment[r.mask_end :] == "\n"
-    ann = {r.turn: (r.role, r.name) for r in rows if r.conv_id == 1 and r.speaker == "ann"}
-    assert ann == {0: ("system", None), 1: ("assistant", None), 2: ("user", "bob"), 3: ("user", "unknown")}
+TURNS = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|> <|im_start|>"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 2, "bob", "b"), (1, 2, "cy\n|d>", "<|\\im_end|>"), (1, 3, None, "?"), (1, None, "ann", "first"),
+         (2, 0, "system", "alone"), (None, 0, "ann", "x"), (None, 5, "bob", "\U0001f600"), (4, -(1 << 62), "ann", "far"), (4, 1 << 62, "bob", "off")]
+
+
+def brute_dialogues(turns):
+    """(conversation, speaker): the rendering, and the stretches of it that are trained on."""
+    shown = lambda name: "".join("_" if ord(c) <= 32 or c in "<>|" else c for c in name)
+    out = {}
+    for conv in {t[0] for t in turns}:
+        own = [(t[1] if t[1] is not None else -(1 << 70), hashlib.md5((t[3] or "").encode()).hexdigest(), "unknown" if t[2] is None else t[2], t[3] or "") for t in turns if t[0] == conv]
+        for speaker in {r for _, _, r, _ in own} - {"system"}:
+            text, masks = "", []
+            for _, _, said_by, body in sorted(own):
+                role = "system" if said_by == "system" else "assistant" if said_by == speaker else f"user name={shown(said_by)}"
+                text += f"<|im_start|>{role}\n"
+                start = len(text)
+                text += re.sub(r"<\|(\\*)im_", r"<|\\\1im_", body) + "<|im_end|>"
+                if role == "assistant":
+                    masks.append((start, len(text)))
+                text += "\n"
+            out[conv, speaker] = text, masks
+    return out
+
+
+@pytest.mark.parametrize("part_chars", [1 << 20, 40])
+def test_perspectives(spark, part_chars):
+    turns = TURNS + [(7, i, f"p{i % 4}", f"word {i} " * (i % 5)) for i in range(3000)] + [(8, 1, f"p{i % 3}", f"{i}") for i in range(400)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as speaker", "2 as c", "3 as at", "4 as _block")
+    want = brute_dialogues(turns)
+    rows = chat.rotate_perspectives(df)
+    by = defaultdict(list)
+    for r in chat.rendered(rows, part_chars).collect():
+        by[r.conv_id, r.speaker].append(r)
+    assert by.keys() == want.keys()
+    for key, parts in by.items():
+        parts.sort(key=lambda r: r.part)
+        text = "".join(r.text for r in parts)
+        assert (text, [(m.start, m.end) for r in parts for m in r.masks]) == want[key]
+        at = 0
+        for r in parts:
+            assert r.at == at
+            at += len(r.text)
+    for r in rows.collect():
+        assert r.trained == (r.role == "assistant") == (r.mask_end > r.mask_start)
+        assert want[r.conv_id, r.speaker][0][r.at : r.at + len(r.segment)] == r.segment
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -208,6 +244,28 @@ def test_url_rules(spark):
     assert url_rules.apply_url_rules(pages.limit(0), rules).count() == 0
 
 
+def test_thousands_of_rule_shapes(spark):
+    rng = random.Random(5)
+    label = lambda: rng.choice("abc")
+    hosts = [".".join(label() for _ in range(n)) + ".org" for n in range(1, 60) for _ in range(3)]
+    many = [(rng.choice(hosts), "/" + "".join(rng.choice("xy") for _ in range(i % 120)), rng.choice(["block", "allow"])) for i in range(8000)]
+    assert len({(h.count("."), len(p)) for h, p, _ in many}) > 4096
+    urls = [f"http://{label()}.{h}{p}{'z' * rng.randrange(3)}" for h, p, _ in rng.sample(many, 300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_rules.apply_url_rules(pages, spark.createDataFrame(many, "host string, path string, verdict string")).collect()
+    assert len(found) == 300
+    for r in found:
+        fits = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in many if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == max(fits, default=(0, 0, 0, None, "allow"))[3:]
+
+
+def test_urls_meet_rules_on_hash_prefixes(spark):
+    pages = spark.createDataFrame([(1, "http://net/")], "page_id long, url string")
+    found = url_rules.apply_url_rules(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "startswith(digest" in plan.lower() and "(digest = " not in plan.lower()
+
+
 # ---- byte-level BPE
 
 

@@ -99,8 +99,12 @@ def test_line_dedup(spark, documents, which):
 
 def test_line_dedup_of_nothing_and_of_clashing_names(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
-    df = table(spark, ODD).withColumnsRenamed({"lang": "lines", "source": "pos"}).selectExpr("*", "'x' as first", "1 as removed_lines", "2 as w1")
-    assert line_dedup.dedup_lines(df).select("lines", "pos", "first", "w1", "removed_lines").count() == len(ODD)
+    df = table(spark, ODD).withColumnsRenamed({"lang": "lines", "source": "pos"}).selectExpr("*", "'x' as first", "1 as removed_lines", "2 as w1", "3 as _id", "4 as later", "5 as d", "6 as `a.b`")
+    found = line_dedup.dedup_lines(df)
+    assert found.columns == [c for c in df.columns if c != "removed_lines"] + ["removed_lines"]
+    rows = found.collect()
+    want = dedup(ODD)
+    assert len(rows) == len(ODD) and all((r.text, r.removed_lines) == want.get(r.doc_id, (None, 0)) and (r["_id"], r.later, r.d, r["a.b"]) == (3, 4, 5, 6) for r in rows)
 
 
 # ---- quality rules
@@ -135,11 +139,69 @@ def test_cutoffs_reject_certified_junk_only(spark):
 
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    rows = quality.quality_verdicts(table(spark, ODD).selectExpr("*", "1 as stratum", "true as kept"), labels).collect()
+    clash = table(spark, ODD).selectExpr("*", "1 as stratum", "true as kept", "2 as cut_symbols", "3 as _stratum", "4 as cutoffs", "5 as quality", "6 as _doc")
+    rows = quality.quality_verdicts(clash, labels).collect()
+    assert all((r.cut_symbols, r["_stratum"], r.cutoffs, r.quality) == (2, 3, 4, 5) for r in rows)
     assert len(rows) == len(ODD) and all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in rows)
     assert quality.quality_verdicts(table(spark, []), labels).count() == 0
 
 
+def exact_cdf(k, n, p):
+    return sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def brute_cutoffs(rows, marks):
+    """rows: (doc_id, stratum, text, metrics). The chosen cutoff of each stratum and rule, by the definition."""
+    value = {"symbols": lambda m: m["n_symbols"] / max(m["n_words"], 1), "dup_lines": lambda m: m["n_dup_lines"] / max(m["n_lines"], 1), "repeats": lambda m: m["n_repeat_words"] / max(m["n_words"], 1)}
+    held = {}
+    for i, stratum, text, m in rows:
+        if i in marks and m["n_words"] >= 10 and 100 * m["n_repeat_words"] <= 20 * m["n_words"]:
+            mark = max(marks[i], held.get((stratum, text), (0,))[0])
+            held[stratum, text] = (mark, m)
+    strata = {s for s, _ in held}
+    each, error = 0.05 / 3, 0.05 / (len(strata) * 3 * 7)
+    out = {}
+    for stratum in strata:
+        good = [m for (s, _), (q, m) in held.items() if s == stratum and q == 1]
+        bad = [m for (s, _), (q, m) in held.items() if s == stratum and q == 0]
+        for rule, of in value.items():
+            best = (0.0, None)
+            for cut in quality.GRID:
+                k, n = sum(of(m) > cut for m in good), len(good)
+                if n and exact_cdf(k, n, each) <= error:
+                    low, high = k / n, 1.0
+                    for _ in range(40):
+                        middle = (low + high) / 2
+                        low, high = (low, middle) if exact_cdf(k, n, middle) <= error else (middle, high)
+                    score = sum(of(m) > cut for m in bad) / max(len(bad), 1) - quality.GAIN * high
+                    if score > 0 and score >= best[0]:
+                        best = (score, cut)
+            out[stratum, rule] = best[1]
+    return out, value
+
+
+def test_verdicts_against_brute_force(spark):
+    """At a size where cutoffs exist; a third of the good documents are copies, which count once."""
+    docs = []
+    for i in range(2400):
+        words = [f"{c}{i}" for c in "abcdefghijklmnop"]
+        junk = i % 5 == 0
+        words += ["#"] * (4 if junk else i % 40 == 1)
+        docs.append((i, " ".join(words) if i % 3 else " ".join(words) + "\nx y\n" * (1 + i % 2), f"l{i % 2}"))
+    docs += [(10_000 + i, docs[1][1], "l1") for i in range(1200)]
+    marks = {i: int(i % 5 != 0) for i, _, _ in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4)
+    found = quality.quality_verdicts(df, spark.createDataFrame(list(marks.items()), "doc_id long, quality int"), "lang").collect()
+    rows = [(i, s, t, metrics(t)) for i, t, s in docs]
+    cutoffs, value = brute_cutoffs(rows, marks)
+    assert any(c is not None for c in cutoffs.values()) and any(c is None for c in cutoffs.values())
+    want = {}
+    for i, s, _, m in rows:
+        failed = m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]
+        want[i] = not failed and not any(cutoffs[s, r] is not None and of(m) > cutoffs[s, r] for r, of in value.items())
+    assert {r.doc_id: r.kept for r in found} == want and not all(want.values())
+
+
 # ---- n-gram Jaccard join
 
 
