@@ -24,8 +24,8 @@ BROADCAST_SOURCES = 100_000
 END_ID = 1
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """key (unique), doc_id, source, n (tokens with end_id), ids (compressed, of id_type(path)), written to the shared folder. Null texts are empty."""
+def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id (of any type), source, n (tokens with end_id), ids (compressed, of id_type(path)). Null texts are empty."""
     width = id_type(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,8 +41,12 @@ def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(work, f"doc_id {kind}, source string, n long, ids binary")
-    return materialise(rows.withColumn("key", F.monotonically_increasing_id()), "ids", "none")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(work, f"doc_id {kind}, source string, n long, ids binary")
+
+
+def tokenise(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """encoded() with key (unique), written to the shared folder."""
+    return materialise(encoded(docs, path, end_id).withColumn("key", F.monotonically_increasing_id()), "ids", "none")
 
 
 def share(u: np.ndarray, part: np.ndarray, whole: np.ndarray) -> np.ndarray:

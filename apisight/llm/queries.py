@@ -57,7 +57,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "training_order")
     index = training_order.write_training_order(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
-    records = training_order.read_shards(spark, out).select("slot", F.crc32("ids").alias("ids_crc32"))
+    records = training_order.read_shards(spark, out).select("slot", F.crc32("ids").alias("record_crc32"))
     return index.join(records, "slot")
 
 

@@ -11,18 +11,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encode
+from .bpe import id_type
+from .packing import encoded
+from .ranks import seeded
 from .shared import materialise
 
 #: Tokens of a sequence, and sequences of a shard.
 LENGTH, SHARD_ROWS = 2048, 8192
-#: Ends each document; fills the last sequence of each input partition.
+#: Ends each document; fills the last sequence of each block of documents.
 END_ID, PAD_ID = 50256, 50256
 ROUNDS = 6
+#: Documents of a block on average, and the most blocks there are (a count for each is broadcast).
+BLOCK_DOCS, MOST_BLOCKS = 20_000, 1 << 16
 #: Sequences that are compressed together on their way to one shard.
 TOGETHER = 64
-#: Input partitions whose counts are broadcast (16 bytes each); more are joined.
-MOST_PARTS = 1_000_000
 
 
 def _round(x: np.ndarray, key: int) -> np.ndarray:
@@ -47,74 +49,85 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
-    """part (input partition), at (from 0 in it), n (ids that are no filling), doc_ids (of the documents in it, in order), ids (16-bit little-endian).
+def sequences(docs: DataFrame, path: str, length: int = LENGTH, seed: int = 3, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
+    """block, at (from 0 in it), n (ids that are no filling), doc_ids (of the documents in it, in order), ids (little-endian, of id_type(path)).
 
-    The documents of an input partition follow each other, each with end_id; the row of ids is cut into sequences of length ids. Null texts
-    are end_id alone.
+    Documents are dealt to blocks by a seeded hash of doc_id and text, whose number follows from the count of rows; in a block they are ordered
+    by that hash, doc_id and ids, each with end_id, and the row of ids is cut into sequences of length ids. So the same table gives the same
+    sequences, however it is split and wherever it is read. Null texts are end_id alone.
     """
+    width = id_type(path)
+    bits = min(MOST_BLOCKS, max(1, docs.count() // BLOCK_DOCS)).bit_length() - 1
+    h = seeded(seed, F.col("doc_id"), F.xxhash64("text"))
+    keyed = docs.select(F.struct(F.shiftright(h, 60 - bits).cast("int").alias("block"), h.alias("h"), F.col("doc_id").cast("long").alias("doc_id")).alias("doc_id"), F.lit(None).cast("string").alias("source"), "text")
+    rows = encoded(keyed, path, end_id).select("doc_id.*", "ids").repartition("block").sortWithinPartitions("block", "h", "doc_id", "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, at, rest, owners = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint16), np.zeros(0, np.int64)
-
-        def cut(ids: np.ndarray, owner: np.ndarray, docs_: list, n_last: int) -> pa.RecordBatch:
-            nonlocal at
-            count = len(ids) // length
-            lists = []
-            for i in range(count):
-                own = owner[i * length : (i + 1) * length]
-                lists.append([docs_[j] for j in np.unique(own[: n_last if i == count - 1 else length])])
+        unpack = zstandard.ZstdDecompressor().decompress
+        block, at, left = None, 0, 0  # left: ids that wait for the rest of their sequence
+        rest: list[np.ndarray] = []
+        known: list = []  # (doc_id, ids of it that wait)
+
+        def cut(last: bool) -> pa.RecordBatch:
+            """The whole sequences of what waits; the last one of a block is filled up."""
+            nonlocal at, left, rest, known
+            ids = np.concatenate(rest)
+            ends = np.cumsum([c for _, c in known])
+            count = -(-len(ids) // length) if last else len(ids) // length
+            starts = np.arange(count) * length
+            n = np.minimum(length, len(ids) - starts)
+            own = np.concatenate((ids[: count * length], np.full(max(0, count * length - len(ids)), pad_id, width)))
+            lists = [[known[j][0] for j in range(i, k + 1)] for i, k in zip(np.searchsorted(ends, starts, "right"), np.searchsorted(ends, starts + n - 1, "right"), strict=True)]
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part] * count, pa.int64()), pa.array(range(at, at + count), pa.int64()), pa.array([length] * (count - 1) + [n_last], pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array([ids[i * length : (i + 1) * length].tobytes() for i in range(count)], pa.binary())],
-                ["part", "at", "n", "doc_ids", "ids"],
+                [pa.array([block] * count, pa.int32()), pa.array(range(at, at + count), pa.int64()), pa.array(n, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array([own[i * length : (i + 1) * length].tobytes() for i in range(count)], pa.binary())],
+                ["block", "at", "n", "doc_ids", "ids"],
             )
-            at += count
+            at, rest, left = at + count, [ids[count * length :]], max(0, len(ids) - count * length)
+            first = int(np.searchsorted(ends, count * length, "right"))
+            known = [(known[first][0], int(ends[first]) - count * length), *known[first + 1 :]] if left else []
             return out
 
-        known: list = []
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                piece = batch.slice(a, 500)
-                ids = [np.array([*encode(path, t.as_py()), end_id]) for t in piece.column("text")]
-                if max(int(x.max()) for x in ids) > 65535:
-                    raise ValueError("ids of over 16 bits")
-                base = len(known)
-                known += piece.column("doc_id").to_pylist()
-                rest = np.concatenate([rest, *[x.astype(np.uint16) for x in ids]])
-                owners = np.concatenate([owners, np.repeat(np.arange(base, base + len(ids)), [len(x) for x in ids])])
-                if whole := len(rest) // length * length:
-                    yield cut(rest[:whole], owners[:whole], known, length)
-                    rest, owners = rest[whole:], owners[whole:]
-                first = int(owners[0]) if len(owners) else len(known)
-                known, owners = known[first:], owners - first
-        if len(rest):
-            fill = length - len(rest)
-            yield cut(np.concatenate([rest, np.full(fill, pad_id, np.uint16)]), np.concatenate([owners, np.full(fill, owners[-1])]), known, len(rest))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "part long, at long, n long, doc_ids array<long>, ids binary")
+            blocks = batch.column("block").to_pylist()
+            for i, (b, doc) in enumerate(zip(blocks, batch.column("doc_id").to_pylist(), strict=True)):
+                if b != block:
+                    if left:
+                        yield cut(True)
+                    block, at, left, rest, known = b, 0, 0, [], []
+                own = np.frombuffer(unpack(batch.column("ids")[i].as_py()), width)
+                rest.append(own)
+                known.append((doc, len(own)))
+                left += len(own)
+                if left >= 64 * length:
+                    yield cut(False)
+        if left:
+            yield cut(True)
+
+    return rows.mapInArrow(work, "block int, at long, n long, doc_ids array<long>, ids binary")
 
 
 def write_training_order(docs: DataFrame, path: str, out: str, key: int = 1, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Writes all documents as fixed-stride shards in training order; returns the index: slot, shard, place, n, doc_ids, ids_crc32.
-
-    Sequences (see sequences()) are numbered without gaps; feistel() gives each number a global slot. Shard s holds the slots from
-    s * shard_rows on, in order, in out/shard=s/: one file of records of 2 * length bytes (16-bit little-endian ids) and a line end, so slot t
-    starts at (t % shard_rows) * (2 * length + 1): read_slots() and any seek reach it, and a run resumes at a slot. Spark's own writer makes
-    the files, so a lost executor's task is done again and a shard is there whole or not at all. `out` must be new.
-
-    The ids are made once and written to the shared folder; the shuffle to the shards carries them compressed. Repeated rows are written
-    each; null and empty texts are the end id alone; documents with null doc_id are written, and null in doc_ids. Empty tables write nothing.
+    """Writes all documents as fixed-stride shards in training order; returns the index: slot, shard, place, n, doc_ids, ids_crc32 (of the record).
+
+    Sequences (see sequences()) are numbered without gaps by block; feistel() gives each number a global slot. Shard s holds the slots from
+    s * shard_rows on, in order, in out/shard=s/: one file of records of `length` little-endian ids (16 bits each, or 32 if the vocabulary
+    needs them) and a line end, so slot t starts at (t % shard_rows) * (record + 1): read_shards() and any seek reach it, and a run resumes at
+    a slot. The shards are the partitions by ranges of slots, one in each task. Spark's own writer makes the files, so a lost executor's
+    task is done again and a shard is there whole or not at all. The same table and key give the same shards, however the table is split.
+    `out` must be new.
+
+    The ids are made once; they are shuffled to their blocks, written to the shared folder as sequences, and shuffled compressed to the shards.
+    Repeated rows are written each; null and empty texts are the end id alone; documents with null doc_id are written, and null in doc_ids.
+    Empty tables write nothing.
     """
+    record = length * id_type(path).itemsize
     made = materialise(sequences(docs, path, length), "sequences")
-    counts = made.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("part").alias("p"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
+    counts = made.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # MOST_BLOCKS rows at most
+    counts = counts.select(F.col("block").alias("b"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
     total = made.count()
-    if counts.count() <= MOST_PARTS:
-        counts = F.broadcast(counts)
-    rows = made.join(counts, F.col("part") == F.col("p")).select((F.col("base") + F.col("at")).alias("number"), "n", "doc_ids", "ids")
+    shards = max(1, -(-total // shard_rows))
+    rows = made.join(F.broadcast(counts), F.col("block") == F.col("b")).select((F.col("base") + F.col("at")).alias("number"), "n", "doc_ids", "ids")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
@@ -122,36 +135,36 @@ def write_training_order(docs: DataFrame, path: str, out: str, key: int = 1, len
             slots = feistel(batch.column("number").to_numpy(), total, key)
             order, ids = np.argsort(slots), batch.column("ids")
             shard = slots[order] // shard_rows
-            out: list[tuple] = []
+            found: list[tuple] = []
             for a in np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(order) else ():
                 own = order[a : a + np.searchsorted(shard[a:], shard[a], "right")]
                 for some in (own[i : i + TOGETHER] for i in range(0, len(own), TOGETHER)):
-                    out.append((int(shard[a]), slots[some].tolist(), compress(b"".join(ids[int(i)].as_py() for i in some))))
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.binary())], ["shard", "slots", "ids"])
+                    found.append((int(shard[a]), slots[some].tolist(), compress(b"".join(ids[int(i)].as_py() for i in some))))
+            columns = list(zip(*found, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.binary())], ["shard", "slots", "ids"])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for shard, slots, ids in zip(batch.column("shard").to_pylist(), batch.column("slots").to_pylist(), batch.column("ids"), strict=True):
                 raw = expand(ids.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(slots), pa.int64()), pa.array(slots, pa.int64()), pa.array([raw[i * 2 * length : (i + 1) * 2 * length] for i in range(len(slots))], pa.binary())], ["shard", "slot", "record"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(slots), pa.int64()), pa.array(slots, pa.int64()), pa.array([raw[i * record : (i + 1) * record] for i in range(len(slots))], pa.binary())], ["shard", "slot", "record"])
 
-    placed = rows.select("number", "ids").mapInArrow(place, "shard long, slots array<long>, ids binary").repartition("shard")
+    placed = rows.select("number", "ids").mapInArrow(place, "shard int, slots array<long>, ids binary").repartitionById(shards, F.col("shard"))
     records = placed.mapInArrow(plain, "shard long, slot long, record binary").sortWithinPartitions("shard", "slot")
     records.select(F.col("record").cast("string").alias("record"), "shard").write.partitionBy("shard").option("lineSep", "\n").text(out)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = feistel(batch.column("number").to_numpy(), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard_rows), pa.array(slots % shard_rows), batch.column("n"), batch.column("doc_ids")], ["slot", "shard", "place", "n", "doc_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // shard_rows), pa.array(slots % shard_rows), batch.column("n"), batch.column("doc_ids"), batch.column("ids_crc32")], ["slot", "shard", "place", "n", "doc_ids", "ids_crc32"])
 
-    return rows.select("number", "n", "doc_ids").mapInArrow(index, "slot long, shard long, place long, n long, doc_ids array<long>")
+    return rows.select("number", "n", "doc_ids", F.crc32("ids").alias("ids_crc32")).mapInArrow(index, "slot long, shard long, place long, n long, doc_ids array<long>, ids_crc32 long")
 
 
-def read_shards(spark: SparkSession, out: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, start: int = 0) -> DataFrame:
-    """slot, ids (binary) of a written order, from slot `start` on; shards before it are not read."""
-    stride = 2 * length + 1
+def read_shards(spark: SparkSession, out: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, start: int = 0, id_bytes: int = 2) -> DataFrame:
+    """slot, ids (binary) of a written order, from slot `start` on; shards before it are not read. id_bytes: of the vocabulary's id_type()."""
+    stride = id_bytes * length + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +175,7 @@ def read_shards(spark: SparkSession, out: str, length: int = LENGTH, shard_rows:
                 skip = max(0, start - shard * shard_rows)
                 for a in range(skip, raw.size // stride, 512):
                     to = min(a + 512, raw.size // stride)
-                    yield pa.RecordBatch.from_arrays([pa.array(range(shard * shard_rows + a, shard * shard_rows + to), pa.int64()), pa.array([raw.slice(i * stride, 2 * length).to_pybytes() for i in range(a, to)], pa.binary())], ["slot", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(range(shard * shard_rows + a, shard * shard_rows + to), pa.int64()), pa.array([raw.slice(i * stride, stride - 1).to_pybytes() for i in range(a, to)], pa.binary())], ["slot", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
     if "shard" not in files.columns:  # nothing was written

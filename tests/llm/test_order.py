@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -332,19 +333,76 @@ def test_feistel_is_a_permutation(n):
     assert n < 100 or (found != training_order.feistel(np.arange(n), n, 6)).mean() > 0.9
 
 
-@pytest.mark.parametrize("length, shard_rows", [(16, 7), (2048, 8192)])
-def test_training_order(spark, folder, length, shard_rows):
-    out = f"file://{folder}/order"
-    index = training_order.write_training_order(table(spark).repartition(3), JSON, out, 9, length, shard_rows).collect()
-    records = {r.slot: np.frombuffer(bytes(r.ids), np.uint16) for r in training_order.read_shards(spark, out, length, shard_rows).collect()}
-    assert sorted(records) == sorted(r.slot for r in index) == list(range(len(index)))
-    tokens = Counter()
-    for r in index:
-        assert (r.shard, r.place) == divmod(r.slot, shard_rows) and len(records[r.slot]) == length
-        tokens.update(records[r.slot][: r.n].tolist())
-    want = Counter()
-    for _, text, _ in ODD:
-        want.update([*bpe.encode(JSON, text), training_order.END_ID])
-    assert tokens == want and {i for r in index for i in r.doc_ids} == {i for i, _, _ in ODD}
+def brute_feistel(i, n, key):
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask, whole = (1 << half) - 1, (1 << 64) - 1
+    while True:
+        left, right = i >> half, i & mask
+        for r in range(training_order.ROUNDS):
+            k = zlib.crc32(f"{key}:{r}".encode()) * 0x100000001
+            h = ((right ^ k) * 0x9E3779B97F4A7C15) & whole
+            h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & whole
+            left, right = right, left ^ ((h ^ (h >> 29)) & mask)
+        i = (left << half) | right
+        if i < n:
+            return i
+
+
+def brute_order(rows, hashes, length, key, bits):
+    """Slot: ids and doc_ids of its sequence, made one document after the other."""
+    blocks = defaultdict(list)
+    for (i, text), x in zip(rows, hashes, strict=True):
+        parts = [str(seed) for seed in (3, i, x) if seed is not None]
+        h = int(hashlib.md5(":".join(parts).encode()).hexdigest()[:15], 16)
+        ids = np.array([*bpe.encode(JSON, text), training_order.END_ID], "<u2")
+        blocks[h >> (60 - bits)].append((h, i is not None, i or 0, zstandard_key(ids), i, ids))
+    made = []
+    for b in sorted(blocks):
+        stream = [(t, d[4]) for d in sorted(blocks[b], key=lambda d: d[:4]) for t in d[5].tolist()]
+        for a in range(0, len(stream), length):
+            own = stream[a : a + length]
+            made.append(([t for t, _ in own], list(dict.fromkeys(d for _, d in own))))
+    return {brute_feistel(i, len(made), key): x for i, x in enumerate(made)}
+
+
+def zstandard_key(ids):
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(ids.tobytes())
+
+
+@pytest.mark.parametrize("length, shard_rows, which", [(16, 7, "odd"), (2048, 20, "table")])
+def test_training_order(spark, folder, length, shard_rows, which, monkeypatch):
+    monkeypatch.setattr(training_order, "BLOCK_DOCS", 2 if which == "odd" else 60)
+    docs = table(spark) if which == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", F.xxhash64("text")).collect()]
+    bits = max(1, len(rows) // training_order.BLOCK_DOCS).bit_length() - 1
+    want = brute_order([r[:2] for r in rows], [r[2] for r in rows], length, 9, bits)
+    files = set()
+    for split in (1, 8, 50):
+        out = f"file://{folder}/order{split}"
+        index = training_order.write_training_order(docs.repartition(split), JSON, out, 9, length, shard_rows).collect()
+        records = {r.slot: bytes(r.ids) for r in training_order.read_shards(spark, out, length, shard_rows).collect()}
+        assert sorted(records) == sorted(r.slot for r in index) == list(range(len(index))) == sorted(want)
+        for r in index:
+            assert (r.shard, r.place) == divmod(r.slot, shard_rows) and r.ids_crc32 == zlib.crc32(records[r.slot])
+            ids = np.frombuffer(records[r.slot], "<u2").tolist()
+            assert ids[: r.n] == want[r.slot][0] and len(ids) == length and set(ids[r.n :]) <= {training_order.PAD_ID}
+            assert list(dict.fromkeys(r.doc_ids)) == want[r.slot][1]
+        found = sorted(Path(f"{folder}/order{split}").glob("shard=*/part-*"), key=lambda p: int(p.parent.name[6:]))
+        assert len(found) == -(-len(index) // shard_rows)
+        files.add(b"".join(p.read_bytes() for p in found))
+    assert len(files) == 1
     late = len(index) // 2
     assert {r.slot for r in training_order.read_shards(spark, out, length, shard_rows, late).collect()} == set(range(late, len(index)))
+
+
+def test_vocabularies_of_over_16_bits(spark, folder, monkeypatch):
+    for module in (packing, training_order):
+        monkeypatch.setattr(module, "id_type", lambda path: np.dtype("<u4"))
+    out = f"file://{folder}/order"
+    index = training_order.write_training_order(table(spark), JSON, out, 9, 16, 7).collect()
+    records = {r.slot: np.frombuffer(bytes(r.ids), "<u4") for r in training_order.read_shards(spark, out, 16, 7, id_bytes=4).collect()}
+    tokens = Counter(t for r in index for t in records[r.slot][: r.n].tolist())
+    assert tokens == Counter(t for _, text, _ in ODD for t in [*bpe.encode(JSON, text), training_order.END_ID])
+    check_pieces(packing.pack(table(spark), JSON, 256).collect(), ODD, 256)
