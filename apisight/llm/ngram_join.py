@@ -2,8 +2,9 @@
 
 Steps, all exact:
 
-1. Every text becomes its set of distinct k-word shingle hashes. Hashes are dealt to ranges (groups of sorted blobs, not rows); a range
-   finds those that two documents or more have. A shingle of one document alone can be in no intersection.
+1. Every text becomes its set of distinct k-word shingle hashes (64 bits). Hashes are dealt to ranges (groups of sorted blobs, not rows); a
+   range finds those that two documents or more have. A shingle of one document alone can be in no intersection. Ranges grow in number with
+   the bytes of text; many are dealt in steps, so that the blobs grow with the hashes and not with ranges times tasks.
 2. A document can only link if its repeated shingles make up the threshold of its set: any union is at least the set. The rest go.
 3. Documents with equal size and equal repeated shingles have the same links to all others. They form one class; its least id stands for it.
    Shingles are counted again over classes, and step 2 is repeated.
@@ -11,15 +12,16 @@ Steps, all exact:
    prefixes of n - ceil(t n) + 1. Prefix shingles are join keys (buckets), with length and positional filters and a suffix bound from the
    repeated shingles that are left.
 5. In every bucket all members meet its pivot, the member with the fewest unique shingles; these pairs are verified once. Of the other pairs
-   only those in different components matter. They meet in blocks, where a bound from what either shares with the pivot is added to the
-   filters; what is left is verified once.
+   only those in different components matter. They meet in blocks of members of like lengths, where a bound from what either shares with the
+   pivot is added to the filters; what is left is verified once.
 6. Components of the links by large-star and small-star steps.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,13 @@ from .components import components
 from .shared import materialise
 from .words import chunks, mix, shingles
 
-#: Documents for each hash range and each group of documents; a group's blobs are what one task holds.
-DOCS_PER_RANGE = 4000
-LEAST_RANGES = 64
+#: Bytes of text for each hash range and each group of documents (some two million shingles): a range's blobs are what one task holds at once.
+BYTES_PER_RANGE = 16 << 20
+LEAST_BITS = 6
+#: Bits of a range's number that one step deals.
+STEP_BITS = 10
+#: Documents and hashes that are dealt at once.
+FLUSH_DOCS, FLUSH_HASHES = 60_000, 3_000_000
 #: Members of a bucket that are compared at once in the last step.
 BLOCK = 256
 
@@ -60,18 +66,73 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _deal(ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, h: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """Hashes by their range, each with the place of its document in ids; ids and sizes go with every range."""
-    ranges = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-    order = np.argsort(ranges, kind="stable")  # documents stay in order, so that their places compress
-    h, owner = h[order], owner[order]
-    bounds = np.searchsorted(ranges[order], np.arange((1 << bits) + 1))
-    for part in range(1 << bits):
-        a, b = bounds[part], bounds[part + 1]
-        if b > a:
-            used, local = np.unique(owner[a:b], return_inverse=True)
-            low = h[a:b] & np.uint64((1 << 48) - 1)  # 48 bits within a range; the range adds its own
-            yield part, _pack(ids[used], sizes[used], local.astype(np.uint16), (low & np.uint64(0xFFFFFFFF)).astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16))
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _blob(ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, h: np.ndarray, times: np.ndarray) -> bytes:
+    """Entries as a value: documents with the sizes of their sets; for each hash its document's place among them and, if known, its count."""
+    used, first, local = np.unique(ids[owner], return_index=True, return_inverse=True)
+    place = local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+    parts = [(h >> np.uint64(32)).astype(np.uint16), (h >> np.uint64(48)).astype(np.uint16)]  # apart, for the highest bits are alike in a range
+    return _pack(used, sizes[owner[first]], place, h.astype(np.uint32), *parts, times.astype(np.uint32))
+
+
+def _entries(blobs: list[bytes]) -> Entries:
+    """ids, sizes, owner (place in ids), hashes and counts (empty if not known) of several blobs together."""
+    out: list[list] = [[], [], [], [], []]
+    base = 0
+    for blob in blobs:
+        ids, sizes, place, low, middle, high, times = _unpack(blob)
+        h = low.astype(np.uint64) | (middle.astype(np.uint64) << np.uint64(32)) | (high.astype(np.uint64) << np.uint64(48))
+        for had, new in zip(out, (ids, sizes, place.astype(np.int64) + base, h, times), strict=True):
+            had.append(new)
+        base += len(ids)
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _deal(entries: Entries, where: np.ndarray) -> pa.RecordBatch:
+    """Entries by `where`, the number of the range or group that each goes to."""
+    ids, sizes, owner, h, times = entries
+    order = np.argsort(where, kind="stable")  # documents stay in order, so that their places compress
+    where = where[order]
+    bounds = np.append(np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else [], len(where)).astype(np.int64)
+    blobs = [_blob(ids, sizes, owner[o], h[o], times[o] if len(times) else times) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for o in (order[a:b],)]
+    return _batch(where[bounds[:-1]].tolist(), blobs)
+
+
+def _range(entries: Entries, bits: int) -> np.ndarray:
+    return (entries[3] >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _group(entries: Entries, bits: int) -> np.ndarray:
+    """The group of each entry's document."""
+    return ((entries[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)[entries[2]]
+
+
+def _finer(blobs: DataFrame, key: Callable[[Entries, int], np.ndarray], bits: int) -> DataFrame:
+    """Blobs of the first STEP_BITS bits dealt on, STEP_BITS at a time, up to `bits` bits. No step gathers a range: any task may have a part of it."""
+
+    def step(now: int):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            had, size = [], 0
+            for batch in batches:
+                for blob in batch.column("blob"):
+                    had.append(blob.as_py())
+                    size += len(had[-1])
+                    if size > 8 * FLUSH_HASHES:
+                        entries = _entries(had)
+                        yield _deal(entries, key(entries, now))
+                        had, size = [], 0
+            if had:
+                entries = _entries(had)
+                yield _deal(entries, key(entries, now))
+
+        return work
+
+    for done in range(2 * STEP_BITS, bits + STEP_BITS, STEP_BITS):
+        salted = blobs.repartition("part", F.pmod(F.xxhash64("blob"), F.lit(1 << STEP_BITS))).sortWithinPartitions("part")
+        blobs = salted.mapInArrow(step(min(done, bits)), _BLOB)
+    return blobs
 
 
 def _batch(parts: list[int], blobs: list[bytes]) -> pa.RecordBatch:
@@ -79,16 +140,17 @@ def _batch(parts: list[int], blobs: list[bytes]) -> pa.RecordBatch:
 
 
 def _shingle_blobs(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    first, none = min(bits, STEP_BITS), np.zeros(0, np.uint32)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: list = []
 
         def flush():
             ids, sizes = np.concatenate([x[0] for x in had]), np.concatenate([x[1] for x in had])
             at = np.cumsum([0] + [len(x[0]) for x in had[:-1]])
-            owner, h = np.concatenate([x[2] + a for x, a in zip(had, at, strict=True)]), np.concatenate([x[3] for x in had])
-            out = list(_deal(ids, sizes, owner, h, bits))
+            entries = ids, sizes, np.concatenate([x[2] + a for x, a in zip(had, at, strict=True)]), np.concatenate([x[3] for x in had]), none
             had.clear()
-            return _batch([p for p, _ in out], [b for _, b in out])
+            return _deal(entries, _range(entries, first))
 
         rows = hashes = 0
         for batch in batches:
@@ -96,7 +158,7 @@ def _shingle_blobs(docs: DataFrame, k: int, bits: int) -> DataFrame:
             for chunk in chunks(batch.column("text")):
                 own, h = shingles(chunk, k)
                 sizes = np.bincount(own, minlength=chunk.n).astype(np.int64)
-                if had and (rows + chunk.n > 60_000 or hashes > 3_000_000):
+                if had and (rows + chunk.n > FLUSH_DOCS or hashes > FLUSH_HASHES):
                     yield flush()
                     rows = hashes = 0
                 had.append((ids[chunk.first : chunk.first + chunk.n], sizes, own, h))
@@ -104,11 +166,13 @@ def _shingle_blobs(docs: DataFrame, k: int, bits: int) -> DataFrame:
         if had:
             yield flush()
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(work, _BLOB)
+    blobs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(work, _BLOB)
+    return _finer(blobs, _range, bits)
 
 
 def _set_blobs(sets: DataFrame, bits: int) -> DataFrame:
     """As _shingle_blobs, from (doc_id, n, hashes)."""
+    first, none = min(bits, STEP_BITS), np.zeros(0, np.uint32)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,66 +181,41 @@ def _set_blobs(sets: DataFrame, bits: int) -> DataFrame:
                 h = [np.frombuffer(x, np.uint64) for x in part.column("hashes").to_pylist()]
                 owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
                 # mixed, so that they spread over the ranges anew; mix() keeps different hashes different
-                out = list(_deal(part.column("doc_id").to_numpy(), part.column("n").to_numpy(), owner, mix(np.concatenate(h)) if h else np.zeros(0, np.uint64), bits))
-                yield _batch([p for p, _ in out], [b for _, b in out])
-
-    return sets.select("doc_id", "n", "hashes").mapInArrow(work, _BLOB)
+                entries = part.column("doc_id").to_numpy(), part.column("n").to_numpy(), owner, mix(np.concatenate(h)) if h else np.zeros(0, np.uint64), none
+                yield _deal(entries, _range(entries, first))
 
-
-def _spread(ids: np.ndarray, bits: int) -> np.ndarray:
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return _finer(sets.select("doc_id", "n", "hashes").mapInArrow(work, _BLOB), _range, bits)
 
 
 def _repeated(blobs: DataFrame, bits: int) -> DataFrame:
-    """Of each range, the hashes that several documents have, as blobs by group of documents: ids, sizes, place, hash, count."""
+    """Of each range, the hashes that several documents have, with their counts, as blobs by group of documents."""
+    first = min(bits, STEP_BITS)
 
     def work(table: pa.Table) -> pa.Table:
-        ids, sizes, place, h, base = [], [], [], [], 0
-        for blob in table.column("blob").to_pylist():
-            i, n, local, low, high = _unpack(blob)
-            ids.append(i), sizes.append(n), place.append(local.astype(np.int64) + base)
-            h.append(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
-            base += len(i)
-        part = int(table.column("part")[0].as_py())
-        ids, sizes, place, h = map(np.concatenate, (ids, sizes, place, h))
-        own = ids[place]
-        order = np.lexsort((own, h))
-        h, own, n = h[order], own[order], sizes[place][order]
+        ids, sizes, owner, h, _ = _entries(table.column("blob").to_pylist())
+        order = np.lexsort((ids[owner], h))
+        h, owner = h[order], owner[order]
+        own = ids[owner]
         new = np.ones(len(h), bool)  # rows repeated under one id count once
         new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-        h, own, n = h[new], own[new], n[new]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        count = np.diff(np.append(first, len(h)))
+        h, owner = h[new], owner[new]
+        first_of = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        count = np.diff(np.append(first_of, len(h)))
         times = np.repeat(count, count)
         keep = times > 1
-        h, own, n, times = h[keep], own[keep], n[keep], times[keep]
-        group = _spread(own, bits)
-        order = np.lexsort((own, group))
-        h, own, n, times, group = h[order], own[order], n[order], times[order], group[order]
-        h = h | np.uint64((part & 0xFFFF) << 48)  # the range's bits again
-        bounds = np.searchsorted(group, np.arange((1 << bits) + 1))
-        parts, out = [], []
-        for g in range(1 << bits):
-            a, b = bounds[g], bounds[g + 1]
-            if b > a:
-                used, local = np.unique(own[a:b], return_inverse=True)
-                first = np.searchsorted(own[a:b], used)
-                parts.append(g)
-                out.append(_pack(used, n[a:b][first], local.astype(np.uint32), h[a:b], times[a:b].astype(np.uint32)))
-        return pa.Table.from_batches([_batch(parts, out)])
-
-    return blobs.groupBy("part").applyInArrow(work, _BLOB)
+        by_doc = np.argsort(ids[owner[keep]], kind="stable")
+        entries = ids, sizes, owner[keep][by_doc], h[keep][by_doc], times[keep][by_doc]
+        return pa.Table.from_batches([_deal(entries, _group(entries, first))])
+
+    return _finer(blobs.groupBy("part").applyInArrow(work, _BLOB), _group, bits)
 
 
 def _eligible(blobs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n, c, digest, hashes, counts of the documents whose c repeated shingles are at least the threshold of their n; sorted by (count, hash)."""
 
     def work(table: pa.Table) -> pa.Table:
-        ids, sizes, h, times = [], [], [], []
-        for blob in table.column("blob").to_pylist():
-            i, n, local, hashes, count = _unpack(blob)
-            ids.append(i[local]), sizes.append(n[local]), h.append(hashes), times.append(count)
-        ids, sizes, h, times = map(np.concatenate, (ids, sizes, h, times))
+        ids, sizes, owner, h, times = _entries(table.column("blob").to_pylist())
+        ids, sizes = ids[owner], sizes[owner]
         order = np.lexsort((h, ids))
         ids, sizes, h, times = ids[order], sizes[order], h[order], times[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
@@ -244,7 +283,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rest(cells: DataFrame, percent: int) -> DataFrame:
-    """cells: (h, x, y, side, main, doc_id, n, c, pos, comp, shared): a block of a bucket's members outside the pivot's component (side 0) and a
+    """cells: (h, len, x, y, side, main, doc_id, n, c, pos, comp, shared): a block of a bucket's members outside the pivot's component (side 0) and a
     block of any members but the pivot (side 1). Returns the pairs of different components that the filters let through.
 
     shared is a member's intersection with the bucket's pivot. What two members share lies in the pivot, where it is at most the smaller of
@@ -269,7 +308,7 @@ def _rest(cells: DataFrame, percent: int) -> DataFrame:
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cells.groupBy("h", "x", "y").applyInArrow(work, "a long, b long")
+    return cells.groupBy("h", "len", "x", "y").applyInArrow(work, "a long, b long")
 
 
 def _bucket_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -290,14 +329,18 @@ def _bucket_links(sets: DataFrame, percent: int) -> DataFrame:
     had = verified.select(F.col("a").alias("a_v"), F.col("b").alias("b_v"), "shared")
     rows = rows.join(had, (F.col("a") == F.col("a_v")) & (F.col("b") == F.col("b_v")), "left").withColumn("shared", F.coalesce("shared", F.lit(-1)))
     rows = materialise(rows.select("h", *[F.col(f"{x}_m").alias(x) for x in ("doc_id", "n", "c", "pos")], "comp", "main", "shared"), "bucket_members")
-    blocks = lambda x: F.ceil(x / BLOCK).cast("int")
-    open_ = rows.groupBy(F.col("h").alias("h_o")).agg(blocks(F.count_if(~F.col("main"))).alias("xs"), blocks(F.count(F.lit(1))).alias("ys"), F.count(F.lit(1)).alias("size")).where("xs > 0 and size > 1").drop("size")
-    rows = rows.join(open_, F.col("h") == F.col("h_o")).drop("h_o")
+    # linked sets have lengths of one class or of neighbouring ones
+    rows = rows.withColumn("len", F.floor(F.log("n") / math.log(100 / min(percent, 99) * 1.000001)))
+    lefts = rows.where("not main")
+    rights = rows.withColumn("len", F.explode(F.array(*[F.col("len") + i for i in (-1, 0, 1)])))
+    blocks = lambda side, name: side.groupBy(F.col("h").alias("h_o"), F.col("len").alias("len_o")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    cells = materialise(blocks(lefts, "xs").join(blocks(rights, "ys"), ["h_o", "len_o"]), "cells")
+    open_ = lambda side: side.join(cells, (F.col("h") == F.col("h_o")) & (F.col("len") == F.col("len_o"))).drop("h_o", "len_o")
     own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     member = ("main", "doc_id", "n", "c", "pos", "comp", "shared")
-    left = rows.where("not main").select("h", own("xs").alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), *member)
-    right = rows.select("h", every("xs").alias("x"), own("ys").alias("y"), F.lit(1).alias("side"), *member)
+    left = open_(lefts).select("h", "len", own("xs").alias("x"), every("ys").alias("y"), F.lit(0).alias("side"), *member)
+    right = open_(rights).select("h", "len", every("xs").alias("x"), own("ys").alias("y"), F.lit(1).alias("side"), *member)
     met_now = materialise(_rest(left.union(right), percent).distinct(), "rest_pairs")
     return links.union(_verified(met_now, sets, percent).where("linked").select("a", "b"))
 
@@ -319,9 +362,8 @@ def linked_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     component_id is the least doc_id reachable by links. Documents without a row have no link.
     """
-    spark = docs.sparkSession
-    rows = docs.count()
-    bits = max(LEAST_RANGES, rows // DOCS_PER_RANGE).bit_length() - 1
+    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    bits = max(LEAST_BITS, (text_bytes // BYTES_PER_RANGE).bit_length())
     found = materialise(_eligible(_repeated(_shingle_blobs(docs, k, bits), bits), percent).drop("counts"), "sets")
     classes = materialise(found.groupBy("n", "c", "digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "class_heads")
     members = found.select("doc_id", "n", "c", "digest").join(classes.withColumnRenamed("doc_id", "class_id"), ["n", "c", "digest"])

@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once; a longer text is taken alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text, and texts, that are worked on at once; a longer text is taken alone.
+CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 1 << 14
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -99,7 +99,7 @@ def chunks(column: pa.Array) -> Iterator[Chunk]:
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
-        to = min(to, len(column))
+        to = min(to, len(column), at + CHUNK_TEXTS)
         yield Chunk(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at)
         at = to
 
