@@ -14,6 +14,8 @@ SECRET = (
     rf"|(?=[^0-9]*[0-9]){_TOKEN}{{{OPAQUE_SECRET_MIN_LEN},}}\z"
     r"|[^@]+@(?!\.)[^.]*\.)"
 )
+#: What every word that is masked in some part holds: =, @, a run of token characters or two of them about a dot.
+CANDIDATE = rf"[=@]|{_TOKEN}{{{OPAQUE_SECRET_MIN_LEN}}}|[A-Za-z0-9_-]{{4}}\\.[A-Za-z0-9_-]{{4}}".replace("\\\\", "\\")
 PUNCTUATION = ",;:.!?()[]\"'"
 
 
@@ -34,16 +36,19 @@ def _part(part: Column) -> Column:
 
 
 def redact_text(text: Column) -> Column:
-    """Every word (up to a space or tab) with its secrets masked: of a word with slashes each segment, of name=value the value."""
+    """Every word (up to a space or tab) with its secrets masked: of a word with slashes each segment, of name=value the value.
+
+    Texts, and words, that can't hold a secret (see CANDIDATE) are left after one look.
+    """
     chunks = F.regexp_extract_all(text, F.lit("[^ \t]*[ \t]|[^ \t]+"), 0)
 
     def word(chunk: Column) -> Column:
         body = F.regexp_replace(chunk, r"(?U)\s+\z", "")
         tail = chunk.substr(F.length(body) + 1, F.length(chunk))
         masked = F.array_join(F.transform(F.split(body, "/"), _part), "/")
-        return F.when(body == "", chunk).otherwise(F.concat(masked, tail))
+        return F.when(chunk.rlike(CANDIDATE), F.concat(masked, tail)).otherwise(chunk)
 
-    return F.array_join(F.transform(chunks, word), "")
+    return F.when(text.rlike(CANDIDATE), F.array_join(F.transform(chunks, word), "")).otherwise(text)
 
 
 def redact_file(path: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apisight.functions.paths import canonical_segments, endpoint_id, join_segments
 from apisight.operators.normalize import collapse_ids
+from apisight.session import cut_lineage
 
 
 def path_observations(requests: DataFrame) -> DataFrame:
@@ -43,8 +44,8 @@ def auth_verdict(observable: Column, present: Column) -> Column:
 def inventory_from(observations: DataFrame) -> DataFrame:
     """Endpoints from path_observations() rows, of one log or of several together."""
     segs = observations.withColumn("segs", canonical_segments(F.col("raw_path"))).drop("raw_path")
-    # equal canonical paths meet before the levels are walked
-    paths = merge_observations(segs, "segs")
+    # equal canonical paths meet before the levels are walked; the log is read once, for this table
+    paths = cut_lineage(merge_observations(segs, "segs"))
     found = collapse_ids(paths).withColumn("path_pattern", join_segments(F.col("segs")))
     merged = merge_observations(found, "path_pattern")
     return merged.select(

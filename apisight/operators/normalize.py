@@ -9,8 +9,8 @@ from apisight.functions.paths import is_id_like
 from apisight.ruleset import ID_PLACEHOLDER, MIN_DISTINCT_VALUES_FOR_VARIABLE
 from apisight.session import cut_lineage
 
-#: Levels between checkpoints.
-LEVELS = 6
+#: Levels that are joined on before the paths themselves are written again.
+LEVELS = 4
 
 
 def _with_placeholder(depth: int) -> Column:
@@ -20,22 +20,21 @@ def _with_placeholder(depth: int) -> Column:
 def collapse_ids(paths: DataFrame) -> DataFrame:
     """paths with segs rewritten: the identifier-like segment at a depth is {id} where its already rewritten prefix has three such values or more.
 
-    Depths are walked from the root, for a depth's prefix depends on those before. Only depths at which three distinct identifier-like values
-    occur at all are walked, so a path of thousands of segments costs nothing by itself. Each level is a distinct count per prefix (combined
-    before the shuffle) joined back on the prefix.
+    paths should be a table (a checkpoint, say), for every level reads it. Depths are walked from the root, for a depth's prefix depends on
+    those before. Only depths at which three distinct identifier-like values occur at all are walked, and a path is exploded into such values
+    alone, so one of thousands of segments costs no more than its length. Each level is a distinct count per prefix (combined before the
+    shuffle), whose few varying prefixes are checkpointed and joined back.
     """
-    ids = F.transform("segs", lambda s, i: F.when(is_id_like(s), i))
-    # every path gives each depth's value once; a depth with fewer than three values can't vary
-    spots = paths.select(F.posexplode("segs").alias("depth", "value"), ids.alias("ids")).where(F.col("ids")[F.col("depth")].isNotNull())
-    depths = [r.depth for r in spots.groupBy("depth").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= MIN_DISTINCT_VALUES_FOR_VARIABLE).orderBy("depth").collect()]
+    values = paths.select(F.posexplode(F.transform("segs", lambda s: F.when(is_id_like(s), s))).alias("depth", "value")).where("value is not null")
+    depths = [r.depth for r in values.groupBy("depth").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= MIN_DISTINCT_VALUES_FOR_VARIABLE).orderBy("depth").collect()]
     for i, d in enumerate(depths):
         if i and i % LEVELS == 0:
             paths = cut_lineage(paths)
         here = F.col("segs")[d]
-        paths = paths.withColumn("_id", F.when(F.size("segs") > d, is_id_like(here)).otherwise(F.lit(False)))
-        paths = paths.withColumn("_prefix", F.when(F.col("_id"), F.array_join(F.slice("segs", 1, d), "/")))
-        varying = paths.where("_id").groupBy(F.col("_prefix").alias("_varies")).agg(F.count_distinct(here).alias("n")).where(F.col("n") >= MIN_DISTINCT_VALUES_FOR_VARIABLE)
-        paths = paths.join(varying.select("_varies"), F.col("_prefix") == F.col("_varies"), "left")
-        rewritten = _with_placeholder(d)
-        paths = paths.withColumn("segs", F.when(F.col("_varies").isNotNull(), rewritten).otherwise(F.col("segs"))).drop("_id", "_prefix", "_varies")
+        fits = (F.size("segs") > d) & F.coalesce(is_id_like(F.get("segs", F.lit(d))), F.lit(False))
+        prefix = F.when(fits, F.array_join(F.slice("segs", 1, d), "/"))
+        varying = paths.where(fits).groupBy(prefix.alias("_varies")).agg(F.count_distinct(here).alias("n")).where(F.col("n") >= MIN_DISTINCT_VALUES_FOR_VARIABLE)
+        varying = cut_lineage(varying.select("_varies"))
+        paths = paths.join(varying, prefix == F.col("_varies"), "left")
+        paths = paths.withColumn("segs", F.when(F.col("_varies").isNotNull(), _with_placeholder(d)).otherwise(F.col("segs"))).drop("_varies")
     return paths

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +20,9 @@ METHOD = r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+\z"
 LOCAL_TIME = r"^[0-9]{1,2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}\z"
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})\z"
 
+#: Bytes of a file that are read at once for its digest.
+PIECE_BYTES = 8 << 20
+
 
 class FormatNotRecognized(ValueError):
     """No line of the sample, or of the whole log, fits the declared grammar."""
@@ -57,25 +67,22 @@ def parse_rfc3339(text: Column) -> Column:
     return F.when(text.rlike(RFC3339), F.try_to_timestamp(F.upper(text)))
 
 
-def _once(rows: DataFrame, name: str, *columns: Column) -> DataFrame:
-    """rows with a struct of the columns, computed once: a plain projection would be merged into those above it, at each use of a column."""
-    return rows.select("*", F.explode(F.array(F.struct(*columns))).alias(name))
-
-
 def parse_lines(lines: DataFrame, log_format: str = BUILT_IN, value: str = "value") -> DataFrame:
     """lines with method, raw_path, query_params, auth, status_code, ts and discard_reason (null for a parsed line; the others are null then).
 
-    One pass, one projection. The reasons come in a fixed order: length (in bytes, before a trailing \\r is taken off), encoding, blank, the
-    grammar's structure, status, time, request; the byte count comes with the structure in the built-in grammar and last in a declared one.
+    A line has no \\n, so one replacement by the grammar's fields, each after a \\n, both tests and cuts it. The reasons come in a fixed order:
+    length (in bytes, before a trailing \\r is taken off), encoding, blank, the grammar's structure, status, time, request; the byte count comes
+    with the structure in the built-in grammar and last in a declared one. A value with \\n is a malformed line.
+
+    The results are made in one generator, so that a condition on them is not pushed under it and computed twice.
     """
     g: Grammar = compile_format(log_format)
-    line = F.regexp_replace(value, r"\r\z", "")
-    valid = F.is_valid_utf8(F.col(value))
-    fits = F.when(valid, line.rlike(g.pattern)).otherwise(F.lit(False))
-    fields = F.when(fits, F.array(*[F.regexp_extract(line, g.pattern, i) for i in g.fields.values()]))
-    lines = _once(lines, "_line", valid.alias("valid"), line.rlike(r"(?U)^\s*\z").alias("blank"), fields.alias("fields"))
-    field = {name: F.col("_line.fields")[i] for i, name in enumerate(g.fields)}
-
+    given = F.col(value)
+    line = F.when(F.endswith(given, F.lit("\r")), F.substring(given, F.lit(1), F.length(given) - 1)).otherwise(given)
+    parts = F.split(F.regexp_replace(line, g.pattern, "".join(f"\n${i}" for i in g.fields.values())), "\n")
+    rows = lines.select("*", F.is_valid_utf8(given).alias("_valid"), F.when(~F.contains(given, F.lit("\n")), parts).alias("_parts"))
+    rows = rows.withColumn("_fields", F.when(F.col("_valid") & (F.size("_parts") == len(g.fields) + 1), F.col("_parts")))
+    field = {name: F.col("_fields")[i + 1] for i, name in enumerate(g.fields)}
     if "request" in field:
         method, target = request_line(field["request"])
     else:
@@ -84,32 +91,32 @@ def parse_lines(lines: DataFrame, log_format: str = BUILT_IN, value: str = "valu
         method, target = F.when(ok, method), F.when(ok, target)
     ts = parse_local_time(field["time_local"]) if "time_local" in field else parse_rfc3339(field["time_iso8601"])
     bad_bytes = ~field["body_bytes_sent"].rlike(r"^(?:[0-9]+|-)\z") if "body_bytes_sent" in field else F.lit(False)
-    status = field["status"]
-    lines = _once(lines, "_read", method.alias("method"), target.alias("target"), ts.alias("ts"), bad_bytes.alias("bad_bytes"))
-    method, target, ts, bad_bytes = (F.col(f"_read.{x}") for x in ("method", "target", "ts", "bad_bytes"))
-    path, query = path_and_query(target)
+    rows = rows.select("*", method.alias("_method"), target.alias("_target"), ts.alias("_ts"), bad_bytes.alias("_bad_bytes"))
+    path, query = path_and_query(F.col("_target"))
+    bad = F.col("_bad_bytes")
     reason = (
-        F.when(F.octet_length(value) > R.MAX_LINE_BYTES, R.LINE_TOO_LONG)
-        .when(~F.col("_line.valid"), R.INVALID_UTF8)
-        .when(F.col("_line.blank"), R.BLANK_LINE)
-        .when(F.col("_line.fields").isNull() | (F.lit(not g.declared) & bad_bytes), R.MALFORMED_LINE)
-        .when(~status.rlike(r"^[0-9]{3}\z"), R.INVALID_STATUS)
-        .when(ts.isNull(), R.INVALID_TIMESTAMP)
-        .when(method.isNull(), R.INVALID_REQUEST)
-        .when(bad_bytes, R.MALFORMED_LINE)
+        F.when(F.octet_length(given) > R.MAX_LINE_BYTES, R.LINE_TOO_LONG)
+        .when(~F.col("_valid"), R.INVALID_UTF8)
+        .when(F.col("_fields").isNull() & given.rlike(r"(?U)^\s*\z"), R.BLANK_LINE)
+        .when(F.col("_fields").isNull() | (F.lit(not g.declared) & bad), R.MALFORMED_LINE)
+        .when(~field["status"].rlike(r"^[0-9]{3}\z"), R.INVALID_STATUS)
+        .when(F.col("_ts").isNull(), R.INVALID_TIMESTAMP)
+        .when(F.col("_method").isNull(), R.INVALID_REQUEST)
+        .when(bad, R.MALFORMED_LINE)
     )
-    lines = _once(lines, "_verdict", reason.alias("reason")).withColumn("discard_reason", F.col("_verdict.reason"))
-    parsed = F.col("discard_reason").isNull()
-    return lines.withColumns(
-        {
-            "method": F.when(parsed, method),
-            "raw_path": F.when(parsed, path),
-            "query_params": F.when(parsed, query_params(query)),
-            "auth": F.when(parsed, infer_auth(field["remote_user"] if "remote_user" in field else F.lit(None).cast("string"))),
-            "status_code": F.when(parsed, F.try_to_number(status, F.lit("999")).cast("smallint")),
-            "ts": F.when(parsed, ts),
-        }
-    ).drop("_line", "_read", "_verdict")
+    rows = rows.select("*", reason.alias("_reason"))
+    parsed = F.col("_reason").isNull()
+    out = {
+        "discard_reason": F.col("_reason"),
+        "method": F.when(parsed, F.col("_method")),
+        "raw_path": F.when(parsed, path),
+        "query_params": F.when(parsed, query_params(query)),
+        "auth": F.when(parsed, infer_auth(field["remote_user"] if "remote_user" in field else F.lit(None).cast("string"))),
+        "status_code": F.when(parsed, F.try_to_number(field["status"], F.lit("999")).cast("smallint")),
+        "ts": F.when(parsed, F.col("_ts")),
+    }
+    kept = [F.col(f"`{c}`") for c in lines.columns if c not in out]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in out.items()]))))
 
 
 def ingest_counts(parsed: DataFrame) -> DataFrame:
@@ -126,5 +133,22 @@ def check_format(parsed: DataFrame) -> None:
 
 
 def input_digest(spark: SparkSession, path: str) -> DataFrame:
-    """path and SHA-256 of each file's bytes (up to 2 GB each)."""
-    return spark.read.format("binaryFile").load(path).select("path", F.lit("sha256").alias("algorithm"), F.sha2("content", 256).alias("digest"))
+    """path, algorithm and SHA-256 of each file's bytes, of any size: a task reads a file in pieces and holds one of them.
+
+    Files are listed by Spark and opened by pyarrow's file systems in the task (local paths, file:// and hdfs://).
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column("path").to_pylist():
+                store, at = FileSystem.from_uri(unquote(name).replace("file:/", "file:///", 1) if re.match("file:/[^/]", name) else name)
+                digest = hashlib.sha256()
+                with store.open_input_stream(at) as stream:
+                    while piece := stream.read(PIECE_BYTES):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(["sha256"] * len(found), pa.string()), pa.array(found, pa.string())], ["path", "algorithm", "digest"])
+
+    return files.mapInArrow(work, "path string, algorithm string, digest string")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 BUILT_IN = "nginx-combined"
 
 #: Fixed value: the built-in grammar. Possessive, so that no field takes a part of another.
-COMBINED = r'^ *+([^ ]++) *+([^ ]++) *+([^ ]++) *+\[([^\]]*+)\] *+"([^"]*+)" *+([^ ]++) *+([^ ]++) *+"([^"]*+)" *+"([^"]*+)"\s*\z'
+COMBINED = r'^ *+([^ ]++) *+([^ ]++) *+([^ ]++) *+\[([^\]]*+)\] *+"([^"]*+)" *+([^ ]++) *+([^ ]++) *+"([^"]*+)" *+"([^"]*+)"(?U:\s)*+\z'
 COMBINED_FIELDS = {"remote_user": 3, "time_local": 4, "request": 5, "status": 6, "body_bytes_sent": 7}
 
 #: Fixed value: names of one field.
