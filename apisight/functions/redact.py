@@ -15,7 +15,7 @@ SECRET = (
     r"|[^@]+@(?!\.)[^.]*\.)"
 )
 #: What every word that is masked in some part holds: =, @, a run of token characters or two of them about a dot.
-CANDIDATE = rf"[=@]|{_TOKEN}{{{OPAQUE_SECRET_MIN_LEN}}}|[A-Za-z0-9_-]{{4}}\\.[A-Za-z0-9_-]{{4}}".replace("\\\\", "\\")
+CANDIDATE = rf"[=@]|{_TOKEN}{{{OPAQUE_SECRET_MIN_LEN}}}|[A-Za-z0-9_-]{{4}}\.[A-Za-z0-9_-]{{4}}"
 PUNCTUATION = ",;:.!?()[]\"'"
 
 

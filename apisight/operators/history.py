@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from apisight.operators.summaries import auth_label
+
 SCHEMA_VERSION = 3
 #: Blocks of runs by id, a power of two: the largest group that clock_backwards sorts has one of so many parts of all runs.
 BLOCKS = 1024
@@ -89,6 +91,30 @@ def first_seen_in(endpoints: DataFrame, target: str, run_id: int) -> DataFrame:
     return endpoints.where((F.col("target") == target) & (F.col("first_seen_run") == run_id))
 
 
+def target_inventory(endpoints: DataFrame, target: str) -> DataFrame:
+    """A target's endpoints as the history shows them."""
+    rows = endpoints.where(F.col("target") == target)
+    return rows.select("path_pattern", "endpoint_id", F.greatest("observation_count", F.lit(0)).alias("observation_count"), auth_label(F.col("auth_observed")).alias("auth"), (F.col("alerted") & ~F.col("acknowledged")).alias("pending"))
+
+
+def targets(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("target").agg(F.count(F.lit(1)).alias("runs"), F.max("id").alias("last_run"))
+
+
+def last_run(runs: DataFrame, target: str) -> DataFrame:
+    """The target's run with the highest id, if there is one."""
+    return runs.where(F.col("target") == target).orderBy(F.desc("id")).limit(1)
+
+
+def status_counts(runs: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """The status view's numbers: each target's runs and last run, its endpoints, those first seen after its first run, and pending alerts."""
+    of = endpoints.groupBy(F.col("target").alias("t")).agg(
+        F.count(F.lit(1)).alias("endpoints"), F.count_if(F.col("first_seen_run") > 1).alias("later"), F.count_if(F.col("alerted") & ~F.col("acknowledged")).alias("pending")
+    )
+    rows = targets(runs).join(of, F.col("target") == F.col("t"), "left")
+    return rows.select("target", "runs", "last_run", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("endpoints", "later", "pending")])
+
+
 def findings_of_run(findings: DataFrame, run_id: int) -> DataFrame:
     return findings.select(
         F.lit(run_id).cast("long").alias("run_id"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apisight import ruleset as R
 from apisight.functions.paths import is_id_like, parent_prefix
+from apisight.functions.redact import redact_text
 
 
 def urgency(classification: Column) -> Column:
@@ -19,10 +20,36 @@ def finding_counts(findings: DataFrame) -> DataFrame:
 
 
 def grouped_findings(findings: DataFrame) -> DataFrame:
-    """Findings of one first evidence and classification together: in detail up to GROUP_DETAIL_LIMIT members, one reason beyond."""
-    rows = findings.withColumn("reason", F.col("evidence")[0])
-    grouped = rows.groupBy("classification", "reason").agg(F.count(F.lit(1)).alias("members"), F.min("path_pattern").alias("first_path"))
-    return grouped.withColumn("in_detail", F.col("members") <= R.GROUP_DETAIL_LIMIT)
+    """Findings of one first evidence and classification together, with their members' paths in the report's order: by urgency, path, kind.
+
+    position: the place of the group by its first appearance in the report. A group is in detail up to GROUP_DETAIL_LIMIT members; beyond, the
+    report gives its reason once. Rows are endpoints, so a group's paths are as many as endpoints of one kind.
+    """
+    rows = findings.withColumn("reason", F.col("evidence")[0]).withColumn("urgency", urgency(F.col("classification")))
+    member = F.struct("path_pattern", "subject_kind")
+    grouped = rows.groupBy("urgency", "classification", "reason").agg(F.count(F.lit(1)).alias("members"), F.array_sort(F.collect_list(member)).alias("of"))
+    # groups of one classification follow their first paths
+    order = Window.partitionBy("urgency").orderBy(F.col("of")[0], "reason")
+    grouped = grouped.withColumn("nth", F.row_number().over(order))
+    grouped = grouped.select("classification", "reason", "members", F.col("of.path_pattern").alias("paths"), (F.col("urgency") * 1_000_000 + F.col("nth")).cast("long").alias("position"))
+    return grouped.withColumn("first_path", F.col("paths")[0]).withColumn("in_detail", F.col("members") <= R.GROUP_DETAIL_LIMIT)
+
+
+def finding_mix(findings: DataFrame) -> DataFrame:
+    """Findings by classification, severity and confidence."""
+    return findings.groupBy("classification", "severity", "confidence").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def evidence_histogram(findings: DataFrame) -> DataFrame:
+    """How often each piece of evidence is given, with numbers and names in it as one."""
+    plain = lambda e: F.regexp_replace(F.regexp_replace(e, "/[^ ,;']*", "<path>"), "[0-9]+", "<n>")
+    return findings.select(F.explode("evidence").alias("e")).groupBy(plain(F.col("e")).alias("evidence")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def redacted_share(inventory: DataFrame) -> DataFrame:
+    """One row: patterns, and those that redaction changes."""
+    changed = redact_text(F.col("path_pattern")) != F.col("path_pattern")
+    return inventory.agg(F.count(F.lit(1)).alias("patterns"), F.count_if(changed).alias("redacted"))
 
 
 def auth_label(auth: Column) -> Column:

@@ -17,7 +17,7 @@ from apisight.operators.inventory import observed_inventory
 from apisight.operators.silence import apply_allowlist, broad_rules
 from apisight.operators.summaries import compliance_rows, urgency
 from apisight.session import cut_lineage
-from apisight.sources.access_log import check_format, ingest_counts, input_digest, parse_lines, scan_log
+from apisight.sources.access_log import check_format, in_scope, ingest_counts, input_digest, parse_lines, scan_log
 from apisight.sources.allowlist import read_allowlist
 from apisight.sources.grammar import BUILT_IN
 from apisight.sources.openapi import read_spec
@@ -68,7 +68,7 @@ def analyse(spark: SparkSession, log: str, settings: Settings | None = None) ->
     s = settings or Settings()
     parsed = parse_lines(scan_log(spark, log), s.log_format)
     check_format(parsed)
-    inside = F.startswith("raw_path", F.lit(s.path_prefix)) if s.path_prefix else F.lit(True)
+    inside = in_scope(s.path_prefix)
     fine = F.col("discard_reason").isNull()
     counted = parsed.groupBy(F.coalesce("discard_reason", F.lit("parsed")).alias("outcome"), (fine & ~inside).alias("outside")).agg(F.count(F.lit(1)).alias("lines")).collect()
     counts: dict[str, int] = {}

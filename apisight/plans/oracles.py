@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from apisight.plans.derived import DECLARED, RULES
+from apisight.plans.derived import DECLARED, FULL_DECLARED, FULL_RULES, RULES
 from apisight.plans.queries import TARGET
-from apisight.ruleset import EVIDENCE
+from apisight.ruleset import EVIDENCE, SENSITIVE_FIELD_NAMES
 
 _EVENTS = """
  ev AS (SELECT event_id, ts, user_id, event_type, regexp_extract(props, '[0-9]+') AS k,
@@ -14,11 +14,15 @@ _EVENTS = """
    CASE event_id % 7 WHEN 0 THEN '/api/v1/orders/' || event_id || '/items/' || regexp_extract(props, '[0-9]+') WHEN 1 THEN '/api/v1/debug/errors/' || regexp_extract(props, '[0-9]+')
      WHEN 2 THEN '/api/v1/users/me' ELSE '/api/v1/users/' || user_id || '/' || event_type END AS path
    FROM events),
- rs AS (SELECT *, CASE WHEN event_id % 107 = 0 THEN 'blank-line' WHEN event_id % 109 = 0 THEN 'malformed-line' WHEN event_id % 101 = 0 THEN 'invalid-status-code'
-   WHEN event_id % 103 = 0 THEN 'invalid-timestamp' END AS reason, CASE WHEN remote_user = '-' THEN 'NotObservable' ELSE 'Present' END AS state FROM ev),
+ rs AS (SELECT *, CASE WHEN event_id % 107 <> 0 AND event_id % 127 = 0 THEN 'line-too-long' WHEN event_id % 107 <> 0 AND event_id % 113 = 0 THEN 'invalid-utf8' WHEN event_id % 107 = 0 THEN 'blank-line'
+   WHEN event_id % 109 = 0 OR (event_id % 139 = 0 AND event_id % 97 <> 0) THEN 'malformed-line' WHEN event_id % 101 = 0 THEN 'invalid-status-code'
+   WHEN event_id % 103 = 0 OR event_id % 202 = 0 THEN 'invalid-timestamp' WHEN event_id % 131 = 0 THEN 'invalid-request-line' END AS reason,
+   CASE WHEN remote_user = '-' THEN 'NotObservable' ELSE 'Present' END AS state FROM ev),
  rq AS (SELECT * FROM rs WHERE reason IS NULL),
- ts3 AS (SELECT *, CASE WHEN event_id % 7 = 1 THEN 'Absent' WHEN path LIKE '%/view' THEN 'Present' WHEN path LIKE '%/click' THEN CASE WHEN event_id % 2 = 0 THEN 'Present' ELSE 'Absent' END
-   WHEN path LIKE '%/signup' THEN 'Absent' ELSE 'NotObservable' END AS state3 FROM ev)"""
+ tp AS (SELECT * REPLACE (CASE WHEN event_id % 17 = 3 THEN '/admin/export' WHEN event_id % 17 = 4 THEN '/shop/main/items' ELSE path END AS path,
+   CASE WHEN event_id % 19 = 0 THEN ts + INTERVAL 45 DAY ELSE ts END AS ts) FROM ev),
+ ts3 AS (SELECT *, CASE WHEN event_id % 7 = 1 OR path LIKE '/admin%' THEN 'Absent' WHEN path LIKE '%/view' THEN 'Present' WHEN path LIKE '%/click' THEN CASE WHEN event_id % 2 = 0 THEN 'Present' ELSE 'Absent' END
+   WHEN path LIKE '%/signup' THEN 'Absent' ELSE 'NotObservable' END AS state3 FROM tp)"""
 
 
 def _inventory(source: str, state: str, name: str) -> str:
@@ -103,8 +107,12 @@ _THREE = f"WITH {_EVENTS}, {_T}"
 _MATCHED = f"{_OBSERVED}, {_D}, {_PAIRS}"
 _FOUND = f"{_MATCHED}, {_FINDINGS}"
 
-_HISTORY = f"""WITH old AS (SELECT 'e' || user_id AS endpoint_id, count(*) AS n, user_id AS u FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
- new AS (SELECT 'e' || user_id AS id, count(*) AS n, user_id AS u FROM events WHERE event_id % 5 = 0 GROUP BY user_id),
+_FULL_MATCHED = f"WITH {_EVENTS}, {_T}, {_values(FULL_DECLARED, 'declared_path, dm, ds', 'de')}, {_PAIRS}".replace("obx", "thx")
+_FULL_FOUND = f"{_FULL_MATCHED}, {_FINDINGS}".replace("obx", "thx")
+_FULL_R = _values(FULL_RULES, "line_number, kind, value", "ru")
+
+_HISTORY = f"""WITH seen AS (SELECT event_id % 2 AS odd, 'e' || user_id || '-' || event_type || '-' || regexp_extract(props, '([0-9])[^0-9]*$', 1) AS id, count(*) AS n, min(user_id) AS u FROM events GROUP BY 1, 2),
+ old AS (SELECT id AS endpoint_id, n, u FROM seen WHERE odd = 0), new AS (SELECT id, n, u FROM seen WHERE odd = 1),
  up AS (SELECT '{TARGET}' AS target, coalesce(endpoint_id, id) AS endpoint_id, CASE WHEN id IS NOT NULL THEN '/new/' || id ELSE '/old/' || endpoint_id END AS path_pattern,
    CASE WHEN endpoint_id IS NULL THEN 2 ELSE 1 END::BIGINT AS first_seen_run, CASE WHEN id IS NULL THEN 1 ELSE 2 END::BIGINT AS last_seen_run,
    coalesce(CASE new.u % 4 WHEN 0 THEN 'Shadow' WHEN 1 THEN 'Undetermined' END, CASE old.u % 3 WHEN 0 THEN 'Shadow' WHEN 1 THEN 'Known' END) AS last_classification,
@@ -113,14 +121,23 @@ _HISTORY = f"""WITH old AS (SELECT 'e' || user_id AS endpoint_id, count(*) AS n,
    new.n AS auth_observable_count FROM old FULL JOIN new ON endpoint_id = id)"""
 _CLASSES = "(VALUES (0, 'Shadow'), (1, 'Zombie'), (2, 'Known'), (3, 'Undetermined'), (4, 'no verdict')) t(position, label)"
 _AUTHS = "(VALUES (0, 'yes'), (1, 'no'), (2, 'mixed'), (3, 'not observable'), (4, 'not recorded')) t(position, label)"
-_RUNS = "WITH runs AS (SELECT event_id AS id, 't' || user_id % 3 AS target, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS run_timestamp, user_id AS endpoints FROM events WHERE event_id % 40 = 0)"
+_RUNS = "WITH runs AS (SELECT event_id AS id, 't' || user_id % 3 AS target, strftime(ts - CASE WHEN event_id % 97 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END, '%Y-%m-%dT%H:%M:%SZ') AS run_timestamp, user_id AS endpoints FROM events)"
+#: What a word's segment is masked for: {0} is the segment, {1} without punctuation around it.
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+_SECRET = r"(regexp_full_match({0}, '[A-Za-z0-9_-]{{4,}}(\.[A-Za-z0-9_-]{{4,}}){{2}}') OR (regexp_full_match({0}, '[A-Za-z0-9_+/=-]{{24,}}') AND regexp_matches({0}, '[0-9]')) OR regexp_matches({0}, '(?s)^[^@]+@[^.]+\.'))"
+_BARE = "trim(part, ',;:.!?()[]\"''')"
+_MASKED = f"""CASE WHEN instr(part, '=') > 0 AND length(part) > instr(part, '=') AND regexp_matches(lower(regexp_replace(substr(part, 1, instr(part, '=') - 1), '[^A-Za-z0-9]', '', 'g')), '{"|".join(SENSITIVE_FIELD_NAMES)}')
+   THEN substr(part, 1, instr(part, '=')) || '<redacted>' WHEN {_SECRET.format(_BARE)} OR len(list_filter(string_split_regex({_BARE}, '%[0-9A-Fa-f]{{2}}'), lambda x: {_SECRET.format("x")})) > 0 THEN '<redacted>' ELSE part END"""
 
 ORACLES = {
     "parse_combined": f"WITH {_EVENTS} SELECT event_id, method, path AS raw_path, state AS auth, status::INT AS status_code, epoch(date_trunc('second', ts))::BIGINT AS ts FROM rq",
-    "parse_declared": f"WITH {_EVENTS} SELECT event_id, method, path AS raw_path, state AS auth, status::INT AS status_code, epoch(date_trunc('second', ts))::BIGINT AS ts, NULL::VARCHAR AS discard_reason FROM rs",
-    "scan_log": f"""WITH {_EVENTS}, l AS (SELECT event_id, CASE WHEN event_id % 107 = 0 THEN '  ' ELSE '10.0.0.1 - ' || remote_user || ' [' || CASE WHEN event_id % 103 = 0 THEN 'yesterday' ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S +0000') END || '] "' || method || ' ' || path
-        || CASE WHEN event_id % 3 = 0 THEN '?page=' || k || '&sort=a&page=2' ELSE '' END || ' HTTP/1.1" ' || CASE WHEN event_id % 101 = 0 THEN '2xx' ELSE status::VARCHAR END || ' 12' || CASE WHEN event_id % 109 = 0 THEN ' "agent"' ELSE ' "-" "agent"' END END AS v FROM ev)
-        SELECT event_id, strlen(v)::INT AS bytes, md5(v) AS line_md5 FROM l""",
+    "parse_declared": f"""WITH {_EVENTS}, p AS (SELECT *, CASE WHEN event_id % 23 = 0 THEN 'invalid-request-line' END AS why FROM rs) SELECT event_id, CASE WHEN why IS NULL THEN method END AS method, CASE WHEN why IS NULL THEN path END AS raw_path,
+        CASE WHEN why IS NULL THEN state END AS auth, CASE WHEN why IS NULL THEN status END::INT AS status_code, CASE WHEN why IS NULL THEN epoch(date_trunc('second', ts)) END::BIGINT AS ts, why AS discard_reason FROM p""",
+    "scan_log": f"""WITH {_EVENTS}, l AS (SELECT CASE WHEN event_id % 107 = 0 THEN encode('  ') ELSE encode('10.0.0.1 - ' || remote_user || ' [' || CASE WHEN event_id % 103 = 0 OR event_id % 202 = 0 THEN 'yesterday' ELSE strftime(ts, '%d/%b/%Y:%H:%M:%S +0000') END || '] "' || method || ' ' || path
+        || CASE WHEN event_id % 3 = 0 THEN '?page=' || k || '&sort=a&page=2' ELSE '' END || CASE WHEN event_id % 131 = 0 THEN ' FTP/1' ELSE ' HTTP/1.1' END || '" ' || CASE WHEN event_id % 101 = 0 THEN '2xx' ELSE status::VARCHAR END || ' '
+        || CASE WHEN event_id % 97 = 0 THEN '-' WHEN event_id % 139 = 0 THEN '1k' ELSE '12' END || CASE WHEN event_id % 109 = 0 THEN ' "' ELSE ' "-" "' END || CASE WHEN event_id % 127 = 0 THEN repeat('long ', 14000) WHEN event_id % 113 = 0 THEN '' ELSE 'agent' END)
+        || CASE WHEN event_id % 127 <> 0 AND event_id % 113 = 0 THEN '\\xFF'::BLOB ELSE encode('') END || encode('"' || CASE WHEN event_id % 5 = 0 THEN chr(13) ELSE '' END) END AS v FROM ev)
+        SELECT octet_length(v)::INT AS bytes, md5(v) AS line_md5 FROM l""",
     "discard_reasons": f"WITH {_EVENTS} SELECT coalesce(reason, 'parsed') AS outcome, count(*) AS lines FROM rs GROUP BY 1",
     "scope_filter": f"WITH {_EVENTS} SELECT count(*) FILTER (starts_with(path, '/api/v1/users')) AS inside, count(*) FILTER (NOT starts_with(path, '/api/v1/users')) AS outside FROM rq",
     "request_line": f"WITH {_EVENTS} SELECT event_id, CASE WHEN event_id % 5 <> 0 AND event_id % 11 <> 0 THEN method END AS method, CASE WHEN event_id % 5 <> 0 AND event_id % 11 <> 0 THEN path END AS target FROM ev",
@@ -134,7 +151,7 @@ ORACLES = {
         SELECT segment, regexp_full_match(segment, '[0-9]+') OR (regexp_full_match(segment, '[0-9a-fA-F]+') AND length(segment) IN (24, 32, 40, 64)) AS id_like, count(*) AS times FROM s GROUP BY 1, 2""",
     "endpoint_id": f"WITH {_EVENTS} SELECT DISTINCT path AS pattern, substr(sha256(path), 1, 16) AS id, regexp_replace(path, '/[^/]*$', '') AS parent FROM ev",
     "suspicious": f"WITH {_EVENTS} SELECT DISTINCT path AS pattern, CASE WHEN list_contains(string_split(path, '/'), 'debug') THEN 'debug' END AS segment FROM ev",
-    "segment_types": f"{_MATCHED} SELECT declared_path AS path_pattern, path_pattern AS observed, os = dd AS same_shape FROM typed",
+    "segment_types": f"{_MATCHED} SELECT path_pattern, list_aggregate(os, 'string_agg', '/') AS shape, count(*) FILTER (os = dd) AS declared FROM typed GROUP BY 1, 2",
     "normalize_paths": f"{_OBSERVED} SELECT path_pattern, n AS observation_count FROM obx",
     "path_observations": f"""WITH {_EVENTS} SELECT path AS raw_path, list_aggregate(list_sort(list(DISTINCT method)), 'string_agg', ',') AS methods, count(*) AS observations, epoch(date_trunc('second', min(ts)))::BIGINT AS first_seen,
         epoch(date_trunc('second', max(ts)))::BIGINT AS last_seen, count(*) FILTER (state <> 'NotObservable') AS auth_observable, count(*) FILTER (state = 'Present') AS auth_present FROM rq GROUP BY 1""",
@@ -148,7 +165,19 @@ ORACLES = {
     "match_distance": f"{_MATCHED} SELECT path_pattern, declared_path, mismatches::INT AS mismatches, tail::INT AS tail FROM cands",
     "divergence": f"{_MATCHED} SELECT path_pattern, declared_path, divergence FROM cands",
     "nearest_declared": f"{_MATCHED} SELECT nid AS id, near_path AS declared_path, ties::INT AS ties, list_aggregate(cm, 'string_agg', ',') AS candidate_methods FROM near",
-    "undeclared_methods": f"{_FOUND} SELECT path_pattern, CASE WHEN contains(evidence, 'method(s)') THEN 1 ELSE 0 END::INT AS method_notes, severity FROM fi WHERE classification = 'Undetermined' AND subject_kind = 'observed'",
+    "undeclared_methods": f"{_FOUND} SELECT path_pattern, severity, regexp_extract(evidence, 'method.s. ([A-Z, ]+) were', 1) AS methods FROM fi WHERE classification = 'Undetermined' AND subject_kind = 'observed' AND contains(evidence, 'method(s)')",
+    "classify_full": f"{_FULL_FOUND} SELECT * EXCLUDE (id) FROM fi",
+    "nearest_full": f"{_FULL_MATCHED} SELECT nid AS id, near_path AS declared_path, ties::INT AS ties, list_aggregate(cm, 'string_agg', ',') AS candidate_methods FROM near",
+    "allowlist_full": f"""{_FULL_FOUND}, {_FULL_R}, a AS (SELECT subject_kind, path_pattern, (SELECT min(line_number) FROM ru WHERE (kind = 'endpoint' AND id = value)
+        OR (kind = 'pattern' AND (path_pattern = value OR (ends_with(value, '*') AND starts_with(path_pattern, rtrim(value, '*'))))))::BIGINT AS rule_line FROM fi) SELECT *, rule_line IS NULL AS visible FROM a""",
+    "finding_mix": f"{_FULL_FOUND} SELECT classification, severity, confidence, count(*) AS findings FROM fi GROUP BY 1, 2, 3",
+    "evidence_histogram": f"""{_FULL_FOUND}, e AS (SELECT unnest(string_split(evidence, '|')) AS e FROM fi)
+        SELECT regexp_replace(regexp_replace(e, '/[^ ,;'']*', '<path>', 'g'), '[0-9]+', '<n>', 'g') AS evidence, count(*) AS times FROM e GROUP BY 1""",
+    "redacted_share": f"WITH {_EVENTS}, p AS (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN path || '/' || md5(path) ELSE path END AS p, event_id % 3 = 0 AS keyed FROM ev) SELECT count(*) AS patterns, count(*) FILTER (keyed) AS redacted FROM p",
+    "declared_inventory": """WITH e AS (SELECT DISTINCT user_id, event_type FROM events) SELECT user_id, CASE WHEN user_id % 2 = 0 THEN '/u' ELSE '/v' END || user_id || '/' || event_type || '/{id}' AS path_pattern,
+        CASE WHEN event_type IN ('view', 'click') THEN 'GET' ELSE 'POST' END AS methods, 'key' AS declared_auth_schemes FROM e""",
+    "allowlist_parse": """WITH e AS (SELECT DISTINCT user_id, event_type FROM events) SELECT user_id, 4::BIGINT AS line_number, 'endpoint' AS kind, 'e' || user_id AS value FROM e GROUP BY user_id
+        UNION ALL SELECT user_id, 4 + row_number() OVER (PARTITION BY user_id ORDER BY event_type), 'pattern', '/' || event_type || '/*' FROM e""",
     "declared_unseen": f"{_MATCHED} SELECT declared_path AS path_pattern FROM de WHERE declared_path NOT IN (SELECT declared_path FROM kinds WHERE match = 'exact')",
     "classify_spec": f"{_FOUND} SELECT * EXCLUDE (id) FROM fi",
     "classify_heuristic": f"""{_THREE}, sib AS (SELECT parent AS p, count(*) FILTER (auth IN ('Yes', 'Mixed')) AS w FROM thx GROUP BY 1),
@@ -158,12 +187,21 @@ ORACLES = {
         FROM x WHERE odd OR extra <> ''""",
     "auth_siblings": f"{_THREE} SELECT parent, count(*) FILTER (auth IN ('Yes', 'Mixed')) AS with_auth FROM thx GROUP BY 1",
     "finding_counts": f"{_FOUND} SELECT classification, count(*) AS findings FROM fi GROUP BY 1",
-    "grouped_findings": f"{_FOUND} SELECT classification, string_split(evidence, '|')[1] AS reason, count(*) AS members, min(path_pattern) AS first_path, count(*) <= 3 AS in_detail FROM fi GROUP BY 1, 2",
+    "grouped_findings": f"""{_FULL_FOUND}, g AS (SELECT list_position(['Shadow', 'Zombie', 'Undetermined', 'Known'], classification) AS u, classification, string_split(evidence, '|')[1] AS reason, count(*) AS members,
+        string_agg(path_pattern, ' ' ORDER BY path_pattern, subject_kind) AS paths, min(path_pattern) AS first_path, min(path_pattern || chr(1) || subject_kind) AS f FROM fi GROUP BY 1, 2, 3)
+        SELECT classification, reason, members, paths, first_path, members <= 3 AS in_detail, (u * 1000000 + row_number() OVER (PARTITION BY u ORDER BY f, reason))::BIGINT AS position FROM g""",
     "allowlist_apply": f"{_FOUND}, {_R} SELECT subject_kind, path_pattern, (SELECT min(line_number) FROM ru WHERE path_pattern = value OR (ends_with(value, '*') AND starts_with(path_pattern, rtrim(value, '*'))))::BIGINT AS rule_line FROM fi",
     "broad_rules": f"""{_FOUND}, {_R}, ap AS (SELECT (SELECT min(line_number) FROM ru WHERE path_pattern = value OR (ends_with(value, '*') AND starts_with(path_pattern, rtrim(value, '*')))) AS rule_line FROM fi),
         c AS (SELECT rule_line, count(*) AS n FROM ap GROUP BY 1)
         SELECT line_number::BIGINT AS line_number, kind, value, coalesce(n, 0)::BIGINT AS silenced FROM ru LEFT JOIN c ON line_number = rule_line
         WHERE coalesce(n, 0) > 5 OR (ends_with(value, '*') AND len(list_filter(string_split(rtrim(value, '*'), '/'), lambda s: s <> '')) < 2)""",
+    "redact_documents": rf"""WITH t AS (SELECT doc_id, text || ' mail=a' || doc_id || '@x.org token=abc' || doc_id || '.' || ' jwt abcd' || doc_id || '.efgh.ijkl page=2 /p/' || md5(doc_id::VARCHAR) || '/q. a%2F' || md5('x') || '%2Fb' AS t FROM documents),
+        c AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^ \t]*[ \t]|[^ \t]+')) AS c, generate_subscripts(regexp_extract_all(t, '[^ \t]*[ \t]|[^ \t]+'), 1) AS i FROM t),
+        b AS (SELECT *, regexp_replace(c, '{_SPACE}', '') AS body FROM c),
+        p AS (SELECT doc_id, i, c, body, unnest(string_split(body, '/')) AS part, generate_subscripts(string_split(body, '/'), 1) AS j FROM b),
+        m AS (SELECT doc_id, i, CASE WHEN body = '' THEN c ELSE string_agg({_MASKED}, '/' ORDER BY j) || substr(c, length(body) + 1) END AS word FROM p GROUP BY doc_id, i, c, body),
+        r AS (SELECT doc_id, string_agg(word, '' ORDER BY i) AS redacted FROM m GROUP BY doc_id)
+        SELECT doc_id, length(redacted)::INT AS chars, md5(redacted) AS redacted_md5, substr(redacted, length(redacted) - length(string_split(redacted, ' page=2 ')[-1]) + 1) AS ends FROM r""",
     "redact_email": f"""WITH {_EVENTS}, w AS (SELECT ['u', '', 'u@v'][event_id % 3 + 1] || '@' || ['x.org', '.org', 'host', 'a.b'][event_id % 4 + 1] AS word FROM ev)
         SELECT word, CASE WHEN word IN ('u@x.org', 'u@a.b', 'u@v@x.org', 'u@v@a.b', 'u@v@.org') THEN '<redacted>' ELSE word END AS redacted, count(*) AS times FROM w GROUP BY 1, 2""",
     "history_upsert": f"{_HISTORY} SELECT * FROM up",
@@ -189,6 +227,8 @@ ORACLES = {
         UNION ALL SELECT 'endpoints', count(*) FROM obx""",
     "labels": f"{_HISTORY} SELECT auth_observed AS auth, coalesce(last_classification, 'no verdict') AS class, count(*) AS endpoints FROM up GROUP BY 1, 2",
     "history_inventory": f"{_HISTORY} SELECT path_pattern, endpoint_id, observation_count, auth_observed AS auth, alerted AND NOT acknowledged AS pending FROM up",
+    "status_counts": f"""{_HISTORY} SELECT '{TARGET}' AS target, (SELECT count(*) FROM events) AS runs, (SELECT max(event_id) FROM events) AS last_run, count(*) AS endpoints, count(*) FILTER (first_seen_run > 1) AS later,
+        count(*) FILTER (alerted AND NOT acknowledged) AS pending FROM up""",
     "history_targets": f"{_RUNS} SELECT target, count(*) AS runs, max(id) AS last_run FROM runs GROUP BY 1",
 }
 ORACLES["stream_inventory"] = ORACLES["observed_inventory"]

@@ -18,6 +18,8 @@ from apisight.operators import summaries as S
 from apisight.plans import derived as D
 from apisight.session import cut_lineage, shared_dir
 from apisight.sources import access_log as L
+from apisight.sources.allowlist import parse_allowlists
+from apisight.sources.openapi import parse_specs
 from apisight.streaming.tail import Watch
 
 TARGET = "shop"
@@ -52,7 +54,10 @@ def _finding_rows(f: DataFrame) -> DataFrame:
 
 
 def scan_log(spark, d):
-    return D.derived_log(spark, d).select("event_id", F.octet_length("value").alias("bytes"), F.md5("value").alias("line_md5"))
+    """The derived log written as files and scanned again: lines end at \\n alone, and keep a \\r and broken bytes."""
+    at = f"{shared_dir(spark)}/apisight-log-{uuid.uuid4().hex}"
+    D.derived_log(spark, d).select("value").write.option("lineSep", "\n").text(at)
+    return L.scan_log(spark, at).select(F.octet_length("value").alias("bytes"), F.md5(F.col("value").cast("binary")).alias("line_md5"))
 
 
 def parse_combined(spark, d):
@@ -63,7 +68,7 @@ def parse_combined(spark, d):
 def parse_declared(spark, d):
     """The same requests in a declared grammar: time first and split fields."""
     f = D.derived_fields(spark, d)
-    line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("] "), "method", F.lit(" "), "path", F.lit("  "), "status", F.lit(" u="), F.when(F.col("remote_user") == "-", "").otherwise(F.col("remote_user")), F.lit(";"))
+    line = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("] "), F.when(F.col("event_id") % 23 == 0, F.lit("-")).otherwise(F.col("method")), F.lit(" "), "path", F.lit("  "), "status", F.lit(" u="), F.when(F.col("remote_user") == "-", "").otherwise(F.col("remote_user")), F.lit(";"))
     r = L.parse_lines(f.select("event_id", line.alias("value")), "[$time_iso8601] $request_method $uri $status u=$remote_user;")
     return r.select("event_id", "method", "raw_path", F.col("auth.state").alias("auth"), F.col("status_code").cast("int").alias("status_code"), F.unix_seconds("ts").alias("ts"), "discard_reason")
 
@@ -73,8 +78,8 @@ def discard_reasons(spark, d):
 
 
 def scope_filter(spark, d):
-    r = D.derived_requests(spark, d)
-    return r.agg(F.count_if(F.startswith("raw_path", F.lit("/api/v1/users"))).alias("inside"), F.count_if(~F.startswith("raw_path", F.lit("/api/v1/users"))).alias("outside"))
+    inside = L.in_scope("/api/v1/users")
+    return D.derived_requests(spark, d).agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"))
 
 
 def request_line(spark, d):
@@ -130,7 +135,11 @@ def suspicious(spark, d):
 
 
 def segment_types(spark, d):
-    return D.declared(spark).join(_observed(spark, d).select(F.col("path_pattern").alias("observed")), F.lit(True)).select("path_pattern", "observed", P.shape_key(P.declared_segments(F.col("path_pattern"))).eqNullSafe(P.shape_key(P.observed_segments(F.col("observed")))).alias("same_shape"))
+    """Of each endpoint the shape, with a star for a variable segment, and how many declared paths have it."""
+    shown = lambda s: F.array_join(F.transform(s, lambda x: F.coalesce(x, F.lit("*"))), "/")
+    shapes = D.declared(spark).select(shown(P.declared_segments(F.col("path_pattern"))).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    rows = _observed(spark, d).select("path_pattern", shown(P.observed_segments(F.col("path_pattern"))).alias("shape"))
+    return rows.join(shapes, F.col("shape") == F.col("s"), "left").select("path_pattern", "shape", F.coalesce("n", F.lit(0)).alias("declared"))
 
 
 # ---- inventory
@@ -192,8 +201,50 @@ def nearest_declared(spark, d):
 
 
 def undeclared_methods(spark, d):
-    f = _findings(spark, d).where("classification = 'Undetermined' and subject_kind = 'observed'")
-    return f.select("path_pattern", F.size(F.filter("evidence", lambda e: e.contains("method(s)"))).alias("method_notes"), "severity")
+    """The methods that no declared path like the endpoint's has."""
+    f = _findings(spark, d).where("classification = 'Undetermined' and subject_kind = 'observed'").select("path_pattern", "severity", F.explode("evidence").alias("e"))
+    return f.where("e like '%method(s)%'").select("path_pattern", "severity", F.regexp_extract("e", r"method\(s\) ([A-Z, ]+) were", 1).alias("methods"))
+
+
+def _full_findings(spark, d):
+    return cut_lineage(C.classify_with_spec(_three_state(spark, d), D.declared(spark, D.FULL_DECLARED)))
+
+
+def classify_full(spark, d):
+    """Requests of 45 days more, with undeclared, tied and unprotected paths: all four verdicts."""
+    return _finding_rows(_full_findings(spark, d))
+
+
+def nearest_full(spark, d):
+    near = M.nearest(M.candidates(_three_state(spark, d), D.declared(spark, D.FULL_DECLARED)))
+    return near.select("id", "declared_path", "ties", _csv("candidate_methods"))
+
+
+def allowlist_full(spark, d):
+    return A.apply_allowlist(_full_findings(spark, d), D.rules(spark, D.FULL_RULES)).select("subject_kind", "path_pattern", "rule_line", F.col("rule_line").isNull().alias("visible"))
+
+
+def finding_mix(spark, d):
+    return S.finding_mix(_full_findings(spark, d))
+
+
+def evidence_histogram(spark, d):
+    return S.evidence_histogram(_full_findings(spark, d))
+
+
+def redacted_share(spark, d):
+    """Of the raw paths with a session key put behind every third one."""
+    raw = D.derived_fields(spark, d).select(F.when(F.col("event_id") % 3 == 0, F.concat("path", F.lit("/"), F.md5("path"))).otherwise(F.col("path")).alias("path_pattern"))
+    return S.redacted_share(raw.distinct())
+
+
+def declared_inventory(spark, d):
+    rows = parse_specs(D.derived_specs(spark, d), "user_id")
+    return rows.select("user_id", "path_pattern", _csv("methods"), _csv("declared_auth_schemes"))
+
+
+def allowlist_parse(spark, d):
+    return parse_allowlists(D.derived_allowlists(spark, d), "user_id")
 
 
 def declared_unseen(spark, d):
@@ -217,7 +268,7 @@ def finding_counts(spark, d):
 
 
 def grouped_findings(spark, d):
-    return S.grouped_findings(_findings(spark, d))
+    return S.grouped_findings(_full_findings(spark, d)).withColumn("paths", F.array_join("paths", " "))
 
 
 def allowlist_apply(spark, d):
@@ -230,13 +281,14 @@ def broad_rules(spark, d):
 
 # ---- redaction
 
-_SECRETS = "concat(text, ' mail=a', doc_id, '@x.org token=abc', doc_id, ' page=2 /p/', md5(cast(doc_id as string)), '/q.')"
+_SECRETS = "concat(text, ' mail=a', doc_id, '@x.org token=abc', doc_id, '.', ' jwt abcd', doc_id, '.efgh.ijkl page=2 /p/', md5(cast(doc_id as string)), '/q. a%2F', md5('x'), '%2Fb')"
 
 
 def redact_documents(spark, d):
-    """Whole texts of the documents, with an address, a named token and an opaque key added to each."""
+    """Whole texts of the documents, with an address, a named token, a JWT, an escaped key and an opaque one added to each."""
     text = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_SECRETS).alias("text"))
-    return text.select("doc_id", redact_text(F.col("text")).alias("redacted")).select("doc_id", F.length("redacted").alias("chars"), F.endswith("redacted", F.concat(F.lit(" mail=<redacted> token=<redacted> page=2 /p/"), F.lit("<redacted>/q."))).alias("masked"))
+    text = text.select("doc_id", redact_text(F.col("text")).alias("redacted"))
+    return text.select("doc_id", F.length("redacted").alias("chars"), F.md5("redacted").alias("redacted_md5"), F.substring_index("redacted", " page=2 ", -1).alias("ends"))
 
 
 def redact_email(spark, d):
@@ -248,11 +300,16 @@ def redact_email(spark, d):
 # ---- history and views
 
 
+def _seen(spark, d, odd: int):
+    """Endpoints of a run: users with a kind of event and a digit, seen in the events with even (0) or odd (1) ids. u: user_id."""
+    e = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_id") % 2 == odd)
+    name = F.concat(F.lit("e"), "user_id", F.lit("-"), "event_type", F.lit("-"), F.regexp_extract("props", "([0-9])[^0-9]*$", 1))
+    return e.groupBy(name.alias("id")).agg(F.count(F.lit(1)).alias("observation_count"), F.min("user_id").alias("u"))
+
+
 def _old_endpoints(spark, d):
-    """A history after run 1: the users of the events with even ids; those with even numbers are acknowledged."""
-    e = spark.read.parquet(f"{d}/events.parquet")
-    u = e.where("event_id % 2 = 0").groupBy(F.concat(F.lit("e"), "user_id").alias("endpoint_id")).agg(F.count(F.lit(1)).alias("observation_count"), F.min("user_id").alias("u"))
-    return u.select(
+    """A history after run 1, of the events with even ids; the endpoints of users with even numbers are acknowledged."""
+    return _seen(spark, d, 0).withColumnRenamed("id", "endpoint_id").select(
         F.lit(TARGET).alias("target"), "endpoint_id", F.concat(F.lit("/old/"), "endpoint_id").alias("path_pattern"), F.lit(1).cast("long").alias("first_seen_run"), F.lit(1).cast("long").alias("last_seen_run"),
         F.when(F.col("u") % 3 == 0, "Shadow").when(F.col("u") % 3 == 1, "Known").alias("last_classification"), (F.col("u") % 2 == 0).alias("acknowledged"), (F.col("u") % 3 == 0).alias("alerted"),
         F.array(F.lit("GET")).alias("methods"), "observation_count", F.lit("no").alias("auth_observed"), F.lit(None).cast("long").alias("auth_observable_count"),
@@ -260,9 +317,8 @@ def _old_endpoints(spark, d):
 
 
 def _seen_now(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    u = e.where("event_id % 5 = 0").groupBy(F.concat(F.lit("e"), "user_id").alias("id")).agg(F.count(F.lit(1)).alias("observation_count"), F.min("user_id").alias("u"))
-    return u.select("id", F.concat(F.lit("/new/"), "id").alias("path_pattern"), F.array(F.lit("POST")).alias("methods"), "observation_count", F.lit("yes").alias("auth_observed"), F.col("observation_count").alias("auth_observable_count"), F.when(F.col("u") % 4 == 0, "Shadow").when(F.col("u") % 4 == 1, "Undetermined").alias("classification"))
+    """Run 2, of the events with odd ids."""
+    return _seen(spark, d, 1).select("id", F.concat(F.lit("/new/"), "id").alias("path_pattern"), F.array(F.lit("POST")).alias("methods"), "observation_count", F.lit("yes").alias("auth_observed"), F.col("observation_count").alias("auth_observable_count"), F.when(F.col("u") % 4 == 0, "Shadow").when(F.col("u") % 4 == 1, "Undetermined").alias("classification"))
 
 
 def _after(spark, d):
@@ -286,8 +342,10 @@ def first_seen_in(spark, d):
 
 
 def _runs(spark, d):
+    """Every event as a run; the clock of some was a day behind."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.where("event_id % 40 = 0").select(F.col("event_id").alias("id"), F.concat(F.lit("t"), F.col("user_id") % 3).alias("target"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("run_timestamp"), F.col("user_id").alias("endpoints"))
+    ts = F.when(F.col("event_id") % 97 == 0, F.col("ts") - F.expr("interval 1 day")).otherwise(F.col("ts"))
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("t"), F.col("user_id") % 3).alias("target"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("run_timestamp"), F.col("user_id").alias("endpoints"))
 
 
 def clock_backwards(spark, d):
@@ -353,12 +411,16 @@ def labels(spark, d):
 
 
 def history_inventory(spark, d):
-    rows = _after(spark, d)
-    return rows.select("path_pattern", "endpoint_id", F.greatest("observation_count", F.lit(0)).alias("observation_count"), S.auth_label(F.col("auth_observed")).alias("auth"), (F.col("alerted") & ~F.col("acknowledged")).alias("pending"))
+    return H.target_inventory(_after(spark, d), TARGET)
 
 
 def history_targets(spark, d):
-    return _runs(spark, d).groupBy("target").agg(F.count(F.lit(1)).alias("runs"), F.max("id").alias("last_run"))
+    return H.targets(_runs(spark, d))
+
+
+def status_counts(spark, d):
+    """The status view's numbers of each target."""
+    return H.status_counts(_runs(spark, d).withColumn("target", F.lit(TARGET)), _after(spark, d))
 
 
 def stream_inventory(spark, d):
@@ -380,7 +442,7 @@ QUERIES = {
     for f in (
         scan_log, parse_combined, parse_declared, discard_reasons, scope_filter, request_line, path_query, query_params, auth_infer, parse_time, canonical_path, id_like, endpoint_id, suspicious,
         segment_types, normalize_paths, path_observations, auth_verdict, observed_inventory, declared_merge, obs_window, exact_match, partial_match, spanning_match, match_distance, divergence,
-        nearest_declared, undeclared_methods, declared_unseen, classify_spec, classify_heuristic, auth_siblings, finding_counts, grouped_findings, allowlist_apply, broad_rules, redact_documents,
+        nearest_declared, undeclared_methods, classify_full, nearest_full, allowlist_full, finding_mix, evidence_histogram, redacted_share, declared_inventory, allowlist_parse, status_counts, declared_unseen, classify_spec, classify_heuristic, auth_siblings, finding_counts, grouped_findings, allowlist_apply, broad_rules, redact_documents,
         redact_email, history_upsert, new_endpoints, pending_alerts, first_seen_in, clock_backwards, trend, class_summary, auth_summary, compliance_rows, noise_metrics, literal_children,
         swallowed_words, stratified_sample, match_pairs, format_guard, run_counts, labels, history_inventory, history_targets, stream_inventory,
     )

@@ -119,6 +119,11 @@ def parse_lines(lines: DataFrame, log_format: str = BUILT_IN, value: str = "valu
     return rows.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in out.items()]))))
 
 
+def in_scope(prefix: str | None) -> Column:
+    """Whether a request's raw path starts with the prefix; every one does without a prefix."""
+    return F.startswith("raw_path", F.lit(prefix)) if prefix else F.lit(True)
+
+
 def ingest_counts(parsed: DataFrame) -> DataFrame:
     """discard_reason (`parsed` for the rest) and lines."""
     return parsed.groupBy(F.coalesce("discard_reason", F.lit("parsed")).alias("outcome")).agg(F.count(F.lit(1)).alias("lines"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "line_number long, kind string, value string"
@@ -38,3 +40,14 @@ def parse_allowlist(text: str) -> list[tuple[int, str, str]]:
 
 def read_allowlist(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(parse_allowlist(text), SCHEMA)
+
+
+def parse_allowlists(files: DataFrame, key: str) -> DataFrame:
+    """key and the rules of each row's allowlist (column text), parsed in tasks. A text that is refused fails the query."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, *rule) for k, text in zip(frame[key], frame["text"], strict=True) for rule in parse_allowlist(text)]
+            yield pd.DataFrame(rows, columns=[key, "line_number", "kind", "value"])
+
+    return files.select(key, "text").mapInPandas(work, f"{key} {dict(files.dtypes)[key]}, {SCHEMA}")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from apisight.ruleset import HTTP_VERBS, MAX_SPEC_BYTES, MAX_SPEC_DEPTH
@@ -83,3 +85,14 @@ def read_spec(spark: SparkSession, path: str) -> DataFrame:
         raise SpecError(f"larger than {MAX_SPEC_BYTES} bytes")
     text = files.select("content").first()["content"].decode("utf-8")
     return spark.createDataFrame(parse_spec(text), SCHEMA)
+
+
+def parse_specs(specs: DataFrame, key: str) -> DataFrame:
+    """key and the declared endpoints of each row's specification (column text), parsed in tasks. A text that is refused fails the query."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, *endpoint) for k, text in zip(frame[key], frame["text"], strict=True) for endpoint in parse_spec(text)]
+            yield pd.DataFrame(rows, columns=[key, "path_pattern", "methods", "declared_auth_schemes"])
+
+    return specs.select(key, "text").mapInPandas(work, f"{key} {dict(specs.dtypes)[key]}, {SCHEMA}")

@@ -33,7 +33,19 @@ def test_query(spark, db, name):
 
 def test_redacted_documents(spark):
     found = QUERIES["redact_documents"](spark, SF).collect()
-    assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count() and all(r.masked for r in found)
+    assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count() and {r.ends for r in found} == {"/p/<redacted>/q. <redacted>"}
+
+
+def test_derived_data_shows_every_verdict_and_reason(spark):
+    full = QUERIES["classify_full"](spark, SF).collect()
+    assert {r.classification for r in full} == {"Shadow", "Zombie", "Undetermined", "Known"}
+    assert any("just as close" in r.evidence and r.severity for r in full) and any(r.confidence == "Medium" and r.severity == "High" for r in full)
+    assert len(QUERIES["discard_reasons"](spark, SF).collect()) == 8
+    rules = QUERIES["allowlist_full"](spark, SF).collect()
+    assert {2, 5, 7, None} == {r.rule_line for r in rules}
+    for name in ("new_endpoints", "first_seen_in", "pending_alerts"):
+        assert QUERIES[name](spark, SF).count() > 0
+    assert QUERIES["clock_backwards"](spark, SF).where("went_back").count() > 0
 
 
 def test_entry(spark):
