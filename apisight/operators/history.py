@@ -1,9 +1,11 @@
-"""Run history: upserts, alerts that stay until acknowledged, and a versioned store of Parquet snapshots."""
+"""Run history: upserts, alerts that stay until acknowledged, and a store of Parquet tables with one commit file for each change."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from apisight.operators.summaries import auth_label
 SCHEMA_VERSION = 3
 #: Blocks of runs by id, a power of two: the largest group that clock_backwards sorts has one of so many parts of all runs.
 BLOCKS = 1024
+COMMIT = "version long, schema_version int, runs string, findings string, endpoints string"
 RUNS = "id long, target string, run_timestamp string, tool_version string, ruleset_version string, endpoints long, manifest_json string"
 FINDINGS = "run_id long, endpoint_id string, declared_path string, classification string, confidence string, severity string, evidence string"
 ENDPOINTS = (
@@ -128,27 +131,40 @@ def findings_of_run(findings: DataFrame, run_id: int) -> DataFrame:
 
 
 class History:
-    """Three tables under one folder that Spark reads and writes. Each record writes new snapshots and then one small `current` table that names
-    them; a reader takes the latest `current`, so it sees all of a run or nothing."""
+    """Three tables under one folder that Spark reads and writes.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A record appends the run's own rows of runs and findings, writes the endpoints anew, and then names all of it in one small commit file,
+    commits/<version>.json. That file is created only if it is not there, so of two writers one succeeds and the other one starts again from
+    what the first has committed: no run is lost, no id is given twice. A reader takes the commits that are there and sees all of a run or
+    nothing. Endpoints two versions back are deleted.
+    """
 
-    def _current(self) -> tuple[int, dict[str, str]]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return 0, {}
-        row = self.spark.read.schema("version long, schema_version int, runs string, findings string, endpoints string").parquet(f"{self.path}/current").orderBy(F.desc("version")).first()
-        if row is None:
-            return 0, {}
-        if not 0 <= row.schema_version <= SCHEMA_VERSION:
-            raise ValueError(f"history of version {row.schema_version}; this is {SCHEMA_VERSION}")
-        return row.version, {k: row[k] for k in ("runs", "findings", "endpoints")}
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        _, at = self._current()
-        return self.spark.read.schema(schema).parquet(at[name]) if name in at else self.spark.createDataFrame([], schema)
+    def __init__(self, spark: SparkSession, path: str, create: bool = True):
+        self.spark, self.path = spark, path.rstrip("/")
+        folder = self._hadoop("commits")
+        if not self._fs(folder).exists(folder):
+            if not create:
+                raise FileNotFoundError(f"no history at {path}")
+            self._fs(folder).mkdirs(folder)
+
+    def _hadoop(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name if "/" in name else f"{self.path}/{name}")
+
+    def _fs(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _commits(self) -> list:
+        """A row for each run or acknowledgement, in order: what a run or an acknowledgement has named."""
+        rows = self.spark.read.schema(COMMIT).option("pathGlobFilter", "*.json").json(f"{self.path}/commits").orderBy("version").collect()
+        if rows and not all(0 <= r.schema_version <= SCHEMA_VERSION for r in rows):
+            raise ValueError(f"a history of another version than {SCHEMA_VERSION}")
+        return rows
+
+    def _table(self, name: str, schema: str, commits: list | None = None) -> DataFrame:
+        commits = self._commits() if commits is None else commits
+        at = [r[name] for r in commits if r[name]]
+        at = at[-1:] if name == "endpoints" else at
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
     def runs(self) -> DataFrame:
         return self._table("runs", RUNS)
@@ -159,30 +175,56 @@ class History:
     def endpoints(self) -> DataFrame:
         return self._table("endpoints", ENDPOINTS)
 
-    def _commit(self, version: int, tables: dict[str, DataFrame | str]) -> None:
-        at = {}
+    def last_run(self, target: str):
+        return last_run(self.runs(), target).first()
+
+    def has_target(self, target: str) -> bool:
+        return self.last_run(target) is not None
+
+    def _commit(self, commits: list, tables: dict[str, DataFrame]) -> bool:
+        """Whether this was the next commit; if not, another one was first, and what was written is deleted."""
+        version = commits[-1].version + 1 if commits else 1
+        row = {"version": version, "schema_version": SCHEMA_VERSION}
         for name, table in tables.items():
-            at[name] = table if isinstance(table, str) else f"{self.path}/{name}/{version}-{uuid.uuid4().hex}"
-            if not isinstance(table, str):
-                table.write.parquet(at[name])
-        row = [(version, SCHEMA_VERSION, at["runs"], at["findings"], at["endpoints"])]
-        self.spark.createDataFrame(row, "version long, schema_version int, runs string, findings string, endpoints string").coalesce(1).write.mode("append").parquet(f"{self.path}/current")
+            row[name] = f"{self.path}/{name}/{version}-{uuid.uuid4().hex}"
+            table.write.parquet(row[name])
+        path = self._hadoop(f"{self.path}/commits/{version:012d}.json")
+        try:
+            stream = self._fs(path).create(path, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in str(error.java_exception.getClass().getName()):
+                raise
+            for name in tables:
+                self._delete(row[name])
+            return False
+        stream.write(bytearray((json.dumps(row) + "\n").encode()))
+        stream.close()
+        for old in [r.endpoints for r in commits if r.endpoints][:-1][-1:]:
+            self._delete(old)
+        return True
+
+    def _delete(self, path: str) -> None:
+        at = self._hadoop(path)
+        self._fs(at).delete(at, True)
 
     def record(self, target: str, timestamp: str, inventory: DataFrame, findings: DataFrame, ruleset: str, tool: str, manifest: str = "{}") -> int:
         """Adds a run; inventory: with classification. Returns its id, which is the order of runs, whatever the clock says."""
         if not valid_target(target):
             raise ValueError("a target's name can't be empty or have white space around it")
-        version, _ = self._current()
-        runs = self.runs()
-        run_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
-        run = self.spark.createDataFrame([(run_id, target, timestamp, tool, ruleset, inventory.count(), manifest)], RUNS)
-        self._commit(version + 1, {"runs": runs.union(run), "findings": self.findings().union(findings_of_run(findings, run_id)), "endpoints": upsert_endpoints(self.endpoints(), inventory, target, run_id)})
-        return run_id
+        endpoints = inventory.count()
+        while True:
+            commits = self._commits()
+            run_id = 1 + sum(1 for r in commits if r.runs)
+            run = self.spark.createDataFrame([(run_id, target, timestamp, tool, ruleset, endpoints, manifest)], RUNS)
+            now = upsert_endpoints(self._table("endpoints", ENDPOINTS, commits), inventory, target, run_id)
+            if self._commit(commits, {"runs": run, "findings": findings_of_run(findings, run_id), "endpoints": now}):
+                return run_id
 
     def acknowledge(self, target: str, endpoint_id: str) -> bool:
-        version, at = self._current()
-        rows = self.endpoints()
-        if not rows.where((F.col("target") == target) & (F.col("endpoint_id") == endpoint_id)).limit(1).count():
-            return False
-        self._commit(version + 1, {**at, "endpoints": acknowledge(rows, target, endpoint_id)})
-        return True
+        while True:
+            commits = self._commits()
+            rows = self._table("endpoints", ENDPOINTS, commits)
+            if not rows.where((F.col("target") == target) & (F.col("endpoint_id") == endpoint_id)).limit(1).count():
+                return False
+            if self._commit(commits, {"endpoints": acknowledge(rows, target, endpoint_id)}):
+                return True

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import html
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apisight import ruleset as R
 from apisight.functions.redact import redact_file, redact_text
 from apisight.operators.classify import classify
-from apisight.operators.history import History
+from apisight.operators.history import History, first_seen_in, pending_alerts, status_counts, target_inventory
 from apisight.operators.inventory import observed_inventory
 from apisight.operators.silence import apply_allowlist, broad_rules
-from apisight.operators.summaries import compliance_rows, urgency
+from apisight.operators.summaries import auth_label, compliance_rows, grouped_findings, trend, urgency
 from apisight.session import cut_lineage
 from apisight.sources.access_log import check_format, in_scope, ingest_counts, input_digest, parse_lines, scan_log
 from apisight.sources.allowlist import read_allowlist
@@ -24,6 +23,7 @@ from apisight.sources.openapi import read_spec
 
 #: Name of the report's schema.
 REPORT_SCHEMA = "apisight-report/1"
+TOOL_VERSION = "0.2.0"
 
 
 @dataclass
@@ -97,11 +97,25 @@ def ordered_findings(a: Analysis) -> DataFrame:
     return rows.orderBy(urgency(F.col("classification")), "path_pattern", "subject_kind")
 
 
+def _configuration(spark: SparkSession, settings: Settings) -> dict:
+    """Each setting with its source (given or default); texts are masked like those of the report, paths like files."""
+    plain = Settings()
+    out = {k: {"value": v, "source": "default" if v == getattr(plain, k) else "given"} for k, v in vars(settings).items() if k != "allowlist_text"}
+    out["allowlist"] = {"value": settings.allowlist_text is not None, "source": "given" if settings.allowlist_text is not None else "default"}
+    if settings.redaction_enabled:
+        texts = [(k, x["value"], k == "openapi_spec") for k, x in out.items() if isinstance(x["value"], str)]
+        rows = spark.createDataFrame(texts, "k string, v string, is_file boolean")
+        for r in rows.select("k", F.when(F.col("is_file"), redact_file(F.col("v"))).otherwise(redact_text(F.col("v"))).alias("v")).collect():
+            out[r.k]["value"] = r.v
+    return out
+
+
 def manifest(spark: SparkSession, a: Analysis, timestamp: str) -> dict:
     files = spark.createDataFrame(a.inputs, "role string, path string, digest string")
     shown = files.select("role", (redact_file(F.col("path")) if a.settings.redaction_enabled else F.col("path")).alias("path"), "digest").collect()
     total = sum(a.counts.values())
     return {
+        "tool_version": TOOL_VERSION,
         "ruleset_version": R.RULESET_VERSION,
         "run_timestamp": timestamp,
         "inputs": [{"role": r.role, "path": r.path, "algorithm": "sha256", "digest": r.digest} for r in shown],
@@ -113,7 +127,7 @@ def manifest(spark: SparkSession, a: Analysis, timestamp: str) -> dict:
             "endpoints_found": a.inventory.count(),
             "findings_by_classification": dict(sorted(a.by_class.items())),
         },
-        "configuration": {k: v for k, v in vars(a.settings).items() if k != "allowlist_text"},
+        "configuration": _configuration(spark, a.settings),
     }
 
 
@@ -137,16 +151,73 @@ def report_json(spark: SparkSession, a: Analysis, timestamp: str) -> str:
     return json.dumps(document, indent=2, sort_keys=False, ensure_ascii=False)
 
 
+def _cell(c: Column) -> Column:
+    """A value in a Markdown table: its bars escaped, its line breaks made spaces."""
+    return F.regexp_replace(F.regexp_replace(c.cast("string"), r"[\r\n]+", " "), r"\|", r"\\|")
+
+
+def _escaped(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _sections(a: Analysis) -> list[tuple[str, list[str], DataFrame]]:
+    """Title, headings and rows (position, cells) of the report's tables: groups of findings, findings, endpoints, discarded lines."""
+    found = ordered_findings(a)
+    nth = lambda *order: F.row_number().over(Window.orderBy(*order))
+    groups = grouped_findings(found)
+    paths = F.when(F.col("in_detail"), F.array_join("paths", ", ")).otherwise(F.concat(F.lit("for example "), "first_path"))
+    cells = lambda *c: F.array(*[F.coalesce(x.cast("string"), F.lit("")) for x in c]).alias("cells")
+    shown = a.inventory.withColumn("path_pattern", _shown("path_pattern", a.settings))
+    discarded = found.sparkSession.createDataFrame(sorted((k, v) for k, v in a.counts.items()) or [("parsed", 0)], "outcome string, lines long")
+    return [
+        ("Findings by reason", ["classification", "reason", "members", "endpoints"], groups.select("position", cells(F.col("classification"), F.col("reason"), F.col("members"), paths))),
+        ("Findings", ["classification", "severity", "endpoint", "evidence"], found.select(nth(urgency(F.col("classification")), "path_pattern", "subject_kind").cast("long").alias("position"), cells(F.col("classification"), F.col("severity"), F.col("path_pattern"), F.array_join("evidence", "; ")))),
+        ("Endpoints", ["id", "endpoint", "methods", "requests", "authentication"], shown.select(nth("path_pattern", "id").cast("long").alias("position"), cells(F.col("id"), F.col("path_pattern"), F.array_join("methods", " "), F.col("observation_count"), auth_label(F.col("auth_observed"))))),
+        ("Lines", ["outcome", "lines"], discarded.select(nth("outcome").cast("long").alias("position"), cells(F.col("outcome"), F.col("lines")))),
+    ]
+
+
+def _lines(spark: SparkSession, parts: list) -> DataFrame:
+    """section, position, line of fixed texts and of rows; parts: text, or a DataFrame of position and line."""
+    out = None
+    for section, part in enumerate(parts):
+        rows = spark.createDataFrame([(0, part)], "position long, line string") if isinstance(part, str) else part
+        rows = rows.select(F.lit(section).alias("section"), "position", "line")
+        out = rows if out is None else out.unionAll(rows)
+    return out.orderBy("section", "position")
+
+
+def markdown_lines(a: Analysis) -> DataFrame:
+    """The report as Markdown: section, position, line, in order. Spark writes it as text; endpoints and findings stay out of the driver."""
+    parts: list = []
+    for title, heads, rows in _sections(a):
+        bar = lambda cells: "| " + " | ".join(cells) + " |"
+        parts += [f"## {title}\n\n{bar(heads)}\n{bar(['-'] * len(heads))}", rows.select("position", F.concat(F.lit("| "), F.array_join(F.transform("cells", _cell), " | "), F.lit(" |")).alias("line")), ""]
+    return _lines(a.inventory.sparkSession, parts)
+
+
+def html_lines(a: Analysis) -> DataFrame:
+    """The report as one HTML page: section, position, line, in order."""
+    parts: list = ["<!doctype html><meta charset=utf-8><title>Endpoints</title>"]
+    for title, heads, rows in _sections(a):
+        cells = F.array_join(F.transform("cells", lambda c: F.concat(F.lit("<td>"), _escaped(c), F.lit("</td>"))), "")
+        parts += [f"<h2>{title}</h2><table><tr>{''.join(f'<th>{h}</th>' for h in heads)}</tr>", rows.select("position", F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("line")), "</table>"]
+    return _lines(a.inventory.sparkSession, parts)
+
+
+def write_lines(lines: DataFrame, out: str) -> None:
+    """Lines in order, as text files whose names follow that order; a folder is there whole or not at all (its _SUCCESS)."""
+    lines.orderBy("section", "position").select("line").write.mode("overwrite").text(out)
+
+
 def report_markdown(a: Analysis) -> str:
-    cell = lambda v: str(v).replace("|", "\\|")
-    lines = ["| classification | severity | subject | evidence |", "|-|-|-|-|"]
-    lines += [f"| {r.classification} | {r.severity} | {cell(r.path_pattern)} | {cell('; '.join(r.evidence))} |" for r in ordered_findings(a).collect()]
-    return "\n".join(lines) + "\n"
+    return "\n".join(r.line for r in markdown_lines(a).collect()) + "\n"
 
 
 def report_html(a: Analysis) -> str:
-    rows = "".join(f"<tr><td>{r.classification}</td><td>{html.escape(r.path_pattern)}</td><td>{html.escape('; '.join(r.evidence))}</td></tr>" for r in ordered_findings(a).collect())
-    return f"<!doctype html><meta charset=utf-8><title>Endpoints</title><table>{rows}</table>"
+    return "\n".join(r.line for r in html_lines(a).collect())
 
 
 def record_run(a: Analysis, history: History, timestamp: str, manifest_json: str = "{}") -> int:
@@ -158,10 +229,34 @@ def record_run(a: Analysis, history: History, timestamp: str, manifest_json: str
     return history.record(a.settings.target, timestamp, seen, findings, R.RULESET_VERSION, "apisight", manifest_json)
 
 
-def write_compliance(history: History, target: str, out: str) -> None:
-    """CSV with quotes doubled, sorted by pattern and id, under a folder that Spark writes."""
-    rows = compliance_rows(history.endpoints().where(F.col("target") == target))
-    rows.orderBy("path_pattern", "endpoint_id").coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').csv(out)
+def write_compliance(history: History, target: str, out: str, form: str = "csv") -> None:
+    """A target's endpoints sorted by pattern and id, under a folder that Spark writes: csv (quotes doubled), json (a line each) or markdown."""
+    rows = compliance_rows(history.endpoints().where(F.col("target") == target)).orderBy("path_pattern", "endpoint_id")
+    if form == "csv":
+        rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(out)
+    elif form == "json":
+        rows.write.json(out)
+    elif form == "markdown":
+        nth = F.row_number().over(Window.orderBy("path_pattern", "endpoint_id")).cast("long")
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns]), F.lit(" |"))
+        heads = f"| {' | '.join(rows.columns)} |\n|{'-|' * len(rows.columns)}"
+        write_lines(_lines(history.spark, [heads, rows.select(nth.alias("position"), line.alias("line"))]), out)
+    else:
+        raise ValueError(f"unknown form {form!r}")
+
+
+def status_view(history: History, target: str) -> dict[str, DataFrame]:
+    """What a status page shows of a target, as tables: its numbers, endpoints, pending alerts, those new in the last run, and the trend."""
+    last = history.last_run(target)
+    endpoints, runs = history.endpoints(), history.runs()
+    of = endpoints.where(F.col("target") == target)
+    return {
+        "numbers": status_counts(runs, endpoints).where(F.col("target") == target),
+        "inventory": target_inventory(endpoints, target).orderBy("path_pattern", "endpoint_id"),
+        "pending": pending_alerts(of).orderBy("path_pattern", "endpoint_id"),
+        "new": first_seen_in(endpoints, target, last.id if last else 0).orderBy("path_pattern", "endpoint_id"),
+        "trend": trend(runs, target).orderBy("id"),
+    }
 
 
-__all__ = ["Analysis", "Settings", "analyse", "ingest_counts", "manifest", "ordered_findings", "record_run", "report_html", "report_json", "report_markdown", "write_compliance"]
+__all__ = ["Analysis", "Settings", "analyse", "html_lines", "ingest_counts", "manifest", "markdown_lines", "ordered_findings", "record_run", "report_html", "report_json", "report_markdown", "status_view", "write_compliance", "write_lines"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -17,15 +19,18 @@ from apisight.session import cut_lineage
 from apisight.sources.access_log import parse_lines
 from apisight.sources.grammar import BUILT_IN
 
-#: Bytes of new lines taken in one micro-batch; a longer line is taken whole.
-BATCH_BYTES = 64 << 20
+#: Bytes of one range, which one task reads at once besides the end of its last line; bytes that the driver looks at when it seeks a line's end.
+RANGE_BYTES, LOOK_BYTES = 16 << 20, 1 << 20
 
 
 class TailReader(SimpleDataSourceStreamReader):
-    """Offset: epoch (grows when the file has shrunk) and bytes. An unterminated last line waits for its end."""
+    """Plans what is new as ranges of bytes; tasks read them. Offset: epoch (grows when the file has shrunk) and bytes, at the end of a line.
 
-    def __init__(self, path: str, batch_bytes: int = BATCH_BYTES):
-        self.path, self.batch_bytes = path, batch_bytes
+    An unterminated last line waits for its end: the driver looks for the last \\n from the file's end backwards, and reads nothing else.
+    """
+
+    def __init__(self, path: str, range_bytes: int = RANGE_BYTES):
+        self.path, self.range_bytes = path, range_bytes
 
     def initialOffset(self) -> dict:
         return {"epoch": 0, "bytes": 0}
@@ -35,45 +40,69 @@ class TailReader(SimpleDataSourceStreamReader):
         size = os.path.getsize(self.path) if os.path.exists(self.path) else 0
         if size < at:
             epoch, at = epoch + 1, 0
-        data, end = self._lines(at, self.batch_bytes)
-        return iter([(epoch, line) for line in data]), {"epoch": epoch, "bytes": end}
+        end = {"epoch": epoch, "bytes": self._line_end(at, size)}
+        return self._ranges(epoch, at, end["bytes"]), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        at = start["bytes"] if start["epoch"] == end["epoch"] else 0
-        with open(self.path, "rb") as file:
-            file.seek(at)
-            data = file.read(end["bytes"] - at)
-        return iter([(end["epoch"], line) for line in data.split(b"\n")[:-1]])
-
-    def _lines(self, at: int, limit: int) -> tuple[list[bytes], int]:
-        if not os.path.exists(self.path):
-            return [], at
-        with open(self.path, "rb") as file:
-            file.seek(at)
-            data = file.read(limit)
-            while data and b"\n" not in data and (more := file.read(limit)):
-                data += more
-        whole = data.rfind(b"\n") + 1
-        return data[:whole].split(b"\n")[:-1], at + whole
+        return self._ranges(end["epoch"], start["bytes"] if start["epoch"] == end["epoch"] else 0, end["bytes"])
+
+    def _ranges(self, epoch: int, at: int, end: int) -> Iterator[tuple]:
+        return iter([(epoch, self.path, at, a, min(a + self.range_bytes, end)) for a in range(at, end, self.range_bytes)])
+
+    def _line_end(self, at: int, size: int) -> int:
+        """Behind the last \\n in [at, size), or at."""
+        while size > at:
+            low = max(at, size - LOOK_BYTES)
+            with open(self.path, "rb") as file:
+                file.seek(low)
+                found = file.read(size - low).rfind(b"\n")
+            if found >= 0:
+                return low + found + 1
+            size = low
+        return at
+
+
+def lines_of(path: str, first: int, begin: int, end: int) -> Iterator[bytes]:
+    """The lines that start in [begin, end) of a file, where `first` is known to start one. The last one is read to its own end."""
+    with open(path, "rb") as file:
+        file.seek(max(first, begin - 1))
+        if begin > first:
+            file.readline()  # of the range before, up to its \\n
+        while file.tell() < end and (line := file.readline()):
+            yield line.removesuffix(b"\n")
 
 
 class TailSource(DataSource):
-    """Format `log_tail`: option path, a file that the driver can open. Columns: epoch, value (bytes of a line)."""
+    """Format `log_tail`: option path, a file that the driver and all executors can open. Columns: epoch, path, first, begin, end (a range of bytes)."""
 
     @classmethod
     def name(cls) -> str:
         return "log_tail"
 
     def schema(self) -> str:
-        return "epoch long, value binary"
+        return "epoch long, path string, first long, begin long, end long"
 
     def simpleStreamReader(self, schema) -> TailReader:
         return TailReader(self.options["path"])
 
 
 def tail_log(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a growing log as a stream of (epoch, value), read by the tasks that get their ranges."""
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("log_tail").option("path", path).load().select("epoch", F.col("value").cast("string").alias("value"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                had: list[bytes] = []
+                for line in lines_of(r["path"], r["first"], r["begin"], r["end"]):
+                    had.append(line)
+                    if len(had) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([r["epoch"]] * len(had), pa.int64()), pa.array(had, pa.binary())], ["epoch", "value"])
+                        had = []
+                yield pa.RecordBatch.from_arrays([pa.array([r["epoch"]] * len(had), pa.int64()), pa.array(had, pa.binary())], ["epoch", "value"])
+
+    ranges = spark.readStream.format("log_tail").option("path", path).load().repartition("begin")
+    return ranges.mapInArrow(work, "epoch long, value binary").select("epoch", F.col("value").cast("string").alias("value"))
 
 
 class Watch:
@@ -103,9 +132,17 @@ class Watch:
         findings = cut_lineage(classify(inventory, self.declared, self.staleness_days))
         classes = findings.where("subject_kind = 'observed'").select(F.col("endpoint_id").alias("f_id"), "classification")
         seen = inventory.join(classes, F.col("id") == F.col("f_id"), "left").drop("f_id")
-        if self.history.runs().where((F.col("target") == self.target) & (F.col("manifest_json") == f'{{"batch":{batch_id}}}')).limit(1).count() == 0:
+        manifest = F.get_json_object("manifest_json", "$.batch")
+        if self.history.runs().where((F.col("target") == self.target) & (manifest == str(batch_id))).limit(1).count() == 0:
             stamp = self.spark.sql("select date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")").first()[0]
-            self.history.record(self.target, stamp, seen, findings, RULESET_VERSION, "apisight", f'{{"batch":{batch_id}}}')
+            self.history.record(self.target, stamp, seen, findings, RULESET_VERSION, "apisight", self._manifest(batch_id, inventory, findings))
+
+    def _manifest(self, batch_id: int, inventory: DataFrame, findings: DataFrame) -> str:
+        """Of a cycle: the batch, the counts of all lines so far, endpoints and findings, and a digest of the state they were made from."""
+        counts = self.spark.read.parquet(f"{self.state}/counts/*").groupBy("outcome").agg(F.sum("lines").alias("lines")).collect()
+        state = self._state().agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("raw_path", "observations", "first_seen", "last_seen").cast("decimal(38,0)")).alias("h")).first()
+        by = {r.classification: r.n for r in findings.groupBy("classification").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return json.dumps({"batch": batch_id, "lines": {r.outcome: r.lines for r in counts}, "endpoints_found": inventory.count(), "findings_by_classification": by, "state_rows": state.n, "state_digest": str(state.h)}, sort_keys=True)
 
     def _state(self) -> DataFrame:
         rows = self.spark.read.option("mergeSchema", "false").parquet(f"{self.state}/paths/*")

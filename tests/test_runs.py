@@ -1,29 +1,32 @@
 """Specifications, whole analyses, history and the stream."""
 
+import hashlib
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from apisight.operators import history as H
-from apisight.plans.analysis import Settings, analyse, record_run, report_html, report_json, report_markdown, write_compliance
+from apisight.plans.analysis import Settings, analyse, markdown_lines, record_run, report_html, report_json, report_markdown, status_view, write_compliance, write_lines
 from apisight.sources.access_log import FormatNotRecognized, input_digest
 from apisight.sources.openapi import SpecError, parse_spec, read_spec
-from apisight.streaming.tail import TailReader, Watch, tail_log
+from apisight.streaming import tail
+from apisight.streaming.tail import TailReader, Watch, lines_of, tail_log
 
 LOG = "\n".join(
-    [f'10.0.0.1 - - [10/Oct/2023:13:55:3{i} +0000] "GET /api/users/{i}?page=2 HTTP/1.1" 200 2326 "https://example.com/" "Mozilla/5.0"' for i in (1, 2, 3)]
-    + ['10.0.0.3 - alice [10/Oct/2023:13:55:38 +0000] "POST /api/admin/reset HTTP/1.1" 204 0 "-" "Mozilla/5.0"', '10.0.0.4 - - [10/Oct/2023:14:02:01 +0200] "DELETE /api/sessions/abc123 HTTP/1.1" 401 12 "-" "python-requests/2.31"']
+    [f'203.0.113.9 - - [05/Mar/2024:08:00:0{i} +0000] "GET /v1/books/{i}?lang=en HTTP/1.1" 200 512 "-" "curl/8.5"' for i in (1, 2, 3)]
+    + ['203.0.113.7 - mira [05/Mar/2024:08:01:00 +0000] "PUT /v1/stock/recount HTTP/1.1" 202 0 "-" "curl/8.5"', '203.0.113.8 - - [05/Mar/2024:10:02:01 +0200] "DELETE /v1/carts/c0ffee HTTP/1.1" 409 12 "-" "a|b <c>"']
 )
 SPEC = {
     "openapi": "3.0.3",
-    "servers": [{"url": "https://api.example.com"}],
-    "security": [{"bearerAuth": []}],
-    "paths": {"/api/users/{userId}": {"get": {}, "post": {}}, "/api/sessions/{sessionId}": {"delete": {}}, "/api/reports/{reportId}": {"get": {}}},
+    "servers": [{"url": "https://books.example.org"}],
+    "security": [{"shopKey": []}],
+    "paths": {"/v1/books/{bookId}": {"get": {}, "post": {}}, "/v1/carts/{cartId}": {"delete": {}}, "/v1/orders/{orderId}": {"get": {}}},
 }
 ENDPOINTS = {
-    ("7d9cfd7f1c092667", "/api/admin/reset", ("POST",), 1, "Yes"), ("695f06f9ceac71ae", "/api/sessions/abc123", ("DELETE",), 1, "NotObservable"),
-    ("0ca09871c324def7", "/api/users/{id}", ("GET",), 3, "NotObservable"),
+    (hashlib.sha256(path.encode()).hexdigest()[:16], path, methods, n, auth)
+    for path, methods, n, auth in (("/v1/stock/recount", ("PUT",), 1, "Yes"), ("/v1/carts/c0ffee", ("DELETE",), 1, "NotObservable"), ("/v1/books/{id}", ("GET",), 3, "NotObservable"))
 }
 
 
@@ -34,7 +37,7 @@ def write(folder, name, text):
 
 
 def test_specifications(spark, folder):
-    assert parse_spec(json.dumps(SPEC))[0] == ("/api/reports/{reportId}", ["GET"], ["bearerAuth"])
+    assert parse_spec(json.dumps(SPEC))[0] == ("/v1/books/{bookId}", ["GET", "POST"], ["shopKey"])
     bases = {"swagger": "2.0", "basePath": "/v2/", "servers": [{"url": "https://x/api/"}], "paths": {"/a": {"GET": {"security": []}, "parameters": []}, "/b": {"summary": "x"}}}
     assert [p for p, _, _ in parse_spec(json.dumps(bases))] == ["/api/a", "/v2/a"]
     deep = "x"
@@ -50,16 +53,23 @@ def test_specifications(spark, folder):
 
 def test_analysis(spark, folder):
     log, spec = write(folder, "valid.log", LOG), write(folder, "spec.json", json.dumps(SPEC))
-    a = analyse(spark, log, Settings(openapi_spec=spec, allowlist_text="any-allowlist 1\npattern /api/sessions/*"))
+    a = analyse(spark, log, Settings(openapi_spec=spec, allowlist_text="any-allowlist 1\npattern /v1/carts/*"))
     assert {(r.id, r.path_pattern, tuple(r.methods), r.observation_count, r.auth_observed) for r in a.inventory.collect()} == ENDPOINTS
     assert a.by_class == {"Known": 1, "Shadow": 1, "Undetermined": 3} and a.exit_code == 3 and a.counts == {"parsed": 5}
     report = json.loads(report_json(spark, a, "2024-01-01T00:00:00Z"))
     assert [f["classification"] for f in report["findings"]] == ["Shadow", "Undetermined", "Known"] and report["findings_silenced_by_allowlist"] == 2
     assert report["manifest"]["counts"]["findings_by_classification"] == {"Known": 1, "Shadow": 1, "Undetermined": 3}
     assert report["manifest"]["inputs"][0]["path"] == "<path>/valid.log" and len(report["manifest"]["inputs"][0]["digest"]) == 64
-    assert report["endpoints"][0]["auth"] == {"observed": "yes", "observable_requests": 1}
-    assert "/api/admin/reset" in report_markdown(a) and "<table>" in report_html(a)
-    scoped = analyse(spark, log, Settings(path_prefix="/api/users"))
+    auth = {e["path_pattern"]: e["auth"] for e in report["endpoints"]}
+    assert auth["/v1/stock/recount"] == {"observed": "yes", "observable_requests": 1}
+    assert report["manifest"]["configuration"]["openapi_spec"] == {"value": "<path>/spec.json", "source": "given"} and report["manifest"]["configuration"]["staleness_days"] == {"value": 30, "source": "default"}
+    text, page = report_markdown(a), report_html(a)
+    assert text.index("## Findings by reason") < text.index("| Shadow | High | not present") if "| Shadow | High | not present" in text else "| Shadow |" in text
+    assert text.count("\n## ") == 3 and "| parsed | 5 |" in text and "/v1/carts/c0ffee" in text
+    assert page.count("<table>") == page.count("</table>") == 4 and "<td>/v1/stock/recount</td>" in page
+    write_lines(markdown_lines(a), f"file://{folder}/report")
+    assert sum(1 for r in spark.read.text(f"{folder}/report").collect() if r.value.startswith("| Shadow")) == text.count("| Shadow")
+    scoped = analyse(spark, log, Settings(path_prefix="/v1/books"))
     assert scoped.inventory.count() == 1 and scoped.outside_scope == 2 and scoped.exit_code == 0
 
 
@@ -70,8 +80,6 @@ def test_refusals(spark, folder):
         Settings(path_prefix="api")
     with pytest.raises(ValueError):
         Settings(staleness_days=-1)
-    import hashlib
-
     assert input_digest(spark, write(folder, "x", LOG)).first().digest == hashlib.sha256(LOG.encode()).hexdigest()
 
 
@@ -81,11 +89,11 @@ def test_history(spark, folder):
     a = analyse(spark, log, Settings(openapi_spec=spec, target="shop"))
     assert record_run(a, store, "2024-01-02T00:00:00Z") == 1
     alerts = [r.path_pattern for r in H.pending_alerts(store.endpoints()).collect()]
-    assert alerts == ["/api/admin/reset"] and store.findings().count() == 5
+    assert alerts == ["/v1/stock/recount"] and store.findings().count() == 5
     # a run without a specification has verdicts on none of these: the alert and the classification stay
     b = analyse(spark, log, Settings(target="shop"))
     assert record_run(b, store, "2024-01-01T00:00:00Z") == 2
-    row = store.endpoints().where("path_pattern = '/api/admin/reset'").first()
+    row = store.endpoints().where("path_pattern = '/v1/stock/recount'").first()
     assert (row.last_classification, row.first_seen_run, row.last_seen_run, row.alerted) == ("Shadow", 1, 2, True)
     assert [r.went_back for r in H.clock_backwards(store.runs()).orderBy("id").collect()] == [False, True]
     assert store.acknowledge("shop", row.endpoint_id) and not store.acknowledge("other", row.endpoint_id)
@@ -95,25 +103,55 @@ def test_history(spark, folder):
     write_compliance(store, "shop", f"file://{folder}/csv")
     lines = [r.value for r in spark.read.text(f"{folder}/csv").collect()]
     assert lines[0] == "endpoint_id,path_pattern,methods,observations,classification,authentication,observable_requests,first_seen_run,last_seen_run,pending_alert" and len(lines) == 4
+    write_compliance(store, "shop", f"file://{folder}/json", "json")
+    write_compliance(store, "shop", f"file://{folder}/md", "markdown")
+    assert spark.read.json(f"{folder}/json").count() == 3 and sum(r.value.startswith("| ") for r in spark.read.text(f"{folder}/md").collect()) == 4
+    view = status_view(store, "shop")
+    assert view["numbers"].first().asDict() == {"target": "shop", "runs": 2, "last_run": 2, "endpoints": 3, "later": 0, "pending": 0}
+    assert view["inventory"].count() == 3 and view["new"].count() == 0 and view["pending"].count() == 0 and view["trend"].count() == 2
+    assert store.has_target("else") and not store.has_target("none")
     with pytest.raises(ValueError):
         record_run(analyse(spark, log, Settings(target=" x")), store, "t")
+    with pytest.raises(FileNotFoundError):
+        H.History(spark, f"file://{folder}/missing", create=False)
 
 
-def test_tail_reader(folder):
-    path = write(folder, "t.log", "a\nb\npart")
-    reader = TailReader(path, 3)
-    rows, at = reader.read(reader.initialOffset())
-    assert list(rows) == [(0, b"a")] and at == {"epoch": 0, "bytes": 2}
-    rows, at = reader.read(at)
-    assert list(rows) == [(0, b"b")]
-    rows, same = reader.read(at)
-    assert list(rows) == [] and same == at
-    write(folder, "t.log", "a\nb\npartial\n")
-    rows, end = reader.read(at)
-    assert list(rows) == [(0, b"partial")] and list(reader.readBetweenOffsets(at, end)) == [(0, b"partial")]
+def test_two_writers_lose_no_run(spark, folder):
+    seen = spark.createDataFrame([("e1", "/a", ["GET"], 1, "no", 1, "Shadow")], "id string, path_pattern string, methods array<string>, observation_count long, auth_observed string, auth_observable_count long, classification string")
+    none = spark.createDataFrame([], "endpoint_id string, subject_kind string, path_pattern string, classification string, confidence string, severity string, evidence array<string>")
+    ids: list[int] = []
+    store = H.History(spark, f"file://{folder}/history")
+    work = lambda t: ids.append(H.History(spark, f"file://{folder}/history").record(t, "2024-01-01T00:00:00Z", seen, none, "r", "t"))
+    writers = [threading.Thread(target=work, args=(f"t{i}",)) for i in range(3)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert sorted(ids) == [1, 2, 3] == sorted(r.id for r in store.runs().collect())
+    assert {(r.target, r.first_seen_run) for r in store.endpoints().collect()} == {(r.target, r.id) for r in store.runs().collect()}
+
+
+def new_lines(reader, at):
+    ranges, end = reader.read(at)
+    ranges = list(ranges)
+    assert ranges == list(reader.readBetweenOffsets(at, end))
+    return [(r[0], x) for r in ranges for x in lines_of(*r[1:])], end
+
+
+@pytest.mark.parametrize("range_bytes, look", [(3, 2), (1 << 20, 1 << 20)])
+def test_tail_reader(folder, range_bytes, look, monkeypatch):
+    monkeypatch.setattr(tail, "LOOK_BYTES", look)
+    path = write(folder, "t.log", "a\nbcdefgh\n\npart")
+    reader = TailReader(path, range_bytes)
+    found, at = new_lines(reader, reader.initialOffset())
+    assert found == [(0, b"a"), (0, b"bcdefgh"), (0, b"")] and at == {"epoch": 0, "bytes": 11}
+    assert new_lines(reader, at) == ([], at)
+    write(folder, "t.log", "a\nbcdefgh\n\npartial\n")
+    found, end = new_lines(reader, at)
+    assert found == [(0, b"partial")]
     write(folder, "t.log", "n\n")
-    rows, end = reader.read(end)
-    assert list(rows) == [(1, b"n")] and end == {"epoch": 1, "bytes": 2}
+    found, end = new_lines(reader, end)
+    assert found == [(1, b"n")] and end == {"epoch": 1, "bytes": 2}
 
 
 def test_stream_equals_a_single_run(spark, folder):
@@ -130,6 +168,8 @@ def test_stream_equals_a_single_run(spark, folder):
         fields = ["id", "path_pattern", "methods", "observation_count", "auth_observed", "first_seen", "last_seen"]
         assert sorted(map(str, watch.inventory().select(fields).collect())) == sorted(map(str, single.select(fields).collect()))
     assert store.runs().count() >= 2
+    last = json.loads(store.last_run("live").manifest_json)
+    assert last["lines"] == {"parsed": 5} and last["endpoints_found"] == 3 and last["state_rows"] > 0
     # the same batch again replaces its part
     batch = spark.createDataFrame([(0, x) for x in lines], "epoch long, value string")
     for _ in range(2):

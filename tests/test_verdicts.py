@@ -120,11 +120,11 @@ def test_distance_against_a_model(spark):
 
 
 RULES = """# known noise
-shadow-allowlist 1
+shop-allowlist 1
 endpoint id0   # by id
 pattern /api/x
 pattern /api/*
-""".replace("shadow", "any")
+"""
 
 
 def test_allowlist(spark):
