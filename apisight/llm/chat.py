@@ -11,6 +11,8 @@ from .ranks import running
 CONTEXT_ROLES = ("system",)
 #: Name of a speaker whose role is null.
 UNNAMED = "unknown"
+#: Ends a turn.
+END = "<|im_end|>\n"
 #: Stretches of turn numbers that a conversation is split into for its running sums.
 STRETCHES = 1024
 #: Characters of a rendering that rendered() puts into one row, but for the last segment of each.
@@ -42,26 +44,31 @@ def rotate_perspectives(turns: DataFrame, context_roles: tuple[str, ...] = CONTE
     form one conversation. Turns with the same number, or repeated rows, are all rendered. Only distinct (conv_id, role) pairs meet the turns,
     and positions are summed up by stretches of turns, so a conversation of any length stays spread over tasks. Other columns are ignored.
     """
-    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(UNNAMED)).alias("said_by"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null"))
+    turns = turns.select("conv_id", key.alias("key"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(UNNAMED)).alias("said_by"), escaped(text).alias("body"), F.md5(text).alias("digest"))
+    turns = turns.withColumn("body_length", F.length("body"))  # the sums need no more of the text
     talks = F.col("said_by").isin(*context_roles)
-    ends = turns.groupBy(F.col("conv_id").alias("e")).agg(F.min(F.col("turn").cast("double")).alias("first"), (F.max(F.col("turn").cast("double")) - F.min(F.col("turn").cast("double")) + 1).alias("span"))
-    speakers = turns.where(~talks).select(F.col("conv_id").alias("c"), F.col("said_by").alias("speaker")).distinct()
-    speakers = speakers.join(ends, F.col("c").eqNullSafe(F.col("e"))).drop("e")
-    rows = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("c")))
+    number = F.col("turn").cast("double")
+    ends = turns.groupBy(F.col("key").alias("e")).agg(F.min(number).alias("first"), (F.max(number) - F.min(number) + 1).alias("span"))
+    speakers = turns.where(~talks).select(F.col("key").alias("c"), F.col("said_by").alias("speaker")).distinct()
+    speakers = speakers.join(ends, F.col("c") == F.col("e")).drop("e")
+    rows = turns.join(speakers, F.col("key") == F.col("c"))
     role = F.when(talks, F.lit("system")).when(F.col("said_by") == F.col("speaker"), F.lit("assistant")).otherwise(F.lit("user"))
     rows = rows.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", shown_name(F.col("said_by"))))
-    head = F.concat(F.lit("<|im_start|>"), F.col("role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
-    rows = rows.withColumns({"head": F.length(head), "digest": F.md5("text")}).withColumn("segment", F.concat(head, escaped(F.col("text")), F.lit("<|im_end|>\n")))
+    header = F.concat(F.lit("<|im_start|>"), F.col("role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
+    rows = rows.withColumn("header", header).withColumn("head", F.length("header"))
     # a stretch holds one turn number or several; where it holds one, digests split it further
-    stretch = F.coalesce(F.floor((F.col("turn").cast("double") - F.col("first")) / F.col("span") * STRETCHES), F.lit(-1))
+    stretch = F.coalesce(F.floor((number - F.col("first")) / F.col("span") * STRETCHES), F.lit(-1))
     block = stretch * 256 + F.when(F.col("span") < STRETCHES, F.conv(F.substring("digest", 1, 2), 16, 10).cast("long")).otherwise(F.lit(0))
-    rows = rows.select("conv_id", "speaker", "turn", "said_by", "role", "name", "segment", "head", "digest", block.alias("block"))
-    rows = running(rows, ["conv_id", "speaker"], F.col("block"), ["turn", "digest", "said_by"], F.length("segment"), "at")
+    rows = rows.select("conv_id", "key", "speaker", "turn", "said_by", "role", "name", "header", "body", "head", "digest", block.alias("block"), (F.col("head") + F.col("body_length") + len(END)).alias("length"))
+    rows = running(rows, ["key", "speaker"], F.col("block"), ["turn", "digest", "said_by"], F.col("length"), "at", nullable=False)
+    rows = rows.withColumn("segment", F.concat("header", "body", F.lit(END)))
     trained = F.col("role") == "assistant"
     return rows.select(
         "conv_id", "speaker", "turn", "role", "name", "segment", "at",
         F.when(trained, F.col("at") + F.col("head")).otherwise(F.col("at")).alias("mask_start"),
-        F.when(trained, F.col("at") + F.length("segment") - 1).otherwise(F.col("at")).alias("mask_end"),
+        F.when(trained, F.col("at") + F.col("length") - 1).otherwise(F.col("at")).alias("mask_end"),
         trained.alias("trained"),
     )
 

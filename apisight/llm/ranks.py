@@ -28,10 +28,11 @@ def block_of(value: Column, bits: int) -> Column:
     return F.shiftright(value, 60 - bits).cast("int")
 
 
-def running(rows: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, out: str, total: str | None = None) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, out: str, total: str | None = None, nullable: bool = True) -> DataFrame:
     """Adds out: the sum of value over the rows of the same keys that come before in (block, order); and total: the sum over all of them.
 
-    rows is evaluated twice, so it should be a table. Null keys form a key of their own.
+    rows is evaluated twice, so it should be a table or cheap to make. Null keys form a key of their own; where there are none (nullable is
+    False), the rows stay where the sums by block have put them.
     """
     rows = rows.withColumn("_block", block).withColumn("_value", value)
     sums = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
@@ -42,7 +43,7 @@ def running(rows: DataFrame, keys: list[str], block: Column, order: list[str], v
     rows = rows.withColumn("_local", F.coalesce(F.sum("_value").over(local), F.lit(0)))
     cond = F.col("_block") == F.col("_b")
     for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        cond = cond & (F.col(k).eqNullSafe(F.col(f"_k_{k}")) if nullable else F.col(k) == F.col(f"_k_{k}"))
     joined = rows.join(sums, cond, "left").withColumn(out, (F.col("_before") + F.col("_local")).cast("long"))
     if total:
         joined = joined.withColumn(total, F.col("_total").cast("long"))
