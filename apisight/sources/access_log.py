@@ -20,6 +20,8 @@ METHOD = r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+\z"
 LOCAL_TIME = r"^[0-9]{1,2}/[A-Z][a-z]{2}/[0-9]{4}:[0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}\z"
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})\z"
 
+#: Columns that parse_lines() adds.
+PARSED = ("discard_reason", "method", "raw_path", "query_params", "auth", "status_code", "ts")
 #: Bytes of a file that are read at once for its digest.
 PIECE_BYTES = 8 << 20
 
@@ -106,17 +108,21 @@ def parse_lines(lines: DataFrame, log_format: str = BUILT_IN, value: str = "valu
     )
     rows = rows.select("*", reason.alias("_reason"))
     parsed = F.col("_reason").isNull()
-    out = {
-        "discard_reason": F.col("_reason"),
-        "method": F.when(parsed, F.col("_method")),
-        "raw_path": F.when(parsed, path),
-        "query_params": F.when(parsed, query_params(query)),
-        "auth": F.when(parsed, infer_auth(field["remote_user"] if "remote_user" in field else F.lit(None).cast("string"))),
-        "status_code": F.when(parsed, F.try_to_number(field["status"], F.lit("999")).cast("smallint")),
-        "ts": F.when(parsed, F.col("_ts")),
-    }
-    kept = [F.col(f"`{c}`") for c in lines.columns if c not in out]
-    return rows.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in out.items()]))))
+    user = field["remote_user"] if "remote_user" in field else F.lit(None).cast("string")
+    made = {"_reason": F.col("_reason"), "_method": F.col("_method"), "_path": path, "_query": query, "_user": user, "_status": field["status"], "_ts": F.col("_ts")}
+    given_columns = [F.col(f"`{c}`") for c in lines.columns if c not in PARSED]
+    rows = rows.select(*given_columns, F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
+    # outside of the generator, so that what a query does not use is not computed
+    out = (
+        F.col("_reason"),
+        F.when(parsed, F.col("_method")),
+        F.when(parsed, F.col("_path")),
+        F.when(parsed, query_params(F.col("_query"))),
+        F.when(parsed, infer_auth(F.col("_user"))),
+        F.when(parsed, F.try_to_number("_status", F.lit("999")).cast("smallint")),
+        F.when(parsed, F.col("_ts")),
+    )
+    return rows.select(*given_columns, *[v.alias(k) for k, v in zip(PARSED, out, strict=True)])
 
 
 def in_scope(prefix: str | None) -> Column:
