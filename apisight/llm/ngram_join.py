@@ -4,7 +4,9 @@ Steps, all exact:
 
 1. Every text becomes its set of distinct k-word shingle hashes (64 bits). Hashes are dealt to ranges (groups of sorted blobs, not rows); a
    range finds those that two documents or more have. A shingle of one document alone can be in no intersection. Ranges grow in number with
-   the bytes of text; many are dealt in steps, so that the blobs grow with the hashes and not with ranges times tasks.
+   the bytes of text; many are dealt in steps, so that the blobs grow with the hashes and not with ranges times tasks. A hash that OFTEN of
+   the documents at hand have is counted before it is dealt: its range gets the count, and its documents in blobs that are read one by one
+   after all counts, so no task holds the documents of a frequent shingle.
 2. A document can only link if its repeated shingles make up the threshold of its set: any union is at least the set. The rest go.
 3. Documents with equal size and equal repeated shingles have the same links to all others. They form one class; its least id stands for it.
    Shingles are counted again over classes, and step 2 is repeated.
@@ -33,17 +35,20 @@ from .components import components
 from .shared import materialise
 from .words import chunks, mix, shingles
 
-#: Bytes of text for each hash range and each group of documents (some two million shingles): a range's blobs are what one task holds at once.
-BYTES_PER_RANGE = 16 << 20
-LEAST_BITS = 6
+#: Bytes of text for each hash range and each group of documents (some million shingles): a range's blobs are what one task holds at once.
+BYTES_PER_RANGE = 8 << 20
+LEAST_BITS = 4
 #: Bits of a range's number that one step deals.
 STEP_BITS = 10
 #: Documents and hashes that are dealt at once.
 FLUSH_DOCS, FLUSH_HASHES = 60_000, 3_000_000
+#: Of the documents dealt at once, those that make their common hash a frequent one.
+OFTEN = 256
 #: Members of a bucket that are compared at once in the last step.
 BLOCK = 256
 
-_BLOB = "part int, blob binary"
+#: kind is 0, or 1 for entries of frequent hashes on their way to a range, where kind 0 then has records with their counts.
+_BLOB = "part int, kind int, blob binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -74,11 +79,12 @@ def _blob(ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, h: np.ndarray,
     used, first, local = np.unique(ids[owner], return_index=True, return_inverse=True)
     place = local.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
     parts = [(h >> np.uint64(32)).astype(np.uint16), (h >> np.uint64(48)).astype(np.uint16)]  # apart, for the highest bits are alike in a range
-    return _pack(used, sizes[owner[first]], place, h.astype(np.uint32), *parts, times.astype(np.uint32))
+    return _pack(used, sizes[owner[first]], place, h.astype(np.uint32), *parts, np.minimum(times, 0xFFFFFFFF).astype(np.uint32))
 
 
 def _entries(blobs: list[bytes]) -> Entries:
-    """ids, sizes, owner (place in ids), hashes and counts (empty if not known) of several blobs together."""
+    """ids, sizes, owner (place in ids), hashes and counts of several blobs together. On the way to a range a count of 0 is an entry's, for it
+    is not known yet, and any other is that of a record, which tells how many entries of its hash are in blobs of kind 1."""
     out: list[list] = [[], [], [], [], []]
     base = 0
     for blob in blobs:
@@ -90,14 +96,14 @@ def _entries(blobs: list[bytes]) -> Entries:
     return tuple(np.concatenate(x) for x in out)
 
 
-def _deal(entries: Entries, where: np.ndarray) -> pa.RecordBatch:
+def _deal(entries: Entries, where: np.ndarray, kind: int = 0) -> pa.RecordBatch:
     """Entries by `where`, the number of the range or group that each goes to."""
     ids, sizes, owner, h, times = entries
     order = np.argsort(where, kind="stable")  # documents stay in order, so that their places compress
     where = where[order]
     bounds = np.append(np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else [], len(where)).astype(np.int64)
-    blobs = [_blob(ids, sizes, owner[o], h[o], times[o] if len(times) else times) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for o in (order[a:b],)]
-    return _batch(where[bounds[:-1]].tolist(), blobs)
+    blobs = [_blob(ids, sizes, owner[o], h[o], times[o]) for a, b in zip(bounds[:-1], bounds[1:], strict=True) for o in (order[a:b],)]
+    return pa.RecordBatch.from_arrays([pa.array(where[bounds[:-1]], pa.int32()), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "blob"])
 
 
 def _range(entries: Entries, bits: int) -> np.ndarray:
@@ -109,23 +115,46 @@ def _group(entries: Entries, bits: int) -> np.ndarray:
     return ((entries[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)[entries[2]]
 
 
-def _finer(blobs: DataFrame, key: Callable[[Entries, int], np.ndarray], bits: int) -> DataFrame:
+def _deal_ranges(entries: Entries, kind: int, bits: int, often: int) -> Iterator[pa.RecordBatch]:
+    """Entries and records by range; entries of kind 0 whose hash `often` of them have become kind 1 and leave a record of their number."""
+    ids, sizes, owner, h, times = entries
+    where = _range(entries, bits)
+    if kind == 0:
+        low = (h & np.uint64((1 << 20) - 1)).astype(np.int64)
+        some = np.flatnonzero((times == 0) & (np.bincount(low, times == 0, 1 << 20) >= often)[low])
+        _, first, back, count = np.unique(h[some], return_index=True, return_inverse=True, return_counts=True)
+        moved, records = some[(count >= often)[back]], some[first[count >= often]]
+        if len(moved):
+            yield _deal((ids, sizes, owner[moved], h[moved], times[moved]), where[moved], 1)
+            rest = np.ones(len(h), bool)
+            rest[moved] = False
+            stay = np.concatenate((np.flatnonzero(rest), records))
+            owner, h, where, times = owner[stay], h[stay], where[stay], np.concatenate((times[rest], count[count >= often]))
+    yield _deal((ids, sizes, owner, h, times), where, kind)
+
+
+def _deal_groups(entries: Entries, kind: int, bits: int, often: int) -> Iterator[pa.RecordBatch]:
+    yield _deal(entries, _group(entries, bits), kind)
+
+
+def _finer(blobs: DataFrame, deal: Callable[[Entries, int, int, int], Iterator[pa.RecordBatch]], bits: int) -> DataFrame:
     """Blobs of the first STEP_BITS bits dealt on, STEP_BITS at a time, up to `bits` bits. No step gathers a range: any task may have a part of it."""
 
     def step(now: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            had, size = [], 0
+            had: tuple[list[bytes], list[bytes]] = ([], [])
+            size = [0, 0]
             for batch in batches:
-                for blob in batch.column("blob"):
-                    had.append(blob.as_py())
-                    size += len(had[-1])
-                    if size > 8 * FLUSH_HASHES:
-                        entries = _entries(had)
-                        yield _deal(entries, key(entries, now))
-                        had, size = [], 0
-            if had:
-                entries = _entries(had)
-                yield _deal(entries, key(entries, now))
+                for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+                    had[kind].append(blob.as_py())
+                    size[kind] += len(had[kind][-1])
+                    if size[kind] > 8 * FLUSH_HASHES:
+                        yield from deal(_entries(had[kind]), kind, now, OFTEN)
+                        had[kind].clear()
+                        size[kind] = 0
+            for kind in (0, 1):
+                if had[kind]:
+                    yield from deal(_entries(had[kind]), kind, now, OFTEN)
 
         return work
 
@@ -135,12 +164,8 @@ def _finer(blobs: DataFrame, key: Callable[[Entries, int], np.ndarray], bits: in
     return blobs
 
 
-def _batch(parts: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
-
-
 def _shingle_blobs(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    first, none = min(bits, STEP_BITS), np.zeros(0, np.uint32)
+    first = min(bits, STEP_BITS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: list = []
@@ -148,9 +173,9 @@ def _shingle_blobs(docs: DataFrame, k: int, bits: int) -> DataFrame:
         def flush():
             ids, sizes = np.concatenate([x[0] for x in had]), np.concatenate([x[1] for x in had])
             at = np.cumsum([0] + [len(x[0]) for x in had[:-1]])
-            entries = ids, sizes, np.concatenate([x[2] + a for x, a in zip(had, at, strict=True)]), np.concatenate([x[3] for x in had]), none
+            owner, h = np.concatenate([x[2] + a for x, a in zip(had, at, strict=True)]), np.concatenate([x[3] for x in had])
             had.clear()
-            return _deal(entries, _range(entries, first))
+            yield from _deal_ranges((ids, sizes, owner, h, np.zeros(len(h), np.uint32)), 0, first, OFTEN)
 
         rows = hashes = 0
         for batch in batches:
@@ -159,20 +184,20 @@ def _shingle_blobs(docs: DataFrame, k: int, bits: int) -> DataFrame:
                 own, h = shingles(chunk, k)
                 sizes = np.bincount(own, minlength=chunk.n).astype(np.int64)
                 if had and (rows + chunk.n > FLUSH_DOCS or hashes > FLUSH_HASHES):
-                    yield flush()
+                    yield from flush()
                     rows = hashes = 0
                 had.append((ids[chunk.first : chunk.first + chunk.n], sizes, own, h))
                 rows, hashes = rows + chunk.n, hashes + len(h)
         if had:
-            yield flush()
+            yield from flush()
 
     blobs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(work, _BLOB)
-    return _finer(blobs, _range, bits)
+    return _finer(blobs, _deal_ranges, bits)
 
 
 def _set_blobs(sets: DataFrame, bits: int) -> DataFrame:
     """As _shingle_blobs, from (doc_id, n, hashes)."""
-    first, none = min(bits, STEP_BITS), np.zeros(0, np.uint32)
+    first = min(bits, STEP_BITS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,33 +206,64 @@ def _set_blobs(sets: DataFrame, bits: int) -> DataFrame:
                 h = [np.frombuffer(x, np.uint64) for x in part.column("hashes").to_pylist()]
                 owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
                 # mixed, so that they spread over the ranges anew; mix() keeps different hashes different
-                entries = part.column("doc_id").to_numpy(), part.column("n").to_numpy(), owner, mix(np.concatenate(h)) if h else np.zeros(0, np.uint64), none
-                yield _deal(entries, _range(entries, first))
+                entries = part.column("doc_id").to_numpy(), part.column("n").to_numpy(), owner, mix(np.concatenate(h)), np.zeros(len(owner), np.uint32)
+                yield from _deal_ranges(entries, 0, first, OFTEN)
+
+    return _finer(sets.select("doc_id", "n", "hashes").mapInArrow(work, _BLOB), _deal_ranges, bits)
 
-    return _finer(sets.select("doc_id", "n", "hashes").mapInArrow(work, _BLOB), _range, bits)
+
+def _counted(entries: Entries) -> tuple[Entries, np.ndarray, np.ndarray]:
+    """The entries of a range's kind 0 that have company, with their counts and in order of documents; and all hashes, sorted, with their counts."""
+    ids, sizes, owner, h, times = entries
+    record, own = times > 0, np.flatnonzero(times == 0)
+    own = own[np.lexsort((ids[owner[own]], h[own]))]
+    new = np.ones(len(own), bool)  # rows repeated under one id count once
+    new[1:] = (h[own[1:]] != h[own[:-1]]) | (ids[owner[own[1:]]] != ids[owner[own[:-1]]])
+    own = own[new]
+    mine, count = np.unique(h[own], return_counts=True)
+    told, back = np.unique(h[record], return_inverse=True)
+    every = np.union1d(mine, told) if len(told) else mine
+    total = np.zeros(len(every), np.int64)
+    total[np.searchsorted(every, mine)] += count
+    total[np.searchsorted(every, told)] += np.bincount(back, times[record], len(told)).astype(np.int64)
+    count = total[np.searchsorted(every, h[own])]
+    own, count = own[count > 1], count[count > 1]
+    by_doc = np.argsort(ids[owner[own]], kind="stable")
+    return (ids, sizes, owner[own[by_doc]], h[own[by_doc]], count[by_doc]), every, total
 
 
 def _repeated(blobs: DataFrame, bits: int) -> DataFrame:
-    """Of each range, the hashes that several documents have, with their counts, as blobs by group of documents."""
+    """Of each range, the hashes that several documents have, with their counts, as blobs by group of documents.
+
+    A task holds the blobs of kind 0 of one range; those of kind 1 come after them and are held one at a time. (Rows repeated under one id are
+    counted each where their hash is frequent; a count too high only lets more through to the later steps.)
+    """
     first = min(bits, STEP_BITS)
 
-    def work(table: pa.Table) -> pa.Table:
-        ids, sizes, owner, h, _ = _entries(table.column("blob").to_pylist())
-        order = np.lexsort((ids[owner], h))
-        h, owner = h[order], owner[order]
-        own = ids[owner]
-        new = np.ones(len(h), bool)  # rows repeated under one id count once
-        new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
-        h, owner = h[new], owner[new]
-        first_of = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        count = np.diff(np.append(first_of, len(h)))
-        times = np.repeat(count, count)
-        keep = times > 1
-        by_doc = np.argsort(ids[owner[keep]], kind="stable")
-        entries = ids, sizes, owner[keep][by_doc], h[keep][by_doc], times[keep][by_doc]
-        return pa.Table.from_batches([_deal(entries, _group(entries, first))])
-
-    return _finer(blobs.groupBy("part").applyInArrow(work, _BLOB), _group, bits)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, had, known = None, [], None
+
+        def count():
+            nonlocal known
+            entries, *known = _counted(_entries(had))
+            had.clear()
+            return _deal(entries, _group(entries, first))
+
+        for batch in batches:
+            for now, kind, blob in zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
+                if had and (now != part or kind == 1):
+                    yield count()
+                part = now
+                if kind == 0:
+                    had.append(blob.as_py())
+                else:
+                    ids, sizes, owner, h, _ = _entries([blob.as_py()])
+                    entries = ids, sizes, owner, h, known[1][np.searchsorted(known[0], h)]
+                    yield _deal(entries, _group(entries, first))
+        if had:
+            yield count()
+
+    return _finer(blobs.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(work, _BLOB), _deal_groups, bits)
 
 
 def _eligible(blobs: DataFrame, percent: int) -> DataFrame:
@@ -217,6 +273,7 @@ def _eligible(blobs: DataFrame, percent: int) -> DataFrame:
         ids, sizes, owner, h, times = _entries(table.column("blob").to_pylist())
         ids, sizes = ids[owner], sizes[owner]
         order = np.lexsort((h, ids))
+        order = order[np.concatenate(([True], (ids[order[1:]] != ids[order[:-1]]) | (h[order[1:]] != h[order[:-1]])))]
         ids, sizes, h, times = ids[order], sizes[order], h[order], times[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         length = np.diff(np.append(first, len(ids)))

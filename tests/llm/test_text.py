@@ -240,7 +240,7 @@ def test_components_of_chains_and_large_groups(spark):
 @pytest.mark.parametrize("bytes_per_range, step", [(40, 3), (200, 2)])
 def test_components_by_many_ranges_in_steps(spark, documents, monkeypatch, bytes_per_range, step):
     """Ranges dealt in steps, small flushes, blocks of a few members and documents of all lengths in one bucket."""
-    for name, value in (("BYTES_PER_RANGE", bytes_per_range), ("STEP_BITS", step), ("LEAST_BITS", 1), ("FLUSH_HASHES", 50), ("BLOCK", 2)):
+    for name, value in (("BYTES_PER_RANGE", bytes_per_range), ("STEP_BITS", step), ("LEAST_BITS", 1), ("FLUSH_HASHES", 50), ("BLOCK", 2), ("OFTEN", 3)):
         monkeypatch.setattr(ngram_join, name, value)
     passage = " a passage that many of the documents share as it is and that is long enough to fill a prefix"
     docs = [(i, " ".join(f"s{i}_{j}" for j in range(i % 5)) + passage) for i in range(30)] + [(100 + i, f"q{i} " * (i % 3) + passage) for i in range(20)]
@@ -248,6 +248,16 @@ def test_components_by_many_ranges_in_steps(spark, documents, monkeypatch, bytes
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == groups(docs, 4, 85)
 
 
+def test_components_with_frequent_shingles(spark):
+    """Shingles of far more documents than OFTEN, spread unevenly, one of them with its rows repeated under one id."""
+    passage = "a passage that very many of the documents share word for word in every copy"
+    docs = [(i, " ".join(f"s{i}_{j}" for j in range(i % 4)) + " " + passage) for i in range(700)]
+    docs += [(1000 + i, " ".join(f"t{i // 3}_{j}" for j in range(40 + i % 3)) + " " + passage) for i in range(60)]
+    rows = [*docs, *[(5000, "only this row has these words but many times")] * 300]
+    found = ngram_join.ngram_components(table(spark, rows).coalesce(2)).collect()
+    assert len(found) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in found} == groups(dict(rows).items(), 4, 85)
+
+
 def test_connected_components(spark):
     links = [(i, i + 1) for i in range(1500)] + [(9100, 9101), (9103, 9101), (9200, 9200), (7, 3), (3, 7)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
