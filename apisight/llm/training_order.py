@@ -53,14 +53,14 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, seed: int = 3, e
     """block, at (from 0 in it), n (ids that are no filling), doc_ids (of the documents in it, in order), ids (little-endian, of id_type(path)).
 
     Documents are dealt to blocks by a seeded hash of doc_id and text, whose number follows from the count of rows; in a block they are ordered
-    by that hash, doc_id and ids, each with end_id, and the row of ids is cut into sequences of length ids. So the same table gives the same
+    by that hash, doc_id and ids, each with end_id, and the row of ids is cut into sequences of length ids; each block is one task. So the same table gives the same
     sequences, however it is split and wherever it is read. Null texts are end_id alone.
     """
     width = id_type(path)
     bits = min(MOST_BLOCKS, max(1, docs.count() // BLOCK_DOCS)).bit_length() - 1
     h = seeded(seed, F.col("doc_id"), F.xxhash64("text"))
     keyed = docs.select(F.struct(F.shiftright(h, 60 - bits).cast("int").alias("block"), h.alias("h"), F.col("doc_id").cast("long").alias("doc_id")).alias("doc_id"), F.lit(None).cast("string").alias("source"), "text")
-    rows = encoded(keyed, path, end_id).select("doc_id.*", "ids").repartition("block").sortWithinPartitions("block", "h", "doc_id", "ids")
+    rows = encoded(keyed, path, end_id).select("doc_id.*", "ids").repartitionById(1 << bits, F.col("block")).sortWithinPartitions("block", "h", "doc_id", "ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
