@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunked_bpe, line_dedup, ngram_join, packing, quality, shards, topk, training_order, url_rules
+from . import chat, chunked_bpe, collocations, decontaminate, line_dedup, merkle, ngram_join, packing, quality, shards, topk, training_order, url_rules
 from .shared import new_path
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -65,7 +65,25 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_read(spark, sf_dir, "documents"), 4, 85)
 
 
-QUERIES = {f.__name__: f for f in (op1_perspectives, op2_packing, op3_sharding, op4_url_filter, op5_line_dedup, op6_bpe, op7_quality, op8_top_k, op9_training_order, op10_ngram_join)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(_read(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_perspectives, op2_packing, op3_sharding, op4_url_filter, op5_line_dedup, op6_bpe, op7_quality, op8_top_k, op9_training_order,
+        op10_ngram_join, op11_merkle, op12_decontamination, op13_collocations,
+    )
+}
 
 ORACLES = {
     "op1_perspectives": r"""
@@ -107,4 +125,30 @@ ORACLES = {
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 20""",
+    "op12_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        s AS (SELECT item_id, w, least(len(w), 10) AS size FROM b WHERE len(w) > 0),
+        x AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM s)),
+        o AS (SELECT row, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+              FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM x) WHERE len(w) >= size)),
+        h AS (SELECT o.row, o.i, o.size, x.item_id FROM o JOIN x ON o.win = x.win AND o.size = x.size),
+        c AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT row, i, size FROM h)) GROUP BY row),
+        t AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY row)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN c USING (row) LEFT JOIN t USING (row)""",
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) AS k(size) WHERE len(w) >= size)),
+        f AS (SELECT lang, size, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        k AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+        c AS (SELECT lang, phrase, size, f AS a, cut, array_to_string(w[:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS cut FROM k)),
+        s AS (SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, n, 1000 * a * n // (l.f * r.f) AS score
+              FROM c JOIN f l ON c.lang = l.lang AND c.head = l.phrase JOIN f r ON c.lang = r.lang AND c.rest = r.phrase JOIN t ON c.lang = t.lang),
+        m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s),
+        h AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[i:j], ' ') FOR i IN range(1, size + 1) FOR j IN range(1, size + 1) IF j > i AND j - i + 1 < size]) AS phrase FROM k) GROUP BY ALL),
+        q AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank FROM m LEFT JOIN h ON m.lang = h.lang AND m.phrase = h.phrase WHERE nth = 1 AND (h.f IS NULL OR 100 * h.f < 100 * a))
+        SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM q WHERE rank <= 2000""",
 }
