@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apisight.functions.paths import declared_segments, observed_segments, shape_key
+from apisight.session import cut_lineage
+
+#: Keys of a trie's edges besides those of literals: a declared variable, and any edge.
+WILD, ANY = "*", "?"
+#: Edges of a trie that are broadcast (some 50 bytes each); levels that are walked before the rows are checkpointed.
+BROADCAST_EDGES, LEVELS = 500_000, 8
 
 
 def _typed(observed: DataFrame, declared: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,42 +49,98 @@ def exact_matches(observed: DataFrame, declared: DataFrame) -> DataFrame:
     return o.withColumn("k", shape_key(F.col("o"))).join(d.withColumn("kd", shape_key(F.col("d"))), F.col("k") == F.col("kd")).drop("k", "kd")
 
 
-def partial_matches(observed: DataFrame, declared: DataFrame) -> DataFrame:
-    """Pairs of one length without two different literals that diverge somewhere: an equi-join on the length, then the condition."""
-    o, d = _typed(observed, declared)
-    pairs = o.join(d, (F.size("o") == F.size("d")) & ~_conflict(F.col("o"), F.col("d")) & (shape_key(F.col("o")) != shape_key(F.col("d"))))
-    return pairs.withColumn("spans", F.lit(None).cast("int"))
+def _edge_keys(segments: Column) -> Column:
+    return F.transform(segments, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit(WILD)))
 
 
-def spanning_matches(observed: DataFrame, declared: DataFrame) -> DataFrame:
-    """Pairs where the declared path would fit if its last segment, a variable one, spanned several.
+def declared_trie(declared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The declared paths as a trie of segments, in two tables.
+
+    Edges: node, key, child, ends (a path ends at the child), goes_on (a path goes on there). A literal's key is `=` and the literal, a
+    variable's WILD; every edge has a second row under ANY, for observed variables. Ends: node and the declared columns of the path that ends
+    there. A node is a hash of the keys from the root: two that fall together would let more pairs through to the exact conditions.
+    """
+    rows = declared.withColumn("k", _edge_keys(F.col("d")))
+    ends = cut_lineage(rows.select(F.xxhash64("k").alias("end_node"), "declared_path", "declared_methods", "d"))
+    steps = rows.where(F.size("k") > 0).select("k", F.explode(F.sequence(F.lit(1), F.size("k"))).alias("i"))
+    steps = steps.select(F.xxhash64(F.slice("k", F.lit(1), F.col("i") - 1)).alias("node"), F.expr("k[i - 1]").alias("key"), F.xxhash64(F.slice("k", F.lit(1), F.col("i"))).alias("child"), (F.col("i") == F.size("k")).alias("last"))
+    edges = steps.groupBy("node", "key", "child").agg(F.max("last").alias("ends"), F.max(~F.col("last")).alias("goes_on"))
+    edges = edges.withColumn("open", F.col("key") == WILD)
+    return cut_lineage(edges.union(edges.withColumn("key", F.lit(ANY)))), ends
+
+
+def _walk(observed: DataFrame, declared: DataFrame) -> DataFrame:
+    """Pairs whose shapes may agree as far as the declared path goes: id, path_pattern, methods, o and the declared columns.
 
-    No key is common to such pairs, so it is a theta join; the declared side comes from one specification, of 8 MiB at most.
+    Each observed path walks down the trie one level at a time, by an equi-join on (node, key): a literal takes its own edge and the variable
+    one, a variable takes all. What has reached the end of a declared path (of the same length, or one whose last segment is variable) stays as
+    it is, under a key of its own that no edge has. The trie is broadcast where it is small, and joined by a shuffle where not.
     """
     o, d = _typed(observed, declared)
+    edges, ends = declared_trie(d)
+    depth = ends.agg(F.coalesce(F.max(F.size("d")), F.lit(0))).first()[0]
+    small = edges.count() <= BROADCAST_EDGES
+    sized = lambda table: F.broadcast(table) if small else table
+    walk = o.withColumns({"node": F.xxhash64(F.array().cast("array<string>")), "done": F.lit(False)})
+    columns = o.columns
+    for level in range(depth):
+        if level and level % LEVELS == 0:
+            walk = cut_lineage(walk)
+        segment = F.get("o", F.lit(level))
+        taken = F.when(F.col("done"), F.array(F.concat(F.lit("!"), "id"))).when(F.size("o") <= level, F.array().cast("array<string>"))
+        taken = taken.when(segment.isNull(), F.array(F.lit(ANY))).otherwise(F.array(F.concat(F.lit("="), segment), F.lit(WILD)))
+        steps = walk.withColumn("step", F.explode(taken))
+        met = steps.join(sized(edges.withColumnsRenamed({"node": "from_node", "key": "from_key"})), (F.col("node") == F.col("from_node")) & (F.col("step") == F.col("from_key")), "left")
+        exact, longer = F.size("o") == level + 1, F.size("o") > level + 1
+        state = lambda node, done: F.struct(F.col(node).alias("node"), F.lit(done).alias("done"))
+        states = F.array(
+            F.when(F.col("done"), state("node", True)),
+            F.when(F.col("ends") & (exact | (longer & F.col("open"))), state("child", True)),
+            F.when(F.col("goes_on") & longer, state("child", False)),
+        )
+        walk = met.select(*columns, F.explode(F.array_compact(states)).alias("s")).select(*columns, "s.node", "s.done")
+    return walk.where("done").join(sized(ends), F.col("node") == F.col("end_node")).drop("node", "done", "end_node")
+
+
+def _agree_partly() -> Column:
+    """Of one length, no two different literals at a place, and not the same shape."""
+    return (F.size("o") == F.size("d")) & ~_conflict(F.col("o"), F.col("d")) & (shape_key(F.col("o")) != shape_key(F.col("d")))
+
+
+def _spans() -> Column:
+    """The observed path is longer, the declared one ends with a variable, and nothing before that contradicts."""
     m = F.size("d")
-    ends_open = (m > 0) & F.element_at("d", F.when(m > 0, m).otherwise(F.lit(1))).isNull()
-    d = d.where(ends_open)
-    head = lambda c: F.slice(c, 1, F.size("d") - 1)
-    pairs = o.join(d, (F.size("o") > F.size("d")) & ~_conflict(head("o"), head("d")))
-    return pairs.withColumn("spans", F.size("o") - F.size("d") + 1)
+    open_ = (m > 0) & F.element_at("d", F.when(m > 0, m).otherwise(F.lit(1))).isNull()
+    head = lambda c: F.slice(c, F.lit(1), F.greatest(m - 1, F.lit(0)))
+    return open_ & (F.size("o") > m) & ~_conflict(head("o"), head("d"))
+
+
+def partial_matches(observed: DataFrame, declared: DataFrame) -> DataFrame:
+    """Pairs of one length without two different literals that diverge somewhere."""
+    return _walk(observed, declared).where(_agree_partly()).withColumn("spans", F.lit(None).cast("int"))
+
+
+def spanning_matches(observed: DataFrame, declared: DataFrame) -> DataFrame:
+    """Pairs where the declared path would fit if its last segment, a variable one, spanned several."""
+    return _walk(observed, declared).where(_spans()).withColumn("spans", F.size("o") - F.size("d") + 1)
 
 
 def candidates(observed: DataFrame, declared: DataFrame) -> DataFrame:
-    """Partial and spanning pairs with their distance."""
-    pairs = partial_matches(observed, declared).unionByName(spanning_matches(observed, declared))
+    """Partial and spanning pairs with their distance, from one walk."""
+    pairs = _walk(observed, declared).where(_agree_partly() | _spans())
+    pairs = pairs.withColumn("spans", F.when(F.size("o") > F.size("d"), F.size("o") - F.size("d") + 1))
     return pairs.withColumn("distance", distance(F.col("o"), F.col("d"))).withColumn("divergence", divergence(F.col("o"), F.col("d")))
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
-    """For each observed id its nearest candidate (ties: the lesser declared path), how many are as near, and all candidates' methods."""
-    best = pairs.groupBy("id").agg(
-        F.min(F.struct("distance", "declared_path", "spans", "divergence")).alias("best"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("declared_methods")))).alias("candidate_methods"),
-        F.collect_list("distance").alias("distances"),
-    )
-    ties = F.size(F.filter("distances", lambda x: x == F.col("best.distance"))) - 1
-    return best.select("id", F.col("best.declared_path").alias("declared_path"), F.col("best.distance").alias("distance"), F.col("best.spans").alias("spans"), F.col("best.divergence").alias("divergence"), ties.alias("ties"), "candidate_methods")
+    """For each observed id its nearest candidate (ties: the lesser declared path), how many are as near, and all candidates' methods.
+
+    Candidates meet by id and distance first, with a count and a least one; a row holds no more than the sets of methods that occur.
+    """
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    near = pairs.groupBy("id", "distance").agg(F.min(F.struct("declared_path", "spans", "divergence")).alias("least"), F.count(F.lit(1)).alias("n"), every("declared_methods").alias("m"))
+    best = near.groupBy("id").agg(F.min(F.struct("distance", "least", "n")).alias("b"), every("m").alias("candidate_methods"))
+    return best.select("id", F.col("b.least.declared_path").alias("declared_path"), F.col("b.distance").alias("distance"), F.col("b.least.spans").alias("spans"), F.col("b.least.divergence").alias("divergence"), (F.col("b.n") - 1).cast("int").alias("ties"), "candidate_methods")
 
 
 def declared_unseen(observed: DataFrame, declared: DataFrame) -> DataFrame:

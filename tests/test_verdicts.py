@@ -1,12 +1,13 @@
 """Matching, verdicts, allowlists and summaries on directly built rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from apisight.operators import classify as C
-from apisight.operators import match as M
+from apisight.operators import match, silence
 from apisight.operators.silence import apply_allowlist, broad_rules
 from apisight.operators.summaries import grouped_findings
 from apisight.ruleset import EVIDENCE
@@ -104,8 +105,8 @@ def test_distance_against_a_model(spark):
     d_paths = ["/" + "/".join(x) for n in (1, 2, 3) for x in itertools.product(["a", "b", "{v}"], repeat=n)] + ["/"]
     o = observed(spark, *[one(p) for p in o_paths])
     d = declared(spark, *[(p, ["GET"]) for p in d_paths])
-    exact = {(r.path_pattern, r.declared_path) for r in M.exact_matches(o, d).collect()}
-    near = {(r.path_pattern, r.declared_path): (r.spans, *r.distance) for r in M.candidates(o, d).collect()}
+    exact = {(r.path_pattern, r.declared_path) for r in match.exact_matches(o, d).collect()}
+    near = {(r.path_pattern, r.declared_path): (r.spans, *r.distance) for r in match.candidates(o, d).collect()}
     for p, q in itertools.product(o_paths, d_paths):
         a, b = types(p, lambda s: s == "{id}"), types(q, lambda s: s[0] == "{")
         differ = [i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y]
@@ -144,3 +145,69 @@ def test_groups(spark):
     rows = {r.classification: (r.members, r.in_detail) for r in grouped_findings(found).collect()}
     assert rows == {"Shadow": (5, False), "Undetermined": (1, True)}
     assert found.where(F.size("evidence") == 0).count() == 0
+
+
+# ---- plans, and matching against all pairs
+
+
+def random_tables(spark, seed, n_observed, n_declared):
+    rng = random.Random(seed)
+    segment = lambda variable: rng.choice(["a", "b", "api", "v1", "é", "*", "=a", "?", variable, variable])
+    path = lambda variable: "/" + "/".join(segment(variable) for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 4, 12])))
+    observed = sorted({path("{id}") for _ in range(n_observed)})
+    declared = sorted({path("{x}") for _ in range(n_declared)} | {"/a/{x}", "/a/{y}", "/{x}", "/"})
+    o = spark.createDataFrame([(str(i), p, ["GET"]) for i, p in enumerate(observed)], "id string, path_pattern string, methods array<string>")
+    d = spark.createDataFrame([(p, [rng.choice(["GET", "PUT"])]) for p in declared], "path_pattern string, methods array<string>")
+    return o, d, observed, declared
+
+
+def every_pair(observed, declared):
+    typed = lambda p, v: [None if s == v or (v == "{x}" and s == "{y}") else s for s in p[1:].split("/")] if p != "/" else []
+    agree = lambda o, d: all(x is None or y is None or x == y for x, y in zip(o, d, strict=False))
+    partial, spanning = set(), set()
+    for op in observed:
+        for dp in declared:
+            o, d = typed(op, "{id}"), typed(dp, "{x}")
+            if len(o) == len(d) and agree(o, d) and o != d:
+                partial.add((op, dp))
+            if d and d[-1] is None and len(o) > len(d) and agree(o, d[:-1]):
+                spanning.add((op, dp, len(o) - len(d) + 1))
+    return partial, spanning
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_matching_by_the_trie_equals_all_pairs(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(match, "BROADCAST_EDGES", 0)
+        monkeypatch.setattr(match, "LEVELS", 2)
+    o, d, observed, declared = random_tables(spark, 5 + small, 150, 80)
+    partial, spanning = every_pair(observed, declared)
+    found = [(r.path_pattern, r.declared_path, r.spans) for r in match.candidates(o, d).collect()]
+    assert len(found) == len(set(found)) and {x[:2] for x in found if x[2] is None} == partial and {x for x in found if x[2] is not None} == spanning
+    assert {(r.path_pattern, r.declared_path) for r in match.partial_matches(o, d).collect()} == partial
+    assert {(r.path_pattern, r.declared_path, r.spans) for r in match.spanning_matches(o, d).collect()} == spanning
+    assert match.candidates(o, d.where("false")).collect() == [] and match.candidates(o.where("false"), d).collect() == []
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_plan_of_a_match_has_a_product_or_a_join_without_a_key(spark):
+    o, d, _, _ = random_tables(spark, 9, 30, 20)
+    rules = spark.createDataFrame([(2, "pattern", "/a*"), (3, "pattern", "/b")], "line_number long, kind string, value string")
+    rows = o.selectExpr("'observed' as subject_kind", "id as endpoint_id", "path_pattern")
+    for frame in (match.partial_matches(o, d), match.spanning_matches(o, d), match.nearest(match.candidates(o, d)), silence.apply_allowlist(rows, rules)):
+        assert "CartesianProduct" not in plan_of(frame) and "NestedLoop" not in plan_of(frame)
+    for frame in (match.partial_matches(o, d), match.spanning_matches(o, d)):
+        assert "from_key" in plan_of(frame)
+
+
+def test_the_first_prefix_rule_of_the_file_wins(spark):
+    rng = random.Random(2)
+    paths = ["/" + "".join(rng.choice("ab\U0001f600/") for _ in range(rng.randrange(8))) for _ in range(60)]
+    rules = [(i + 2, "pattern", rng.choice(paths)[: rng.randrange(1, 7)] + rng.choice(["*", "*", ""])) for i in range(25)]
+    rows = spark.createDataFrame([("observed", str(i), p) for i, p in enumerate(paths)], "subject_kind string, endpoint_id string, path_pattern string")
+    found = silence.apply_allowlist(rows, spark.createDataFrame(rules, "line_number long, kind string, value string")).collect()
+    want = {p: min((n for n, _, v in rules if (p.startswith(v[:-1]) if v.endswith("*") else p == v)), default=None) for p in paths}
+    assert {r.path_pattern: r.rule_line for r in found} == want and len(found) == len(paths)
