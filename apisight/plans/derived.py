@@ -91,8 +91,15 @@ def derived_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     verb = F.when(F.col("event_type").isin("view", "click"), "get").otherwise("post")
     item = F.concat(F.lit('"/'), "event_type", F.lit('/{id}": {"'), verb, F.lit('": {}, "parameters": []}'))
     e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(item)), ", ").alias("items"))
-    base = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit('"servers": [{"url": "https://x.org/u'), "user_id", F.lit('/"}], '))).otherwise(F.concat(F.lit('"basePath": "/v'), F.col("user_id"), F.lit('", ')))
-    return e.select("user_id", F.concat(F.lit("{"), base, F.lit('"security": [{"key": []}], "paths": {'), "items", F.lit("}}")).alias("text"))
+    # bases with and without slashes, of the root, and what is no base: numbers, servers that are no list, malformed addresses
+    u = F.col("user_id")
+    bases = (
+        ('"servers": [{"url": "https://x.org/u', '/"}, {"url": 3}, "x"], '), ('"basePath": "/v', '", "servers": 5, '), ('"basePath": "w', '//", '), ('"basePath": 7, "servers": [{"url": "http://[x/y', '"}], '),
+        ('"servers": [{"url": "z', '"}, {"url": "https://x.org"}], '), ('"basePath": "/", "version": "', '", '),
+    )
+    base = F.element_at(F.array(*[F.concat(F.lit(a), u, F.lit(b)) for a, b in bases]), (u % len(bases) + 1).cast("int"))
+    keys = F.when(u % 5 == 0, '5').when(u % 5 == 1, '[7, {"key": []}]').otherwise('[{"key": []}]')
+    return e.select("user_id", F.concat(F.lit("{"), base, F.lit('"security": '), keys, F.lit(', "paths": {'), "items", F.lit(', "bare": {"get": {"security": 1}}, "no": 4}}')).alias("text"))
 
 
 def derived_allowlists(spark: SparkSession, sf_dir: str) -> DataFrame:

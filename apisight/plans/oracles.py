@@ -174,8 +174,11 @@ ORACLES = {
     "evidence_histogram": f"""{_FULL_FOUND}, e AS (SELECT unnest(string_split(evidence, '|')) AS e FROM fi)
         SELECT regexp_replace(regexp_replace(e, '/[^ ,;'']*', '<path>', 'g'), '[0-9]+', '<n>', 'g') AS evidence, count(*) AS times FROM e GROUP BY 1""",
     "redacted_share": f"WITH {_EVENTS}, p AS (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN path || '/' || md5(path) ELSE path END AS p, event_id % 3 = 0 AS keyed FROM ev) SELECT count(*) AS patterns, count(*) FILTER (keyed) AS redacted FROM p",
-    "declared_inventory": """WITH e AS (SELECT DISTINCT user_id, event_type FROM events) SELECT user_id, CASE WHEN user_id % 2 = 0 THEN '/u' ELSE '/v' END || user_id || '/' || event_type || '/{id}' AS path_pattern,
-        CASE WHEN event_type IN ('view', 'click') THEN 'GET' ELSE 'POST' END AS methods, 'key' AS declared_auth_schemes FROM e""",
+    "declared_inventory": """WITH e AS (SELECT DISTINCT user_id, event_type FROM events),
+        b AS (SELECT user_id, unnest(CASE user_id % 6 WHEN 0 THEN ['/u' || user_id] WHEN 1 THEN ['/v' || user_id] WHEN 2 THEN ['/w' || user_id] WHEN 3 THEN ['/y' || user_id] WHEN 4 THEN ['/z' || user_id, ''] ELSE [''] END) AS base
+          FROM (SELECT DISTINCT user_id FROM events)),
+        p AS (SELECT user_id, base || '/' || event_type || '/{id}' AS path_pattern, CASE WHEN event_type IN ('view', 'click') THEN 'GET' ELSE 'POST' END AS methods FROM e JOIN b USING (user_id) UNION ALL SELECT user_id, base || '/bare', 'GET' FROM b)
+        SELECT *, CASE WHEN user_id % 5 = 0 THEN '' ELSE 'key' END AS declared_auth_schemes FROM p""",
     "allowlist_parse": """WITH e AS (SELECT DISTINCT user_id, event_type FROM events) SELECT user_id, 4::BIGINT AS line_number, 'endpoint' AS kind, 'e' || user_id AS value FROM e GROUP BY user_id
         UNION ALL SELECT user_id, 4 + row_number() OVER (PARTITION BY user_id ORDER BY event_type), 'pattern', '/' || event_type || '/*' FROM e""",
     "declared_unseen": f"{_MATCHED} SELECT declared_path AS path_pattern FROM de WHERE declared_path NOT IN (SELECT declared_path FROM kinds WHERE match = 'exact')",

@@ -19,8 +19,8 @@ class AllowlistError(ValueError):
 
 def parse_allowlist(text: str) -> list[tuple[int, str, str]]:
     out, headed = [], False
-    for number, line in enumerate(text.splitlines(), 1):
-        line = line.split("#", 1)[0].strip()
+    for number, line in enumerate(text.split("\n"), 1):
+        line = line.removesuffix("\r").split("#", 1)[0].strip()
         if not line:
             continue
         if not headed:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ def _load(text: str):
         return json.loads(text)
     except ValueError:
         pass
-    for number, line in enumerate(text.splitlines(), 1):
+    for number, line in enumerate(text.split("\n"), 1):
         bare = re.sub(r"'[^']*'|\"[^\"]*\"", "''", line)
         bare = re.sub(r"(^|\s)#.*", "", bare)
         if re.search(r"(?:^|[:\-\[,{]\s*|^\s+)\*[A-Za-z0-9_]", bare):
@@ -51,7 +50,25 @@ def _too_deep(document) -> bool:
 
 
 def _schemes(security) -> set[str]:
-    return {name for entry in security or [] if isinstance(entry, dict) for name in entry}
+    return {name for entry in security if isinstance(entry, dict) for name in entry} if isinstance(security, list) else set()
+
+
+def _base(text: str) -> str:
+    """A base path with a slash before it and none behind; the root is empty."""
+    bare = text.rstrip("/")
+    return bare if not bare or bare.startswith("/") else f"/{bare}"
+
+
+def _bases(document: dict) -> set[str]:
+    """The base paths under which a document's paths are served. What has no string where one belongs is left out."""
+    given, servers = document.get("basePath"), document.get("servers")
+    found = [given] if isinstance(given, str) else []
+    for server in servers if isinstance(servers, list) else []:
+        url = server.get("url") if isinstance(server, dict) else None
+        if isinstance(url, str):
+            _, slash, rest = url.partition("://")[2].partition("/")
+            found.append(slash + rest if "://" in url else url)
+    return {_base(x) for x in found} or {""}
 
 
 def parse_spec(text: str) -> list[tuple[str, list[str], list[str]]]:
@@ -61,16 +78,12 @@ def parse_spec(text: str) -> list[tuple[str, list[str], list[str]]]:
         raise SpecError(f"nested deeper than {MAX_SPEC_DEPTH}")
     if not isinstance(document, dict) or not isinstance(document.get("paths"), dict):
         raise SpecError("no specification: it has no paths")
-    bases = {str(document["basePath"]).rstrip("/")} if document.get("basePath") else set()
-    for server in document.get("servers") or []:
-        url = server.get("url") if isinstance(server, dict) else None
-        if isinstance(url, str):
-            bases.add(urlsplit(url).path.rstrip("/"))
+    bases = _bases(document)
     merged: dict[str, tuple[set, set]] = {}
     for path, item in document["paths"].items():
-        verbs = {k.lower(): v for k, v in item.items() if str(k).lower() in HTTP_VERBS} if isinstance(item, dict) else {}
-        for base in (bases or {""}) if verbs else ():
-            methods, schemes = merged.setdefault(base + str(path), (set(), set()))
+        verbs = {str(k).lower(): v for k, v in item.items() if str(k).lower() in HTTP_VERBS} if isinstance(item, dict) else {}
+        for base in bases if verbs else ():
+            methods, schemes = merged.setdefault(base + ("" if str(path).startswith("/") else "/") + str(path), (set(), set()))
             methods.update(v.upper() for v in verbs)
             schemes.update(_schemes(document.get("security")))
             for operation in verbs.values():

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from apisight.operators import history as H
-from apisight.plans.analysis import Settings, analyse, markdown_lines, record_run, report_html, report_json, report_markdown, status_view, write_compliance, write_lines
+from apisight.plans.analysis import Settings, _escaped, analyse, markdown_lines, record_run, report_html, report_json, report_markdown, status_view, write_compliance, write_lines
 from apisight.sources.access_log import FormatNotRecognized, input_digest
+from apisight.sources.allowlist import parse_allowlist
 from apisight.sources.openapi import SpecError, parse_spec, read_spec
 from apisight.streaming import tail
 from apisight.streaming.tail import TailReader, Watch, lines_of, tail_log
@@ -51,6 +52,26 @@ def test_specifications(spark, folder):
     assert read_spec(spark, write(folder, "s.json", json.dumps(SPEC))).count() == 3
 
 
+@pytest.mark.parametrize(
+    "given, bases",
+    [
+        ({"basePath": "v1"}, ["/v1"]), ({"basePath": "/"}, [""]), ({"basePath": 7}, [""]), ({"basePath": "v1//", "servers": 5}, ["/v1"]), ({"servers": [{"url": "http://[x/v1"}, 3, {"url": 4}]}, ["/v1"]),
+        ({"servers": [{"url": "https://h"}, {"url": "a/b/"}]}, ["", "/a/b"]), ({"servers": {"url": "/x"}, "security": 5}, [""]),
+    ],
+)
+def test_base_paths(given, bases):
+    paths = {"users": {"get": {"security": "no"}}, "/items": {"GET": {"security": [3, {"k": []}]}}}
+    assert parse_spec(json.dumps({**given, "paths": paths})) == sorted([(f"{b}/users", ["GET"], []) for b in bases] + [(f"{b}/items", ["GET"], ["k"]) for b in bases])
+
+
+def test_allowlist_lines_end_at_line_feeds_alone():
+    assert parse_allowlist("any-allowlist 1\r\npattern /a\u2028b\x0cc\r\n\npattern /d") == [(2, "pattern", "/a\u2028b\x0cc"), (4, "pattern", "/d")]
+
+
+def test_five_characters_are_escaped(spark):
+    assert spark.range(1).select(_escaped(F.lit("<a href='x' b=\"y\">&")).alias("e")).first().e == "&lt;a href=&#39;x&#39; b=&quot;y&quot;&gt;&amp;"
+
+
 def test_analysis(spark, folder):
     log, spec = write(folder, "valid.log", LOG), write(folder, "spec.json", json.dumps(SPEC))
     a = analyse(spark, log, Settings(openapi_spec=spec, allowlist_text="any-allowlist 1\npattern /v1/carts/*"))
