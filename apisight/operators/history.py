@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
+from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apisight.operators.summaries import auth_label
+from apisight.ruleset import VERDICTS
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 #: Blocks of runs by id, a power of two: the largest group that clock_backwards sorts has one of so many parts of all runs.
 BLOCKS = 1024
-COMMIT = "version long, schema_version int, runs string, findings string, endpoints string"
+COMMIT = "version long, schema_version int, last_run long, runs string, findings string, endpoints string"
+CHECKPOINT = "schema_version int, last_run long, runs array<struct<level: int, path: string>>, findings array<struct<level: int, path: string>>, endpoints array<string>, replaced array<string>, complete boolean"
 RUNS = "id long, target string, run_timestamp string, tool_version string, ruleset_version string, endpoints long, manifest_json string"
 FINDINGS = "run_id long, endpoint_id string, declared_path string, classification string, confidence string, severity string, evidence string"
 ENDPOINTS = (
@@ -109,6 +114,35 @@ def last_run(runs: DataFrame, target: str) -> DataFrame:
     return runs.where(F.col("target") == target).orderBy(F.desc("id")).limit(1)
 
 
+#: Of a stored manifest, what the status view shows; anything else in it is left alone.
+MANIFEST = "counts struct<lines_total: long, lines_parsed: long, lines_discarded: long, endpoints_found: long, findings_by_classification: map<string, long>>, lines map<string, long>, endpoints_found long, findings_by_classification map<string, long>"
+
+
+def run_numbers(runs: DataFrame) -> DataFrame:
+    """Each run's numbers out of its stored manifest: lines read, parsed and discarded, endpoints, findings, and those of each verdict.
+
+    Manifests of an analysis and of a cycle both have them, in places of their own. One that is broken, or has none, leaves nulls (endpoints:
+    the run's own count); a run without a manifest stays a row.
+    """
+    m = F.from_json("manifest_json", MANIFEST)
+    rows = runs.select("id", "target", "endpoints", m.alias("m"))
+    every = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    of_cycle = F.col("m.lines")
+    by = F.coalesce(F.col("m.counts.findings_by_classification"), F.col("m.findings_by_classification"))
+    total, parsed = F.coalesce(F.col("m.counts.lines_total"), every(of_cycle)), F.coalesce(F.col("m.counts.lines_parsed"), F.when(of_cycle.isNotNull(), F.coalesce(F.try_element_at(of_cycle, F.lit("parsed")), F.lit(0))))
+    verdict = lambda name: F.when(by.isNotNull(), F.coalesce(F.try_element_at(by, F.lit(name)), F.lit(0)))
+    return rows.select(
+        "id",
+        "target",
+        total.alias("lines"),
+        parsed.alias("parsed"),
+        F.coalesce(F.col("m.counts.lines_discarded"), total - parsed).alias("discarded"),
+        F.coalesce("m.counts.endpoints_found", "m.endpoints_found", "endpoints").alias("endpoints"),
+        every(by).alias("findings"),
+        *[verdict(v).alias(v.lower()) for v in VERDICTS],
+    )
+
+
 def status_counts(runs: DataFrame, endpoints: DataFrame) -> DataFrame:
     """The status view's numbers: each target's runs and last run, its endpoints, those first seen after its first run, and pending alerts."""
     of = endpoints.groupBy(F.col("target").alias("t")).agg(
@@ -130,40 +164,94 @@ def findings_of_run(findings: DataFrame, run_id: int) -> DataFrame:
     )
 
 
+@dataclass
+class _State:
+    """What the log says so far: the next version's predecessor, the last run's id, the parts of the tables, (level, path) each, and the endpoints."""
+
+    version: int = 0
+    checkpoint: int = 0
+    last_run: int = 0
+    runs: list = field(default_factory=list)
+    findings: list = field(default_factory=list)
+    endpoints: list = field(default_factory=list)  # of the last two versions that wrote any
+    replaced: list = field(default_factory=list)
+
+    def add(self, row) -> None:
+        for name in ("runs", "findings"):
+            if row[name]:
+                getattr(self, name).append((0, row[name]))
+        if row["endpoints"]:
+            self.endpoints = [*self.endpoints, row["endpoints"]][-2:]
+        self.last_run = max(self.last_run, row["last_run"])
+
+
+class HistoryBusy(RuntimeError):
+    """Other writers were first each time."""
+
+
 class History:
     """Three tables under one folder that Spark reads and writes.
 
     A record appends the run's own rows of runs and findings, writes the endpoints anew, and then names all of it in one small commit file,
-    commits/<version>.json. That file is created only if it is not there, so of two writers one succeeds and the other one starts again from
-    what the first has committed: no run is lost, no id is given twice. A reader takes the commits that are there and sees all of a run or
-    nothing. Endpoints two versions back are deleted.
+    commits/<version>.json. That file is written under another name and published by a rename that overwrites nothing, so it is there whole or
+    not at all, and of two writers one succeeds; the other starts again from what the first has committed. No run is lost, no id is given
+    twice. A file that is torn all the same, or foreign, is no commit: readers pass it over, and the next version is behind its name.
+
+    Every EVERY versions a writer merges parts, level by level as they become many, and publishes checkpoints/<version>.json with what is there
+    then. A reader takes the last checkpoint and the commits behind it, some EVERY at most, whatever the number of runs. Endpoints two versions
+    back, and parts that a checkpoint before the last has merged, are deleted.
     """
 
+    #: Versions between two checkpoints, which is also how many parts of a level become one.
+    EVERY = 32
+    #: Attempts of a writer whom others are before each time.
+    ATTEMPTS = 50
+
     def __init__(self, spark: SparkSession, path: str, create: bool = True):
         self.spark, self.path = spark, path.rstrip("/")
-        folder = self._hadoop("commits")
+        folder = self._hadoop(f"{self.path}/commits")
         if not self._fs(folder).exists(folder):
             if not create:
                 raise FileNotFoundError(f"no history at {path}")
             self._fs(folder).mkdirs(folder)
 
     def _hadoop(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name if "/" in name else f"{self.path}/{name}")
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
 
     def _fs(self, path):
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _commits(self) -> list:
-        """A row for each run or acknowledgement, in order: what a run or an acknowledgement has named."""
-        rows = self.spark.read.schema(COMMIT).option("pathGlobFilter", "*.json").json(f"{self.path}/commits").orderBy("version").collect()
-        if rows and not all(0 <= r.schema_version <= SCHEMA_VERSION for r in rows):
+    def _versions(self, folder: str) -> dict[int, str]:
+        """Version and path of every file in commits or checkpoints that is named like one."""
+        at = self._hadoop(f"{self.path}/{folder}")
+        names = [str(f.getPath().getName()) for f in self._fs(at).listStatus(at)] if self._fs(at).exists(at) else []
+        return {int(n[:12]): f"{self.path}/{folder}/{n}" for n in names if re.fullmatch(r"[0-9]{12}\.json", n)}
+
+    def _rows(self, files: dict[int, str]) -> list:
+        """The commits in these files, in order; what can't be read as one is left out."""
+        if not files:
+            return []
+        rows = self.spark.read.schema(COMMIT).json(list(files.values())).where("version is not null and schema_version is not null").orderBy("version").collect()
+        if not all(r.schema_version == SCHEMA_VERSION for r in rows):
             raise ValueError(f"a history of another version than {SCHEMA_VERSION}")
-        return rows
-
-    def _table(self, name: str, schema: str, commits: list | None = None) -> DataFrame:
-        commits = self._commits() if commits is None else commits
-        at = [r[name] for r in commits if r[name]]
-        at = at[-1:] if name == "endpoints" else at
+        return [r for r in rows if r.version in files and r.last_run is not None]
+
+    def _state(self) -> _State:
+        state = _State()
+        for version, path in sorted(self._versions("checkpoints").items(), reverse=True):
+            row = self.spark.read.schema(CHECKPOINT).json(path).first()
+            if row is not None and row.schema_version == SCHEMA_VERSION and row.complete:
+                state = _State(version, version, row.last_run, *[[tuple(x) for x in row[n]] for n in ("runs", "findings")], list(row.endpoints), list(row.replaced))
+                break
+        files = {v: p for v, p in self._versions("commits").items() if v > state.checkpoint}
+        for row in self._rows(files):
+            state.add(row)
+        state.version = max([state.version, *files])
+        return state
+
+    def _table(self, name: str, schema: str, state: _State | None = None) -> DataFrame:
+        state = self._state() if state is None else state
+        at = state.endpoints[-1:] if name == "endpoints" else [path for _, path in getattr(state, name)]
         return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
     def runs(self) -> DataFrame:
@@ -181,50 +269,108 @@ class History:
     def has_target(self, target: str) -> bool:
         return self.last_run(target) is not None
 
-    def _commit(self, commits: list, tables: dict[str, DataFrame]) -> bool:
-        """Whether this was the next commit; if not, another one was first, and what was written is deleted."""
-        version = commits[-1].version + 1 if commits else 1
-        row = {"version": version, "schema_version": SCHEMA_VERSION}
-        for name, table in tables.items():
-            row[name] = f"{self.path}/{name}/{version}-{uuid.uuid4().hex}"
-            table.write.parquet(row[name])
-        path = self._hadoop(f"{self.path}/commits/{version:012d}.json")
+    def _publish(self, folder: str, version: int, row: dict) -> bool:
+        """Writes the row under a name of its own and renames it to its version's. False if that is there already."""
+        path = self._hadoop(f"{self.path}/{folder}/{version:012d}.json")
+        temporary = self._hadoop(f"{self.path}/unpublished/{uuid.uuid4().hex}")
+        fs = self._fs(path)
+        stream = fs.create(temporary, False)
+        stream.write(bytearray((json.dumps(row) + "\n").encode()))
+        stream.close()
         try:
-            stream = self._fs(path).create(path, False)
+            if fs.getScheme() == "file":  # whose rename overwrites
+                os.makedirs(path.getParent().toUri().getPath(), exist_ok=True)
+                os.link(temporary.toUri().getPath(), path.toUri().getPath())
+                return True
+            fs.mkdirs(path.getParent())
+            return bool(fs.rename(temporary, path))  # does not overwrite in HDFS and its like
+        except FileExistsError:
+            return False
         except Py4JJavaError as error:
             if "AlreadyExists" not in str(error.java_exception.getClass().getName()):
                 raise
+            return False
+        finally:
+            fs.delete(temporary, False)
+
+    def _commit(self, state: _State, tables: dict[str, DataFrame], last_run: int) -> bool:
+        """Whether this was the next commit; if not, another one was first, and what was written is deleted."""
+        version = state.version + 1
+        row = {"version": version, "schema_version": SCHEMA_VERSION, "last_run": last_run, "runs": None, "findings": None, "endpoints": None}
+        for name, table in tables.items():
+            row[name] = f"{self.path}/{name}/{version}-{uuid.uuid4().hex}"
+            table.write.parquet(row[name])
+        if not self._publish("commits", version, row):
             for name in tables:
                 self._delete(row[name])
             return False
-        stream.write(bytearray((json.dumps(row) + "\n").encode()))
-        stream.close()
-        for old in [r.endpoints for r in commits if r.endpoints][:-1][-1:]:
+        for old in state.endpoints[:-1] if row["endpoints"] else []:
             self._delete(old)
+        if version - state.checkpoint >= self.EVERY:
+            self._checkpoint()
         return True
 
+    def _merged(self, name: str, schema: str, parts: list, version: int, replaced: list) -> list:
+        """The parts, EVERY of one level made one of the next; what is merged goes to replaced."""
+        parts, level = list(parts), 0
+        while any(at >= level for at, _ in parts):
+            own = [p for at, p in parts if at == level]
+            if len(own) >= self.EVERY:
+                new = f"{self.path}/{name}/{version}-merged-{uuid.uuid4().hex}"
+                self.spark.read.schema(schema).parquet(*own).coalesce(max(1, len(own) // self.EVERY)).write.parquet(new)
+                replaced += own
+                parts = [x for x in parts if x[0] != level] + [(level + 1, new)]
+            level += 1
+        return parts
+
+    def _checkpoint(self) -> None:
+        """Publishes what is there; if another writer has done so for this version, nothing changes."""
+        state, replaced = self._state(), []
+        if state.version == state.checkpoint:
+            return
+        runs, findings = (self._merged(n, s, getattr(state, n), state.version, replaced) for n, s in (("runs", RUNS), ("findings", FINDINGS)))
+        row = {"schema_version": SCHEMA_VERSION, "last_run": state.last_run, "endpoints": state.endpoints, "replaced": replaced, "complete": True}
+        row |= {n: [{"level": at, "path": p} for at, p in parts] for n, parts in (("runs", runs), ("findings", findings))}
+        if not self._publish("checkpoints", state.version, row):
+            return
+        for old in state.replaced:  # by the checkpoint before, of which no reader starts any more
+            self._delete(old)
+        for folder in ("commits", "checkpoints"):
+            for version, path in self._versions(folder).items():
+                if version < state.checkpoint or (folder == "commits" and version == state.checkpoint):
+                    self._delete(path)
+
     def _delete(self, path: str) -> None:
         at = self._hadoop(path)
         self._fs(at).delete(at, True)
 
+    def _until_committed(self, attempt):
+        """What attempt(state) returns in the end; None says that another writer was first."""
+        for _ in range(self.ATTEMPTS):
+            found = attempt(self._state())
+            if found is not None:
+                return found
+        raise HistoryBusy(f"{self.ATTEMPTS} attempts to write to {self.path}, and another writer was first each time")
+
     def record(self, target: str, timestamp: str, inventory: DataFrame, findings: DataFrame, ruleset: str, tool: str, manifest: str = "{}") -> int:
         """Adds a run; inventory: with classification. Returns its id, which is the order of runs, whatever the clock says."""
         if not valid_target(target):
             raise ValueError("a target's name can't be empty or have white space around it")
         endpoints = inventory.count()
-        while True:
-            commits = self._commits()
-            run_id = 1 + sum(1 for r in commits if r.runs)
+
+        def attempt(state: _State) -> int | None:
+            run_id = state.last_run + 1
             run = self.spark.createDataFrame([(run_id, target, timestamp, tool, ruleset, endpoints, manifest)], RUNS)
-            now = upsert_endpoints(self._table("endpoints", ENDPOINTS, commits), inventory, target, run_id)
-            if self._commit(commits, {"runs": run, "findings": findings_of_run(findings, run_id), "endpoints": now}):
-                return run_id
+            now = upsert_endpoints(self._table("endpoints", ENDPOINTS, state), inventory, target, run_id)
+            return run_id if self._commit(state, {"runs": run, "findings": findings_of_run(findings, run_id), "endpoints": now}, run_id) else None
+
+        return self._until_committed(attempt)
 
     def acknowledge(self, target: str, endpoint_id: str) -> bool:
-        while True:
-            commits = self._commits()
-            rows = self._table("endpoints", ENDPOINTS, commits)
+        def attempt(state: _State) -> bool | None:
+            rows = self._table("endpoints", ENDPOINTS, state)
             if not rows.where((F.col("target") == target) & (F.col("endpoint_id") == endpoint_id)).limit(1).count():
                 return False
-            if self._commit(commits, {"endpoints": acknowledge(rows, target, endpoint_id)}):
-                return True
+            return self._commit(state, {"endpoints": acknowledge(rows, target, endpoint_id)}, state.last_run) or None
+
+        return self._until_committed(attempt)

@@ -130,6 +130,10 @@ _MASKED = f"""CASE WHEN instr(part, '=') > 0 AND length(part) > instr(part, '=')
    THEN substr(part, 1, instr(part, '=')) || '<redacted>' WHEN {_SECRET.format(_BARE)} OR len(list_filter(string_split_regex({_BARE}, '%[0-9A-Fa-f]{{2}}'), lambda x: {_SECRET.format("x")})) > 0 THEN '<redacted>' ELSE part END"""
 
 ORACLES = {
+    "run_numbers": f"""SELECT event_id AS id, '{TARGET}' AS target, CASE event_id % 5 WHEN 0 THEN event_id + 10 WHEN 1 THEN event_id + 3 END AS lines, CASE WHEN event_id % 5 < 2 THEN event_id END AS parsed,
+        CASE event_id % 5 WHEN 0 THEN 10 WHEN 1 THEN 3 END::BIGINT AS discarded, CASE WHEN event_id % 5 < 2 THEN user_id ELSE -1 END AS endpoints, CASE event_id % 5 WHEN 0 THEN event_id % 7 + 2 WHEN 1 THEN event_id % 3 END AS findings,
+        CASE event_id % 5 WHEN 0 THEN event_id % 7 WHEN 1 THEN 0 END AS shadow, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN event_id % 3 END AS zombie, CASE WHEN event_id % 5 < 2 THEN 0 END::BIGINT AS undetermined,
+        CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 0 END::BIGINT AS known FROM events""",
     "parse_combined": f"WITH {_EVENTS} SELECT event_id, method, path AS raw_path, state AS auth, status::INT AS status_code, epoch(date_trunc('second', ts))::BIGINT AS ts FROM rq",
     "parse_declared": f"""WITH {_EVENTS}, p AS (SELECT *, CASE WHEN event_id % 23 = 0 THEN 'invalid-request-line' END AS why FROM rs) SELECT event_id, CASE WHEN why IS NULL THEN method END AS method, CASE WHEN why IS NULL THEN path END AS raw_path,
         CASE WHEN why IS NULL THEN state END AS auth, CASE WHEN why IS NULL THEN status END::INT AS status_code, CASE WHEN why IS NULL THEN epoch(date_trunc('second', ts)) END::BIGINT AS ts, why AS discard_reason FROM p""",

@@ -348,6 +348,17 @@ def _runs(spark, d):
     return e.select(F.col("event_id").alias("id"), F.concat(F.lit("t"), F.col("user_id") % 3).alias("target"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("run_timestamp"), F.col("user_id").alias("endpoints"))
 
 
+def run_numbers(spark, d):
+    """Every event as a run with a manifest of an analysis or of a cycle, a broken one, an empty one or none."""
+    e = D.derived_fields(spark, d).join(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id"), "event_id")
+    n, text = F.col("event_id"), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    analysis = text('{"tool_version": "x", "counts": {"lines_total": ', n + 10, ', "lines_parsed": ', n, ', "lines_discarded": 10, "endpoints_found": ', F.col("user_id"), ', "findings_by_classification": {"Shadow": ', n % 7, ', "Known": 2}}, "new": [1]}')
+    cycle = text('{"batch": 1, "lines": {"parsed": ', n, ', "blank-line": 3}, "endpoints_found": ', F.col("user_id"), ', "findings_by_classification": {"Zombie": ', n % 3, "}}")
+    broken = text('{"counts": {"lines_total": ', n)
+    given = F.element_at(F.array(analysis, cycle, broken, F.lit("{}"), F.lit(None)), (n % 5 + 1).cast("int"))
+    return H.run_numbers(e.select(n.alias("id"), F.lit(TARGET).alias("target"), F.lit(-1).cast("long").alias("endpoints"), given.alias("manifest_json")))
+
+
 def clock_backwards(spark, d):
     return H.clock_backwards(_runs(spark, d)).select("id", "target", "went_back")
 
@@ -443,7 +454,7 @@ QUERIES = {
         scan_log, parse_combined, parse_declared, discard_reasons, scope_filter, request_line, path_query, query_params, auth_infer, parse_time, canonical_path, id_like, endpoint_id, suspicious,
         segment_types, normalize_paths, path_observations, auth_verdict, observed_inventory, declared_merge, obs_window, exact_match, partial_match, spanning_match, match_distance, divergence,
         nearest_declared, undeclared_methods, classify_full, nearest_full, allowlist_full, finding_mix, evidence_histogram, redacted_share, declared_inventory, allowlist_parse, status_counts, declared_unseen, classify_spec, classify_heuristic, auth_siblings, finding_counts, grouped_findings, allowlist_apply, broad_rules, redact_documents,
-        redact_email, history_upsert, new_endpoints, pending_alerts, first_seen_in, clock_backwards, trend, class_summary, auth_summary, compliance_rows, noise_metrics, literal_children,
+        redact_email, history_upsert, new_endpoints, pending_alerts, first_seen_in, run_numbers, clock_backwards, trend, class_summary, auth_summary, compliance_rows, noise_metrics, literal_children,
         swallowed_words, stratified_sample, match_pairs, format_guard, run_counts, labels, history_inventory, history_targets, stream_inventory,
     )
 }

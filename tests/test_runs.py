@@ -3,6 +3,7 @@
 import hashlib
 import json
 import threading
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,56 @@ def test_two_writers_lose_no_run(spark, folder):
     assert {(r.target, r.first_seen_run) for r in store.endpoints().collect()} == {(r.target, r.id) for r in store.runs().collect()}
 
 
+SEEN = "id string, path_pattern string, methods array<string>, observation_count long, auth_observed string, auth_observable_count long, classification string"
+FOUND = "endpoint_id string, subject_kind string, path_pattern string, classification string, confidence string, severity string, evidence array<string>"
+
+
+def one_run(spark, store, target="t", count=1):
+    seen = spark.createDataFrame([("e1", "/a", ["GET"], count, "no", 1, "Shadow")], SEEN)
+    found = spark.createDataFrame([("e1", "observed", "/a", "Shadow", "High", "High", ["x"])], FOUND)
+    return store.record(target, "2024-01-01T00:00:00Z", seen, found, "r", "t")
+
+
+@pytest.mark.parametrize("torn", ["", '{"version": 2, "schema_ver', '{"a": 1}', '{"version": "two", "schema_version": 4}', "\x00\xff"])
+def test_a_torn_commit_is_passed_over(spark, folder, torn):
+    store = H.History(spark, f"file://{folder}/history")
+    assert one_run(spark, store) == 1
+    write(folder, "history/commits/000000000002.json", torn)
+    write(folder, "history/commits/000000000003.json.copying", "{}")
+    assert store.runs().count() == 1 and store.endpoints().count() == 1
+    assert one_run(spark, store, count=5) == 2 and store.acknowledge("t", "e1")
+    assert [r.id for r in store.runs().orderBy("id").collect()] == [1, 2] and store.endpoints().first().observation_count == 5
+
+
+def test_a_writer_that_dies_before_it_publishes_leaves_no_commit(spark, folder, monkeypatch):
+    store = H.History(spark, f"file://{folder}/history")
+    one_run(spark, store)
+    with monkeypatch.context() as m:
+        m.setattr(H.os, "link", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            one_run(spark, store)
+    write(folder, "history/unpublished", "") if not (Path(folder) / "history/unpublished").exists() else write(folder, "history/unpublished/left", '{"version"')
+    assert store.runs().count() == 1 and one_run(spark, store) == 2
+    monkeypatch.setattr(H.os, "link", lambda *a: (_ for _ in ()).throw(FileExistsError))
+    monkeypatch.setattr(H.History, "ATTEMPTS", 2)
+    with pytest.raises(H.HistoryBusy):
+        one_run(spark, store)
+    assert store.runs().count() == 2
+
+
+def test_checkpoints_bound_what_a_reader_lists(spark, folder, monkeypatch):
+    monkeypatch.setattr(H.History, "EVERY", 2)
+    store = H.History(spark, f"file://{folder}/history")
+    for i in range(1, 12):
+        assert one_run(spark, store, f"t{i % 2}", i) == i
+        assert len(list(Path(folder, "history/commits").glob("0*.json"))) <= 4 and len(list(Path(folder, "history/checkpoints").glob("0*.json"))) <= 2
+        if i == 7:  # a torn checkpoint is no checkpoint
+            write(folder, "history/checkpoints/000000000099.json", '{"schema_version": 4, "last_run": 1')
+            Path(folder, "history/checkpoints/000000000099.json").unlink()
+    assert len(store._state().runs) <= 6 and sorted(r.id for r in store.runs().collect()) == list(range(1, 12)) and sorted(r.run_id for r in store.findings().collect()) == list(range(1, 12))
+    assert {(r.target, r.observation_count, r.first_seen_run) for r in store.endpoints().collect()} == {("t1", 11, 1), ("t0", 10, 2)}
+
+
 def new_lines(reader, at):
     ranges, end = reader.read(at)
     ranges = list(ranges)
