@@ -86,10 +86,11 @@ def _windows(rows: DataFrame, keep: list[Column], text: str, lengths: list[int])
     """keep, pos, len, h, window of every window of these lengths of each text."""
     rows = _cut(rows, keep, text)
     kept = [c for c in rows.columns if c != "cut"]
-    rows = rows.select(*kept, F.explode("cut").alias("cut")).select(*kept, _part(F.col("cut"))[0].alias("p"))
+    # outer, for otherwise Spark infers conditions on the arrays and computes them for all documents, before the join that has left few
+    rows = rows.select(*kept, F.explode_outer("cut").alias("cut")).where("cut is not null").select(*kept, _part(F.col("cut"))[0].alias("p"))
     p = F.col("p")
     every = [_texts(p, n) for n in lengths]
-    rows = rows.select(*kept, F.explode(F.concat(*every)).alias("x"))
+    rows = rows.select(*kept, F.explode_outer(F.concat(*every)).alias("x")).where("x is not null")
     return rows.select(*kept, F.col("x.pos").alias("pos"), F.col("x.len").alias("len"), F.xxhash64("x.window").alias("h"), F.col("x.window").alias("window"))
 
 
