@@ -32,9 +32,11 @@ from .words import Chunk, _power, mix
 
 MOST_WORDS = 5
 #: Bytes of text that are worked on at once.
-STRETCH = 2 << 20
+STRETCH = 1 << 20
 #: Counts that a task keeps before they go to the shuffle: fingerprints, phrases.
-FLUSH_COUNTS, FLUSH_PHRASES = 2_000_000, 400_000
+FLUSH_COUNTS, FLUSH_PHRASES = 1_000_000, 150_000
+#: Rows of a batch that a task hands on.
+BATCH = 50_000
 #: Bits of the bitmap for each frequent fingerprint, and at least and at most for all of them (64 MiB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 29
 #: Parts in which a language's phrases are ranked first.
@@ -177,8 +179,10 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 _COUNTS = "h long, lang string, times long"
 
 
-def _count_rows(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.nulls(len(h), pa.string()), pa.array(n.astype(np.int64))], ["h", "lang", "times"])
+def _count_rows(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(h), BATCH):
+        part = h[at : at + BATCH]
+        yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.nulls(len(part), pa.string()), pa.array(n[at : at + BATCH].astype(np.int64))], ["h", "lang", "times"])
 
 
 def _count_task(kinds, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +197,9 @@ def _count_task(kinds, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator
             if sum(len(x) for x, _ in had) > FLUSH_COUNTS:
                 had = [_summed(had)]
                 if 2 * len(had[0][0]) > FLUSH_COUNTS:
-                    yield _count_rows(*had.pop())
+                    yield from _count_rows(*had.pop())
     if had:
-        yield _count_rows(*_summed(had))
+        yield from _count_rows(*_summed(had))
     yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["h", "lang", "times"])
 
 
@@ -254,9 +258,9 @@ def _phrase_task(words, pairs, triples, size: int, batches: Iterator[pa.RecordBa
             if sum(len(x) for x in had) > FLUSH_PHRASES:
                 had = [grouped()]
                 if 2 * len(had[0]) > FLUSH_PHRASES:
-                    yield from had.pop().to_batches()
+                    yield from had.pop().to_batches(BATCH)
     if had:
-        yield from grouped().to_batches()
+        yield from grouped().to_batches(BATCH)
 
 
 def phrase_counts(docs: DataFrame, least: int, stretch: int = STRETCH) -> tuple[DataFrame, DataFrame]:
@@ -264,9 +268,10 @@ def phrase_counts(docs: DataFrame, least: int, stretch: int = STRETCH) -> tuple[
     spark = docs.sparkSession
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
+    # tasks have counted before, so their rows are dealt as they are: counting them once more before the shuffle would only take memory
     def counted(kinds, name: str) -> DataFrame:
         rows = texts.mapInArrow(partial(_count_task, kinds, stretch), _COUNTS)
-        return materialise(rows.groupBy("h", "lang").agg(F.sum("times").alias("times")).where((F.col("times") >= least) | F.col("h").isNull()), name)
+        return materialise(rows.repartition("h", "lang").groupBy("h", "lang").agg(F.sum("times").alias("times")).where((F.col("times") >= least) | F.col("h").isNull()), name)
 
     def known(table: DataFrame):
         return spark.sparkContext.broadcast(_bitmap(spark, table.where("h is not null")))
@@ -275,7 +280,7 @@ def phrase_counts(docs: DataFrame, least: int, stretch: int = STRETCH) -> tuple[
     pairs = known(first)  # of words and pairs alike: n is part of a fingerprint
     triples = known(counted(partial(_triples, pairs), "triples"))
     found = texts.mapInArrow(partial(_phrase_task, pairs, pairs, triples, stretch), "lang string, phrase string, size int, times long")
-    found = found.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("f")).where(F.col("f") >= least)
+    found = found.repartition("lang", "phrase", "size").groupBy("lang", "phrase", "size").agg(F.sum("times").alias("f")).where(F.col("f") >= least)
     return first.where("h is null").select("lang", F.col("times").alias("n")), materialise(found, "phrases")
 
 
