@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from apisight import ruleset as R
 from apisight.functions.paths import is_id_like, parent_prefix
 from apisight.functions.redact import redact_text
+from apisight.operators.order import least_of, numbered
 
 
 def urgency(classification: Column) -> Column:
@@ -19,20 +20,34 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("classification").agg(F.count(F.lit(1)).alias("findings"))
 
 
+def _with_reason(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("reason", F.col("evidence")[0]).withColumn("urgency", urgency(F.col("classification")))
+
+
 def grouped_findings(findings: DataFrame) -> DataFrame:
-    """Findings of one first evidence and classification together, with their members' paths in the report's order: by urgency, path, kind.
+    """Findings of one first evidence and classification together: members (how many), paths (of the first GROUP_DETAIL_LIMIT members in the
+    report's order: path, kind), first_path, in_detail and position.
 
     position: the place of the group by its first appearance in the report. A group is in detail up to GROUP_DETAIL_LIMIT members; beyond, the
-    report gives its reason once. Rows are endpoints, so a group's paths are as many as endpoints of one kind.
+    report gives its reason once. A group is a small row, whatever its size; group_members() lists who is in it.
     """
-    rows = findings.withColumn("reason", F.col("evidence")[0]).withColumn("urgency", urgency(F.col("classification")))
-    member = F.struct("path_pattern", "subject_kind")
-    grouped = rows.groupBy("urgency", "classification", "reason").agg(F.count(F.lit(1)).alias("members"), F.array_sort(F.collect_list(member)).alias("of"))
+    keys, order = ["urgency", "classification", "reason"], ["path_pattern", "subject_kind"]
+    rows = _with_reason(findings)
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"))
+    first = least_of(rows, keys, order, R.GROUP_DETAIL_LIMIT, "of").withColumnsRenamed({k: f"l_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"l_{k}")) for k in keys]
+    grouped = counted.join(first, same[0] & same[1] & same[2])
     # groups of one classification follow their first paths
-    order = Window.partitionBy("urgency").orderBy(F.col("of")[0], "reason")
-    grouped = grouped.withColumn("nth", F.row_number().over(order))
-    grouped = grouped.select("classification", "reason", "members", F.col("of.path_pattern").alias("paths"), (F.col("urgency") * 1_000_000 + F.col("nth")).cast("long").alias("position"))
-    return grouped.withColumn("first_path", F.col("paths")[0]).withColumn("in_detail", F.col("members") <= R.GROUP_DETAIL_LIMIT)
+    placed = numbered(grouped.withColumn("_first", F.col("of")[0]), "urgency", "_first", "reason", out="_position")
+    starts = placed.groupBy(F.col("urgency").alias("u")).agg(F.min("_position").alias("_start"))  # a row for each verdict
+    placed = placed.join(F.broadcast(starts), F.col("urgency").eqNullSafe(F.col("u")))
+    position = (F.col("urgency") * 1_000_000 + F.col("_position") - F.col("_start") + 1).cast("long")
+    return placed.select("classification", "reason", "members", F.col("of.path_pattern").alias("paths"), position.alias("position"), F.col("of")[0]["path_pattern"].alias("first_path"), (F.col("members") <= R.GROUP_DETAIL_LIMIT).alias("in_detail"))
+
+
+def group_members(findings: DataFrame) -> DataFrame:
+    """classification, reason, path_pattern, subject_kind: who is in which group of grouped_findings()."""
+    return _with_reason(findings).select("classification", "reason", "path_pattern", "subject_kind")
 
 
 def finding_mix(findings: DataFrame) -> DataFrame:

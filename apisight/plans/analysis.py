@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apisight import ruleset as R
@@ -13,6 +13,7 @@ from apisight.functions.redact import redact_file, redact_text
 from apisight.operators.classify import classify
 from apisight.operators.history import History, first_seen_in, pending_alerts, status_counts, target_inventory
 from apisight.operators.inventory import observed_inventory
+from apisight.operators.order import numbered
 from apisight.operators.silence import apply_allowlist, broad_rules
 from apisight.operators.summaries import auth_label, compliance_rows, grouped_findings, trend, urgency
 from apisight.session import cut_lineage
@@ -164,18 +165,21 @@ def _escaped(c: Column) -> Column:
 
 def _sections(a: Analysis) -> list[tuple[str, list[str], DataFrame]]:
     """Title, headings and rows (position, cells) of the report's tables: groups of findings, findings, endpoints, discarded lines."""
-    found = ordered_findings(a)
-    nth = lambda *order: F.row_number().over(Window.orderBy(*order))
+    evidence = F.transform("evidence", redact_text) if a.settings.redaction_enabled else F.col("evidence")
+    found = cut_lineage(a.findings.where("rule_line is null").withColumns({"path_pattern": _shown("path_pattern", a.settings), "evidence": evidence}))
     groups = grouped_findings(found)
-    paths = F.when(F.col("in_detail"), F.array_join("paths", ", ")).otherwise(F.concat(F.lit("for example "), "first_path"))
+    some = F.array_join("paths", ", ")
+    paths = F.when(F.col("in_detail"), some).otherwise(F.concat(F.lit("for example "), "first_path"))
     cells = lambda *c: F.array(*[F.coalesce(x.cast("string"), F.lit("")) for x in c]).alias("cells")
-    shown = a.inventory.withColumn("path_pattern", _shown("path_pattern", a.settings))
-    discarded = found.sparkSession.createDataFrame(sorted((k, v) for k, v in a.counts.items()) or [("parsed", 0)], "outcome string, lines long")
+    shown = numbered(a.inventory.withColumn("path_pattern", _shown("path_pattern", a.settings)), "path_pattern", "id")
+    listed = numbered(found.withColumn("_urgency", urgency(F.col("classification"))), "_urgency", "path_pattern", "subject_kind")
+    lines = [(i, k, v) for i, (k, v) in enumerate(sorted(a.counts.items()) or [("parsed", 0)], 1)]
+    discarded = found.sparkSession.createDataFrame(lines, "position long, outcome string, lines long")
     return [
         ("Findings by reason", ["classification", "reason", "members", "endpoints"], groups.select("position", cells(F.col("classification"), F.col("reason"), F.col("members"), paths))),
-        ("Findings", ["classification", "severity", "endpoint", "evidence"], found.select(nth(urgency(F.col("classification")), "path_pattern", "subject_kind").cast("long").alias("position"), cells(F.col("classification"), F.col("severity"), F.col("path_pattern"), F.array_join("evidence", "; ")))),
-        ("Endpoints", ["id", "endpoint", "methods", "requests", "authentication"], shown.select(nth("path_pattern", "id").cast("long").alias("position"), cells(F.col("id"), F.col("path_pattern"), F.array_join("methods", " "), F.col("observation_count"), auth_label(F.col("auth_observed"))))),
-        ("Lines", ["outcome", "lines"], discarded.select(nth("outcome").cast("long").alias("position"), cells(F.col("outcome"), F.col("lines")))),
+        ("Findings", ["classification", "severity", "endpoint", "evidence"], listed.select("position", cells(F.col("classification"), F.col("severity"), F.col("path_pattern"), F.array_join("evidence", "; ")))),
+        ("Endpoints", ["id", "endpoint", "methods", "requests", "authentication"], shown.select("position", cells(F.col("id"), F.col("path_pattern"), F.array_join("methods", " "), F.col("observation_count"), auth_label(F.col("auth_observed"))))),
+        ("Lines", ["outcome", "lines"], discarded.select("position", cells(F.col("outcome"), F.col("lines")))),
     ]
 
 
@@ -231,16 +235,20 @@ def record_run(a: Analysis, history: History, timestamp: str, manifest_json: str
 
 def write_compliance(history: History, target: str, out: str, form: str = "csv") -> None:
     """A target's endpoints sorted by pattern and id, under a folder that Spark writes: csv (quotes doubled), json (a line each) or markdown."""
-    rows = compliance_rows(history.endpoints().where(F.col("target") == target)).orderBy("path_pattern", "endpoint_id")
+    rows = compliance_rows(history.endpoints().where(F.col("target") == target))
+    if form == "markdown":
+        rows = numbered(rows, "path_pattern", "endpoint_id")
+    else:
+        rows = rows.orderBy("path_pattern", "endpoint_id")
     if form == "csv":
         rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(out)
     elif form == "json":
         rows.write.json(out)
     elif form == "markdown":
-        nth = F.row_number().over(Window.orderBy("path_pattern", "endpoint_id")).cast("long")
-        line = F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns]), F.lit(" |"))
-        heads = f"| {' | '.join(rows.columns)} |\n|{'-|' * len(rows.columns)}"
-        write_lines(_lines(history.spark, [heads, rows.select(nth.alias("position"), line.alias("line"))]), out)
+        heads = rows.columns[:-1]
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", *[_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in heads]), F.lit(" |"))
+        top = f"| {' | '.join(heads)} |\n|{'-|' * len(heads)}"
+        write_lines(_lines(history.spark, [top, rows.select("position", line.alias("line"))]), out)
     else:
         raise ValueError(f"unknown form {form!r}")
 

@@ -195,8 +195,10 @@ ORACLES = {
     "auth_siblings": f"{_THREE} SELECT parent, count(*) FILTER (auth IN ('Yes', 'Mixed')) AS with_auth FROM thx GROUP BY 1",
     "finding_counts": f"{_FOUND} SELECT classification, count(*) AS findings FROM fi GROUP BY 1",
     "grouped_findings": f"""{_FULL_FOUND}, g AS (SELECT list_position(['Shadow', 'Zombie', 'Undetermined', 'Known'], classification) AS u, classification, string_split(evidence, '|')[1] AS reason, count(*) AS members,
-        string_agg(path_pattern, ' ' ORDER BY path_pattern, subject_kind) AS paths, min(path_pattern) AS first_path, min(path_pattern || chr(1) || subject_kind) AS f FROM fi GROUP BY 1, 2, 3)
+        array_to_string(list(path_pattern ORDER BY path_pattern, subject_kind)[:3], ' ') AS paths, min(path_pattern) AS first_path, min(path_pattern || chr(1) || subject_kind) AS f FROM fi GROUP BY 1, 2, 3)
         SELECT classification, reason, members, paths, first_path, members <= 3 AS in_detail, (u * 1000000 + row_number() OVER (PARTITION BY u ORDER BY f, reason))::BIGINT AS position FROM g""",
+    "group_members": f"{_FULL_FOUND} SELECT classification, string_split(evidence, '|')[1] AS reason, path_pattern, subject_kind FROM fi",
+    "endpoint_positions": f"{_THREE} SELECT path_pattern, id, row_number() OVER (ORDER BY path_pattern, id) AS position FROM thx",
     "allowlist_apply": f"{_FOUND}, {_R} SELECT subject_kind, path_pattern, (SELECT min(line_number) FROM ru WHERE path_pattern = value OR (ends_with(value, '*') AND starts_with(path_pattern, rtrim(value, '*'))))::BIGINT AS rule_line FROM fi",
     "broad_rules": f"""{_FOUND}, {_R}, ap AS (SELECT (SELECT min(line_number) FROM ru WHERE path_pattern = value OR (ends_with(value, '*') AND starts_with(path_pattern, rtrim(value, '*')))) AS rule_line FROM fi),
         c AS (SELECT rule_line, count(*) AS n FROM ap GROUP BY 1)

@@ -15,6 +15,7 @@ from apisight.operators import inventory as I
 from apisight.operators import match as M
 from apisight.operators import silence as A
 from apisight.operators import summaries as S
+from apisight.operators.order import numbered
 from apisight.plans import derived as D
 from apisight.session import cut_lineage, shared_dir
 from apisight.sources import access_log as L
@@ -271,6 +272,15 @@ def grouped_findings(spark, d):
     return S.grouped_findings(_full_findings(spark, d)).withColumn("paths", F.array_join("paths", " "))
 
 
+def group_members(spark, d):
+    return S.group_members(_full_findings(spark, d))
+
+
+def endpoint_positions(spark, d):
+    """The endpoints' places in a report: by pattern, then id."""
+    return numbered(_three_state(spark, d).select("path_pattern", "id"), "path_pattern", "id")
+
+
 def allowlist_apply(spark, d):
     return A.apply_allowlist(_findings(spark, d), D.rules(spark)).select("subject_kind", "path_pattern", "rule_line")
 
@@ -453,7 +463,7 @@ QUERIES = {
     for f in (
         scan_log, parse_combined, parse_declared, discard_reasons, scope_filter, request_line, path_query, query_params, auth_infer, parse_time, canonical_path, id_like, endpoint_id, suspicious,
         segment_types, normalize_paths, path_observations, auth_verdict, observed_inventory, declared_merge, obs_window, exact_match, partial_match, spanning_match, match_distance, divergence,
-        nearest_declared, undeclared_methods, classify_full, nearest_full, allowlist_full, finding_mix, evidence_histogram, redacted_share, declared_inventory, allowlist_parse, status_counts, declared_unseen, classify_spec, classify_heuristic, auth_siblings, finding_counts, grouped_findings, allowlist_apply, broad_rules, redact_documents,
+        nearest_declared, undeclared_methods, classify_full, nearest_full, allowlist_full, finding_mix, evidence_histogram, redacted_share, declared_inventory, allowlist_parse, status_counts, declared_unseen, classify_spec, classify_heuristic, auth_siblings, finding_counts, grouped_findings, group_members, endpoint_positions, allowlist_apply, broad_rules, redact_documents,
         redact_email, history_upsert, new_endpoints, pending_alerts, first_seen_in, run_numbers, clock_backwards, trend, class_summary, auth_summary, compliance_rows, noise_metrics, literal_children,
         swallowed_words, stratified_sample, match_pairs, format_guard, run_counts, labels, history_inventory, history_targets, stream_inventory,
     )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from apisight.operators import classify as C
 from apisight.operators import match, silence
 from apisight.operators.silence import apply_allowlist, broad_rules
-from apisight.operators.summaries import grouped_findings
+from apisight.operators.order import numbered
+from apisight.operators.summaries import group_members, grouped_findings
 from apisight.ruleset import EVIDENCE
 from apisight.sources.allowlist import AllowlistError, parse_allowlist
 
@@ -147,6 +148,22 @@ def test_groups(spark):
     assert found.where(F.size("evidence") == 0).count() == 0
 
 
+def test_a_large_group_is_a_small_row(spark):
+    n = 200_000
+    found = spark.range(n).selectExpr("case when id % 3 = 0 then 'declared' else 'observed' end as subject_kind", "concat('/p', lpad(cast(id as string), 9, '0')) as path_pattern", "'Shadow' as classification", "array('absent', 'x') as evidence")
+    rows = grouped_findings(found.union(found.limit(1).selectExpr("subject_kind", "'/z'", "'Zombie'", "array('y')"))).orderBy("position").collect()
+    assert [(r.classification, r.members, r.paths, r.position, r.in_detail) for r in rows] == [("Shadow", n, [f"/p{i:09}" for i in range(3)], 1_000_001, False), ("Zombie", 1, ["/z"], 2_000_001, True)]
+    assert group_members(found).count() == n
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_positions(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(50)) for _ in range(n)]
+    found = numbered(spark.createDataFrame(rows, "a string, b long").repartition(7), "a", F.desc("b")).orderBy("position").collect()
+    assert [r.position for r in found] == list(range(1, n + 1)) and [(r.a, r.b) for r in found] == sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", -x[1]))
+
+
 # ---- plans, and matching against all pairs
 
 
