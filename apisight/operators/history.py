@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import os
 import re
 import uuid
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from apisight.operators.publish import delete, hadoop_path, names, publish
 from apisight.operators.summaries import auth_label
 from apisight.ruleset import VERDICTS
 
@@ -209,23 +207,17 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str, create: bool = True):
         self.spark, self.path = spark, path.rstrip("/")
-        folder = self._hadoop(f"{self.path}/commits")
-        if not self._fs(folder).exists(folder):
-            if not create:
-                raise FileNotFoundError(f"no history at {path}")
-            self._fs(folder).mkdirs(folder)
-
-    def _hadoop(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-
-    def _fs(self, path):
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for name in ("commits", "checkpoints"):
+            folder, fs = hadoop_path(spark, f"{self.path}/{name}")
+            if not fs.exists(folder):
+                if not create and name == "commits":
+                    raise FileNotFoundError(f"no history at {path}")
+                fs.mkdirs(folder)
 
     def _versions(self, folder: str) -> dict[int, str]:
         """Version and path of every file in commits or checkpoints that is named like one."""
-        at = self._hadoop(f"{self.path}/{folder}")
-        names = [str(f.getPath().getName()) for f in self._fs(at).listStatus(at)] if self._fs(at).exists(at) else []
-        return {int(n[:12]): f"{self.path}/{folder}/{n}" for n in names if re.fullmatch(r"[0-9]{12}\.json", n)}
+        found = names(self.spark, f"{self.path}/{folder}")
+        return {int(n[:12]): f"{self.path}/{folder}/{n}" for n in found if re.fullmatch(r"[0-9]{12}\.json", n)}
 
     def _rows(self, files: dict[int, str]) -> list:
         """The commits in these files, in order; what can't be read as one is left out."""
@@ -270,28 +262,7 @@ class History:
         return self.last_run(target) is not None
 
     def _publish(self, folder: str, version: int, row: dict) -> bool:
-        """Writes the row under a name of its own and renames it to its version's. False if that is there already."""
-        path = self._hadoop(f"{self.path}/{folder}/{version:012d}.json")
-        temporary = self._hadoop(f"{self.path}/unpublished/{uuid.uuid4().hex}")
-        fs = self._fs(path)
-        stream = fs.create(temporary, False)
-        stream.write(bytearray((json.dumps(row) + "\n").encode()))
-        stream.close()
-        try:
-            if fs.getScheme() == "file":  # whose rename overwrites
-                os.makedirs(path.getParent().toUri().getPath(), exist_ok=True)
-                os.link(temporary.toUri().getPath(), path.toUri().getPath())
-                return True
-            fs.mkdirs(path.getParent())
-            return bool(fs.rename(temporary, path))  # does not overwrite in HDFS and its like
-        except FileExistsError:
-            return False
-        except Py4JJavaError as error:
-            if "AlreadyExists" not in str(error.java_exception.getClass().getName()):
-                raise
-            return False
-        finally:
-            fs.delete(temporary, False)
+        return publish(self.spark, f"{self.path}/{folder}/{version:012d}.json", row)
 
     def _commit(self, state: _State, tables: dict[str, DataFrame], last_run: int) -> bool:
         """Whether this was the next commit; if not, another one was first, and what was written is deleted."""
@@ -341,8 +312,7 @@ class History:
                     self._delete(path)
 
     def _delete(self, path: str) -> None:
-        at = self._hadoop(path)
-        self._fs(at).delete(at, True)
+        delete(self.spark, path)
 
     def _until_committed(self, attempt):
         """What attempt(state) returns in the end; None says that another writer was first."""

@@ -10,20 +10,25 @@ from apisight.operators.normalize import collapse_ids
 from apisight.session import cut_lineage
 
 
-def path_observations(requests: DataFrame) -> DataFrame:
-    """One mergeable row per raw path: methods, observations, first_seen, last_seen, auth_observable, auth_present.
-
-    requests: method, raw_path, auth, ts. Partial sums per raw path come before the shuffle; canonical forms are made from distinct raw paths.
-    """
+def observations() -> list[Column]:
+    """Aggregates of requests (method, auth, ts) that merge_observations() adds up."""
     state = F.col("auth.state")
-    return requests.groupBy("raw_path").agg(
+    return [
         F.collect_set("method").alias("methods"),
         F.count(F.lit(1)).alias("observations"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
         F.count_if(state != "NotObservable").alias("auth_observable"),
         F.count_if(state == "Present").alias("auth_present"),
-    )
+    ]
+
+
+def path_observations(requests: DataFrame) -> DataFrame:
+    """One mergeable row per raw path: methods, observations, first_seen, last_seen, auth_observable, auth_present.
+
+    requests: method, raw_path, auth, ts. Partial sums per raw path come before the shuffle; canonical forms are made from distinct raw paths.
+    """
+    return requests.groupBy("raw_path").agg(*observations())
 
 
 def merge_observations(rows: DataFrame, key: str) -> DataFrame:

@@ -12,12 +12,12 @@ from apisight import ruleset as R
 from apisight.functions.redact import redact_file, redact_text
 from apisight.operators.classify import classify
 from apisight.operators.history import History, first_seen_in, pending_alerts, status_counts, target_inventory
-from apisight.operators.inventory import observed_inventory
+from apisight.operators.inventory import inventory_from, observations
 from apisight.operators.order import numbered
 from apisight.operators.silence import apply_allowlist, broad_rules
 from apisight.operators.summaries import auth_label, compliance_rows, grouped_findings, trend, urgency
 from apisight.session import cut_lineage
-from apisight.sources.access_log import check_format, in_scope, ingest_counts, input_digest, parse_lines, scan_log
+from apisight.sources.access_log import check_format, in_scope, input_digest, parse_lines, range_digests, scan_log, scan_ranges
 from apisight.sources.allowlist import read_allowlist
 from apisight.sources.grammar import BUILT_IN
 from apisight.sources.openapi import read_spec
@@ -37,6 +37,8 @@ class Settings:
     target: str = "default"
     redaction_enabled: bool = True
     fail_on_undetermined: bool = False
+    #: The SHA-256 of whole logs, which one task has to read from end to end, in place of that of their ranges.
+    plain_digest: bool = False
 
     def __post_init__(self):
         if self.staleness_days < 0:
@@ -65,24 +67,33 @@ class Analysis:
 
 
 def analyse(spark: SparkSession, log: str, settings: Settings | None = None) -> Analysis:
-    """Distributed up to the endpoints: only counts and digests come to the driver."""
+    """Distributed up to the endpoints: only counts and digests come to the driver.
+
+    Besides a sample for the format guard the log is read and parsed once: requests are summed up by raw path, the other lines by their reason,
+    and each range of bytes comes with its digest.
+    """
     s = settings or Settings()
-    parsed = parse_lines(scan_log(spark, log), s.log_format)
-    check_format(parsed)
-    inside = in_scope(s.path_prefix)
+    check_format(parse_lines(scan_log(spark, log), s.log_format))
+    scanned = scan_ranges(spark, log).withColumn("value", F.col("value").cast("string"))
+    parsed = parse_lines(scanned, s.log_format)
     fine = F.col("discard_reason").isNull()
-    counted = parsed.groupBy(F.coalesce("discard_reason", F.lit("parsed")).alias("outcome"), (fine & ~inside).alias("outside")).agg(F.count(F.lit(1)).alias("lines")).collect()
+    outcome = F.when(F.col("range_digest").isNull(), F.coalesce("discard_reason", F.lit("parsed")))
+    outside = F.coalesce(fine & ~in_scope(s.path_prefix), F.lit(False))
+    keys = ["outcome", "outside", "raw_path", "file", "range_begin", "range_bytes", "range_digest"]
+    seen = cut_lineage(parsed.withColumns({"outcome": outcome, "outside": outside}).groupBy(*keys).agg(*observations()))
+    counted = seen.where("outcome is not null").groupBy("outcome", "outside").agg(F.sum("observations").alias("lines")).collect()
     counts: dict[str, int] = {}
     for r in counted:
         counts[r.outcome] = counts.get(r.outcome, 0) + r.lines
-    inventory = cut_lineage(observed_inventory(parsed.where(fine & inside)))
+    inventory = cut_lineage(inventory_from(seen.where("outcome = 'parsed' and not outside").drop(*[k for k in keys if k != "raw_path"])))
     declared = read_spec(spark, s.openapi_spec) if s.openapi_spec else None
     findings = classify(inventory, declared, s.staleness_days)
     rules = read_allowlist(spark, s.allowlist_text) if s.allowlist_text else None
     findings = cut_lineage(apply_allowlist(findings, rules) if rules is not None else findings.withColumn("rule_line", F.lit(None).cast("long")))
     by_class = {r.classification: r["count"] for r in findings.groupBy("classification").count().collect()}
-    inputs = [("log", log)] + ([("spec", s.openapi_spec)] if s.openapi_spec else [])
-    digests = [(role, r.path, r.digest) for role, path in inputs for r in input_digest(spark, path).collect()]
+    specs = input_digest(spark, s.openapi_spec).collect() if s.openapi_spec else []
+    logs = (input_digest(spark, log) if s.plain_digest else range_digests(seen)).collect()
+    digests = [(role, r.path, r.algorithm, r.digest) for role, rows in (("log", logs), ("spec", specs)) for r in rows]
     broad = broad_rules(findings, rules).collect() if rules is not None else []
     return Analysis(inventory, findings, counts, by_class, sum(r.lines for r in counted if r.outside), broad, digests, s)
 
@@ -112,14 +123,14 @@ def _configuration(spark: SparkSession, settings: Settings) -> dict:
 
 
 def manifest(spark: SparkSession, a: Analysis, timestamp: str) -> dict:
-    files = spark.createDataFrame(a.inputs, "role string, path string, digest string")
-    shown = files.select("role", (redact_file(F.col("path")) if a.settings.redaction_enabled else F.col("path")).alias("path"), "digest").collect()
+    files = spark.createDataFrame(a.inputs, "role string, path string, algorithm string, digest string")
+    shown = files.select("role", (redact_file(F.col("path")) if a.settings.redaction_enabled else F.col("path")).alias("path"), "algorithm", "digest").collect()
     total = sum(a.counts.values())
     return {
         "tool_version": TOOL_VERSION,
         "ruleset_version": R.RULESET_VERSION,
         "run_timestamp": timestamp,
-        "inputs": [{"role": r.role, "path": r.path, "algorithm": "sha256", "digest": r.digest} for r in shown],
+        "inputs": [{"role": r.role, "path": r.path, "algorithm": r.algorithm, "digest": r.digest} for r in shown],
         "counts": {
             "lines_total": total,
             "lines_parsed": a.counts.get("parsed", 0),
@@ -267,4 +278,4 @@ def status_view(history: History, target: str) -> dict[str, DataFrame]:
     }
 
 
-__all__ = ["Analysis", "Settings", "analyse", "html_lines", "ingest_counts", "manifest", "markdown_lines", "ordered_findings", "record_run", "report_html", "report_json", "report_markdown", "status_view", "write_compliance", "write_lines"]
+__all__ = ["Analysis", "Settings", "analyse", "html_lines", "manifest", "markdown_lines", "ordered_findings", "record_run", "report_html", "report_json", "report_markdown", "status_view", "write_compliance", "write_lines"]

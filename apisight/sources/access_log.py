@@ -24,6 +24,10 @@ RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]
 PARSED = ("discard_reason", "method", "raw_path", "query_params", "auth", "status_code", "ts")
 #: Bytes of a file that are read at once for its digest.
 PIECE_BYTES = 8 << 20
+#: Bytes of a range that one task reads.
+RANGE_BYTES = 64 << 20
+#: Tasks among which the ranges are dealt, one after the other in each.
+MOST_TASKS = 20_000
 
 
 class FormatNotRecognized(ValueError):
@@ -35,6 +39,85 @@ def scan_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path)
 
 
+def _store(name: str):
+    """pyarrow's file system and the path in it for a path as Spark shows it (local paths, file:// and hdfs://)."""
+    return FileSystem.from_uri(unquote(name).replace("file:/", "file:///", 1) if re.match("file:/[^/]", name) else name)
+
+
+def range_lines(stream, begin: int, end: int, piece: int = PIECE_BYTES) -> Iterator[tuple[list[bytes], bytes]]:
+    """The lines that start in [begin, end) of a seekable stream, in lists, with the bytes that they take, their ends included.
+
+    A line is held up to a little over MAX_LINE_BYTES, which is enough to discard it; its other bytes are handed on for the digest alone.
+    """
+    at = max(0, begin - 1)
+    stream.seek(at)
+    skip, held, over = begin > 0, b"", False
+    while data := stream.read(piece):
+        if skip:  # up to the end of the line that has begun before
+            cut = data.find(b"\n")
+            at += len(data) if cut < 0 else cut + 1
+            if cut < 0:
+                continue
+            data, skip = data[cut + 1 :], False
+            if at >= end:
+                return
+        if not data:
+            continue
+        # the last line to take is the one in which the range ends
+        last = data.find(b"\n", max(0, end - 1 - at)) if at + len(data) >= end else -1
+        taken = data if last < 0 else data[: last + 1]
+        *lines, rest = taken.split(b"\n")
+        if lines:
+            lines[0] = held + lines[0][: R.MAX_LINE_BYTES + 2] if over or held else lines[0]
+            held = rest
+        else:
+            held += rest[: max(0, R.MAX_LINE_BYTES + 2 - len(held))]
+        held = held[: R.MAX_LINE_BYTES + 2]
+        over = bool(held)
+        yield lines, taken
+        at += len(taken)
+        if last >= 0:
+            return
+    if held:
+        yield [held], b""
+
+
+def scan_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """value (binary): the lines of a log, ended by \\n alone, read in ranges of bytes; and a row without a value for each range, with the file,
+    its place, its bytes and their SHA-256. One read of the files gives the lines and what their digests are made of."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
+    ranges = files.select("file", "length", F.explode(starts).alias("begin"))
+    names = ["value", "file", "range_begin", "range_bytes", "range_digest"]
+    types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length, begin in zip(*[batch.column(c).to_pylist() for c in ("file", "length", "begin")], strict=True):
+                store, at = _store(name)
+                digest, size = hashlib.sha256(), 0
+                with store.open_input_file(at) as stream:
+                    for lines, taken in range_lines(stream, begin, min(length, begin + range_bytes)):
+                        digest.update(taken)
+                        size += len(taken)
+                        for i in range(0, len(lines), 20_000):
+                            part = lines[i : i + 20_000]
+                            yield pa.RecordBatch.from_arrays([pa.array(part, types[0]), *[pa.nulls(len(part), t) for t in types[1:]]], names)
+                row = [None, name, begin, size, digest.hexdigest()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+
+    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    return ranges.repartition(tasks, "file", "begin").mapInArrow(work, "value binary, file string, range_begin long, range_bytes long, range_digest string")
+
+
+def range_digests(ranges: DataFrame) -> DataFrame:
+    """path, algorithm, digest of each file from its ranges: that of its one range (the SHA-256 of its bytes), or the SHA-256 of the joined
+    hexadecimal digests of several, each of RANGE_BYTES and of the lines that begin in it."""
+    rows = ranges.where("range_digest is not null").groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("range_begin", "range_digest"))).alias("r"))
+    one, joined = F.col("r")[0]["range_digest"], F.array_join(F.transform("r", lambda x: x["range_digest"]), "")
+    return rows.select("path", F.when(F.size("r") == 1, "sha256").otherwise("sha256-ranges").alias("algorithm"), F.when(F.size("r") == 1, one).otherwise(F.sha2(joined.cast("binary"), 256)).alias("digest"))
+
+
 def request_line(text: Column) -> tuple[Column, Column]:
     """Method and target of a request line; null where it is none."""
     fits = text.rlike(REQUEST_LINE)
@@ -154,7 +237,7 @@ def input_digest(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             found = []
             for name in batch.column("path").to_pylist():
-                store, at = FileSystem.from_uri(unquote(name).replace("file:/", "file:///", 1) if re.match("file:/[^/]", name) else name)
+                store, at = _store(name)
                 digest = hashlib.sha256()
                 with store.open_input_stream(at) as stream:
                     while piece := stream.read(PIECE_BYTES):

@@ -1,6 +1,7 @@
 """Specifications, whole analyses, history and the stream."""
 
 import hashlib
+import io
 import json
 import threading
 from pathlib import Path
@@ -9,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from apisight.operators import history as H
+from apisight.operators import publish
 from apisight.plans.analysis import Settings, _escaped, analyse, markdown_lines, record_run, report_html, report_json, report_markdown, status_view, write_compliance, write_lines
-from apisight.sources.access_log import FormatNotRecognized, input_digest
+from apisight.sources import access_log
+from apisight.sources.access_log import FormatNotRecognized, input_digest, range_digests, range_lines, scan_ranges
 from apisight.sources.allowlist import parse_allowlist
 from apisight.sources.openapi import SpecError, parse_spec, read_spec
 from apisight.streaming import tail
@@ -95,6 +98,40 @@ def test_analysis(spark, folder):
     assert scoped.inventory.count() == 1 and scoped.outside_scope == 2 and scoped.exit_code == 0
 
 
+@pytest.mark.parametrize("text", [b"", b"a", b"a\n", b"\n", b"\n\na\n\nbc", b"abc\nde\r\n\nfghij\nk", b"x" * 40 + b"\ny\n" + b"z" * 9])
+def test_ranges_of_lines(text, monkeypatch):
+    monkeypatch.setattr(access_log.R, "MAX_LINE_BYTES", 10)
+    want = [x[:12] for x in text.split(b"\n")]
+    want = want[:-1] if want[-1] == b"" else want
+    for size in (1, 2, 3, 7, 100):
+        for piece in (1, 2, 5, 64):
+            lines, bytes_ = [], b""
+            for begin in range(0, max(1, len(text)), size):
+                for some, taken in range_lines(io.BytesIO(text), begin, min(len(text), begin + size), piece):
+                    lines += some
+                    bytes_ += taken
+            assert bytes_ == text and [x[:12] for x in lines] == want
+
+
+def test_an_analysis_reads_a_log_once(spark, folder, monkeypatch):
+    text = (LOG + "\n") * 300 + "broken\n"
+    log, read, real = write(folder, "many.log", text), spark.sparkContext.accumulator(0), range_lines
+
+    def counted(stream, begin, end, piece=1 << 20):
+        for lines, taken in real(stream, begin, end, piece):
+            read.add(len(taken))
+            yield lines, taken
+
+    monkeypatch.setattr(access_log, "range_lines", counted)
+    a = analyse(spark, log, Settings(path_prefix="/v1/books"))
+    assert read.value == len(text) and a.counts == {"parsed": 1500, "malformed-line": 1} and a.outside_scope == 600
+    assert a.inputs == [("log", f"file:{log}", "sha256", hashlib.sha256(text.encode()).hexdigest())]
+    parts = range_digests(scan_ranges(spark, log, 10_000)).first()
+    ends = [0] + [text.index("\n", i - 1) + 1 for i in range(10_000, len(text), 10_000)] + [len(text)]
+    assert parts.algorithm == "sha256-ranges" and parts.digest == hashlib.sha256("".join(hashlib.sha256(text[a:b].encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)).encode()).hexdigest()
+    assert sorted(r.value for r in scan_ranges(spark, log, 777).where("value is not null").collect()) == sorted(text.encode().split(b"\n")[:-1])
+
+
 def test_refusals(spark, folder):
     with pytest.raises(FormatNotRecognized):
         analyse(spark, write(folder, "other.log", "a\nb\n"))
@@ -178,12 +215,12 @@ def test_a_writer_that_dies_before_it_publishes_leaves_no_commit(spark, folder,
     store = H.History(spark, f"file://{folder}/history")
     one_run(spark, store)
     with monkeypatch.context() as m:
-        m.setattr(H.os, "link", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        m.setattr(publish.os, "link", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
         with pytest.raises(KeyboardInterrupt):
             one_run(spark, store)
-    write(folder, "history/unpublished", "") if not (Path(folder) / "history/unpublished").exists() else write(folder, "history/unpublished/left", '{"version"')
+    write(folder, "history/commits/.unpublished-left", '{"version"')
     assert store.runs().count() == 1 and one_run(spark, store) == 2
-    monkeypatch.setattr(H.os, "link", lambda *a: (_ for _ in ()).throw(FileExistsError))
+    monkeypatch.setattr(publish.os, "link", lambda *a: (_ for _ in ()).throw(FileExistsError))
     monkeypatch.setattr(H.History, "ATTEMPTS", 2)
     with pytest.raises(H.HistoryBusy):
         one_run(spark, store)
