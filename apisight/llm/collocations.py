@@ -1,14 +1,14 @@
 """Phrase collocations by Rabin-Karp fingerprints of n-grams.
 
 1. Words and pairs. Prefix sums of a polynomial over the words' codes give every n-gram's 64-bit fingerprint by one difference; the group's
-   (language's) seed and n are mixed in. Tasks count their fingerprints, a shuffle adds the counts up. A count is never too low: n-grams that
-   share a fingerprint only add to each other's.
-2. Triples, counted alike, at the places where both pairs are frequent.
-3. Phrases. Each task goes back from a frequent fingerprint to the place of its first occurrence (its pointer), compares all its other
-   occurrences with the words there, and emits the text with its count; where words differ (a collision) it counts by words. Phrases of four
-   and five words are those all of whose triples are frequent. The shuffle adds counts up by text, so collisions between tasks part as well
-   and the counts are exact.
-4. Scores, containment and ranks are joins over the frequent phrases.
+   (language's) seed and n are mixed in. Tasks count their fingerprints and a shuffle adds up, with each count, a checksum over all occurrences
+   (of a second, independent hash) and an occurrence pointer: the least document hash. A count is never too low: n-grams that share a
+   fingerprint only add to each other's.
+2. Triples, counted alike, at the places where both pairs are frequent; n-grams of four and five words where all of their triples are.
+3. Text of the frequent ones alone: each is read where its pointer says. The least document hashes are those of few documents.
+4. Collisions. A fingerprint whose checksum is not that of its text times its count, or that has several texts, stands for several phrases. The
+   occurrences of such ones are read again and counted by text.
+5. Scores, containment and ranks are joins over the frequent phrases.
 
 Which fingerprints are frequent is told to tasks by a bitmap of at most 2 ** MOST_BITS bits: what passes it by chance costs work and nothing
 else. N-grams don't cross pieces, so a long text is taken in stretches, the last words of one being carried to the next.
@@ -17,6 +17,7 @@ else. N-grams don't cross pieces, so a long text is taken in stretches, the last
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -34,11 +35,13 @@ MOST_WORDS = 5
 #: Bytes of text that are worked on at once.
 STRETCH = 1 << 20
 #: Counts that a task keeps before they go to the shuffle: fingerprints, phrases.
-FLUSH_COUNTS, FLUSH_PHRASES = 1_000_000, 150_000
+FLUSH_COUNTS, FLUSH_PHRASES = 600_000, 150_000
 #: Rows of a batch that a task hands on.
 BATCH = 50_000
-#: Bits of the bitmap for each frequent fingerprint, and at least and at most for all of them (64 MiB).
-BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 29
+#: Bits of a bitmap for each frequent fingerprint and for each one with its pointer, and at least and at most for all of them (64 MiB).
+BITS_EACH, BITS_PLACED, LEAST_BITS, MOST_BITS = 32, 512, 16, 29
+#: Checksums are modulo a power of two whose square is a long.
+CHECK = (1 << 31) - 1
 #: Parts in which a language's phrases are ranked first.
 RANK_PARTS = 64
 #: Language of a null.
@@ -53,12 +56,12 @@ _LOWER[65:91] += 32
 
 
 class Stretch:
-    """Words of some texts, or of a part of one: code (place in `dictionary`), piece (equal for words of one piece), lang (place in `langs`).
+    """Words of some texts, or of a part of one: code (in `dictionary`), piece (equal for words of one piece), lang (in `langs`), place (a hash of the text).
 
     The first `carried` words are those of the stretch before and count only as the beginnings of n-grams.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, langs: list[str], carried: int = 0):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, langs: list[str], place: np.ndarray, bits: int = 64, carried: int = 0):
         data = _LOWER[data]
         inside = ~_BREAK[data]
         starts, ends = Chunk(data, offsets, 0).spans(~inside)
@@ -66,7 +69,7 @@ class Stretch:
         separators = np.concatenate((np.zeros(1, np.int32), np.cumsum(_SEPARATOR[data], dtype=np.int32)))
         self.starts, self.ends, self.carried, self.langs = starts, ends, carried, langs
         self.piece = separators[starts] + owner
-        self.lang = lang[owner]
+        self.lang, self.place, self.bits = lang[owner], place[owner], bits
         flat = np.concatenate((np.zeros(1, np.int32), np.cumsum(ends - starts, dtype=np.int32)))
         spelled = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(flat), pa.py_buffer(data[inside])]).dictionary_encode()
         self.code, self.dictionary = spelled.indices.to_numpy(zero_copy_only=False), spelled.dictionary
@@ -80,7 +83,8 @@ class Stretch:
             body = np.frombuffer(body, np.uint8)[: at[-1]] if body is not None else np.zeros(0, np.uint8)
             codes = Chunk(body, np.array([0, len(body)]), 0).hashes(at[:-1], at[1:])
             n = len(self.code)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes[self.code] * _power("base", n), dtype=np.uint64)))
+            total = lambda c: np.concatenate((np.zeros(1, np.uint64), np.cumsum(c[self.code] * _power("base", n), dtype=np.uint64)))
+            sums, self._second = total(codes), total(mix(codes ^ np.uint64(0x5851F42D4C957F2D)))
             seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs], np.uint64)
             self._sums = sums, _power("inverse", n), seeds[self.lang] if n else np.zeros(0, np.uint64)
         return self._sums
@@ -94,10 +98,16 @@ class Stretch:
         h = mix((sums[n : n + count] - sums[:count]) * inverse[:count] + seed[:count] * np.uint64(2 * n + 1))
         valid = self.piece[:count] == self.piece[n - 1 :]
         valid[: max(0, self.carried - n + 1)] = False
-        return h, valid
+        return h >> np.uint64(64 - self.bits) << np.uint64(64 - self.bits) if self.bits < 64 else h, valid
+
+    def checks(self, n: int) -> np.ndarray:
+        """A second hash of each n-gram, of 31 bits."""
+        count = max(0, len(self.code) - n + 1)
+        _, inverse, seed = self._fingerprints()
+        return (mix((self._second[n : n + count] - self._second[:count]) * inverse[:count] + seed[:count]) & np.uint64(CHECK)).astype(np.int64)
 
 
-def _long(data: np.ndarray, size: int, lang: np.ndarray, langs: list[str]) -> Iterator[Stretch]:
+def _long(data: np.ndarray, size: int, lang: np.ndarray, langs: list[str], place: np.ndarray, bits: int) -> Iterator[Stretch]:
     """The words of one text by `size` bytes. A word is not cut, however long it is; the last words of a piece that goes on are carried."""
     at, carried, prefix = 0, 0, np.zeros(0, np.uint8)
     while at < len(data):
@@ -106,7 +116,7 @@ def _long(data: np.ndarray, size: int, lang: np.ndarray, langs: list[str]) -> It
             ends = np.flatnonzero(_BREAK[data[stop : stop + size]])
             stop = min(len(data), stop + (int(ends[0]) if len(ends) else size))
         block = np.concatenate((prefix, data[at:stop]))
-        found = Stretch(block, np.array([0, len(block)]), lang, langs, carried)
+        found = Stretch(block, np.array([0, len(block)]), lang, langs, place, bits, carried)
         yield found
         last = np.arange(len(found.code))[1 - MOST_WORDS :]
         last = last[found.piece[last] == found.piece[-1]] if len(last) else last
@@ -117,7 +127,7 @@ def _long(data: np.ndarray, size: int, lang: np.ndarray, langs: list[str]) -> It
         at = stop
 
 
-def stretches(batch: pa.RecordBatch, size: int) -> Iterator[Stretch]:
+def stretches(batch: pa.RecordBatch, size: int, bits: int = 64) -> Iterator[Stretch]:
     """The words of lang, text; texts are taken together up to `size` bytes, and longer ones cut at the end of a word."""
     langs = pc.fill_null(batch.column("lang"), NO_LANG).dictionary_encode()
     names, lang = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
@@ -129,10 +139,11 @@ def stretches(batch: pa.RecordBatch, size: int) -> Iterator[Stretch]:
     while at < len(column):
         to = min(len(column), max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
         begin, end = int(offsets[at]), int(offsets[to])
+        place = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets[at:to], offsets[at + 1 : to + 1], strict=True)], np.int64)
         if end - begin <= size:
-            yield Stretch(data[begin:end], offsets[at : to + 1] - begin, lang[at:to], names)
+            yield Stretch(data[begin:end], offsets[at : to + 1] - begin, lang[at:to], names, place, bits)
         else:
-            yield from _long(data[begin:end], size, lang[at:to], names)
+            yield from _long(data[begin:end], size, lang[at:to], names, place, bits)
         at = to
 
 
@@ -147,9 +158,9 @@ class Bitmap:
         return (np.frombuffer(self.data, np.uint8)[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _bitmap(spark: SparkSession, frequent: DataFrame) -> Bitmap:
+def _bitmap(spark: SparkSession, keys: DataFrame, each: int) -> Bitmap:
     """Of the column h. Tasks pack blocks of 8192 bits; their bytes, 64 MiB at most, go to the driver and to all tasks."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * frequent.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (each * keys.count()).bit_length()))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,60 +172,77 @@ def _bitmap(spark: SparkSession, frequent: DataFrame) -> Bitmap:
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(made, pa.binary())], ["block", "packed"])
 
     slot = F.shiftrightunsigned("h", 64 - bits)
-    blocks = frequent.select(F.shiftright(slot, 13).alias("block"), slot.bitwiseAND(8191).cast("int").alias("s")).groupBy("block").agg(F.collect_set("s").alias("slots"))
+    blocks = keys.select(F.shiftright(slot, 13).alias("block"), slot.bitwiseAND(8191).cast("int").alias("s")).groupBy("block").agg(F.collect_set("s").alias("slots"))
     out = bytearray(1 << (bits - 3))
     for row in blocks.mapInArrow(pack, "block long, packed binary").toLocalIterator():
         out[row["block"] << 10 : (row["block"] + 1) << 10] = row["packed"]
     return Bitmap(bits, bytes(out))
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(h, kind="stable")  # the parts are sorted, which this kind of sort makes use of
-    h, n = h[order], n[order]
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _summed(parts: list[Sums]) -> Sums:
+    """Fingerprints, sorted, with their counts, checksums and least places."""
+    h, times, check, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")  # sorted parts are merged
+    h = h[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
-    return h[first], np.add.reduceat(n, first) if len(first) else n
+    if not len(first):
+        return h, times, check, place
+    return h[first], np.add.reduceat(times[order], first), np.add.reduceat(check[order], first) & CHECK, np.minimum.reduceat(place[order], first)
 
 
-_COUNTS = "h long, lang string, times long"
+_SUMS = "h long, lang string, times long, check long, place long"
 
 
-def _count_rows(h: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sum_rows(h: np.ndarray, *sums: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(h), BATCH):
         part = h[at : at + BATCH]
-        yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.nulls(len(part), pa.string()), pa.array(n[at : at + BATCH].astype(np.int64))], ["h", "lang", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.nulls(len(part), pa.string()), *[pa.array(x[at : at + BATCH]) for x in sums]], ["h", "lang", "times", "check", "place"])
 
 
-def _count_task(kinds, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the fingerprints that kinds(stretch) gives, and rows without one for the words of each lang."""
+def _sum_task(kinds, size: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the n-grams that kinds(stretch) gives as (n, where), and rows without a fingerprint for the words of each lang."""
     words: Counter[str] = Counter()
-    had: list[tuple[np.ndarray, np.ndarray]] = []
+    had: list[Sums] = []
     for batch in batches:
-        for found in stretches(batch, size):
+        for found in stretches(batch, size, bits):
             words.update({found.langs[i]: int(n) for i, n in enumerate(np.bincount(found.lang[found.carried :], minlength=len(found.langs))) if n})
-            h, n = np.unique(np.concatenate(kinds(found)), return_counts=True)
-            had.append((h, n))
-            if sum(len(x) for x, _ in had) > FLUSH_COUNTS:
+            for n, where in kinds(found):
+                at = np.flatnonzero(where)
+                had.append(_summed([(found.grams(n)[0][at], np.ones(len(at), np.int64), found.checks(n)[at] if len(at) else at, found.place[at])]))
+            if sum(len(x[0]) for x in had) > FLUSH_COUNTS:
                 had = [_summed(had)]
                 if 2 * len(had[0][0]) > FLUSH_COUNTS:
-                    yield from _count_rows(*had.pop())
+                    yield from _sum_rows(*had.pop())
     if had:
-        yield from _count_rows(*_summed(had))
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["h", "lang", "times"])
+        yield from _sum_rows(*_summed(had))
+    rows = [pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), *[pa.nulls(len(words), pa.int64())] * 2]
+    yield pa.RecordBatch.from_arrays(rows, ["h", "lang", "times", "check", "place"])
+
+
+def _words_and_pairs(found: Stretch) -> list[tuple[int, np.ndarray]]:
+    return [(n, found.grams(n)[1]) for n in (1, 2)]
 
 
-def _words_and_pairs(found: Stretch) -> list[np.ndarray]:
-    return [h[valid] for h, valid in (found.grams(1), found.grams(2))]
+def _triples(pairs, found: Stretch) -> list[tuple[int, np.ndarray]]:
+    valid, reach = found.grams(3)[1], pairs.value.has(found.grams(2)[0])
+    return [(3, valid & reach[: len(valid)] & reach[1 : 1 + len(valid)])]
 
 
-def _triples(pairs, found: Stretch) -> list[np.ndarray]:
-    h, valid = found.grams(3)
-    reach = pairs.value.has(found.grams(2)[0])
-    return [h[valid & reach[: len(h)] & reach[1 : 1 + len(h)]]]
+def _longer(triples, found: Stretch) -> list[tuple[int, np.ndarray]]:
+    out, reach = [], triples.value.has(found.grams(3)[0])
+    for n in (4, 5):
+        valid = found.grams(n)[1].copy()
+        for i in range(n - 2):
+            valid &= reach[i : i + len(valid)]
+        out.append((n, valid))
+    return out
 
 
 def _occurring(found: Stretch, n: int, keep: np.ndarray, h: np.ndarray) -> pa.Table:
-    """lang, phrase, size, times of the n-grams at the kept places, by text."""
+    """h, check, lang, phrase, size, times of the n-grams at the kept places, by text: each is compared with the first of its fingerprint."""
     at = np.flatnonzero(keep)
     order = np.argsort(h[at], kind="stable")
     at, h = at[order], h[at][order]
@@ -226,35 +254,34 @@ def _occurring(found: Stretch, n: int, keep: np.ndarray, h: np.ndarray) -> pa.Ta
         same &= found.code[at + i] == found.code[pointer + i][group]
     times = np.bincount(group, same, len(first)).astype(np.int64) if len(first) else np.zeros(0, np.int64)
     if not same.all():  # other texts of the same fingerprint, by their words
-        rest = Counter((int(found.lang[i]), *found.code[i : i + n].tolist()) for i in at[~same])
-        where = {(int(found.lang[i]), *found.code[i : i + n].tolist()): i for i in at[~same]}
+        words = lambda i: (int(found.lang[i]), *found.code[i : i + n].tolist())
+        rest, where = Counter(words(i) for i in at[~same]), {words(i): i for i in at[~same]}
         pointer, times = np.append(pointer, [where[k] for k in rest]), np.append(times, list(rest.values()))
     parts = [found.dictionary.take(pa.array(found.code[pointer + i])) for i in range(n)]
     phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if n > 1 else parts[0]
     lang = pa.array(found.langs, pa.string()).take(pa.array(found.lang[pointer]))
-    return pa.table({"lang": lang, "phrase": phrase.cast(pa.string()), "size": pa.array(np.full(len(pointer), n, np.int32)), "times": pa.array(times)})
+    prints = [found.grams(n)[0][pointer].view(np.int64), found.checks(n)[pointer]] if len(pointer) else [pointer, pointer]
+    return pa.table({"h": prints[0], "check": prints[1], "lang": lang, "phrase": phrase.cast(pa.string()), "size": np.full(len(pointer), n, np.int32), "times": times})
 
 
-def _phrase_task(words, pairs, triples, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_TEXTS = "h long, check long, lang string, phrase string, size int, times long"
+
+
+def _text_task(chosen, placed: bool, size: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams whose fingerprints are chosen, by text. placed: those alone that the fingerprint's pointer points to."""
+    names = ["h", "check", "lang", "phrase", "size"]
     had: list[pa.Table] = []
 
     def grouped() -> pa.Table:
-        out = pa.concat_tables(had).combine_chunks().group_by(["lang", "phrase", "size"]).aggregate([("times", "sum")])
-        return out.select(["lang", "phrase", "size", "times_sum"]).rename_columns(["lang", "phrase", "size", "times"])
+        out = pa.concat_tables(had).combine_chunks().group_by(names).aggregate([("times", "sum")])
+        return out.select([*names, "times_sum"]).rename_columns([*names, "times"])
 
     for batch in batches:
-        for found in stretches(batch, size):
-            of3, valid3 = found.grams(3)
-            reach = triples.value.has(of3)
-            for n, bitmap in ((1, words.value), (2, pairs.value)):
-                h, valid = found.grams(n)
-                had.append(_occurring(found, n, valid & bitmap.has(h), h))
-            had.append(_occurring(found, 3, valid3 & reach, of3))
-            for n in (4, 5):
+        for found in stretches(batch, size, bits):
+            for n in range(1, MOST_WORDS + 1):
                 h, valid = found.grams(n)
-                for i in range(n - 2):
-                    valid &= reach[i : i + len(h)]
-                had.append(_occurring(found, n, valid, h))
+                key = h ^ (found.place[: len(h)].astype(np.uint64) << np.uint64(32)) if placed else h
+                had.append(_occurring(found, n, valid & chosen.value.has(key), h))
             if sum(len(x) for x in had) > FLUSH_PHRASES:
                 had = [grouped()]
                 if 2 * len(had[0]) > FLUSH_PHRASES:
@@ -263,24 +290,41 @@ def _phrase_task(words, pairs, triples, size: int, batches: Iterator[pa.RecordBa
         yield from grouped().to_batches(BATCH)
 
 
-def phrase_counts(docs: DataFrame, least: int, stretch: int = STRETCH) -> tuple[DataFrame, DataFrame]:
-    """(lang, n) of every language, n being its words; and (lang, phrase, size, f) of every phrase of one to five words that occurs `least` times."""
+def phrase_counts(docs: DataFrame, least: int, stretch: int = STRETCH, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(lang, n) of every language, n being its words; and (lang, phrase, size, f) of every phrase of one to five words that occurs `least` times.
+
+    Fingerprints of fewer bits collide more; the counts are the same.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
     # tasks have counted before, so their rows are dealt as they are: counting them once more before the shuffle would only take memory
-    def counted(kinds, name: str) -> DataFrame:
-        rows = texts.mapInArrow(partial(_count_task, kinds, stretch), _COUNTS)
-        return materialise(rows.repartition("h", "lang").groupBy("h", "lang").agg(F.sum("times").alias("times")).where((F.col("times") >= least) | F.col("h").isNull()), name)
-
-    def known(table: DataFrame):
-        return spark.sparkContext.broadcast(_bitmap(spark, table.where("h is not null")))
-
-    first = counted(_words_and_pairs, "words_and_pairs")
-    pairs = known(first)  # of words and pairs alike: n is part of a fingerprint
-    triples = known(counted(partial(_triples, pairs), "triples"))
-    found = texts.mapInArrow(partial(_phrase_task, pairs, pairs, triples, stretch), "lang string, phrase string, size int, times long")
-    found = found.repartition("lang", "phrase", "size").groupBy("lang", "phrase", "size").agg(F.sum("times").alias("f")).where(F.col("f") >= least)
+    def summed(kinds, name: str) -> DataFrame:
+        rows = texts.mapInArrow(partial(_sum_task, kinds, stretch, bits), _SUMS).repartition("h", "lang")
+        rows = rows.groupBy("h", "lang").agg(F.sum("times").alias("times"), F.sum("check").bitwiseAND(CHECK).alias("check"), F.min("place").alias("place"))
+        return materialise(rows.where((F.col("times") >= least) | F.col("h").isNull()), name)
+
+    def known(keys: DataFrame, each: int):
+        return spark.sparkContext.broadcast(_bitmap(spark, keys, each))
+
+    def read(keys: DataFrame, placed: bool) -> DataFrame:
+        chosen = known(keys, BITS_PLACED if placed else BITS_EACH)
+        return texts.mapInArrow(partial(_text_task, chosen, placed, stretch, bits), _TEXTS)
+
+    first = summed(_words_and_pairs, "words_and_pairs")
+    own = lambda table: table.where("h is not null").drop("lang")
+    triples = summed(partial(_triples, known(own(first), BITS_EACH)), "triples")
+    longer = summed(partial(_longer, known(own(triples), BITS_EACH)), "longer")
+    sums = own(first).union(own(triples)).union(own(longer)).toDF("s_h", "s_times", "s_check", "s_place")
+    placed = sums.select(F.col("s_h").bitwiseXOR(F.shiftleft("s_place", 32)).alias("h"))
+    spelled = materialise(read(placed, True).select("h", "check", "lang", "phrase", "size").distinct().join(sums, F.col("h") == F.col("s_h")), "spelled")
+    whole = F.pmod("s_times", F.lit(CHECK + 1)) * F.col("check")
+    several = spelled.groupBy(F.col("h").alias("c_h")).agg(F.count(F.lit(1)).alias("n"), F.min(whole.bitwiseAND(CHECK) == F.col("s_check")).alias("right")).where("n > 1 or not right")
+    several = materialise(several.select("c_h"), "collisions")
+    found = spelled.join(several, F.col("h") == F.col("c_h"), "left_anti").select("lang", "phrase", "size", F.col("s_times").alias("f"))
+    if several.limit(1).count():
+        again = read(several.select(F.col("c_h").alias("h")), False).join(several, F.col("h") == F.col("c_h"), "left_semi")
+        found = found.union(again.groupBy("lang", "phrase", "size").agg(F.sum("times").alias("f")).where(F.col("f") >= least))
     return first.where("h is null").select("lang", F.col("times").alias("n")), materialise(found, "phrases")
 
 
@@ -288,7 +332,7 @@ def _joined(words: str, start, length) -> F.Column:
     return F.array_join(F.slice(words, start, length), " ")
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, percent: int = 100, stretch: int = STRETCH) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, percent: int = 100, stretch: int = STRETCH, bits: int = 64) -> DataFrame:
     """Each language's first `top` phrases of two to five words: lang, rank, phrase, a, l, r, n, score.
 
     docs: text, lang; other columns are ignored. Null texts are empty, null langs are NO_LANG. A-Z are lower-cased; pieces end at . , ; : ! ?
@@ -297,7 +341,7 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, percent: in
     ones the first cut. A phrase goes if a longer one that holds it has percent / 100 of its occurrences or more. Ranks are by score and a,
     falling, then by the phrase's bytes. Repeated rows count again; an empty table, or one without frequent phrases, gives no rows.
     """
-    totals, found = phrase_counts(docs, least, stretch)
+    totals, found = phrase_counts(docs, least, stretch, bits)
     phrases = found.where("size > 1").withColumn("w", F.split("phrase", " "))
     cuts = phrases.select("lang", "phrase", "size", "f", "w", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", F.col("f").alias("a"), "k", _joined("w", F.lit(1), F.col("k")).alias("first"), _joined("w", F.col("k") + 1, F.col("size")).alias("rest"))

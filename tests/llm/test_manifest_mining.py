@@ -250,10 +250,10 @@ def texts(spark, docs):
     return spark.createDataFrame(docs, "lang string, text string").selectExpr("*", "1 as h", "2 as times", "3 as phrase")
 
 
-@pytest.mark.parametrize(("seed", "stretch", "top"), [(1, 1 << 21, 2000), (2, 100, 2000), (3, 7, 12)])
-def test_collocations(spark, seed, stretch, top):
+@pytest.mark.parametrize(("seed", "stretch", "top", "bits"), [(1, 1 << 21, 2000, 64), (2, 100, 2000, 64), (3, 7, 12, 64), (1, 1000, 2000, 9), (2, 50, 2000, 5)])
+def test_collocations(spark, seed, stretch, top, bits):
     docs = collocation_case(seed)
-    found = found_collocations(collocations.collocations(texts(spark, docs), 10, top, stretch=stretch))
+    found = found_collocations(collocations.collocations(texts(spark, docs), 10, top, stretch=stretch, bits=bits))
     assert found == brute_collocations(docs, 10, top) and len(found) > 20
 
 
