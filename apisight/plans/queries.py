@@ -445,11 +445,11 @@ def status_counts(spark, d):
 
 
 def stream_inventory(spark, d):
-    """The log in three micro-batches, one of them twice: the inventory is that of a single run."""
+    """The log in six micro-batches, some of them twice: the inventory is that of a single run."""
     watch = Watch(spark, f"{shared_dir(spark)}/apisight-watch-{uuid.uuid4().hex}")
     lines = D.derived_log(spark, d).withColumn("epoch", F.lit(0).cast("long"))
-    for i in (0, 1, 2, 1):
-        watch.update(lines.where(F.col("event_id") % 3 == i).drop("event_id"), i)
+    for i in (0, 1, 1, 2, 3, 2, 4, 5, 5):
+        watch.update(lines.where(F.col("event_id") % 6 == i).drop("event_id"), i)
     return _inventory_rows(watch.inventory())
 
 

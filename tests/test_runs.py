@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import random
 import threading
 from pathlib import Path
 
@@ -267,7 +268,7 @@ def test_stream_equals_a_single_run(spark, folder):
     lines = LOG.split("\n")
     log = write(folder, "grow.log", "")
     store = H.History(spark, f"file://{folder}/history")
-    watch = Watch(spark, f"file://{folder}/state", history=store, target="live")
+    watch = Watch(spark, f"file://{folder}/state", history=store, target="live", report=f"file://{folder}/report")
     for n in (2, 5):
         write(folder, "grow.log", "\n".join(lines[:n]) + "\n")
         query = watch.start(tail_log(spark, log), f"{folder}/checkpoint")
@@ -278,10 +279,47 @@ def test_stream_equals_a_single_run(spark, folder):
         assert sorted(map(str, watch.inventory().select(fields).collect())) == sorted(map(str, single.select(fields).collect()))
     assert store.runs().count() >= 2
     last = json.loads(store.last_run("live").manifest_json)
-    assert last["lines"] == {"parsed": 5} and last["endpoints_found"] == 3 and last["state_rows"] > 0
+    assert last["lines"] == {"parsed": 5} and last["endpoints_found"] == 3 and last["state_rows"] == 5
+    text = "\n".join(lines) + "\n"
+    cuts, digest = [0, text.index(lines[2]), len(text)], ""
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        digest = hashlib.sha256(f"{digest}{b - a}:{hashlib.sha256(text[a:b].encode()).hexdigest()}".encode()).hexdigest()
+    assert last["consumed"] == {"algorithm": "sha256-chain", "bytes": len(text), "digest": digest}
+    # the report of the last cycle is whole, and a reader of the one before still finds it
+    shown = json.loads(Path(folder, "report/current.json").read_text())
+    for name in (shown["folder"], shown["before"]):
+        assert (Path(name.removeprefix("file://")) / "html/_SUCCESS").exists()
+    assert any("/v1/books/{id}" in r.value for r in spark.read.text(f"{shown['folder']}/html").collect())
     # the same batch again replaces its part
     batch = spark.createDataFrame([(0, x) for x in lines], "epoch long, value string")
     for _ in range(2):
         watch.update(batch, 99)
     total = watch.inventory().agg(F.sum("observation_count")).first()[0]
     assert total == 2 * len(lines)
+
+
+def test_the_state_has_a_row_for_each_path(spark, folder):
+    rng = random.Random(3)
+    paths = [f"/v1/books/{i}" for i in range(12)] + ["/v1/a", "/v1/b"]
+    line = lambda path, user: f'203.0.113.9 - {user} [05/Mar/2024:08:00:00 +0000] "GET {path} HTTP/1.1" 200 512 "-" "x"'
+    watch, everything = Watch(spark, f"file://{folder}/state"), []
+    for batch in range(12):
+        rows = [line(rng.choice(paths), rng.choice("-u")) for _ in range(rng.choice([0, 3, 20]))] + (["broken"] if batch % 3 == 0 else [])
+        everything += rows
+        for again in range(rng.choice([1, 2])):
+            watch.update(spark.createDataFrame([(0, x) for x in rows], "epoch long, value string"), batch)
+    watch.update(spark.createDataFrame([(0, x) for x in everything], "epoch long, value string"), 4)  # long since built on
+    seen = {x.split('"')[1].split()[1] for x in everything if x != "broken"}
+    assert watch._state().count() == len(seen) and len(list(Path(folder, "state/commits").glob("0*.json"))) <= 2
+    single = analyse(spark, write(folder, "all.log", "\n".join(everything) + "\n"))
+    fields = ["id", "path_pattern", "methods", "observation_count", "auth_observed", "auth_observable_count"]
+    assert sorted(map(str, watch.inventory().select(fields).collect())) == sorted(map(str, single.inventory.select(fields).collect()))
+    assert watch._commits()[0]["lines"] == single.counts
+    # what buckets were replaced by is gone but for the last commit's
+    kept = {Path(b).parent.name for c in watch._commits() for b in c["buckets"].values()}
+    files = {p.parent.parent.name for p in Path(folder, "state/paths").glob("*/bucket=*/*.parquet")}
+    assert kept <= files
+    watch.update(spark.createDataFrame([(1, line("/new", "-"))], "epoch long, value string"), 50)
+    assert [r.path_pattern for r in watch.inventory().collect()] == ["/new"] and watch._commits()[0]["lines"] == {"parsed": 1}
+    watch.update(spark.createDataFrame([(0, line("/old", "-"))], "epoch long, value string"), 51)
+    assert [r.path_pattern for r in watch.inventory().collect()] == ["/new"]
