@@ -18,7 +18,11 @@ from .shared import materialise
 
 #: Tokens of a window.
 WINDOW = 2048
-#: Sources whose paths are broadcast (a few hundred bytes each); those of more are joined.
+#: Tokens of a packet: the most that a queue holds back of its due.
+PACKET = 512
+#: Parts of a token in which the quanta of targets are counted.
+UNIT = 1 << 16
+#: Sources whose quanta are broadcast (some tens of bytes each); those of more are joined.
 BROADCAST_SOURCES = 100_000
 #: Ends each document.
 END_ID = 1
@@ -56,156 +60,121 @@ def share(u: np.ndarray, part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return guess + (u * part - guess * some) // some  # the products wrap, their difference is small
 
 
-class Queues:
-    """Queues that together fill `size` places of the packed tokens, from place `start` on; arrays with a row for each queue.
+def rounds(end: np.ndarray, num: np.ndarray, den: np.ndarray) -> np.ndarray:
+    """The round in which a packet goes whose queue has then given `end` tokens, its quantum being den / num: the first whose credit suffices."""
+    done = share(end, num, den)
+    exact = end * num == done * den  # both wrap alike
+    return done + ~exact
 
-    total: what queue q gives, from its token `begin` on. The queues are leaves of a binary tree; for each level from the root down, whole and
-    left are the tokens of the node above q and of that node's left child, right says that q lies under the right one.
 
-    Deficit round-robin in closed form. Of the first u tokens of a node, its left child is given floor(u * left / whole) and the right one
-    the rest. So each queue's sum grows by 0 or 1 with u, stays within the tree's depth of its share and reaches its total at the end: what a
-    window owes a queue is carried to the next, and a window can be filled knowing only its number, in any task.
-    """
+def turns(n: np.ndarray, begin: np.ndarray, num: np.ndarray, den: np.ndarray, base: np.ndarray, packet: int) -> tuple[np.ndarray, ...]:
+    """Of documents of n tokens that follow `begin` tokens of their queues: which document, the round, its first token and its tokens in that round.
 
-    def __init__(self, start: int, size: int, begin: np.ndarray, total: np.ndarray, whole: np.ndarray, left: np.ndarray, right: np.ndarray):
-        self.start, self.size, self.begin, self.total, self.whole, self.left, self.right = start, size, begin, total, whole, left, right
-
-    @classmethod
-    def of(cls, start: int, totals: list[int], begins: list[int]) -> Queues:
-        depth = max(1, (len(totals) - 1).bit_length())
-        nodes = [np.array([*totals, *[0] * ((1 << depth) - len(totals))], np.int64)]
-        for _ in range(depth):
-            nodes.insert(0, nodes[0].reshape(-1, 2).sum(axis=1))
-        q = np.arange(len(totals))
-        above = [q >> (depth - d) for d in range(depth)]
-        whole, left = (np.stack(x, axis=1) for x in ([nodes[d][i] for d, i in enumerate(above)], [nodes[d + 1][2 * i] for d, i in enumerate(above)]))
-        return cls(start, sum(totals), np.array(begins, np.int64), np.array(totals, np.int64), whole, left, np.stack([(q >> (depth - d - 1)) & 1 for d in range(depth)], axis=1).astype(bool))
-
-    def given(self, q: np.ndarray, u0: np.ndarray, u1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What the queues q have been given by places u0 and u1 (from start), and how much of what lies between goes to queues before q."""
-        before = np.zeros(len(u0), np.int64)
-        for d in range(self.whole.shape[1]):
-            whole, left, right = self.whole[q, d], self.left[q, d], self.right[q, d]
-            l0, l1 = share(u0, left, whole), share(u1, left, whole)
-            before += np.where(right, l1 - l0, 0)
-            u0, u1 = np.where(right, u0 - l0, l0), np.where(right, u1 - l1, l1)
-        return u0, u1, before
-
-    def pieces(self, q: np.ndarray, a: np.ndarray, b: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-        """Of documents at tokens [a, b) of queues q: which document, where in the queue, length, window, place in the window."""
-        begin, total, size = self.begin[q], self.total[q], self.size
-        a, b = np.clip(a - begin, 0, total), np.clip(b - begin, 0, total)
-        mine = np.flatnonzero(b > a)
-        if not len(mine):
-            return (np.zeros(0, np.int64),) * 5
-        a, b, q, begin, total = a[mine], b[mine], q[mine], begin[mine], total[mine]
-        slack = self.whole.shape[1] + 1
-        place = lambda x: (self.start + share(np.full(len(x), size), np.clip(x, 0, total), total)) // window
-        first, last = self.start // window, (self.start + size - 1) // window
-        low, high = np.clip(place(a - slack) - 1, first, last), np.clip(place(b + slack) + 1, first, last)
-        count = high - low + 1
-        which = np.repeat(np.arange(len(mine)), count)
-        w = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        u0, u1 = np.clip(w * window - self.start, 0, size), np.clip((w + 1) * window - self.start, 0, size)
-        own0, own1, before = self.given(q[which], u0, u1)
-        s, e = np.maximum(a[which], own0), np.minimum(b[which], own1)
-        keep = np.flatnonzero(e > s)
-        at = self.start + u0 - w * window + before + s - own0
-        return mine[which[keep]], s[keep] + begin[which[keep]], (e - s)[keep], w[keep], at[keep]
-
-
-def stretches(totals: list[int], shares: list[Fraction]) -> list[Queues]:
-    """Stretches in which queues give tokens by their shares until one has run dry; those left keep the ratios of theirs. Shares are positive."""
-    left, out, start = list(totals), [], 0
-    while any(left):
-        live = [q for q, x in enumerate(left) if x]
-        ends = min(live, key=lambda q: (left[q] / shares[q], q))
-        part = left[ends] / shares[ends]
-        take = [min(x, int(shares[q] * part)) if x else 0 for q, x in enumerate(left)]
-        take[ends] = left[ends]
-        out.append(Queues.of(start, take, [t - x for t, x in zip(totals, left, strict=True)]))
-        left = [x - y for x, y in zip(left, take, strict=True)]
-        start += sum(take)
-    return out
-
-
-def source_paths(sums: DataFrame) -> tuple[DataFrame, int]:
-    """sums: source, tokens. Each source's path in the binary tree over all of them (see Queues): p_source, whole, left, right; and how many sources."""
-    sums = materialise(sums.withColumn("h", seeded(0, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))), "sources")
-    number = sums.count()
-    depth = max(1, (number - 1).bit_length())
-    leaves = materialise(running(sums, [], block_of(F.col("h"), block_bits(number)), ["h", "source"], F.lit(1).cast("long"), "i"), "leaves")
-    nodes = leaves.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"), "i", "tokens").groupBy("level", F.expr(f"shiftright(i, {depth} - level)").alias("node")).agg(F.sum("tokens").alias("sum"))
-    nodes = materialise(nodes, "nodes")
-    steps = leaves.select("source", "i", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("d")).withColumn("above", F.expr(f"shiftright(i, {depth} - d)"))
-    steps = steps.join(nodes.toDF("level", "node", "whole"), (F.col("d") == F.col("level")) & (F.col("above") == F.col("node"))).drop("level", "node")
-    steps = steps.join(nodes.toDF("level", "node", "left"), (F.col("d") + 1 == F.col("level")) & (2 * F.col("above") == F.col("node")))
-    step = F.struct("d", "whole", "left", F.expr(f"(shiftright(i, {depth} - d - 1) & 1) = 1").alias("right"))
-    paths = steps.groupBy(F.col("source").alias("p_source")).agg(F.array_sort(F.collect_list(step)).alias("path"))
-    return materialise(paths.select("p_source", "path.whole", "path.left", "path.right"), "paths"), number
-
-
-def pack(docs: DataFrame, path: str, window: int = WINDOW, targets: dict[str, float] | None = None, seed: int = 11, end_id: int = END_ID) -> DataFrame:
-    """Packs all documents into windows of `window` tokens in which each source has its target share.
-
-    Every source, however many there are, is a queue of its documents in seeded order. targets: share of a source, over 0; the others get
-    none until those named have run dry. By default, and among those others, a source's share is that of all their tokens, so that they end
-    together. Each window takes from each queue what is due to it by then (class Queues); documents are cut where a window's due ends. All
-    windows are full but the last. A target for a source that the table lacks is an error.
+    A document is sent in packets of `packet` tokens; those of one round are one turn.
+    """
+    count = -(-n // packet)
+    which = np.repeat(np.arange(len(n)), count)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    end = np.minimum((nth + 1) * packet, n[which])
+    at = base[which] + rounds(begin[which] + end, num[which], den[which])
+    first = np.concatenate((np.ones(min(1, len(at)), bool), (at[1:] != at[:-1]) | (which[1:] != which[:-1])))
+    last = np.concatenate((first[1:], np.ones(min(1, len(at)), bool)))
+    start = (nth * packet)[first]
+    return which[first], at[first], start, end[last] - start
+
+
+def quanta(sums: DataFrame, targets: dict[str | None, float], window: int) -> DataFrame:
+    """sums: source, tokens. For every source q_source, num, den (its quantum is den / num tokens a round) and base, the rounds before its first.
+
+    A round has a window's tokens: a source's quantum is its share of them. Sources that targets leaves out begin when the others have run
+    dry, by the shares of their own tokens.
+    """
+    if any(x <= 0 for x in targets.values()):
+        raise ValueError("a target is a share over 0")
+    spark = sums.sparkSession
+    mine = spark.createDataFrame([(s, max(1, round(Fraction(x) * window * UNIT))) for s, x in targets.items()], "t_source string, t_units long")
+    sums = materialise(sums.join(F.broadcast(mine), F.col("source").eqNullSafe(F.col("t_source")), "left"), "sources")
+    known = sums.where("t_units is not null")
+    if sums.limit(1).count() and (lacking := mine.join(known.select("source"), F.col("t_source").eqNullSafe(F.col("source")), "left_anti").collect()):
+        raise ValueError(f"targets for sources that the table lacks: {[r.t_source for r in lacking]}")
+    base = known.agg(F.max(F.expr(f"cast(tokens as decimal(20,0)) * {UNIT} div t_units + 1"))).first()[0] or 0
+    rest = sums.where("t_units is null").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    own = F.col("t_units").isNotNull()
+    return sums.select(
+        F.col("source").alias("q_source"),
+        F.when(own, UNIT).otherwise(rest).cast("long").alias("num"),
+        F.when(own, F.col("t_units")).otherwise(F.col("tokens") * window).cast("long").alias("den"),
+        F.when(own, 0).otherwise(base).cast("long").alias("base"),
+    )
+
+
+def pack(docs: DataFrame, path: str, window: int = WINDOW, targets: dict[str | None, float] | None = None, seed: int = 11, end_id: int = END_ID, packet: int = PACKET) -> DataFrame:
+    """Packs all documents into windows of `window` tokens by deficit round-robin over a queue for each source.
+
+    A queue holds its source's documents in seeded order, in packets of `packet` tokens (a document's last one may be shorter). In each round it
+    is credited its quantum, its target share of a window, and sends packets while the credit lasts; what is left, its deficit, it carries to
+    the next round. So after any round a queue has given its due but for less than a packet, whatever windows and tasks the round falls in. In
+    closed form: a packet up to whose end the queue gives c tokens goes in round ceil(c / quantum). Rounds follow each other, queues in a
+    round by a hash; windows cut that one sequence of tokens, so all are full but the last. Packets of a document in one round stay together.
+
+    targets: share of a source, over 0; the others begin when those named have run dry. By default, and among those others, a source's share
+    is that of all their tokens, so that they end together. A target for a source that the table lacks is an error.
 
     Returns one row for each piece: doc_id, start (tokens of the document before it), length, ids_crc32 (of its little-endian unsigned
     32-bit ids), doc_tokens (with end_id), sequence_id, offset (gapless from 0), source, key (unique for each input row). Null and empty
     texts are packed as end_id alone; a null source is a source of its own; rows repeated under one doc_id are packed each. Other columns are
     ignored. An empty table gives no rows.
 
-    Texts are encoded once; the ids are written to the shared folder and shuffled once, to meet their places. Only the totals of the sources
-    that targets names come to the driver.
+    Texts are encoded once; the ids are written to the shared folder and shuffled once, to meet their places. Places come from sums by blocks of
+    each queue and of all turns (ranks.py), so that neither a source nor the whole sequence is a task.
     """
     ids = tokenise(docs, path, end_id)
-    spark, rows_in, width = ids.sparkSession, ids.count(), id_type(path)
-    sums = ids.groupBy("source").agg(F.sum("n").alias("tokens"))
-    named = {s: Fraction(x) for s, x in (targets or {}).items()}
-    if any(x <= 0 for x in named.values()):
-        raise ValueError("a target is a share over 0")
-    mine = spark.createDataFrame([(s, q) for q, s in enumerate(named)], "t_source string, t_queue int")
-    totals = {r.t_queue: r.tokens for r in sums.join(F.broadcast(mine), F.col("source").eqNullSafe(F.col("t_source"))).select("t_queue", "tokens").collect()} if named else {}
-    if rows_in and (lacking := [s for q, s in enumerate(named) if q not in totals]):
-        raise ValueError(f"targets for sources that the table lacks: {lacking}")
-    plan = stretches([totals[q] for q in range(len(totals))], list(named.values()))
-    start = sum(totals.values())
-    rest = sums.join(F.broadcast(mine), F.col("source").eqNullSafe(F.col("t_source")), "left_anti")
-    size = rest.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    paths, number = source_paths(rest)
+    rows_in, width = ids.count(), id_type(path)
+    sources = materialise(quanta(ids.groupBy("source").agg(F.sum("n").alias("tokens")), targets or {}, window), "quanta")
+    number = sources.count()
     order = seeded(seed, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), "key")))
     slim = ids.select("key", "source", "n", order.alias("h"))
-    placed = running(slim, ["source"], block_of(F.col("h"), block_bits(rows_in)), ["h", "key"], F.col("n"), "begin", "tokens").select(F.col("key").alias("k"), F.col("source").alias("k_source"), "begin", "tokens")
-    by = F.col("k_source").eqNullSafe(F.col("p_source"))
-    if number > BROADCAST_SOURCES:
-        rows = ids.join(placed.join(paths, by, "left"), F.col("key") == F.col("k"))
-    else:
-        rows = ids.join(placed, F.col("key") == F.col("k")).join(F.broadcast(paths), by, "left")
-    rows = rows.join(F.broadcast(mine), F.col("source").eqNullSafe(F.col("t_source")), "left").select("key", "doc_id", "source", "n", "ids", "begin", "tokens", "t_queue", "whole", "left", "right")
+    placed = running(slim, ["source"], block_of(F.col("h"), block_bits(rows_in)), ["h", "key"], F.col("n"), "begin").select("key", "source", "n", "begin")
+    placed = placed.join(F.broadcast(sources) if number <= BROADCAST_SOURCES else sources, F.col("source").eqNullSafe(F.col("q_source"))).drop("q_source")
+    turn = "key long, source string, round long, at long, start long, length long"
+
+    def take_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, begin, num, den, base = (batch.column(x).to_numpy() for x in ("n", "begin", "num", "den", "base"))
+            doc, at, start, length = turns(n, begin, num, den, base, packet)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(take), batch.column("source").take(take), *[pa.array(x) for x in (at, begin[doc] + start, start, length)]], ["key", "source", "round", "at", "start", "length"])
+
+    taken = materialise(placed.mapInArrow(take_turns, turn), "turns")
+    last, many = taken.agg(F.coalesce(F.max("round"), F.lit(0)), F.count(F.lit(1))).first()
+    # blocks of consecutive rounds, of some BLOCK_ROWS turns; a round has no more turns than a window tokens, or packets that were waiting
+    block = F.floor(F.col("round").cast("double") * (1 << block_bits(many)) / (last + 1)).cast("int")
+    spread = taken.withColumn("q", seeded(seed, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))))
+    spread = running(spread, [], block, ["round", "q", "source", "at"], F.col("length"), "g")
+    of = spread.groupBy(F.col("key").alias("k")).agg(F.sort_array(F.collect_list(F.struct("start", "length", "g"))).alias("turns"))
+    rows = ids.join(of, F.col("key") == F.col("k")).select("key", "doc_id", "source", "n", "ids", "turns")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                n, begin, tokens = (part.column(x).to_numpy() for x in ("n", "begin", "tokens"))
-                queue = part.column("t_queue").fill_null(-1).to_numpy(zero_copy_only=False)
-                found = []
-                if len(own := np.flatnonzero(queue >= 0)):
-                    for stretch in plan:
-                        doc, where, *more = stretch.pieces(queue[own], begin[own], begin[own] + n[own], window)
-                        found.append((own[doc], where - begin[own][doc], *more))
-                if len(own := np.flatnonzero(queue < 0)):
-                    tree = [np.stack([np.asarray(x) for x in part.column(c).take(pa.array(own)).to_pylist()]) for c in ("whole", "left", "right")]
-                    alone = Queues(start, size, np.zeros(len(own), np.int64), tokens[own], *tree)
-                    doc, where, *more = alone.pieces(np.arange(len(own)), begin[own], begin[own] + n[own], window)
-                    found.append((own[doc], where - begin[own][doc], *more))
-                doc, first, length, w, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
-                order = np.argsort(doc, kind="stable")
-                doc, first, length, w, place = doc[order], first[order], length[order], w[order], place[order]
+                mine = part.column("turns")
+                doc = np.repeat(np.arange(len(part)), np.diff(mine.offsets.to_numpy()))
+                start, length, g = (mine.flatten().field(x).to_numpy() for x in ("start", "length", "g"))
+                # a window's end cuts a turn
+                first, final = g // window, (g + length - 1) // window
+                count = final - first + 1
+                which = np.repeat(np.arange(len(g)), count)
+                w = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[which]
+                low, high = np.maximum(g[which], w * window), np.minimum((g + length)[which], (w + 1) * window)
+                doc, first, length, place = doc[which], start[which] + low - g[which], high - low, low - w * window
+                # what follows on in one window is one piece
+                new = np.concatenate((np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (w[1:] != w[:-1]) | (place[1:] != (place + length)[:-1])))
+                head = np.flatnonzero(new)
+                length = np.add.reduceat(length, head) if len(head) else length
+                doc, first, w, place = doc[head], first[head], w[head], place[head]
+                n = part.column("n").to_numpy()
                 crc, had, raw = np.zeros(len(doc), np.int64), -1, memoryview(b"")
                 blobs = part.column("ids")
                 for i, (d, s, m) in enumerate(zip(doc.tolist(), first.tolist(), length.tolist(), strict=True)):

@@ -118,52 +118,50 @@ def test_packing_of_documents(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     pieces = packing.pack(rows, JSON).collect()
     check_pieces(pieces, [(r.doc_id, r.text, r.source) for r in rows.collect()], 2048)
-    total, per = Counter(), defaultdict(Counter)
+    total, given, per = Counter(), Counter(), defaultdict(Counter)
     for p in pieces:
         total[p.source] += p.length
         per[p.sequence_id][p.source] += p.length
     n, last = sum(total.values()), max(per)
+    slack = packing.PACKET * (len(total) + 1)
     for w in range(last):
-        for s in total:
-            assert abs(per[w][s] - 2048 * total[s] / n) <= len(total) + 1
+        given.update(per[w])
+        for s in total:  # a round is not a window, but neither runs ahead of the other by more than what queues hold back
+            assert abs(given[s] - (w + 1) * 2048 * total[s] / n) <= packing.PACKET + 2048 * total[s] / n + slack * total[s] / n + 1
+    # pieces: the documents, those that a window's end or a packet's cuts
+    assert len(pieces) <= len({p.key for p in pieces}) + last + sum(-(-r.doc_tokens // packing.PACKET) for r in {p.key: p for p in pieces}.values())
     assert packing.pack(table(spark, []), JSON).count() == 0
 
 
-def step_by_step(totals):
-    """Deficit round-robin, a token at a time: each node of the tree gives its left child floor(u * left / whole) of its first u tokens."""
-    depth = max(1, (len(totals) - 1).bit_length())
-    leaves = [*totals, *[0] * ((1 << depth) - len(totals))]
-    given, out = {}, []
-
-    def deal(low, high):
-        if high - low == 1:
-            return low
-        middle = (low + high) // 2
-        left, whole = sum(leaves[low:middle]), sum(leaves[low:high])
-        u = given[low, high] = given.get((low, high), 0) + 1
-        return deal(low, middle) if u * left // whole > (u - 1) * left // whole else deal(middle, high)
-
-    for _ in range(sum(totals)):
-        out.append(deal(0, 1 << depth))
-    return out
+def step_by_step(queues, quanta, begins, packet):
+    """Deficit round-robin as it is told: each round credits each waiting queue its quantum, and it sends packets while the credit lasts."""
+    waiting = [[(q, d, s, min(packet, n - s)) for d, n in enumerate(docs) for s in range(0, n, packet)] for q, docs in enumerate(queues)]
+    deficit, sent, now = [Fraction(0)] * len(queues), [], 0
+    while any(waiting):
+        now += 1
+        for q, own in enumerate(waiting):
+            if own and now > begins[q]:
+                deficit[q] += quanta[q]
+                while own and own[0][3] <= deficit[q]:
+                    deficit[q] -= own[0][3]
+                    sent.append((now, *own.pop(0)))
+    return sent
 
 
 def test_closed_form_against_stepping():
     rng = random.Random(1)
-    for _ in range(30):
-        totals = [rng.choice([0, 1, rng.randint(1, 400)]) for _ in range(rng.randint(1, 9))]
-        if not any(totals):
-            continue
-        queues = packing.Queues.of(0, totals, [0] * len(totals))
-        dealt = step_by_step(totals)
-        u = np.arange(len(dealt) + 1)
-        for q in range(len(totals)):
-            own, _, _ = queues.given(np.full(len(u), q), u, u)
-            assert own.tolist() == [0, *np.cumsum(np.array(dealt) == q)]
-            assert (np.abs(own - u * totals[q] / len(dealt)) <= queues.whole.shape[1]).all()
-        shares = [Fraction(rng.randint(1, 5)) for _ in totals]
-        given = np.sum([s.total for s in packing.stretches(totals, shares)], axis=0)
-        assert given.tolist() == totals
+    for _ in range(40):
+        queues = [[rng.choice([1, 2, rng.randint(1, 60)]) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(1, 6))]
+        packet = rng.choice([1, 3, 7, 100])
+        num, den, begins = ([rng.randint(1, k) for _ in queues] for k in (9, 200, 5))
+        want = step_by_step(queues, [Fraction(d, n) for n, d in zip(num, den, strict=True)], begins, packet)
+        found = []
+        for q, docs in enumerate(queues):
+            n = np.array(docs, np.int64)
+            same = lambda x, n=n: np.full(len(n), x, np.int64)
+            doc, at, start, length = packing.turns(n, np.cumsum(n) - n, same(num[q]), same(den[q]), same(begins[q]), packet)
+            found += [(r, q, d, s + i, min(packet, m - i)) for r, d, s, m in zip(at.tolist(), doc.tolist(), start.tolist(), length.tolist(), strict=True) for i in range(0, m, packet)]
+        assert sorted(found) == want
 
 
 def test_large_totals():
@@ -172,9 +170,9 @@ def test_large_totals():
         whole = rng.randint(1, 1 << 48)
         part, u = rng.randint(0, whole), rng.randint(0, whole)
         assert packing.share(np.array([u]), np.array([part]), np.array([whole]))[0] == u * part // whole
-    queues = packing.Queues.of(0, [10**13, 3 * 10**13], [0, 0])
-    doc, start, length, window, place = queues.pieces(np.array([0]), np.array([10**13 - 5]), np.array([10**13]), 2048)
-    assert length.sum() == 5 and window[-1] == (4 * 10**13 - 1) // 2048
+        tokens, every = rng.randint(1, 1 << 44), 1 << 46
+        end = rng.randint(1, tokens)
+        assert packing.rounds(np.array([end]), np.array([every]), np.array([tokens * 2048]))[0] == -(-end * every // (tokens * 2048))
 
 
 # ---- sharding
