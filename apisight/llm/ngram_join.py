@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise
+from .shared import free_names, materialise
 from .words import chunks, mix, shingles
 
 #: Bytes of text for each hash range and each group of documents (some million shingles): a range's blobs are what one task holds at once.
@@ -419,6 +419,8 @@ def linked_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     component_id is the least doc_id reachable by links. Documents without a row have no link.
     """
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be an integer: components are named by the least one")
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     bits = max(LEAST_BITS, (text_bytes // BYTES_PER_RANGE).bit_length())
     found = materialise(_eligible(_repeated(_shingle_blobs(docs, k, bits), bits), percent).drop("counts"), "sets")
@@ -446,6 +448,7 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
 
 
 def keep_one(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """docs without all but the document with the least doc_id of each component; the columns stay as they are."""
-    gone = linked_groups(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """docs without all but the document with the least doc_id of each component; the columns, of whatever names, stay as they are."""
+    (gone_id,) = free_names(docs.columns, "_id")
+    gone = linked_groups(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")

@@ -21,8 +21,8 @@ LENGTH, SHARD_ROWS = 2048, 8192
 #: Ends each document; fills the last sequence of each block of documents.
 END_ID, PAD_ID = 50256, 50256
 ROUNDS = 6
-#: Documents of a block on average, and the most blocks there are (a count for each is broadcast).
-BLOCK_DOCS, MOST_BLOCKS = 20_000, 1 << 16
+#: Bytes of text of a block on average, and the most blocks there are (a count for each is broadcast, some 16 bytes).
+BLOCK_BYTES, MOST_BLOCKS = 16 << 20, 1 << 20
 #: Sequences that are compressed together on their way to one shard.
 TOGETHER = 64
 
@@ -52,12 +52,14 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 def sequences(docs: DataFrame, path: str, length: int = LENGTH, seed: int = 3, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
     """block, at (from 0 in it), n (ids that are no filling), doc_ids (of the documents in it, in order), ids (little-endian, of id_type(path)).
 
-    Documents are dealt to blocks by a seeded hash of doc_id and text, whose number follows from the count of rows; in a block they are ordered
-    by that hash, doc_id and ids, each with end_id, and the row of ids is cut into sequences of length ids; each block is one task. So the same table gives the same
-    sequences, however it is split and wherever it is read. Null texts are end_id alone.
+    Documents are dealt to blocks by a seeded hash of doc_id and text; the number of blocks follows from the bytes of text. In a block they are
+    ordered by that hash, doc_id and ids, each with end_id, and the row of ids is cut into sequences of length ids; each block is one task,
+    which reads its documents one by one. So the same table gives the same sequences, however it is split and wherever it is read; rows that
+    are equal in doc_id and text lie in one block. Null texts are end_id alone.
     """
     width = id_type(path)
-    bits = min(MOST_BLOCKS, max(1, docs.count() // BLOCK_DOCS)).bit_length() - 1
+    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    bits = min(MOST_BLOCKS, max(1, text_bytes // BLOCK_BYTES)).bit_length() - 1
     h = seeded(seed, F.col("doc_id"), F.xxhash64("text"))
     keyed = docs.select(F.struct(F.shiftright(h, 60 - bits).cast("int").alias("block"), h.alias("h"), F.col("doc_id").cast("long").alias("doc_id")).alias("doc_id"), F.lit(None).cast("string").alias("source"), "text")
     rows = encoded(keyed, path, end_id).select("doc_id.*", "ids").repartitionById(1 << bits, F.col("block")).sortWithinPartitions("block", "h", "doc_id", "ids")

@@ -371,10 +371,10 @@ def zstandard_key(ids):
 
 @pytest.mark.parametrize("length, shard_rows, which", [(16, 7, "odd"), (2048, 20, "table")])
 def test_training_order(spark, folder, length, shard_rows, which, monkeypatch):
-    monkeypatch.setattr(training_order, "BLOCK_DOCS", 2 if which == "odd" else 60)
+    monkeypatch.setattr(training_order, "BLOCK_BYTES", 20_000 if which == "odd" else 150_000)
     docs = table(spark) if which == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text", F.xxhash64("text")).collect()]
-    bits = max(1, len(rows) // training_order.BLOCK_DOCS).bit_length() - 1
+    bits = max(1, sum(len((r[1] or "").encode()) for r in rows) // training_order.BLOCK_BYTES).bit_length() - 1
     want = brute_order([r[:2] for r in rows], [r[2] for r in rows], length, 9, bits)
     files = set()
     for split in (1, 8, 50):

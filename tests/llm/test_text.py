@@ -284,3 +284,20 @@ def test_pipeline_stages(spark, documents):
     want = {i for i, (_, c) in groups(want.items(), 5, 80).items() if c == i}
     assert {r.doc_id for r in third.collect()} == want and third.columns == columns
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    rows = [(i, "one two three four five six seven" if i < 2 else f"t{i}\nl1\nl2\nl3", 5, 6, 7, 8, 9) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, _removed long, n_chars long, component_id long, lines long")
+    kept = ngram_join.keep_one(docs, 5, 80)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r._id, r.component_id) for r in kept.collect()) == [(0, 5, 8), (2, 5, 8), (3, 5, 8), (4, 5, 8)]
+    cut = corpus_pipeline.line_dedup(spark, docs, "")
+    assert cut.columns == docs.columns and {(r.doc_id, r._removed, r.lines) for r in cut.collect()} == {(i, 6, 9) for i in range(5)}
+    with pytest.raises(TypeError, match="integer"):
+        ngram_join.keep_one(docs.withColumn("doc_id", docs.doc_id.cast("string")))
+
+
+def test_stages_of_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
