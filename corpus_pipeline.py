@@ -10,7 +10,7 @@ from apisight.llm.line_dedup import dedup_lines
 from apisight.llm.ngram_join import keep_one
 from apisight.llm.packing import pack
 from apisight.llm.quality import quality_verdicts
-from apisight.llm.shared import materialise
+from apisight.llm.shared import free_names, materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated three-line windows go; a document without a line left goes as well. n_chars follows the text."""
-    found = dedup_lines(docs, "_removed").where("_removed = 0 or length(text) > 0")
-    return found.withColumn("n_chars", F.when(F.col("_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+    (removed,) = free_names(docs.columns, "_removed")
+    found = dedup_lines(docs, removed).where((F.col(removed) == 0) | (F.length("text") > 0))
+    return found.withColumn("n_chars", F.when(F.col(removed) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
