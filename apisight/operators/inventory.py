@@ -51,8 +51,12 @@ def inventory_from(observations: DataFrame) -> DataFrame:
     segs = observations.withColumn("segs", canonical_segments(F.col("raw_path"))).drop("raw_path")
     # equal canonical paths meet before the levels are walked; the log is read once, for this table
     paths = cut_lineage(merge_observations(segs, "segs"))
-    found = collapse_ids(paths).withColumn("path_pattern", join_segments(F.col("segs")))
-    merged = merge_observations(found, "path_pattern")
+    return endpoints_of(collapse_ids(paths))
+
+
+def endpoints_of(found: DataFrame) -> DataFrame:
+    """Endpoints from rows with collapsed segs."""
+    merged = merge_observations(found.withColumn("path_pattern", join_segments(F.col("segs"))), "path_pattern")
     return merged.select(
         endpoint_id(F.col("path_pattern")).alias("id"),
         "path_pattern",

@@ -16,7 +16,9 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from apisight.operators.classify import classify
 from apisight.operators.history import History
-from apisight.operators.inventory import inventory_from, merge_observations, observations
+from apisight.functions.paths import canonical_segments
+from apisight.operators.inventory import endpoints_of, inventory_from, merge_observations, observations
+from apisight.operators.normalize import Collapse, collapse_more
 from apisight.operators.publish import delete, names, publish, read_json
 from apisight.plans.analysis import Analysis, Settings, html_lines, markdown_lines, write_lines
 from apisight.ruleset import DEFAULT_STALENESS_DAYS, RULESET_VERSION
@@ -132,8 +134,8 @@ class Watch:
 
     State: one row for each raw path (sums, minima, unions), in BUCKETS by a hash of the path. A batch is parsed once and summed up by path; it
     reads the buckets that its paths lie in, merges and writes them anew, and then names all buckets in one small commit file. So the state
-    has as many rows as there are paths, and a batch's work follows its own paths. Identifiers that vary only later still collapse, for
-    patterns are made from the state each time.
+    has as many rows as there are paths, and a batch's work follows its own paths. Identifiers that vary only later still collapse: the
+    collapse goes on from batch to batch (collapse_more()), and walks only the paths that are new or below a prefix that has become variable.
 
     A batch that is run again starts from the commit before it and replaces its own; one that later batches have built on is not counted
     again. When the file starts anew (epoch), state, counts and digest do as well. The digest is a chain over the ranges of bytes consumed: each
@@ -205,8 +207,15 @@ class Watch:
         if touched:
             merged = merge_observations(rows, "raw_path").withColumn("bucket", bucket)
             merged.repartition("bucket").write.partitionBy("bucket").parquet(written)
+        collapse = before.get("collapse")
+        known = Collapse.read(self.spark, collapse) if collapse else Collapse.empty(self.spark)
+        more, changed = collapse_more(known, fresh.select(canonical_segments(F.col("raw_path")).alias("segs")))
+        if changed:
+            collapse, old = f"{written}/collapse", [collapse] if collapse else []
+            more.write(collapse)
+            had = [*had, *old]
         buckets = before["buckets"] | {str(b): f"{written}/bucket={b}" for b in touched}
-        return {"batch": batch_id, "epoch": epoch, "buckets": buckets, "lines": lines, "bytes": consumed, "digest": digest, "written": written, "replaced": had}
+        return {"batch": batch_id, "epoch": epoch, "buckets": buckets, "lines": lines, "bytes": consumed, "digest": digest, "written": written, "replaced": had, "collapse": collapse}
 
     def _record(self, batch_id: int, commit: dict) -> None:
         inventory = cut_lineage(self.inventory())
@@ -247,7 +256,13 @@ class Watch:
         return self.spark.read.schema(_PATHS).parquet(*paths) if paths else self.spark.createDataFrame([], _PATHS)
 
     def inventory(self) -> DataFrame:
-        return inventory_from(self._state())
+        """Endpoints of the state: each path's collapsed segments are looked up, none is walked again."""
+        commits = self._commits()
+        if not commits or not commits[0].get("collapse"):
+            return inventory_from(self._state())
+        rows = self._state().withColumn("segs", canonical_segments(F.col("raw_path"))).drop("raw_path")
+        merged = merge_observations(rows, "segs")
+        return endpoints_of(merged.join(Collapse.read(self.spark, commits[0]["collapse"]).known, "segs").drop("segs").withColumnRenamed("now", "segs"))
 
     def findings(self) -> DataFrame:
         return classify(cut_lineage(self.inventory()), self.declared, self.staleness_days)

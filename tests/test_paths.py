@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from apisight.functions import paths as P
 from apisight.functions.redact import redact_file, redact_text
 from apisight.operators.inventory import observed_inventory
-from apisight.operators.normalize import collapse_ids
+from apisight.operators import normalize
+from apisight.operators.normalize import Collapse, collapse_ids, collapse_more
+from apisight.session import cut_lineage
 
 CANONICAL = {
     "/api/users/1": "/api/users/1", "": "/", "/": "/", "/a/": "/a/", "//a": "//a", "/%41b": "/Ab", "/a%2Fb": "/a%2Fb", "/a%2fb": "/a%2Fb", "/%252e%252e": "/%252e%252e", "/%2e%2e/secret": "/../secret",
@@ -154,3 +156,45 @@ def test_order_and_partitions_change_nothing(paths):
     a = {tuple(r)[1:3] for r in observed_inventory(requests(spark, paths)).select("id", "path_pattern", "observation_count").collect()}
     b = {tuple(r)[1:3] for r in observed_inventory(requests(spark, paths[::-1]).repartition(3)).select("id", "path_pattern", "observation_count").collect()}
     assert a == b
+
+
+# ---- the collapse that goes on
+
+
+def random_path(rng):
+    segment = lambda: rng.choice(["a", "b", "users", "", *map(str, range(7)), "0123456789abcdef01234567"])
+    return [segment() for _ in range(rng.choice([0, 1, 2, 3, 3, 4, 5]))]
+
+
+@pytest.mark.parametrize("seed, batches, size", [(1, 7, 5), (2, 5, 9), (3, 2, 40)])
+def test_the_collapse_goes_on_as_the_whole_one(spark, seed, batches, size):
+    rng = random.Random(seed)
+    state, so_far = Collapse.empty(spark), set()
+    for _ in range(batches):
+        batch = [random_path(rng) for _ in range(rng.randrange(size + 1))]
+        new = {tuple(p) for p in batch} - so_far
+        so_far |= new
+        state, changed = collapse_more(state, spark.createDataFrame([(p,) for p in batch], "segs array<string>"))
+        assert changed == bool(new)
+        state = Collapse(*[cut_lineage(x) for x in (state.known, state.values, state.varying)])
+        paths = cut_lineage(spark.createDataFrame([(list(p), list(p)) for p in so_far], "was array<string>, segs array<string>"))
+        want = sorted((tuple(r.was), tuple(r.segs)) for r in collapse_ids(paths).collect())
+        assert sorted((tuple(r.segs), tuple(r.now)) for r in state.known.collect()) == want
+        # what is kept of values is small, and of prefixes that paths still have
+        prefixes = {(i, "/".join(now[:i])) for _, now in want for i in range(len(now))}
+        kept = [(r.depth, r.prefix) for r in state.values.collect()]
+        assert max([kept.count(k) for k in kept], default=0) <= 2 and set(kept) <= prefixes and {(r.depth, r.prefix) for r in state.varying.collect()} <= prefixes
+
+
+def test_only_paths_below_a_changed_prefix_are_walked_again(spark, monkeypatch):
+    walked = []
+    real = normalize._depths
+    monkeypatch.setattr(normalize, "_depths", lambda rows: walked.append(sorted(tuple(r.segs) for r in rows.collect())) or real(rows))
+    more = lambda state, *paths: collapse_more(state, spark.createDataFrame([(list(p),) for p in paths], "segs array<string>"))[0]
+    state = more(Collapse.empty(spark), ("a", "1", "x"), ("a", "2", "x"), ("b", "1"), ("b", "2"), ("c", "9"))
+    walked.clear()
+    state = more(state, ("a", "3"), ("c", "9"))
+    assert walked == [[("a", "3")], [("a", "1", "x"), ("a", "2", "x")]]
+    walked.clear()
+    more(state, ("a", "4"))
+    assert walked == [[("a", "4")]]
