@@ -126,9 +126,10 @@ def _items(benchmark: DataFrame, window: int) -> tuple[DataFrame, list[int], int
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Two tables in the shared folder: (doc_id, th, n_words) of every row of docs, and (doc_id, th, pos, len, h) of each verified occurrence.
+    """(doc_id, th, n_words) of every row of docs; and doc_id, th, pos, len, h, window, item_id of each verified occurrence of an item's window.
 
-    th is a hash of the text, which tells rows of one doc_id apart; h is that of the window. An occurrence is one row for each row of docs.
+    th is a hash of the text, which tells rows of one doc_id apart; h is that of the window. Rows repeated with one doc_id and text share their
+    occurrences. A window of several items has a row for each.
     """
     if not 1 <= window <= WINDOW:
         raise ValueError(f"a window has 1 to {WINDOW} words")
@@ -146,7 +147,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     hits = found.join(_bounded(wanted, size), (F.col("h") == F.col("w_h")) & (F.col("window") == F.col("w_window"))).select("doc_id", "th", "pos", "len", "h", "window")
     hits = materialise(hits.distinct(), "benchmark_hits")
     release(keys)
-    return counted.select("doc_id", "th", "n_words"), hits.join(_bounded(items.withColumnRenamed("h", "w_h").withColumnRenamed("window", "w_window").drop("len"), size), (F.col("h") == F.col("w_h")) & (F.col("window") == F.col("w_window"))).drop("w_h", "w_window")
+    of = items.select("item_id", F.col("h").alias("w_h"), F.col("window").alias("w_window"))
+    hits = hits.join(_bounded(of, size), (F.col("h") == F.col("w_h")) & (F.col("window") == F.col("w_window"))).drop("w_h", "w_window")
+    return counted.select("doc_id", "th", "n_words"), hits
 
 
 def _spans(hits: DataFrame) -> DataFrame:

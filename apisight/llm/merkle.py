@@ -30,7 +30,6 @@ LEVELS = 3
 #: Rows of a range when rows are put in order; ranges whose counts are broadcast.
 RANGE_ROWS, BROADCAST_RANGES = 100_000, 200_000
 
-_LEAF = "tree long, idx long, n long, digest binary"
 _PATH = "path array<struct<l: binary, r: binary>>"
 
 
