@@ -148,7 +148,7 @@ ORACLES = {
         s AS (SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, n, 1000 * a * n // (l.f * r.f) AS score
               FROM c JOIN f l ON c.lang = l.lang AND c.head = l.phrase JOIN f r ON c.lang = r.lang AND c.rest = r.phrase JOIN t ON c.lang = t.lang),
         m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s),
-        h AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[i:j], ' ') FOR i IN range(1, size + 1) FOR j IN range(1, size + 1) IF j > i AND j - i + 1 < size]) AS phrase FROM k) GROUP BY ALL),
+        h AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS f FROM (SELECT lang, f, w, m, unnest(range(1, size - m + 2)) AS i FROM k, (VALUES (2), (3), (4)) AS t(m) WHERE m < size) GROUP BY 1, 2),
         q AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank FROM m LEFT JOIN h ON m.lang = h.lang AND m.phrase = h.phrase WHERE nth = 1 AND (h.f IS NULL OR 100 * h.f < 100 * a))
         SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM q WHERE rank <= 2000""",
 }
