@@ -61,7 +61,7 @@ def declared_trie(declared: DataFrame) -> tuple[DataFrame, DataFrame]:
     there. A node is a hash of the keys from the root: two that fall together would let more pairs through to the exact conditions.
     """
     rows = declared.withColumn("k", _edge_keys(F.col("d")))
-    ends = cut_lineage(rows.select(F.xxhash64("k").alias("end_node"), "declared_path", "declared_methods", "d"))
+    ends = rows.select(F.xxhash64("k").alias("end_node"), "declared_path", "declared_methods", "d")
     steps = rows.where(F.size("k") > 0).select("k", F.explode(F.sequence(F.lit(1), F.size("k"))).alias("i"))
     steps = steps.select(F.xxhash64(F.slice("k", F.lit(1), F.col("i") - 1)).alias("node"), F.expr("k[i - 1]").alias("key"), F.xxhash64(F.slice("k", F.lit(1), F.col("i"))).alias("child"), (F.col("i") == F.size("k")).alias("last"))
     edges = steps.groupBy("node", "key", "child").agg(F.max("last").alias("ends"), F.max(~F.col("last")).alias("goes_on"))
@@ -78,8 +78,9 @@ def _walk(observed: DataFrame, declared: DataFrame) -> DataFrame:
     """
     o, d = _typed(observed, declared)
     edges, ends = declared_trie(d)
-    depth = ends.agg(F.coalesce(F.max(F.size("d")), F.lit(0))).first()[0]
-    small = edges.count() <= BROADCAST_EDGES
+    # two rows for each segment at most
+    depth, segments = ends.agg(F.coalesce(F.max(F.size("d")), F.lit(0)), F.coalesce(F.sum(F.size("d")), F.lit(0))).first()
+    small = 2 * segments <= BROADCAST_EDGES
     sized = lambda table: F.broadcast(table) if small else table
     walk = o.withColumns({"node": F.xxhash64(F.array().cast("array<string>")), "done": F.lit(False)})
     columns = o.columns
