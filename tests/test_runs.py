@@ -303,7 +303,7 @@ def test_the_state_has_a_row_for_each_path(spark, folder):
     paths = [f"/v1/books/{i}" for i in range(12)] + ["/v1/a", "/v1/b"]
     line = lambda path, user: f'203.0.113.9 - {user} [05/Mar/2024:08:00:00 +0000] "GET {path} HTTP/1.1" 200 512 "-" "x"'
     watch, everything = Watch(spark, f"file://{folder}/state"), []
-    for batch in range(12):
+    for batch in range(6):
         rows = [line(rng.choice(paths), rng.choice("-u")) for _ in range(rng.choice([0, 3, 20]))] + (["broken"] if batch % 3 == 0 else [])
         everything += rows
         for again in range(rng.choice([1, 2])):
