@@ -269,7 +269,7 @@ def finding_counts(spark, d):
 
 
 def grouped_findings(spark, d):
-    return S.grouped_findings(_full_findings(spark, d)).withColumn("paths", F.array_join("paths", " "))
+    return S.whole_groups(_full_findings(spark, d))
 
 
 def group_members(spark, d):

@@ -36,6 +36,15 @@ def test_redacted_documents(spark):
     assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count() and {r.ends for r in found} == {"/p/<redacted>/q. <redacted>"}
 
 
+def test_grouped_findings_name_every_member(spark):
+    want = {}
+    for r in QUERIES["group_members"](spark, SF).collect():
+        want.setdefault((r.classification, r.reason), []).append((r.path_pattern, r.subject_kind))
+    found = QUERIES["grouped_findings"](spark, SF).collect()
+    assert {(r.classification, r.reason): r.paths for r in found} == {k: " ".join(path for path, _ in sorted(m)) for k, m in want.items()}
+    assert any(not r.in_detail for r in found)
+
+
 def test_derived_data_shows_every_verdict_and_reason(spark):
     full = QUERIES["classify_full"](spark, SF).collect()
     assert {r.classification for r in full} == {"Shadow", "Zombie", "Undetermined", "Known"}
